@@ -66,3 +66,102 @@ SELECT h.question_id, h.id AS doc_id, {DOC_PATH} AS path, round(h.score, 6) AS s
        d.text AS context, d.doc_id IS NULL AS missing
 FROM hits h LEFT JOIN documents d ON d.doc_id = h.id
 WHERE h.rank = 1"""
+
+
+# ---- pages / URLs ------------------------------------------------------------
+STRIP = "trim(url, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+VALID = "regexp_matches({u}, '^[a-z][a-z0-9+.-]*://')"
+TLD = "regexp_extract({u}, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1)"
+NO_HTML = "CASE WHEN ends_with({u}, '.html') THEN left({u}, length({u}) - 5) ELSE {u} END"
+
+
+def path_sql(u: str) -> str:
+    t = f"string_split(regexp_replace({u}, '^/+|/+$', '', 'g'), '/')"
+    return (f"array_to_string(list_concat(['/data'], "
+            f"list_filter({t}[1:len({t}) - 1], lambda p: p <> ''), [{t}[-1] || '.txt']), '/')")
+
+
+def links() -> str:
+    return f"""
+SELECT DISTINCT url FROM (SELECT {STRIP} AS url FROM pages)
+WHERE url <> '' AND {VALID.format(u='url')}"""
+
+
+def page_files() -> str:
+    return f"""
+WITH u AS (SELECT page_id, {STRIP} AS url FROM pages),
+f AS (SELECT url, min(page_id) AS first_id FROM u
+      WHERE url <> '' AND {VALID.format(u='url')} GROUP BY url),
+p AS (SELECT url, first_id, {path_sql(NO_HTML.format(u='url'))} AS path FROM f),
+w AS (SELECT path, arg_max(url, first_id) AS url, max(first_id) AS page_id FROM p GROUP BY path)
+SELECT path, url, page_id, {TLD.format(u='url')} AS tld FROM w"""
+
+
+def page_references() -> str:
+    path = path_sql(NO_HTML.format(u='url'))
+    return f"""
+SELECT page_id, url, {TLD.format(u='url')} AS tld, {path} AS path,
+       '[Reference 1](' || replace(replace({path}, '/data/https:/', 'https://'), '.txt', '.html') || ')'
+         AS reference
+FROM pages WHERE {VALID.format(u='url')}"""
+
+
+# ---- cleaning and chunking ---------------------------------------------------
+CLEAN = "regexp_replace({t}, '[^A-Za-z0-9 .,?!]', '', 'g')"
+LINES = "regexp_replace({t}, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g')"
+
+
+def words_sql(t: str, route: str = "txt") -> str:
+    if route == "pdf":
+        t = LINES.format(t=t)
+    return f"list_filter(string_split({CLEAN.format(t=t)}, ' '), lambda x: x <> '')"
+
+
+def chunks(route: str = "txt", step: int = 500) -> str:
+    """Greedy rule as a recursive query: each chunk start joins the running
+    maximum of sentence-end positions at min(start + step, n - 1)."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql('text', route)} AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+pb AS (SELECT doc_id, pos,
+              max(CASE WHEN right(word, 1) IN ('.', '!', '?') THEN pos END)
+                OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pb
+       FROM pos),
+n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+ch(doc_id, chunk_ix, st, e, n) AS (
+  SELECT n.doc_id, 0, 0, CASE WHEN pb.pb > 0 THEN pb.pb ELSE least({step}, n.n - 1) END, n.n
+  FROM n JOIN pb ON pb.doc_id = n.doc_id AND pb.pos = least({step}, n.n - 1)
+  UNION ALL
+  SELECT ch.doc_id, ch.chunk_ix + 1, ch.e + 1,
+         CASE WHEN pb.pb > ch.e + 1 THEN pb.pb ELSE least(ch.e + 1 + {step}, ch.n - 1) END, ch.n
+  FROM ch JOIN pb ON pb.doc_id = ch.doc_id AND pb.pos = least(ch.e + 1 + {step}, ch.n - 1)
+  WHERE ch.e < ch.n - 1)
+SELECT ch.doc_id, ch.chunk_ix::INTEGER AS chunk_ix, ch.st::INTEGER AS start_word, ch.e::INTEGER AS end_word,
+       (ch.e - ch.st + 1)::INTEGER AS n_words,
+       array_to_string(d.w[ch.st + 1 : ch.e + 1], ' ') AS text,
+       sha256(ch.doc_id::VARCHAR || ':' || ch.chunk_ix::VARCHAR) AS chunk_id
+FROM ch JOIN d USING (doc_id)"""
+
+
+def chunk_counts() -> str:
+    c = chunks()
+    return f"""
+WITH c AS ({c})
+SELECT doc_id, count(*) AS n_chunks, max(n_words) AS max_words FROM c GROUP BY doc_id"""
+
+
+def text_stats() -> str:
+    return f"""
+SELECT doc_id, length(text)::BIGINT AS n_chars,
+       length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))::BIGINT AS ascii_chars,
+       length({CLEAN.format(t='text')})::BIGINT AS clean_chars,
+       len({words_sql('text')})::BIGINT AS words_txt,
+       len({words_sql('text', 'pdf')})::BIGINT AS words_pdf
+FROM documents"""
+
+
+def length_summary() -> str:
+    return """
+SELECT lang, min(length(text))::BIGINT AS min_chars, round(avg(length(text)), 4) AS avg_chars,
+       max(length(text))::BIGINT AS max_chars, count(*) AS n_docs
+FROM documents GROUP BY lang"""

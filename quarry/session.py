@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # session made elsewhere keeps its own values; we never override them.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -165,3 +165,46 @@ def length_summary() -> str:
 SELECT lang, min(length(text))::BIGINT AS min_chars, round(avg(length(text)), 4) AS avg_chars,
        max(length(text))::BIGINT AS max_chars, count(*) AS n_docs
 FROM documents GROUP BY lang"""
+
+
+# ---- index loads -------------------------------------------------------------
+def first_store() -> str:
+    return f"""
+WITH {hash_embed_ctes('dv', 'documents', 'doc_id')},
+es AS (SELECT id, sum(w) AS s FROM dv GROUP BY id),
+b AS (SELECT substr(text, 1, 512) AS id, {DOC_PATH} AS file_path,
+             CAST(substr(source, 4) AS INTEGER) AS batch_no, doc_id FROM documents),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no DESC, file_path DESC) AS rn
+                     FROM b) WHERE rn = 1)
+SELECT w.id, w.file_path, w.batch_no, 'hash-64' AS embedding_model, 64 AS n_dims,
+       round(coalesce(es.s, 0), 6) AS emb_sum
+FROM w LEFT JOIN es ON es.id = w.doc_id"""
+
+
+def second_store() -> str:
+    ch = chunks()
+    return f"""
+WITH ch AS ({ch.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)}),
+rows AS (
+  SELECT doc_id, -1 AS chunk_ix, {DOC_PATH} AS path, text, 0 AS batch_no FROM documents
+  UNION ALL
+  SELECT doc_id, chunk_ix, NULL AS path, text, 1 AS batch_no FROM ch),
+keyed AS (SELECT row_number() OVER () AS rid, coalesce(path, substr(text, 1, 50)) AS id, * FROM rows),
+{hash_embed_ctes('ev', 'keyed', 'rid')},
+es AS (SELECT id, sum(w) AS s FROM ev GROUP BY id),
+cls AS (SELECT DISTINCT doc_id, 'restricted' AS c FROM labels WHERE toxic = 1),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no, doc_id, chunk_ix) AS rn
+                     FROM keyed) WHERE rn = 1)
+SELECT w.id, coalesce(cls.c, 'public') AS classification, w.batch_no, w.doc_id, w.chunk_ix::INTEGER AS chunk_ix,
+       'hash-64' AS embedding_model, 64 AS n_dims, round(coalesce(es.s, 0), 6) AS emb_sum
+FROM w LEFT JOIN es ON es.id = w.rid LEFT JOIN cls ON cls.doc_id = w.doc_id"""
+
+
+def index_stats() -> str:
+    return f"""
+SELECT 'hash-64' AS embedding_model, count(DISTINCT substr(text, 1, 512)) AS total_vector_count,
+       64 AS min_dim, 64 AS max_dim, 'first' AS store FROM documents
+UNION ALL
+SELECT 'hash-64', count(DISTINCT id), 64, 64, 'second' FROM (
+  SELECT {DOC_PATH} AS id FROM documents
+  UNION ALL SELECT substr(text, 1, 50) FROM ({chunks()}))"""

@@ -208,3 +208,86 @@ UNION ALL
 SELECT 'hash-64', count(DISTINCT id), 64, 64, 'second' FROM (
   SELECT {DOC_PATH} AS id FROM documents
   UNION ALL SELECT substr(text, 1, 50) FROM ({chunks()}))"""
+
+
+# ---- prompts, models, evaluation ----------------------------------------------
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def summaries() -> str:
+    from quarry.functions.prompts import SUMMARY
+    return f"""
+WITH p AS (SELECT doc_id, replace({_lit(SUMMARY)}, '{{{{USER_TEXT}}}}', text) AS prompt FROM documents)
+SELECT doc_id, length(prompt)::BIGINT AS prompt_chars,
+       len(list_filter(string_split_regex(prompt, '[ \\t\\n\\r]+'), lambda x: x <> ''))::BIGINT AS prompt_words,
+       len(list_filter(string_split_regex(prompt, '[ \\t\\n\\r]+'), lambda x: x <> '')) <= 9000 AS fits_window,
+       4096 AS max_tokens_to_sample, 0.6::DOUBLE AS temperature, 250 AS top_k, 1.0::DOUBLE AS top_p,
+       0 AS n_stop, ' Echo: ' || right(prompt, 40) AS summary, NULL::VARCHAR AS error
+FROM p"""
+
+
+def fewshot_predictions() -> str:
+    from quarry.functions.prompts import FEW_SHOT
+    arms = "\nUNION ALL\n".join(
+        f"SELECT doc_id, label, '{n}' AS prompt, replace({_lit(t)}, '{{review}}', sentence) AS pt FROM ex"
+        for n, t in FEW_SHOT.items())
+    return f"""
+WITH ex AS (SELECT d.doc_id, d.text AS sentence, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
+runs AS ({arms}),
+g AS (SELECT *, ['Positive', 'negative', 'maybe'][length(pt) % 3 + 1] AS prediction FROM runs)
+SELECT doc_id, prompt, label, prediction,
+       CASE lower(prediction) WHEN 'negative' THEN 0 WHEN 'positive' THEN 1 ELSE -1 END AS prediction_int
+FROM g"""
+
+
+def fewshot_accuracy() -> str:
+    return f"""
+WITH p AS ({fewshot_predictions()})
+SELECT prompt, round(avg(CASE WHEN prediction_int = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       count(*) AS n FROM p GROUP BY prompt"""
+
+
+def fewshot_best() -> str:
+    return f"""
+WITH a AS (SELECT prompt, avg(CASE WHEN prediction_int = label THEN 1.0 ELSE 0.0 END) AS acc
+           FROM ({fewshot_predictions()}) GROUP BY prompt)
+SELECT prompt AS best_prompt, round(acc, 6) AS best_accuracy FROM a ORDER BY acc DESC, prompt LIMIT 1"""
+
+
+def chat_history() -> str:
+    return """
+SELECT conv_id, string_agg(text, '; ' ORDER BY turn) AS history, count(*)::INTEGER AS n_turns
+FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"""
+
+
+def upload_manifest() -> str:
+    name = f"string_split({DOC_PATH}, '/')[-1]"
+    stem = (f"CASE WHEN regexp_matches({name}, '^\\.*[^.]+$') THEN {name} "
+            f"ELSE regexp_replace({name}, '\\.[^./]*$', '') END")
+    return f"""
+SELECT doc_id, {DOC_PATH} AS path, {name} AS file_name, 'staged_files/' || {name} AS staged_path,
+       {stem} || '.txt' AS text_name,
+       'File ' || {name} || ' has been uploaded and moved to ''staged_files''.' AS status
+FROM documents"""
+
+
+QUESTIONS = """(SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS question_id, text,
+        CASE WHEN conv_id % 2 = 0 THEN 'completion' ELSE 'hosted' END AS model,
+        ((conv_id * 7 + turn) % 100 + 1)::DOUBLE / 100 AS temperature,
+        ['50', '100', '250', '500', '1000'][conv_id % 5 + 1] AS token_count,
+        ['none', 'first', 'second'][turn % 3 + 1] AS store
+ FROM conversations WHERE role = 'user')"""
+
+
+def question_settings() -> str:
+    return f"""
+WITH q AS {QUESTIONS},
+p AS (SELECT *, list_filter([
+        CASE WHEN temperature < 0.01 OR temperature > 1.0 THEN 'temperature out of range' END,
+        CASE WHEN abs(temperature * 100 - round(temperature * 100)) > 1e-9 THEN 'temperature not in steps of 0.01' END,
+        CASE WHEN token_count NOT IN ('50', '100', '250', '500', '1000') THEN 'token count not offered' END,
+        CASE WHEN store NOT IN ('none', 'first', 'second') THEN 'unknown vector store' END],
+        lambda x: x IS NOT NULL) AS probs FROM q)
+SELECT question_id, temperature, token_count::INTEGER AS max_tokens, store,
+       array_to_string(probs, '; ') AS problems, len(probs) = 0 AS accepted FROM p"""

@@ -21,7 +21,12 @@ def doc_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
 
 
 def question_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
-    return E.hash_embed(TB.user_questions(spark, sf_dir), "text", dim).select("question_id", "embedding")
+    return question_vectors_of(TB.user_questions(spark, sf_dir), dim)
+
+
+def question_vectors_of(questions: DataFrame, dim: int = DIM) -> DataFrame:
+    """Y1 on a question table ``(question_id, text, ...)``."""
+    return E.hash_embed(questions.select("question_id", "text"), "text", dim).select("question_id", "embedding")
 
 
 def best_context(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:

@@ -291,3 +291,109 @@ p AS (SELECT *, list_filter([
         lambda x: x IS NOT NULL) AS probs FROM q)
 SELECT question_id, temperature, token_count::INTEGER AS max_tokens, store,
        array_to_string(probs, '; ') AS problems, len(probs) = 0 AS accepted FROM p"""
+
+
+# ---- search variants -----------------------------------------------------------
+def topk_ctes(name: str, q: str, q_ids: str, d: str, d_ids: str, k: int, metric: str) -> str:
+    """CTE ``<name>`` (question_id, rank, id, score) for cosine or squared L2."""
+    if metric == "cosine":
+        score = ("coalesce(x.dot, 0) / greatest(sqrt(coalesce(qn.n2, 0)), 1e-12) "
+                 "/ greatest(sqrt(coalesce(dn.n2, 0)), 1e-12)")
+        order = "round(score, 9) DESC"
+    else:
+        score = "greatest(coalesce(qn.n2, 0) + coalesce(dn.n2, 0) - 2 * coalesce(x.dot, 0), 0)"
+        order = "round(score, 9) ASC"
+    return f"""
+{name}_dot AS (
+  SELECT q.id AS qid, d.id AS did, sum(q.w * d.w) AS dot FROM {q} q JOIN {d} d USING (b) GROUP BY 1, 2),
+{name}_qn AS (SELECT id, sum(w * w) AS n2 FROM {q} GROUP BY id),
+{name}_dn AS (SELECT id, sum(w * w) AS n2 FROM {d} GROUP BY id),
+{name}_all AS (
+  SELECT qi.id AS qid, di.id AS did, {score} AS score
+  FROM {q_ids} qi CROSS JOIN {d_ids} di
+  LEFT JOIN {name}_dot x ON x.qid = qi.id AND x.did = di.id
+  LEFT JOIN {name}_qn qn ON qn.id = qi.id
+  LEFT JOIN {name}_dn dn ON dn.id = di.id),
+{name} AS (
+  SELECT * FROM (
+    SELECT qid AS question_id, did AS id, score,
+           row_number() OVER (PARTITION BY qid ORDER BY {order}, did)::INTEGER AS rank
+    FROM {name}_all) WHERE rank <= {k})"""
+
+
+BENCH_Q = "(SELECT item_id AS question_id, text FROM benchmark)"
+
+
+def search_hits(k: int = 5) -> str:
+    return f"""
+WITH {hash_embed_ctes('qv', USER_Q, 'question_id')},
+{hash_embed_ctes('dv', 'documents', 'doc_id')},
+qi AS (SELECT question_id AS id FROM {USER_Q}),
+di AS (SELECT doc_id AS id FROM documents),
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'cosine')}
+SELECT question_id, rank, id, round(score, 6) AS score FROM hits"""
+
+
+def search_l2(k: int = 10) -> str:
+    return f"""
+WITH {hash_embed_ctes('qv', BENCH_Q, 'question_id')},
+{hash_embed_ctes('dv', 'documents', 'doc_id')},
+qi AS (SELECT item_id AS id FROM benchmark),
+di AS (SELECT doc_id AS id FROM documents),
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'l2')}
+SELECT question_id, rank, id, round(score, 6) AS score FROM hits"""
+
+
+def vector_search(k: int = 5, label: int | None = None) -> str:
+    where = f"WHERE label = {label}" if label is not None else ""
+    return f"""
+WITH {hash_embed_ctes('qv', BENCH_Q, 'question_id')},
+src AS (SELECT vec_id, embedding FROM embeddings {where}),
+ev AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS b, unnest(embedding)::DOUBLE AS w FROM src),
+qi AS (SELECT item_id AS id FROM benchmark),
+di AS (SELECT vec_id AS id FROM src),
+{topk_ctes('hits', 'qv', 'qi', 'ev', 'di', k, 'cosine')}
+SELECT question_id, rank, id, round(score, 6) AS score FROM hits"""
+
+
+def vector_search_label() -> str:
+    return vector_search(5, 1)
+
+
+CLASSIFIED = f"""(SELECT d.doc_id, {DOC_PATH.replace('source', 'd.source').replace('doc_id::', 'd.doc_id::')} AS id,
+   d.text AS document, coalesce(c.c, 'public') AS classification
+ FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, 'restricted' AS c FROM labels WHERE toxic = 1) c
+ ON c.doc_id = d.doc_id)"""
+
+
+def filtered_search(k: int = 2) -> str:
+    return f"""
+WITH cl AS {CLASSIFIED},
+f AS (SELECT * FROM cl WHERE classification = 'public' AND contains(document, ' the ')),
+{hash_embed_ctes('qv', BENCH_Q, 'question_id')},
+{hash_embed_ctes('dv', 'f', 'id', 'document')},
+qi AS (SELECT item_id AS id FROM benchmark),
+di AS (SELECT id FROM f),
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'l2')}
+SELECT h.question_id, h.rank, h.id, cl.classification, round(h.score, 6) AS score,
+       substr(cl.document, 1, 100) AS snippet, cl.document AS full_document, false AS missing
+FROM hits h JOIN cl ON cl.id = h.id"""
+
+
+def qa_context(k: int = 4) -> str:
+    from quarry.functions.prompts import QA_CHAIN
+    pre, rest = QA_CHAIN.split("{context}")
+    mid, post = rest.split("{question}")
+    prompt = f"{_lit(pre)} || c.context || {_lit(mid)} || q.text || {_lit(post)}"
+    return f"""
+WITH {hash_embed_ctes('qv', USER_Q, 'question_id')},
+{hash_embed_ctes('dv', 'documents', 'doc_id')},
+qi AS (SELECT question_id AS id FROM {USER_Q}),
+di AS (SELECT doc_id AS id FROM documents),
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'cosine')},
+c AS (SELECT h.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY h.rank) AS context,
+             count(*) AS n_docs
+      FROM hits h JOIN documents d ON d.doc_id = h.id GROUP BY h.question_id),
+p AS (SELECT q.question_id, c.n_docs, length(c.context)::BIGINT AS context_chars, {prompt} AS prompt
+      FROM {USER_Q} q JOIN c USING (question_id))
+SELECT question_id, n_docs, context_chars, prompt, ' Echo: ' || right(prompt, 40) AS answer FROM p"""

@@ -41,3 +41,89 @@ def best_context(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -
     out = S.join_context(best, docs, bound // k, cols=["path", "text"])
     return out.select("question_id", F.col("id").alias("doc_id"), "path", "score",
                       F.col("text").alias("context"), "missing")
+
+
+def search_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
+    """J2 + T1: all k cosine hits of every user question."""
+    return S.search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k, metric="cosine")
+
+
+def benchmark_vectors(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """Benchmark items as questions: ``(question_id, embedding)``."""
+    b = TB.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return E.hash_embed(b.select(F.col("item_id").alias("question_id"), "text"), "text", dim) \
+        .select("question_id", "embedding")
+
+
+def search_l2(spark: SparkSession, sf_dir: str, k: int = 10, dim: int = DIM) -> DataFrame:
+    """Squared-L2 nearest documents (ascending) of every benchmark item."""
+    return S.search(doc_vectors(spark, sf_dir, dim), benchmark_vectors(spark, sf_dir, dim), k=k, metric="l2")
+
+
+def vector_search(spark: SparkSession, sf_dir: str, k: int = 5, label: int | None = None) -> DataFrame:
+    """J2 over the driver's ``embeddings`` table; ``label`` is the F6
+    metadata filter, applied to the index before the top-k (pushed to the
+    Parquet scan)."""
+    idx = TB.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    if label is not None:
+        idx = idx.filter(F.col("label") == label)
+    idx = idx.select(F.col("vec_id").alias("id"), "embedding")
+    dim = idx.select(F.max(F.size("embedding"))).first()[0] or DIM
+    return S.search(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="cosine")
+
+
+def vector_search_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search(spark, sf_dir, k=5, label=1)
+
+
+def classified_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-store view of the documents: path id, classification metadata."""
+    from .indexing import classification
+    d = TB.documents(spark, sf_dir)
+    cls = classification(spark, sf_dir)
+    return d.join(cls, "doc_id", "left").select(
+        "doc_id", F.col("path").alias("id"), F.col("text").alias("document"),
+        F.coalesce("label_class", F.lit("public")).alias("classification"))
+
+
+def filtered_search(spark: SparkSession, sf_dir: str, k: int = 2, classification: str = "public",
+                    contains: str = " the ", dim: int = DIM) -> DataFrame:
+    """Q8: metadata equality (F6) and document-contains (F7) filters before a
+    squared-L2 top-k (T3); listing with rank, id, classification, snippet and
+    the full document read back by path (F10, J1)."""
+    idx = classified_docs(spark, sf_dir).filter(
+        (F.col("classification") == classification) & F.col("document").contains(contains))
+    idx = E.hash_embed(idx, "document", dim).select("id", "embedding")
+    hits, bound = S.search_bounded(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="l2")
+    docs = TB.documents(spark, sf_dir).select("path", "text")
+    meta = classified_docs(spark, sf_dir).select("id", "classification")
+    listed = S.join_context(hits, docs.withColumnRenamed("path", "doc_key"), bound,
+                            doc_key="doc_key", cols=["text"])
+    listed = F.broadcast(listed).join(meta, "id", "left") if bound <= S.HITS_BROADCAST_ROWS \
+        else listed.join(meta, "id", "left")
+    return listed.select("question_id", "rank", "id", "classification", "score",
+                         F.substring("text", 1, 100).alias("snippet"),
+                         F.col("text").alias("full_document"), "missing")
+
+
+def qa_context(spark: SparkSession, sf_dir: str, k: int = 4, dim: int = DIM) -> DataFrame:
+    """Q7: retriever k=4 (T5), all retrieved texts in rank order joined by a
+    blank line (A7), QA-chain prompt (N17), completion model (Y2, G1, G3)."""
+    from ..functions import prompts as P
+    from ..operators import generate as G
+    hits, bound = S.search_bounded(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim),
+                                   k=k, metric="cosine")
+    hits = cut_lineage(hits)
+    docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    with_text = F.broadcast(hits).join(docs.withColumnRenamed("doc_id", "id"), "id") \
+        if bound <= S.HITS_BROADCAST_ROWS else hits.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    ctx = with_text.groupBy("question_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]),
+                     "\n\n").alias("context"),
+        F.count(F.lit(1)).alias("n_docs"))
+    q = TB.user_questions(spark, sf_dir)
+    rq = q.join(ctx, "question_id").withColumn("prompt", P.qa_chain_prompt("text", "context"))
+    rq = rq.withColumn("body", F.to_json(P.request_completion(F.col("prompt"), F.lit(250), F.lit(0.5))))
+    out = G.call_model(rq, "body", G.completion_echo, "completion-echo")
+    return out.select("question_id", "n_docs", F.length("context").cast("bigint").alias("context_chars"),
+                      "prompt", P.parse_completion("response").alias("answer"))

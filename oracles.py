@@ -397,3 +397,10 @@ c AS (SELECT h.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY h.ran
 p AS (SELECT q.question_id, c.n_docs, length(c.context)::BIGINT AS context_chars, {prompt} AS prompt
       FROM {USER_Q} q JOIN c USING (question_id))
 SELECT question_id, n_docs, context_chars, prompt, ' Echo: ' || right(prompt, 40) AS answer FROM p"""
+
+
+# ---- embeddings ------------------------------------------------------------------
+def hash_embedding() -> str:
+    return f"""
+WITH {hash_embed_ctes('dv', 'documents', 'doc_id')}
+SELECT id AS doc_id, b::INTEGER AS dim_ix, round(w, 6) AS weight FROM dv"""

@@ -119,19 +119,30 @@ def hash_encoder(dim: int = DEFAULT_DIM) -> Callable[[list[str]], np.ndarray]:
 
 # ---- token matrix and masked mean pooling (A1) -----------------------------
 def token_matrix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 dim: int = DEFAULT_DIM, max_length: int = MODEL_TOKEN_LIMIT) -> DataFrame:
-    """``tokens(doc_id, pos, mask, vec)``: truncate to ``max_length`` (M5), pad
-    to ``max_length`` with mask 0 (M6); each token vector is the one-hot of its
-    hash bucket (the pad token hashes like the empty string)."""
+                 dim: int = DEFAULT_DIM, max_length: int | None = MODEL_TOKEN_LIMIT,
+                 pad_multiple: int = 8) -> DataFrame:
+    """``tokens(doc_id, pos, mask, vec)``.
+
+    With ``max_length`` the tokens are truncated to it (M5) and padded up to
+    it with mask 0 (M6), as a fixed-window model sees them; ``None`` keeps
+    every token and pads to the next multiple of ``pad_multiple``.  Each
+    token vector is the one-hot of its hash bucket; padding repeats the
+    bucket of the empty string (masked out anyway).
+    """
     b = hash_buckets(F.col(text_col), dim, max_length)
+    if max_length is None:
+        n = F.size(F.col("_b"))
+        length = (F.ceil(n / F.lit(pad_multiple)) * pad_multiple).cast("int")
+    else:
+        length = F.lit(max_length)
     pad_bucket = token_bucket(F.lit(""), dim)
-    rows = df.select(F.col(id_col), b.alias("_b"))
+    rows = df.select(F.col(id_col), b.alias("_b")).withColumn("_len", length)
+    mask = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_len"), F.lit(1)) - 1),
+                       lambda i: F.when(i < F.size("_b"), 1).otherwise(0))
     rows = rows.select(
         F.col(id_col),
-        F.posexplode(F.transform(V.attention_mask(F.col("_b"), max_length),
-                                 lambda m, i: F.struct(m.alias("mask"),
-                                                       F.coalesce(F.element_at(F.col("_b"), i + 1),
-                                                                  pad_bucket).alias("bucket")))))
+        F.posexplode(F.transform(mask, lambda m, i: F.struct(
+            m.alias("mask"), F.coalesce(F.try_element_at(F.col("_b"), i + 1), pad_bucket).alias("bucket")))))
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                           lambda d: F.when(d == F.col("col.bucket"), 1.0).otherwise(0.0))
     return rows.select(F.col(id_col), F.col("pos").cast("int").alias("pos"),

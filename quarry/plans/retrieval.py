@@ -127,3 +127,28 @@ def qa_context(spark: SparkSession, sf_dir: str, k: int = 4, dim: int = DIM) ->
     out = G.call_model(rq, "body", G.completion_echo, "completion-echo")
     return out.select("question_id", "n_docs", F.length("context").cast("bigint").alias("context_chars"),
                       "prompt", P.parse_completion("response").alias("answer"))
+
+
+def hash_embedding(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """Y1 + M1: non-zero components of every document's whole-text vector."""
+    v = doc_vectors(spark, sf_dir, dim)
+    return (v.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("dim_ix", "weight"))
+            .filter(F.col("weight") != 0)
+            .select("doc_id", F.col("dim_ix").cast("int").alias("dim_ix"), F.round("weight", 6).alias("weight")))
+
+
+def pooled_embedding(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """A1 + M5/M6 + M1: token matrix (every token, padded to a multiple of 8
+    with mask 0), masked mean pooling, L2 normalisation – equal to the
+    whole-text hash embedding, as each token vector is one-hot."""
+    docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    toks = E.token_matrix(docs, "doc_id", "text", dim, max_length=None)
+    v = E.mean_pool(toks, "doc_id")
+    return (v.select("doc_id", F.posexplode("embedding").alias("dim_ix", "weight"))
+            .filter(F.col("weight") != 0)
+            .select("doc_id", F.col("dim_ix").cast("int").alias("dim_ix"), F.round("weight", 6).alias("weight")))
+
+
+def lsh_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
+    """Approximate top-k by random-projection LSH, exact re-score."""
+    return S.lsh_search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k)

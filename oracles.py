@@ -404,3 +404,65 @@ def hash_embedding() -> str:
     return f"""
 WITH {hash_embed_ctes('dv', 'documents', 'doc_id')}
 SELECT id AS doc_id, b::INTEGER AS dim_ix, round(w, 6) AS weight FROM dv"""
+
+
+# ---- routed question answering (Q6) -------------------------------------------------
+def answers() -> str:
+    from quarry.functions import prompts as P
+    pre1, rest1 = P.HOSTED_WITH_CONTEXT.split("{context}")
+    mid1, post1 = rest1.split("{question}")
+    pre0, post0 = P.HOSTED_NO_CONTEXT.split("{question}")
+    sys_ = P.HOSTED_SYS
+    pre1, pre0 = pre1.replace("{sys}", sys_), pre0.replace("{sys}", sys_)
+    hosted = (f"CASE WHEN c.context = '' THEN {_lit(pre0)} || q.text || {_lit(post0)} "
+              f"ELSE {_lit(pre1)} || c.context || {_lit(mid1)} || q.text || {_lit(post1)} END")
+    completion = (f"CASE WHEN c.context = '' THEN replace(replace({_lit(P.COMPLETION_NO_CONTEXT)}, "
+                  f"'{{{{QUESTION}}}}', q.text), '{{{{CONTEXT}}}}', c.context) "
+                  f"ELSE replace(replace({_lit(P.COMPLETION_WITH_CONTEXT)}, '{{{{QUESTION}}}}', q.text), "
+                  f"'{{{{CONTEXT}}}}', c.context) END")
+    ch = chunks()
+    return f"""
+WITH q AS {QUESTIONS},
+{hash_embed_ctes('qv', 'q', 'question_id')},
+{hash_embed_ctes('dv', 'documents', 'doc_id')},
+-- first store: one record per 512-character prefix, last writer wins
+fb AS (SELECT substr(text, 1, 512) AS id, {DOC_PATH} AS file_path,
+              CAST(substr(source, 4) AS INTEGER) AS batch_no, doc_id FROM documents),
+fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no DESC, file_path DESC) AS rn
+                      FROM fb) WHERE rn = 1),
+fa AS (SELECT fw.id, dv.b, dv.w FROM fw JOIN dv ON dv.id = fw.doc_id),
+qa AS (SELECT * FROM qv WHERE id IN (SELECT question_id FROM q WHERE store = 'first')),
+qai AS (SELECT question_id AS id FROM q WHERE store = 'first'),
+fai AS (SELECT id FROM fw),
+{topk_ctes('ah', 'qa', 'qai', 'fa', 'fai', 5, 'cosine')},
+a_ctx AS (SELECT ah.question_id, d.text AS context, fw.file_path AS source
+          FROM ah JOIN fw ON fw.id = ah.id JOIN documents d ON {DOC_PATH.replace('source', 'd.source').replace('doc_id::', 'd.doc_id::')} = fw.file_path
+          WHERE ah.rank = 1),
+-- second store: documents by path then chunks by first 50 characters, first writer wins
+ch AS ({ch}),
+rows AS (SELECT doc_id, -1 AS chunk_ix, {DOC_PATH} AS path, text, 0 AS batch_no FROM documents
+         UNION ALL SELECT doc_id, chunk_ix, NULL, text, 1 FROM ch),
+keyed AS (SELECT row_number() OVER () AS rid, coalesce(path, substr(text, 1, 50)) AS id, * FROM rows),
+sw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no, doc_id, chunk_ix) AS rn
+                      FROM keyed) WHERE rn = 1),
+{hash_embed_ctes('ev', 'sw', 'rid')},
+sb AS (SELECT sw.id, ev.b, ev.w FROM sw JOIN ev ON ev.id = sw.rid),
+qb AS (SELECT * FROM qv WHERE id IN (SELECT question_id FROM q WHERE store = 'second')),
+qbi AS (SELECT question_id AS id FROM q WHERE store = 'second'),
+sbi AS (SELECT id FROM sw),
+{topk_ctes('bh', 'qb', 'qbi', 'sb', 'sbi', 1, 'l2')},
+b_ctx AS (SELECT bh.question_id, sw.text AS context, sw.id AS source FROM bh JOIN sw ON sw.id = bh.id),
+c AS (SELECT question_id, '' AS context, NULL::VARCHAR AS source FROM q WHERE store = 'none'
+      UNION ALL SELECT * FROM a_ctx UNION ALL SELECT * FROM b_ctx),
+p AS (SELECT q.question_id, q.model, q.store, c.source,
+             CASE WHEN q.model = 'completion' THEN {completion} ELSE {hosted} END AS prompt
+      FROM q JOIN c USING (question_id)),
+r AS (SELECT *, CASE WHEN model = 'completion' THEN ' Echo: ' || right(prompt, 40)
+                     ELSE substring(prompt || ' Echo: ' || right(prompt, 40), length(prompt) - 5) END AS reply
+      FROM p)
+SELECT question_id, model, store, source, length(prompt)::BIGINT AS prompt_chars,
+       CASE WHEN store = 'none' THEN reply
+            ELSE reply || {_lit(P.SEE_ALSO)} || '[Reference 1](' ||
+                 replace(replace(source, '/data/https:/', 'https://'), '.txt', '.html') || ')' END AS answer,
+       NULL::VARCHAR AS error
+FROM r"""

@@ -17,12 +17,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 DATA_ROOT = "/data"
 
 
+# Tables whose rows carry heavy per-row work (text, HTML, vectors).
+HEAVY = {"documents", "pages", "conversations", "embeddings"}
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A single large row group is read by one task, and every per-row step
+    after it (parsing, chunking, embedding, scoring) would run on one core.
+    At scale the scan already has far more splits than cores and this is a
+    no-op; only then-small inputs pay one round-robin exchange.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return balanced(df) if name in HEAVY else df
 
 
 def doc_path(source: Column, doc_id: Column, root: str = DATA_ROOT) -> Column:

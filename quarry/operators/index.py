@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,19 +92,28 @@ def upsert(existing: DataFrame | None, batch: DataFrame, key: str = "id",
 
 
 def insert_if_absent(existing: DataFrame | None, batch: DataFrame, key: str = "id",
-                     order: tuple[str, ...] = ("batch_no", "id")) -> DataFrame:
+                     order: tuple[str, ...] = ("batch_no", "id"),
+                     enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """K5 + J3: rows of ``batch`` whose key is not yet present (first writer
-    inside the batch wins) appended to ``existing``."""
+    inside the batch wins) appended to ``existing``.
+
+    ``enrich`` (e.g. the embedder) runs only on the surviving new rows: skip
+    existing and duplicate records *before* the expensive step, and never
+    carry its output through the de-duplication shuffle.
+    """
     new = _pick(batch, key, list(order), latest=False)
     if existing is None:
-        return new
-    new = new.select(*existing.columns)
+        return enrich(new) if enrich else new
+    if not enrich:
+        new = new.select(*existing.columns)
     new_keys = new.select(key)
     if _small(new_keys, BROADCAST_KEYS):
         present = existing.select(key).join(F.broadcast(new_keys), key, "left_semi")
         fresh = new.join(F.broadcast(present), key, "left_anti")
     else:
         fresh = new.join(existing.select(key), key, "left_anti")
+    if enrich:
+        fresh = enrich(fresh).select(*existing.columns)
     return existing.unionByName(fresh)
 
 

@@ -57,8 +57,9 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.filter(F.col("toxic") == 1).select("doc_id", F.lit("restricted").alias("label_class")).distinct()
 
 
-def second_store_batch(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
-    """Documents (batch 0, keyed by path) and their chunks (batch 1, no path)."""
+def second_store_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (batch 0, keyed by path) and their chunks (batch 1, no path),
+    not yet embedded."""
     docs = TB.documents(spark, sf_dir)
     cls = classification(spark, sf_dir)
     d = docs.select("doc_id", F.lit(-1).alias("chunk_ix"), "path", "text", F.lit(0).alias("batch_no"))
@@ -66,18 +67,24 @@ def second_store_batch(spark: SparkSession, sf_dir: str, dim: int = DIM) -> Data
         "doc_id", "chunk_ix", F.lit(None).cast("string").alias("path"), "text", F.lit(1).alias("batch_no"))
     rows = d.unionByName(ch).join(cls, "doc_id", "left")
     klass = F.coalesce(F.col("label_class"), F.lit(IX.DEFAULT_CLASSIFICATION))
-    rows = E.hash_embed(rows, "text", dim).select(
+    return rows.select(
         IX.second_store_key(F.col("path"), F.col("text")).alias("id"),
         F.col("text").alias("document"), klass.alias("classification"),
         F.create_map(F.lit("classification"), klass).alias("metadata"),
-        "embedding", F.lit(f"hash-{dim}").alias("embedding_model"), "batch_no", "doc_id", "chunk_ix")
-    return IX.check_dimension(rows, dim)
+        F.lit(f"hash-{DIM}").alias("embedding_model"), "batch_no", "doc_id", "chunk_ix")
+
+
+def _embed_documents(dim: int):
+    def run(df: DataFrame) -> DataFrame:
+        return IX.check_dimension(E.hash_embed(df, "document", dim), dim)
+    return run
 
 
-def second_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3/K5/K6: insert-if-absent; the first writer of an id keeps it."""
+def second_store(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """Q3/K5/K6: insert-if-absent; the first writer of an id keeps it.  Only
+    surviving records are embedded (duplicates are dropped first)."""
     return IX.insert_if_absent(None, second_store_batch(spark, sf_dir),
-                               order=("batch_no", "doc_id", "chunk_ix"))
+                               order=("batch_no", "doc_id", "chunk_ix"), enrich=_embed_documents(dim))
 
 
 def second_store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

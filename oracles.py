@@ -257,8 +257,9 @@ SELECT prompt AS best_prompt, round(acc, 6) AS best_accuracy FROM a ORDER BY acc
 
 def chat_history() -> str:
     return """
-SELECT conv_id, string_agg(text, '; ' ORDER BY turn) AS history, count(*)::INTEGER AS n_turns
-FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"""
+SELECT conv_id, (turn // 1000)::BIGINT AS block, string_agg(text, '; ' ORDER BY turn) AS history,
+       count(*)::INTEGER AS n_turns
+FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, block"""
 
 
 def upload_manifest() -> str:

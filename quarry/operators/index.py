@@ -36,8 +36,9 @@ FIRST_STORE_KEY_CHARS = 512      # first store: id = first 512 characters of the
 SECOND_STORE_KEY_CHARS = 50      # second store without a path: first 50 characters
 DEFAULT_CLASSIFICATION = "public"
 
-# New-batch key sets up to this many rows are broadcast into the merge.
-BROADCAST_KEYS = 5_000_000
+# New-batch key sets up to this many rows are broadcast into the merge
+# (first-store keys are up to 512 characters: about 100 MB at the bound).
+BROADCAST_KEYS = 200_000
 
 FIRST_STORE_SCHEMA = StructType([
     StructField("id", StringType()), StructField("file_path", StringType()),

@@ -76,12 +76,21 @@ def fewshot_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.best_variant(acc).select("best_prompt", F.round("best_accuracy", 6).alias("best_accuracy"))
 
 
+# Turns per history block: no group collects more than this many rows, even
+# for a conversation holding a large share of the table.
+HISTORY_BLOCK = 1000
+
+
 def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's user/assistant turns joined by ``; `` in turn order."""
+    """Each conversation's user/assistant turns joined by ``; `` in turn
+    order, in blocks of ``HISTORY_BLOCK`` turns (``block`` 0, 1, ...);
+    concatenating a conversation's blocks in order with ``; `` gives the
+    whole history."""
     c = TB.read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    c = c.filter(F.col("role").isin("user", "assistant"))
-    h = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return h.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "; ").alias("history"),
+    c = c.filter(F.col("role").isin("user", "assistant")) \
+        .withColumn("block", F.floor(F.col("turn") / HISTORY_BLOCK).cast("bigint"))
+    h = c.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return h.select("conv_id", "block", F.array_join(F.transform("t", lambda x: x["text"]), "; ").alias("history"),
                     F.size("t").alias("n_turns"))
 
 
@@ -121,6 +130,10 @@ def question_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(probs, "; ").alias("problems"), (F.size(probs) == 0).alias("accepted"))
 
 
+def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def chat_model():
     """Default model for the routed job: dispatches on the body shape."""
     comp, host = G.completion_echo(), G.hosted_echo()
@@ -142,18 +155,21 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a_hits, a_bound = S.search_bounded(a_idx.select("id", "embedding"),
                                        qv.join(q.filter(F.col("store") == "first").select("question_id"),
                                                "question_id", "left_semi"), k=5, metric="cosine")
-    # hits are bounded by the question count: broadcast them, stream the index
-    a_best = F.broadcast(S.best_hit(a_hits)).join(a_idx.select("id", "file_path"), "id")
+    # hits are bounded by the question count: when that bound is small they
+    # are broadcast and the index / document tables stream through the join
+    small_a = a_bound // 5 <= S.HITS_BROADCAST_ROWS
+    a_best = _maybe_broadcast(S.best_hit(a_hits), small_a).join(a_idx.select("id", "file_path"), "id")
     docs = TB.documents(spark, sf_dir).select("path", "text")
-    a_ctx = F.broadcast(a_best).join(docs, a_best["file_path"] == docs["path"]).select(
+    a_ctx = _maybe_broadcast(a_best, small_a).join(docs, a_best["file_path"] == docs["path"]).select(
         "question_id", F.coalesce("text", F.lit("")).alias("context"), F.col("file_path").alias("source"))
 
     # second store: squared-L2 top-1, context is the stored document
     b_idx = indexing.second_store(spark, sf_dir).select("id", "embedding", "document")
-    b_hits, _ = S.search_bounded(b_idx.select("id", "embedding"),
+    b_hits, b_bound = S.search_bounded(b_idx.select("id", "embedding"),
                                  qv.join(q.filter(F.col("store") == "second").select("question_id"),
                                          "question_id", "left_semi"), k=1, metric="l2")
-    b_ctx = F.broadcast(S.best_hit(b_hits)).join(b_idx.select("id", "document"), "id").select(
+    b_ctx = _maybe_broadcast(S.best_hit(b_hits), b_bound <= S.HITS_BROADCAST_ROWS) \
+        .join(b_idx.select("id", "document"), "id").select(
         "question_id", F.col("document").alias("context"), F.col("id").alias("source"))
 
     none = q.filter(F.col("store") == "none").select("question_id", F.lit("").alias("context"),

@@ -185,48 +185,93 @@ def best_hit(hits: DataFrame) -> DataFrame:
 
 
 # ---- approximate search (J6) -----------------------------------------------
-def lsh_search(index: DataFrame, questions: DataFrame, k: int = 5, bucket_length: float = 0.5,
-               num_tables: int = 4, id_col: str = "id", vec_col: str = "embedding",
-               qid_col: str = "question_id", qvec_col: str = "embedding", seed: int = 7) -> DataFrame:
-    """Candidate generation by random-projection LSH, exact re-score.
-
-    On unit vectors Euclidean order equals cosine order.  Candidates are index
-    rows that share at least one hash bucket with the question (an equi-join
-    on ``(table, bucket)``); they are re-scored exactly and ranked like
-    ``search``.  Approximate by design: judge it by recall against ``search``.
+def _lsh_keys(X: np.ndarray, R: np.ndarray, width: float, tables: int, m: int) -> np.ndarray:
+    """(n, tables) int64 bucket keys: each table ANDs ``m`` projections."""
+    cells = np.floor((X @ R.T) / width).astype(np.int64).reshape(len(X), tables, m)
+    key = np.zeros((len(X), tables), dtype=np.int64)
+    for j in range(m):                         # polynomial mix of the m cell ids
+        key = key * np.int64(1_000_003) + cells[:, :, j]
+    return key
+
+
+def _lsh_local_topk(bc, k: int, id_col: str, vec_col: str, width: float, tables: int, m: int):
+    def run(batches):
+        qids, Q, R, qbuckets = bc.value
+        qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS)
+        for pdf in batches:
+            pdf = pdf[pdf[vec_col].notna()]
+            if pdf.empty or len(qids) == 0:
+                continue
+            D = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64, copy=False)
+            dn = np.maximum(np.sqrt(np.einsum("ij,ij->i", D, D)), V.NORM_EPS)
+            keys = _lsh_keys(D / dn[:, None], R, width, tables, m)
+            rows, cols = [], []
+            for t in range(tables):                # hash lookups, no pair enumeration
+                table = qbuckets[t]
+                for r, kv in enumerate(keys[:, t]):
+                    hit = table.get(int(kv))
+                    if hit is not None:
+                        rows.extend([r] * len(hit))
+                        cols.extend(hit)
+            if not rows:
+                continue
+            pair = np.unique(np.asarray(rows, dtype=np.int64) * len(qids) + np.asarray(cols, dtype=np.int64))
+            r, c = pair // len(qids), pair % len(qids)
+            score = np.einsum("ij,ij->i", D[r], Q[c]) / dn[r] / qn[c]
+            key = np.round(score, RANK_PLACES)
+            out = pd.DataFrame({"question_id": qids[c], id_col: pdf[id_col].to_numpy()[r],
+                                "_key": key, "score": score})
+            # local top-k per question, ties at the k-th score kept
+            thr = out.groupby("question_id")["_key"].transform(
+                lambda s: s.nlargest(k).iloc[-1] if len(s) > k else -np.inf)
+            yield out[out["_key"] >= thr]
+    return run
+
+
+def lsh_search(index: DataFrame, questions: DataFrame, k: int = 5, bucket_width: float = 1.0,
+               num_tables: int = 16, num_projections: int = 2, id_col: str = "id",
+               vec_col: str = "embedding", qid_col: str = "question_id", qvec_col: str = "embedding",
+               seed: int = 7, broadcast_budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """Approximate cosine top-k by random-projection LSH.
+
+    Each of ``num_tables`` tables hashes a unit vector to the cell of
+    ``num_projections`` Gaussian projections cut at ``bucket_width``; a
+    question's candidates are the index rows sharing a cell in any table.
+    The question side is size-checked and broadcast with its bucket tables;
+    each index batch looks its keys up (no pair rows are formed, nothing is
+    shuffled but the local top-k) and scores only its candidates exactly.
+    Judge it by recall against ``search``: on the driver corpus (hash vectors
+    all in one narrow cone) the defaults reach recall@5 ≈ 0.97 but score
+    ≈ 89 % of pairs; with more tables/projections or a wider cell it trades
+    recall for fewer candidates.  On such data the exact search is the
+    better plan.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    idx = index.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")) \
-        .withColumn("_features", array_to_vector(V.l2_normalise(F.col("_v"))))
-    qs = questions.select(F.col(qid_col).alias("question_id"), F.col(qvec_col).alias("_qv")) \
-        .withColumn("_features", array_to_vector(V.l2_normalise(F.col("_qv"))))
-    model = BucketedRandomProjectionLSH(inputCol="_features", outputCol="_h",
-                                        bucketLength=bucket_length, numHashTables=num_tables,
-                                        seed=seed).fit(idx)
-
-    # Bucket keys per hash table: (table index, bucket value).
-    def bucket_keys(df, cols):
-        h = model.transform(df)
-        from pyspark.ml.functions import vector_to_array
-        arr = F.transform(F.col("_h"), lambda v: vector_to_array(v)[0])
-        return h.select(*cols, F.posexplode(arr).alias("_t", "_b"))
-
-    ik = bucket_keys(idx, ["_id", "_v"])
-    qk = bucket_keys(qs, ["question_id", "_qv"])
-    # The question side is small and checked: broadcast it so the index
-    # streams through a hash join without being shuffled.
     st = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
-    if int(st["n"] or 0) * max(int(st["dim"] or 0), 1) * 8 * 2 <= DEFAULT_BUDGET:
-        qk = F.broadcast(qk)
-    cand = (ik.join(qk, ["_t", "_b"])
-            .select("question_id", "_qv", "_id", "_v")
-            .dropDuplicates(["question_id", "_id"]))
-    scored = cand.select("question_id", F.col("_id").alias("id"), V.cosine("_qv", "_v").alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", RANK_PLACES)), F.asc("id"))
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("question_id", F.col("rank").cast("int").alias("rank"), "id",
+    nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
+    if nq * max(dim, 1) * 8 * 2 > broadcast_budget:
+        raise ValueError("question set above the broadcast budget; split it into batches")
+    rows = questions.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
+    qids = np.array([r[0] for r in rows], dtype=object)
+    Q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, max(dim, 1)))
+    R = np.random.default_rng(seed).normal(size=(num_tables * num_projections, Q.shape[1]))
+    qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS) if len(Q) else np.ones(0)
+    qkeys = _lsh_keys(Q / qn[:, None], R, bucket_width, num_tables, num_projections) if len(Q) \
+        else np.zeros((0, num_tables), dtype=np.int64)
+    qbuckets = []
+    for t in range(num_tables):
+        table: dict[int, list[int]] = {}
+        for i, kv in enumerate(qkeys[:, t]):
+            table.setdefault(int(kv), []).append(i)
+        qbuckets.append(table)
+    bc = index.sparkSession.sparkContext.broadcast((qids, Q, R, qbuckets))
+    schema = StructType([StructField("question_id", questions.schema[qid_col].dataType),
+                         index.schema[id_col], StructField("_key", DoubleType()),
+                         StructField("score", DoubleType())])
+    cand = index.select(id_col, vec_col).mapInPandas(
+        _lsh_local_topk(bc, k, id_col, vec_col, bucket_width, num_tables, num_projections), schema)
+    w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
+    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("question_id", F.col("rank").cast("int").alias("rank"), F.col(id_col).alias("id"),
                     F.round("score", SCORE_PLACES).alias("score")))
 
 

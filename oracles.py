@@ -467,3 +467,8 @@ SELECT question_id, model, store, source, length(prompt)::BIGINT AS prompt_chars
                  replace(replace(source, '/data/https:/', 'https://'), '.txt', '.html') || ')' END AS answer,
        NULL::VARCHAR AS error
 FROM r"""
+
+
+def fewshot_preview() -> str:
+    return f"""
+SELECT * FROM ({fewshot_predictions()}) WHERE prompt = 'prompt_3' ORDER BY doc_id LIMIT 5"""

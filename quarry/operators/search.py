@@ -100,7 +100,7 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
 
 
 def _search_batch(index: DataFrame, questions: DataFrame, k: int, metric: str,
-                  id_col: str, vec_col: str, qid_col: str, qvec_col: str) -> DataFrame:
+                  id_col: str, vec_col: str, qid_col: str, qvec_col: str, with_broadcast: bool = False):
     spark = index.sparkSession
     rows = questions.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
     qids = np.array([r[0] for r in rows], dtype=object)
@@ -112,8 +112,9 @@ def _search_batch(index: DataFrame, questions: DataFrame, k: int, metric: str,
                          index.schema[id_col],
                          StructField("_key", DoubleType()),
                          StructField("score", DoubleType())])
-    return index.select(id_col, vec_col).mapInPandas(
+    cand = index.select(id_col, vec_col).mapInPandas(
         _local_topk(bc, k, metric, id_col, vec_col), schema)
+    return (cand, bc) if with_broadcast else cand
 
 
 def search(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine",
@@ -151,8 +152,10 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
         base = scratch_path(spark, f"search-{id(questions)}-{np.random.randint(1 << 30)}")
         for b in range(nb):
             part = questions.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb)) == b)
-            _search_batch(index, part, k, metric, id_col, vec_col, qid_col, qvec_col) \
-                .write.mode("overwrite").parquet(f"{base}/b={b}")
+            cand_b, bc = _search_batch(index, part, k, metric, id_col, vec_col, qid_col, qvec_col,
+                                       with_broadcast=True)
+            cand_b.write.mode("overwrite").parquet(f"{base}/b={b}")
+            bc.unpersist()   # one batch's matrix at a time on the executors
         cand = spark.read.parquet(base).drop("b")
     w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
     hits = (cand.withColumn("rank", F.row_number().over(w))

@@ -81,6 +81,13 @@ def fewshot_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 HISTORY_BLOCK = 1000
 
 
+def fewshot_preview(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
+    """``head()`` of the last evaluation run (prompt 3), in id order.
+    The limit is the feature here; it plans as a per-partition top-n."""
+    p = fewshot_predictions(spark, sf_dir).filter(F.col("prompt") == "prompt_3")
+    return p.orderBy("doc_id").limit(n)
+
+
 def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's user/assistant turns joined by ``; `` in turn
     order, in blocks of ``HISTORY_BLOCK`` turns (``block`` 0, 1, ...);

@@ -115,3 +115,36 @@ def test_accuracy(spark):
     got = {r.prompt: r.accuracy for r in acc.collect()}
     assert got == {"p1": 0.5, "p2": 0.0}
     assert EV.best_variant(acc).first().best_prompt == "p1"
+
+
+def test_model_names_and_metadata(spark):
+    from quarry.functions.text import model_repo_name, model_short_name
+    df = spark.createDataFrame([("sentence-transformers/all-mpnet-base-v2", {"file_path": "/a.txt"})],
+                               "m string, metadata map<string,string>")
+    r = df.select(model_short_name("m").alias("s"), model_repo_name(model_short_name("m")).alias("r"),
+                  F.element_at("metadata", F.lit("file_path")).alias("fp")).first()
+    assert (r.s, r.r, r.fp) == ("all-mpnet-base-v2", "sentence-transformers/all-mpnet-base-v2", "/a.txt")
+
+
+def test_new_links_anti_join(spark):
+    from quarry.streaming.ingest import new_links
+    links = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "url string")
+    seen = spark.createDataFrame([("a",)], "url string")
+    assert sorted(r.url for r in new_links(links, seen).collect()) == ["b", "c"]
+    assert sorted(r.url for r in new_links(links, None).collect()) == ["a", "b", "c"]
+
+
+def test_padding_and_mask(spark):
+    from quarry.functions import vectors as V
+    df = spark.createDataFrame([([1, 2, 3],)], "a array<int>")
+    r = df.select(V.pad("a", 5, 0).alias("p"), V.attention_mask("a", 5).alias("m"),
+                  V.truncate("a", 2).alias("t")).first()
+    assert (r.p, r.m, r.t) == ([1, 2, 3, 0, 0], [1, 1, 1, 0, 0], [1, 2])
+
+
+def test_mean_pool_all_masked(spark):
+    from quarry.operators.embed import mean_pool
+    toks = spark.createDataFrame([("d", 0, 0, [1.0, 2.0]), ("e", 0, 1, [1.0, 3.0]), ("e", 1, 1, [3.0, 1.0]),
+                                  ("e", 2, 0, [9.0, 9.0])], "doc_id string, pos int, mask int, vec array<double>")
+    got = {r.doc_id: r.embedding for r in mean_pool(toks, normalise=False).collect()}
+    assert got == {"d": [0.0, 0.0], "e": [2.0, 2.0]}

@@ -472,3 +472,36 @@ FROM r"""
 def fewshot_preview() -> str:
     return f"""
 SELECT * FROM ({fewshot_predictions()}) WHERE prompt = 'prompt_3' ORDER BY doc_id LIMIT 5"""
+
+
+def _fill(template: str, **vals) -> str:
+    """SQL concatenation of an f-string style template."""
+    import re
+    out, pos = [], 0
+    for m in re.finditer(r"\{([a-z_]+)\}", template):
+        if m.start() > pos:
+            out.append(_lit(template[pos:m.start()]))
+        out.append(vals[m.group(1)])
+        pos = m.end()
+    if pos < len(template):
+        out.append(_lit(template[pos:]))
+    return " || ".join(out)
+
+
+def prompt_forms() -> str:
+    from quarry.functions import prompts as P
+    sys_u = _lit(P.UPLOAD_SYS)
+    forms = {
+        "prototype": _fill(P.PROTOTYPE, question="q.text", context="q.context"),
+        "upload": (f"CASE WHEN q.context = '' THEN {_fill(P.UPLOAD_NO_CONTEXT, sys=sys_u, question='q.text')} "
+                   f"ELSE {_fill(P.UPLOAD_WITH_CONTEXT, sys=sys_u, question='q.text', context='q.context')} END"),
+        "upload_plain": _fill(P.UPLOAD_NO_CONTEXT, sys=sys_u, question="q.text"),
+        "tagged": _fill(P.PLAIN_TAGGED, question="q.text"),
+        "untagged": _fill(P.PLAIN_UNTAGGED, question="q.text"),
+    }
+    cols = ",\n       ".join(f"length({e})::BIGINT AS {n}_chars, md5({e}) AS {n}_md5" for n, e in forms.items())
+    return f"""
+WITH best AS ({best_context()}),
+q AS (SELECT u.question_id, u.text, coalesce(b.context, '') AS context
+      FROM {USER_Q} u LEFT JOIN best b USING (question_id))
+SELECT q.question_id, {cols}, 50 AS max_new_tokens, 0.5::DOUBLE AS repetition_penalty FROM q"""

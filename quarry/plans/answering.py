@@ -137,6 +137,34 @@ def question_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(probs, "; ").alias("problems"), (F.size(probs) == 0).alias("accepted"))
 
 
+# Second hosted request form (no retrieval): fixed settings of the notebook.
+PLAIN_TEMPERATURE, PLAIN_MAX_NEW_TOKENS, PLAIN_REPETITION_PENALTY = 0.0, 50, 0.5
+
+
+def prompt_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt form of the apps for each user question
+    with its best context (Q5); prompts are reported by length and MD5."""
+    best = retrieval.best_context(spark, sf_dir).select("question_id", "context")
+    q = TB.user_questions(spark, sf_dir).join(best, "question_id", "left") \
+        .withColumn("context", F.coalesce("context", F.lit("")))
+    forms = {
+        "prototype": P.prototype_prompt("text", "context"),
+        "upload": P.hosted_prompt("text", "context", form="upload"),
+        "upload_plain": P.hosted_prompt("text", F.lit(""), form="upload"),
+        "tagged": P.plain_prompt("text", tagged=True),
+        "untagged": P.plain_prompt("text", tagged=False),
+    }
+    cols = []
+    for name, expr in forms.items():
+        cols += [F.length(expr).cast("bigint").alias(f"{name}_chars"), F.md5(expr).alias(f"{name}_md5")]
+    body = F.to_json(P.request_hosted(P.plain_prompt("text", tagged=False), F.lit(PLAIN_TEMPERATURE),
+                                      F.lit(PLAIN_MAX_NEW_TOKENS), PLAIN_REPETITION_PENALTY))
+    req = F.from_json(body, "request struct<prompt string, temperature double, max_new_tokens int, "
+                            "repetition_penalty double>")["request"]
+    return q.select("question_id", *cols, req["max_new_tokens"].alias("max_new_tokens"),
+                    req["repetition_penalty"].alias("repetition_penalty"))
+
+
 def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 

@@ -7,8 +7,9 @@ The question side is small by contract and its size is checked: rows ×
 dimension × 8 bytes must fit ``broadcast_budget``.  It is shipped once to
 every executor as a broadcast NumPy matrix.  The index is never shuffled or
 paired row-by-row with questions: each index partition is scored in Arrow
-batches by a blocked matrix product (``mapInPandas``), and only the local
-top-k of each question (plus ties at the k-th score) leaves the task.  The
+batches by a blocked matrix product (``mapInPandas``); a running top-k per
+question is merged across the task's batches and only it (plus ties at the
+k-th score) leaves the task, once.  The
 global top-k is a window ``row_number`` whose ``WindowGroupLimit`` again
 trims partial results before the exchange, so shuffle volume is bounded by
 tasks × questions × k whatever the index size.
@@ -62,10 +63,57 @@ def _exact_l2(D: np.ndarray, Q: np.ndarray, rows: np.ndarray, cols: np.ndarray)
     return np.einsum("ij,ij->i", diff, diff)
 
 
+class _TopK:
+    """Running top-k (with ties at the k-th key) per question inside one task.
+
+    Candidates of every Arrow batch are appended; when they exceed a few
+    times ``questions × k`` they are pruned back, so a task emits at most
+    ``questions × k`` rows (plus exact ties) once, whatever its size.
+    """
+
+    def __init__(self, k: int, nq: int):
+        self.k, self.nq = k, nq
+        self.q: list[np.ndarray] = []
+        self.key: list[np.ndarray] = []
+        self.score: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, q, key, score, ids):
+        self.q.append(q)
+        self.key.append(key)
+        self.score.append(score)
+        self.ids.append(ids)
+        self.size += len(q)
+        if self.size > 4 * self.nq * self.k + 65536:
+            self._prune()
+
+    def _prune(self):
+        if not self.q:
+            return
+        q, key = np.concatenate(self.q), np.concatenate(self.key)
+        score, ids = np.concatenate(self.score), np.concatenate(self.ids)
+        order = np.lexsort((-key, q))                  # by question, best key first
+        q, key, score, ids = q[order], key[order], score[order], ids[order]
+        start = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+        count = np.diff(np.r_[start, len(q)])
+        kth = np.where(count >= self.k, key[np.minimum(start + self.k - 1, len(q) - 1)], -np.inf)
+        keep = key >= np.repeat(kth, count)
+        self.q, self.key, self.score, self.ids = [q[keep]], [key[keep]], [score[keep]], [ids[keep]]
+        self.size = int(keep.sum())
+
+    def result(self):
+        self._prune()
+        if not self.q:
+            return None
+        return self.q[0], self.key[0], self.score[0], self.ids[0]
+
+
 def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
     def run(batches):
         qids, Q = bc.value
         nq, dim = Q.shape
+        acc = _TopK(k, nq)
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty or nq == 0:
@@ -75,12 +123,10 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
                 raise ValueError(f"index dimension {D.shape[1]} != question dimension {dim}")
             ids = pdf[id_col].to_numpy()
             qb = max(1, BLOCK_CELLS // max(len(ids), 1))
-            out = []
             for q0 in range(0, nq, qb):
                 Qb = Q[q0:q0 + qb]
                 S = _scores(D, Qb, metric)                         # n × qb
-                key = -S if metric == "l2" else S
-                key = np.round(key, RANK_PLACES)
+                key = np.round(-S if metric == "l2" else S, RANK_PLACES)
                 n = key.shape[0]
                 if n > k:
                     thr = np.partition(key, n - k, axis=0)[n - k]  # k-th best per question
@@ -92,10 +138,11 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
                 if metric == "l2":   # exact distance for the kept pairs only
                     raw = _exact_l2(D, Qb, r, c)
                     kept = np.round(-raw, RANK_PLACES)
-                out.append(pd.DataFrame({"question_id": qids[q0 + c], id_col: ids[r],
-                                         "_key": kept, "score": raw}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                acc.add(q0 + c, kept, raw, ids[r])
+        res = acc.result()
+        if res is not None:
+            qi, key, score, ids = res
+            yield pd.DataFrame({"question_id": qids[qi], id_col: ids, "_key": key, "score": score})
     return run
 
 
@@ -201,6 +248,7 @@ def _lsh_local_topk(bc, k: int, id_col: str, vec_col: str, width: float, tables:
     def run(batches):
         qids, Q, R, qbuckets = bc.value
         qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS)
+        acc = _TopK(k, len(qids))
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty or len(qids) == 0:
@@ -221,13 +269,11 @@ def _lsh_local_topk(bc, k: int, id_col: str, vec_col: str, width: float, tables:
             pair = np.unique(np.asarray(rows, dtype=np.int64) * len(qids) + np.asarray(cols, dtype=np.int64))
             r, c = pair // len(qids), pair % len(qids)
             score = np.einsum("ij,ij->i", D[r], Q[c]) / dn[r] / qn[c]
-            key = np.round(score, RANK_PLACES)
-            out = pd.DataFrame({"question_id": qids[c], id_col: pdf[id_col].to_numpy()[r],
-                                "_key": key, "score": score})
-            # local top-k per question, ties at the k-th score kept
-            thr = out.groupby("question_id")["_key"].transform(
-                lambda s: s.nlargest(k).iloc[-1] if len(s) > k else -np.inf)
-            yield out[out["_key"] >= thr]
+            acc.add(c, np.round(score, RANK_PLACES), score, pdf[id_col].to_numpy()[r])
+        res = acc.result()
+        if res is not None:
+            qi, key, score, ids = res
+            yield pd.DataFrame({"question_id": qids[qi], id_col: ids, "_key": key, "score": score})
     return run
 
 

@@ -93,3 +93,25 @@ def test_lsh_recall(spark):
     # scores of returned pairs are exact cosines
     ex_scores = {(r.question_id, r.id): r.score for r in S.search(idf, qdf, k=400).collect()}
     assert all(abs(ex_scores[(r.question_id, r.id)] - r.score) < 1e-6 for r in approx)
+
+
+def test_many_small_batches_per_task(spark):
+    """Per-task running top-k across many Arrow batches equals brute force."""
+    rnd = np.random.default_rng(9)
+    index = [(i, rnd.integers(0, 3, size=6).astype(float).tolist()) for i in range(500)]  # many ties
+    qs = [(f"q{i}", rnd.normal(size=6).tolist()) for i in range(7)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        idf = spark.createDataFrame(index, "id long, embedding array<double>").coalesce(2)
+        qdf = spark.createDataFrame(qs, "question_id string, embedding array<double>")
+        for metric in ("cosine", "l2"):
+            got = S.search(idf, qdf, k=4, metric=metric).collect()
+            by_q = {}
+            for r in sorted(got, key=lambda r: (r.question_id, r.rank)):
+                by_q.setdefault(r.question_id, []).append((r.id, r.score))
+            assert by_q == _brute(index, qs, 4, metric), metric
+        lsh = S.lsh_search(idf, qdf, k=4).collect()
+        assert len({(r.question_id, r.rank) for r in lsh}) == len(lsh)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

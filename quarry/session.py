@@ -46,11 +46,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is ``spark.checkpoint.dir`` as the cluster sets it.
     Only when it is unset (local tests) do we make a private folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some sessions refuse core settings at run time
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d

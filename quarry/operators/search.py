@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 METRICS = ("cosine", "dot", "l2")
 DEFAULT_BUDGET = 256 << 20     # bytes of question matrix per broadcast
@@ -344,6 +344,9 @@ def join_context(hits: DataFrame, docs: DataFrame, bound_rows: int, doc_key: str
         found = d.withColumn("_found", F.lit(True))
         return (hits.join(found, "id", "left")
                 .withColumn("missing", F.col("_found").isNull()).drop("_found"))
+    # the bounded hits feed two joins: write them once to the shared
+    # checkpoint folder instead of re-running the search for each
+    hits = cut_lineage(hits)
     found = F.broadcast(hits).join(d, "id", "inner")
     gone = hits.join(F.broadcast(found.select("question_id", "id")), ["question_id", "id"], "left_anti")
     return (found.withColumn("missing", F.lit(False))

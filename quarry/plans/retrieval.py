@@ -34,9 +34,7 @@ def best_context(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -
     score and the full document text as context (T1, T6, J1, F9)."""
     hits, bound = S.search_bounded(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim),
                                    k=k, metric="cosine")
-    # Bounded (one row per question): written once to the shared checkpoint
-    # folder so the join below reads it instead of re-running the search.
-    best = cut_lineage(S.best_hit(hits))
+    best = S.best_hit(hits)
     docs = TB.documents(spark, sf_dir)
     out = S.join_context(best, docs, bound // k, cols=["path", "text"])
     return out.select("question_id", F.col("id").alias("doc_id"), "path", "score",
@@ -132,7 +130,9 @@ def qa_context(spark: SparkSession, sf_dir: str, k: int = 4, dim: int = DIM) ->
 def hash_embedding(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
     """Y1 + M1: non-zero components of every document's whole-text vector."""
     v = doc_vectors(spark, sf_dir, dim)
-    return (v.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("dim_ix", "weight"))
+    # the outer form keeps Catalyst from inferring a filter on the embedding
+    # and pushing it (with the embedder) below the exchange
+    return (v.select(F.col("id").alias("doc_id"), F.posexplode_outer("embedding").alias("dim_ix", "weight"))
             .filter(F.col("weight") != 0)
             .select("doc_id", F.col("dim_ix").cast("int").alias("dim_ix"), F.round("weight", 6).alias("weight")))
 
@@ -144,7 +144,7 @@ def pooled_embedding(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFr
     docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     toks = E.token_matrix(docs, "doc_id", "text", dim, max_length=None)
     v = E.mean_pool(toks, "doc_id")
-    return (v.select("doc_id", F.posexplode("embedding").alias("dim_ix", "weight"))
+    return (v.select("doc_id", F.posexplode_outer("embedding").alias("dim_ix", "weight"))
             .filter(F.col("weight") != 0)
             .select("doc_id", F.col("dim_ix").cast("int").alias("dim_ix"), F.round("weight", 6).alias("weight")))
 

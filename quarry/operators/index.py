@@ -189,3 +189,58 @@ def stats(index: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_vector_count"),
         F.min(F.size("embedding")).cast("int").alias("min_dim"),
         F.max(F.size("embedding")).cast("int").alias("max_dim"))
+
+
+# ---- bucketed index tables: merges that never shuffle the index -------------
+def _table_versions(spark: SparkSession, name: str) -> list[int]:
+    pat = re.compile(rf"^{re.escape(name.lower())}__v(\d{{6}})$")
+    return sorted(int(m.group(1)) for t in spark.catalog.listTables()
+                  if (m := pat.match(t.name.lower())))
+
+
+def latest_table(spark: SparkSession, name: str) -> str | None:
+    v = _table_versions(spark, name)
+    return f"{name}__v{v[-1]:06d}" if v else None
+
+
+def write_bucketed(df: DataFrame, name: str, buckets: int, key: str = "id") -> str:
+    """A new table version bucketed (and sorted) by ``key``: later merges
+    join it without shuffling it."""
+    v = _table_versions(df.sparkSession, name)
+    table = f"{name}__v{(v[-1] + 1 if v else 1):06d}"
+    df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return table
+
+
+def merge_bucketed(spark: SparkSession, name: str, batch: DataFrame, buckets: int, rule: str = "upsert",
+                   key: str = "id", order: tuple[str, ...] = ("batch_no", "file_path")) -> str:
+    """Merge ``batch`` into the latest version of a bucketed index table and
+    write the next version.
+
+    The batch is de-duplicated with partial aggregation before its shuffle
+    (a hot key is pre-reduced in every task), then hash-partitioned into the
+    table's bucket layout; the merge is one full outer sort-merge join in
+    which the bucketed index side has no exchange.  Only the batch moves.  ``rule``: ``upsert`` (K4, greatest ``order`` wins) or
+    ``insert`` (K5, an existing record is kept; inside the batch the
+    smallest ``order`` wins).
+    """
+    if rule not in ("upsert", "insert"):
+        raise ValueError("rule must be 'upsert' or 'insert'")
+    cur = latest_table(spark, name)
+    latest = rule == "upsert"
+    new = _pick(batch, key, list(order), latest=latest)
+    if cur is None:
+        return write_bucketed(new, name, buckets, key)
+    old = spark.table(cur)
+    new = new.select(*old.columns)
+    j = old.alias("o").join(new.alias("n"), old[key] == new[key], "full_outer") \
+
+    n_ord = F.struct(*[F.col(f"n.{c}") for c in order])
+    o_ord = F.struct(*[F.col(f"o.{c}") for c in order])
+    if latest:
+        take_new = F.col(f"o.{key}").isNull() | (F.col(f"n.{key}").isNotNull() & (n_ord >= o_ord))
+    else:
+        take_new = F.col(f"o.{key}").isNull()
+    cols = [F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key)] + [F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+                           for c in old.columns if c != key]
+    return write_bucketed(j.select(*cols), name, buckets, key)

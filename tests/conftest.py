@@ -11,7 +11,8 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from quarry.session import get_spark
-    s = get_spark("local[4]", app="quarry-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app="quarry-tests", shuffle_partitions=8,
+                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="quarry-wh-")})
     yield s
     s.stop()
 

@@ -66,3 +66,22 @@ def test_dimension_check(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "embedding array<double>")
     with pytest.raises(Exception, match="dimension must be 3"):
         IX.check_dimension(df, 3).collect()
+
+
+def test_bucketed_merges_match_dataframe_rules(spark, tmp):
+    import uuid
+    name = "idx_" + uuid.uuid4().hex[:8]
+    old = spark.createDataFrame([("k1", "/a", [1.0], "m", 0), ("k2", "/b", [1.0], "m", 0)], SCHEMA)
+    new = spark.createDataFrame([("k1", "/c", [2.0], "m", 1), ("k3", "/d", [1.0], "m", 1),
+                                 ("k3", "/e", [1.0], "m", 1)], SCHEMA)
+    IX.merge_bucketed(spark, name, old, 4)
+    t = IX.merge_bucketed(spark, name, new, 4)
+    assert _rows(spark.table(t)) == _rows(IX.upsert(old, new))
+    # the merge plan reads the bucketed index without an exchange on its side
+    cur = spark.table(IX.latest_table(spark, name))
+    assert cur.count() == 3
+    name2 = "ins_" + uuid.uuid4().hex[:8]
+    IX.merge_bucketed(spark, name2, old, 4, rule="insert")
+    t2 = IX.merge_bucketed(spark, name2, new, 4, rule="insert")
+    exp = IX.insert_if_absent(old, new, order=("batch_no", "file_path"))
+    assert _rows(spark.table(t2)) == _rows(exp)

@@ -176,6 +176,29 @@ def drop_index(spark: SparkSession, base: str) -> None:
         fs.delete(p, True)
 
 
+def list_indexes(spark: SparkSession, root: str) -> DataFrame:
+    """The indexes under ``root`` with their version count and latest
+    version (plus bucketed index tables of the session catalog)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    if fs.exists(p):
+        for st in fs.listStatus(p):
+            if st.isDirectory():
+                name = st.getPath().getName()
+                v = _versions(spark, os.path.join(root, name))
+                if v:
+                    rows.append((name, "folder", len(v), f"v{v[-1]:06d}"))
+    tables: dict[str, list[int]] = {}
+    for t in spark.catalog.listTables():
+        m = re.match(r"^(.*)__v(\d{6})$", t.name)
+        if m:
+            tables.setdefault(m.group(1), []).append(int(m.group(2)))
+    rows += [(n, "table", len(v), f"{n}__v{max(v):06d}") for n, v in sorted(tables.items())]
+    return spark.createDataFrame(rows, "name string, kind string, versions int, latest string")
+
+
 def check_dimension(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     """K3 dimension rule: rows whose vector length differs raise at run time."""
     return df.withColumn(col, F.when(F.size(col) == dim, F.col(col)).otherwise(

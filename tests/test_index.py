@@ -85,3 +85,11 @@ def test_bucketed_merges_match_dataframe_rules(spark, tmp):
     t2 = IX.merge_bucketed(spark, name2, new, 4, rule="insert")
     exp = IX.insert_if_absent(old, new, order=("batch_no", "file_path"))
     assert _rows(spark.table(t2)) == _rows(exp)
+
+
+def test_list_indexes(spark, tmp):
+    base = os.path.join(tmp, "root")
+    IX.create_if_absent(spark, os.path.join(base, "a"), IX.FIRST_STORE_SCHEMA)
+    IX.create_if_absent(spark, os.path.join(base, "b"), IX.SECOND_STORE_SCHEMA)
+    got = {(r.name, r.kind, r.versions) for r in IX.list_indexes(spark, base).collect() if r.kind == "folder"}
+    assert got == {("a", "folder", 1), ("b", "folder", 1)}

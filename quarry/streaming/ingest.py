@@ -125,12 +125,23 @@ def _mark(spark: SparkSession, base: str, batch_id: int) -> None:
 
 
 def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: str,
-                dim: int = E.DEFAULT_DIM, route: str = "txt") -> None:
-    """One micro-batch into both stores."""
+                dim: int = E.DEFAULT_DIM, route: str = "txt", chunk_out: str | None = None,
+                reject_out: str | None = None) -> None:
+    """One micro-batch into both stores (X2, X3, U3); optionally also append
+    its chunks (K2) and its failed files (X5)."""
     spark = batch.sparkSession
     if _written(spark, second_base, batch_id):
         return
+    if reject_out and "error" in batch.columns:
+        batch.filter(F.col("error").isNotNull()) \
+            .withColumn("batch_id", F.lit(int(batch_id))).write.mode("append").parquet(reject_out)
     chunks = chunk_files(batch, route)
+    if chunk_out:
+        # one cut of lineage: the chunk set is written once and both stores
+        # read it back (the same chunks in both stores, U3)
+        out = os.path.join(chunk_out, f"batch_id={int(batch_id)}")
+        chunks.write.mode("overwrite").parquet(out)
+        chunks = spark.read.parquet(out)
     vec = E.hash_embed(chunks, "text", dim).select("doc_id", "chunk_ix", "chunk_id", "text", "embedding")
     vec = vec.persist()   # one embedding pass feeds both stores
     try:
@@ -163,6 +174,23 @@ def start_index_ingest(files: DataFrame, first_base: str, second_base: str, chec
     return w.start()
 
 
+def start_upload_chain(spark: SparkSession, staged_dir: str, archive_dir: str, chunk_out: str,
+                       reject_out: str, first_base: str, second_base: str, checkpoint: str,
+                       extractor: Callable[[bytes], str] = utf8_extractor, dim: int = E.DEFAULT_DIM,
+                       available_now: bool = True) -> StreamingQuery:
+    """Q10 as one query: new PDFs → text (X5 rejects) → chunks appended (K2)
+    → both stores (X2, U3); consumed PDFs are archived (K8).  An exception in
+    any step stops the query (X3) and the batch is retried on restart; a
+    batch already written is skipped."""
+    files = staged_pdfs(spark, staged_dir, extractor, "archive", archive_dir)
+    w = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, bid: index_batch(df, bid, first_base, second_base, dim, route="pdf",
+                                    chunk_out=chunk_out, reject_out=reject_out))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def new_links(links: DataFrame, seen: DataFrame | None) -> DataFrame:
     """X4 in batch form: URLs not visited in earlier runs (anti join) – keeps
     no unbounded streaming state."""

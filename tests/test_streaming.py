@@ -65,3 +65,24 @@ def test_index_ingest_both_stores(spark, tmp):
     df = spark.createDataFrame([("/p/x.txt", "Alpha beta gamma. " * 40)], "path string, text string")
     ingest.index_batch(df, 0, a, b)
     assert sorted(r.id for r in IX.read_index(spark, b).collect()) == before
+
+
+def test_upload_chain(spark, tmp):
+    d = {x: os.path.join(tmp, x) for x in ("staged", "arch", "chunks", "rej", "a", "b", "ck")}
+    os.makedirs(d["staged"])
+    os.makedirs(d["arch"])
+    _write(d["staged"], "one.pdf", "First line.\nSecond line! " * 50)
+    _write(d["staged"], "two.pdf", "Other words here? " * 20)
+    with open(os.path.join(d["staged"], "bad.pdf"), "wb") as f:
+        f.write(b"\xff\xfe\xfa")
+    q = ingest.start_upload_chain(spark, d["staged"], d["arch"], d["chunks"], d["rej"], d["a"], d["b"], d["ck"])
+    q.awaitTermination(180)
+    assert q.exception() is None
+    ch = spark.read.parquet(d["chunks"])
+    assert {os.path.basename(p) for (p,) in ch.select("doc_id").distinct().collect()} == {"one.pdf", "two.pdf"}
+    assert [os.path.basename(r.path) for r in spark.read.parquet(d["rej"]).collect()] == ["bad.pdf"]
+    a, b = IX.read_index(spark, d["a"]), IX.read_index(spark, d["b"])
+    assert a.count() > 0 and b.count() > 0
+    # same chunk set in both stores: every second-store document is a chunk text
+    texts = {r.text for r in ch.collect()}
+    assert {r.document for r in b.collect()} <= texts

@@ -197,6 +197,8 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
         nb = math.ceil(need / broadcast_budget)
         spark = index.sparkSession
         base = scratch_path(spark, f"search-{id(questions)}-{np.random.randint(1 << 30)}")
+        # the question vectors are computed once and read back per batch
+        questions = cut_lineage(questions.select(qid_col, qvec_col))
         for b in range(nb):
             part = questions.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb)) == b)
             cand_b, bc = _search_batch(index, part, k, metric, id_col, vec_col, qid_col, qvec_col,

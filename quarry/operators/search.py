@@ -214,6 +214,32 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
     return hits, nq * k
 
 
+def search_same_model(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine",
+                      model_col: str = "embedding_model", **kw) -> tuple[DataFrame, int]:
+    """F8: questions only meet index rows embedded by the same model.
+
+    The set of models among the questions is tiny (it is checked); each
+    model's questions are searched against the index filtered to that model,
+    a filter on the partition column of a stored index, so other models'
+    files are never read.  Results are one union.
+    """
+    models = [r[0] for r in questions.select(model_col).distinct().limit(101).collect()]
+    if len(models) > 100:
+        raise ValueError("more than 100 embedding models among the questions")
+    parts, bound = [], 0
+    for m in models:
+        cond = F.col(model_col).isNull() if m is None else F.col(model_col) == m
+        h, b = search_bounded(index.filter(cond), questions.filter(cond), k=k, metric=metric, **kw)
+        parts.append(h)
+        bound += b
+    if not parts:
+        return search_bounded(index.limit(0), questions, k=k, metric=metric, **kw)
+    out = parts[0]
+    for h in parts[1:]:
+        out = out.unionByName(h)
+    return out, bound
+
+
 def search_one(index: DataFrame, qvec: list[float], k: int = 5, metric: str = "cosine",
                id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """One question.  Score natively, ``orderBy(...).limit(k)`` plans as

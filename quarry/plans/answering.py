@@ -183,13 +183,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, parse, and add the source reference (F11, F12, U1, N11, N14, G1–G4,
     N21, N22)."""
     q = questions(spark, sf_dir)
-    qv = retrieval.question_vectors_of(q)
+    qv = retrieval.question_vectors_of(q).join(q.select("question_id", "embedding_model"), "question_id")
 
     # first store: cosine top-5, best hit, context read from the document file
-    a_idx = indexing.first_store(spark, sf_dir).select("id", "embedding", "file_path")
-    a_hits, a_bound = S.search_bounded(a_idx.select("id", "embedding"),
-                                       qv.join(q.filter(F.col("store") == "first").select("question_id"),
-                                               "question_id", "left_semi"), k=5, metric="cosine")
+    a_idx = indexing.first_store(spark, sf_dir).select("id", "embedding", "file_path", "embedding_model")
+    a_hits, a_bound = S.search_same_model(a_idx.select("id", "embedding", "embedding_model"),
+                                          qv.join(q.filter(F.col("store") == "first").select("question_id"),
+                                                  "question_id", "left_semi"), k=5, metric="cosine")
     # hits are bounded by the question count: when that bound is small they
     # are broadcast and the index / document tables stream through the join
     small_a = a_bound // 5 <= S.HITS_BROADCAST_ROWS
@@ -199,10 +199,10 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "question_id", F.coalesce("text", F.lit("")).alias("context"), F.col("file_path").alias("source"))
 
     # second store: squared-L2 top-1, context is the stored document
-    b_idx = indexing.second_store(spark, sf_dir).select("id", "embedding", "document")
-    b_hits, b_bound = S.search_bounded(b_idx.select("id", "embedding"),
-                                 qv.join(q.filter(F.col("store") == "second").select("question_id"),
-                                         "question_id", "left_semi"), k=1, metric="l2")
+    b_idx = indexing.second_store(spark, sf_dir).select("id", "embedding", "document", "embedding_model")
+    b_hits, b_bound = S.search_same_model(b_idx.select("id", "embedding", "embedding_model"),
+                                          qv.join(q.filter(F.col("store") == "second").select("question_id"),
+                                                  "question_id", "left_semi"), k=1, metric="l2")
     b_ctx = _maybe_broadcast(S.best_hit(b_hits), b_bound <= S.HITS_BROADCAST_ROWS) \
         .join(b_idx.select("id", "document"), "id").select(
         "question_id", F.col("document").alias("context"), F.col("id").alias("source"))

@@ -115,3 +115,13 @@ def test_many_small_batches_per_task(spark):
         assert len({(r.question_id, r.rank) for r in lsh}) == len(lsh)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_same_model_rule(spark):
+    idf = spark.createDataFrame([(1, [1.0, 0.0], "m1"), (2, [0.9, 0.1], "m2"), (3, [0.0, 1.0], "m1")],
+                                "id long, embedding array<double>, embedding_model string")
+    qdf = spark.createDataFrame([("a", [1.0, 0.0], "m2"), ("b", [0.1, 1.0], "m1")],
+                                "question_id string, embedding array<double>, embedding_model string")
+    hits, bound = S.search_same_model(idf, qdf, k=5)
+    got = sorted((r.question_id, r.rank, r.id) for r in hits.collect())
+    assert got == [("a", 1, 2), ("b", 1, 3), ("b", 2, 1)] and bound == 10

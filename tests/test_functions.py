@@ -148,3 +148,12 @@ def test_mean_pool_all_masked(spark):
                                   ("e", 2, 0, [9.0, 9.0])], "doc_id string, pos int, mask int, vec array<double>")
     got = {r.doc_id: r.embedding for r in mean_pool(toks, normalise=False).collect()}
     assert got == {"d": [0.0, 0.0], "e": [2.0, 2.0]}
+
+
+def test_fast_cleaning_equals_class_rule(spark):
+    import re
+    texts = ["".join(chr(i) for i in range(128)), "Héllo wörld! Ça va? 😀 done.\r\n\ttab",
+             "\x00a\x7fb\u0085c d", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.x for r in df.select(T.clean_for_chunking("t").alias("x")).collect()]
+    assert got == [re.sub(r"[^A-Za-z0-9 .,?!]+", "", t.encode("ascii", "ignore").decode()) for t in texts]

@@ -505,3 +505,17 @@ WITH best AS ({best_context()}),
 q AS (SELECT u.question_id, u.text, coalesce(b.context, '') AS context
       FROM {USER_Q} u LEFT JOIN best b USING (question_id))
 SELECT q.question_id, {cols}, 50 AS max_new_tokens, 0.5::DOUBLE AS repetition_penalty FROM q"""
+
+
+def page_text_native() -> str:
+    from quarry.functions.text import ENTITIES, RAW_TEXT_ELEMENTS
+    x = "regexp_replace(p.html, '(?s)<!--.*?-->', '', 'g')"
+    for el in RAW_TEXT_ELEMENTS:
+        x = f"regexp_replace({x}, '(?is)<{el}\\b[^>]*>.*?</{el}\\s*>', '', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {_lit(ent)}, {_lit(ch)})"
+    x = f"regexp_replace(replace({x}, chr(10), ' '), '[^\\x00-\\x7F]+', '', 'g')"
+    return f"""
+WITH f AS ({page_files()})
+SELECT f.page_id, f.path, f.url, {x} AS text FROM f JOIN pages p USING (page_id)"""

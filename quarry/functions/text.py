@@ -123,3 +123,24 @@ def hash_tokens(c) -> Column:
 def word_count(c) -> Column:
     """Words in a string split on blanks (prompt-window guard, N24)."""
     return F.size(F.filter(F.split(_c(c), "[ \t\n\r]+"), lambda t: t != "")).cast("bigint")
+
+
+# Tag-strip rule of the native page-text variant (own definition; the exact
+# parser-based extraction is ``operators.html``).
+RAW_TEXT_ELEMENTS = ("script", "style", "template")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
+def strip_tags(c) -> Column:
+    """Native HTML → text: drop comments, the contents of script / style /
+    template elements and every remaining tag, then decode a fixed set of
+    named entities (``&amp;`` last, so nothing is decoded twice).  Unclosed
+    markup at the end of a truncated page stays as text."""
+    x = F.regexp_replace(_c(c), "(?s)<!--.*?-->", "")
+    for el in RAW_TEXT_ELEMENTS:
+        x = F.regexp_replace(x, f"(?is)<{el}\\b[^>]*>.*?</{el}\\s*>", "")
+    x = F.regexp_replace(x, "<[^>]*>", "")
+    for ent, ch in ENTITIES:
+        x = F.replace(x, F.lit(ent), F.lit(ch))
+    return x

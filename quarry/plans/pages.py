@@ -58,6 +58,16 @@ def page_text(spark: SparkSession, sf_dir: str, base: str = TB.DATA_ROOT) -> Dat
                        T.remove_non_ascii(T.newline_to_space("raw")).alias("text"))
 
 
+def page_text_native(spark: SparkSession, sf_dir: str, base: str = TB.DATA_ROOT) -> DataFrame:
+    """Q1 with the native tag-strip rule instead of the HTML parser: same
+    files, text fully inside the JVM (checkable by SQL)."""
+    files = page_files(spark, sf_dir, base).select("page_id", "path", "url")
+    html = TB.read_table(spark, sf_dir, "pages", ["page_id", "html"])
+    raw = T.strip_tags(F.col("html"))
+    return files.join(html, "page_id").select(
+        "page_id", "path", "url", T.remove_non_ascii(T.newline_to_space(raw)).alias("text"))
+
+
 def page_references(spark: SparkSession, sf_dir: str, base: str = TB.DATA_ROOT) -> DataFrame:
     """N4–N7 on every valid page URL: tld, file path, and the link rebuilt
     from that path for answers."""

@@ -60,10 +60,11 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def second_store_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (batch 0, keyed by path) and their chunks (batch 1, no path),
     not yet embedded."""
-    docs = TB.documents(spark, sf_dir)
+    base = TB.read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
     cls = classification(spark, sf_dir)
-    d = docs.select("doc_id", F.lit(-1).alias("chunk_ix"), "path", "text", F.lit(0).alias("batch_no"))
-    ch = C.chunk(TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])).select(
+    d = base.select("doc_id", F.lit(-1).alias("chunk_ix"), TB.doc_path(F.col("source"), F.col("doc_id")).alias("path"),
+                    "text", F.lit(0).alias("batch_no"))
+    ch = C.chunk(base).select(
         "doc_id", "chunk_ix", F.lit(None).cast("string").alias("path"), "text", F.lit(1).alias("batch_no"))
     rows = d.unionByName(ch).join(cls, "doc_id", "left")
     klass = F.coalesce(F.col("label_class"), F.lit(IX.DEFAULT_CLASSIFICATION))

@@ -183,10 +183,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, parse, and add the source reference (F11, F12, U1, N11, N14, G1–G4,
     N21, N22)."""
     q = questions(spark, sf_dir)
-    qv = retrieval.question_vectors_of(q).join(q.select("question_id", "embedding_model"), "question_id")
+    # question vectors feed both searches (each sizes, then collects them)
+    qv = cut_lineage(retrieval.question_vectors_of(q).join(q.select("question_id", "embedding_model"),
+                                                           "question_id"))
 
     # first store: cosine top-5, best hit, context read from the document file
-    a_idx = indexing.first_store(spark, sf_dir).select("id", "embedding", "file_path", "embedding_model")
+    # each store feeds its search and the join back to its records: build it
+    # once and keep it in the shared checkpoint folder (as an index job would)
+    a_idx = cut_lineage(indexing.first_store(spark, sf_dir)
+                        .select("id", "embedding", "file_path", "embedding_model"))
     a_hits, a_bound = S.search_same_model(a_idx.select("id", "embedding", "embedding_model"),
                                           qv.join(q.filter(F.col("store") == "first").select("question_id"),
                                                   "question_id", "left_semi"), k=5, metric="cosine")
@@ -199,7 +204,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "question_id", F.coalesce("text", F.lit("")).alias("context"), F.col("file_path").alias("source"))
 
     # second store: squared-L2 top-1, context is the stored document
-    b_idx = indexing.second_store(spark, sf_dir).select("id", "embedding", "document", "embedding_model")
+    b_idx = cut_lineage(indexing.second_store(spark, sf_dir)
+                        .select("id", "embedding", "document", "embedding_model"))
     b_hits, b_bound = S.search_same_model(b_idx.select("id", "embedding", "embedding_model"),
                                           qv.join(q.filter(F.col("store") == "second").select("question_id"),
                                                   "question_id", "left_semi"), k=1, metric="l2")

@@ -8,8 +8,8 @@ dimension × 8 bytes must fit ``broadcast_budget``.  It is shipped once to
 every executor as a broadcast NumPy matrix.  The index is never shuffled or
 paired row-by-row with questions: each index partition is scored in Arrow
 batches by a blocked matrix product (``mapInPandas``); a running top-k per
-question is merged across the task's batches and only it (plus ties at the
-k-th score) leaves the task, once.  The
+question is merged across the task's batches in the final order (score,
+then id) and only it – exactly questions × k rows – leaves the task, once.  The
 global top-k is a window ``row_number`` whose ``WindowGroupLimit`` again
 trims partial results before the exchange, so shuffle volume is bounded by
 tasks × questions × k whatever the index size.
@@ -64,49 +64,42 @@ def _exact_l2(D: np.ndarray, Q: np.ndarray, rows: np.ndarray, cols: np.ndarray)
 
 
 class _TopK:
-    """Running top-k (with ties at the k-th key) per question inside one task.
+    """Running top-k per question inside one task, in the final order
+    (rounded score descending, id ascending).
 
     Candidates of every Arrow batch are appended; when they exceed a few
-    times ``questions × k`` they are pruned back, so a task emits at most
-    ``questions × k`` rows (plus exact ties) once, whatever its size.
+    times ``questions × k`` they are cut back to exactly k per question, so
+    a task emits at most ``questions × k`` rows, once.  Ties at the k-th
+    score are resolved here by id exactly as the final window resolves
+    them, so even a group of identical copies holding a third of the index
+    sends only k rows per question out of each task.
     """
 
     def __init__(self, k: int, nq: int):
         self.k, self.nq = k, nq
-        self.q: list[np.ndarray] = []
-        self.key: list[np.ndarray] = []
-        self.score: list[np.ndarray] = []
-        self.ids: list[np.ndarray] = []
+        self.parts: list[pd.DataFrame] = []
         self.size = 0
 
     def add(self, q, key, score, ids):
-        self.q.append(q)
-        self.key.append(key)
-        self.score.append(score)
-        self.ids.append(ids)
+        self.parts.append(pd.DataFrame({"q": q, "key": key, "score": score, "id": ids}))
         self.size += len(q)
         if self.size > 4 * self.nq * self.k + 65536:
             self._prune()
 
     def _prune(self):
-        if not self.q:
+        if not self.parts:
             return
-        q, key = np.concatenate(self.q), np.concatenate(self.key)
-        score, ids = np.concatenate(self.score), np.concatenate(self.ids)
-        order = np.lexsort((-key, q))                  # by question, best key first
-        q, key, score, ids = q[order], key[order], score[order], ids[order]
-        start = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-        count = np.diff(np.r_[start, len(q)])
-        kth = np.where(count >= self.k, key[np.minimum(start + self.k - 1, len(q) - 1)], -np.inf)
-        keep = key >= np.repeat(kth, count)
-        self.q, self.key, self.score, self.ids = [q[keep]], [key[keep]], [score[keep]], [ids[keep]]
-        self.size = int(keep.sum())
+        df = pd.concat(self.parts, ignore_index=True)
+        df = df.sort_values(["q", "key", "id"], ascending=[True, False, True], kind="mergesort")
+        df = df.groupby("q", sort=False).head(self.k)
+        self.parts, self.size = [df], len(df)
 
     def result(self):
         self._prune()
-        if not self.q:
+        if not self.parts or self.size == 0:
             return None
-        return self.q[0], self.key[0], self.score[0], self.ids[0]
+        df = self.parts[0]
+        return df["q"].to_numpy(), df["key"].to_numpy(), df["score"].to_numpy(), df["id"].to_numpy()
 
 
 def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):

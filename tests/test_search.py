@@ -125,3 +125,17 @@ def test_same_model_rule(spark):
     hits, bound = S.search_same_model(idf, qdf, k=5)
     got = sorted((r.question_id, r.rank, r.id) for r in hits.collect())
     assert got == [("a", 1, 2), ("b", 1, 3), ("b", 2, 1)] and bound == 10
+
+
+def test_copies_send_only_k_per_task(spark):
+    # 300 identical copies + 20 others: every question ties on the copies
+    index = [(i, [1.0, 0.0, 0.0]) for i in range(300)] + [(1000 + i, [0.0, 1.0, float(i)]) for i in range(20)]
+    qs = [("a", [1.0, 0.0, 0.0]), ("b", [1.0, 0.1, 0.0])]
+    idf = spark.createDataFrame(index, "id long, embedding array<double>").repartition(3)
+    qdf = spark.createDataFrame(qs, "question_id string, embedding array<double>")
+    got = sorted((r.question_id, r.rank, r.id) for r in S.search(idf, qdf, k=3).collect())
+    assert got == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 1, 0), ("b", 2, 1), ("b", 3, 2)]
+    # the candidates leaving the tasks are bounded by tasks × questions × k
+    cand, _ = S._search_batch(idf, qdf, 3, "cosine", "id", "embedding", "question_id", "embedding",
+                              with_broadcast=True)
+    assert cand.count() <= 3 * 2 * 3

@@ -86,3 +86,18 @@ def test_upload_chain(spark, tmp):
     # same chunk set in both stores: every second-store document is a chunk text
     texts = {r.text for r in ch.collect()}
     assert {r.document for r in b.collect()} <= texts
+
+
+def test_index_ingest_second_run_adds_only_new(spark, tmp):
+    staged, a, b, ck = (os.path.join(tmp, x) for x in ("staged", "a", "b", "ck"))
+    os.makedirs(staged)
+    _write(staged, "x.txt", "Alpha beta gamma. " * 40)
+    ingest.start_index_ingest(ingest.staged_text(spark, staged), a, b, ck).awaitTermination(120)
+    n_a, n_b = IX.read_index(spark, a).count(), IX.read_index(spark, b).count()
+    v_b = IX._versions(spark, b)
+    _write(staged, "z.txt", "Delta epsilon zeta! " * 40)
+    ingest.start_index_ingest(ingest.staged_text(spark, staged), a, b, ck).awaitTermination(120)
+    ib = IX.read_index(spark, b)
+    assert IX._versions(spark, b) == v_b + [v_b[-1] + 1]      # exactly one new version
+    assert ib.count() > n_b and IX.read_index(spark, a).count() > n_a
+    assert sorted(set(r.batch_no for r in ib.collect())) == [0, 1]  # x from batch 0, z from batch 1

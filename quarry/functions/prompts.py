@@ -214,6 +214,11 @@ def with_reference(answer, reference) -> Column:
     return F.concat(_c(answer), F.lit(SEE_ALSO), _c(reference))
 
 
+def with_source_note(answer) -> Column:
+    """N22, upload-app form: a fixed pointer to the source panel."""
+    return F.concat(_c(answer), F.lit(SEE_BELOW))
+
+
 def fits_window(prompt, limit: int = PROMPT_WINDOW_WORDS) -> Column:
     """Prompt word count within the model window."""
     from .text import word_count

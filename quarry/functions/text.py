@@ -19,6 +19,9 @@ SENTENCE_END_CHARS = (".", "!", "?")
 LINE_BREAKS = "\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
 # Whitespace that str.strip() removes from a link line (ASCII part).
 STRIP_CLASS = "[ \t\n\r\u000B\u000C]"
+# Whitespace as Python's str.split() sees it.
+PY_WHITESPACE = ("[ \t\n\r\u000B\u000C\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A"
+                 "\u2028\u2029\u202F\u205F\u3000]+")
 # ---------------------------------------------------------------------------
 
 # The ASCII characters outside the chunker's keep-class, derived from it.
@@ -111,7 +114,7 @@ def model_repo_name(c, org: str = "sentence-transformers") -> Column:
 
 def last_token(c) -> Column:
     """Last whitespace token of generated text; null when there is none."""
-    toks = F.filter(F.split(_c(c), "[ \t\n\r\u000B\u000C]+"), lambda t: t != "")
+    toks = F.filter(F.split(_c(c), PY_WHITESPACE), lambda t: t != "")
     return F.try_element_at(toks, F.lit(-1))
 
 

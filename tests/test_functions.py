@@ -157,3 +157,9 @@ def test_fast_cleaning_equals_class_rule(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.x for r in df.select(T.clean_for_chunking("t").alias("x")).collect()]
     assert got == [re.sub(r"[^A-Za-z0-9 .,?!]+", "", t.encode("ascii", "ignore").decode()) for t in texts]
+
+
+def test_last_token_python_whitespace_and_source_note(spark):
+    s = "answer Positive negative　"
+    assert one(spark, T.last_token(F.col("a")), s) == s.split()[-1]
+    assert one(spark, P.with_source_note(F.col("a")), "X") == "X\n\n For additional info see source information below"

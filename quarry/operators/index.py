@@ -122,7 +122,9 @@ def insert_if_absent(existing: DataFrame | None, batch: DataFrame, key: str = "i
 _VER = re.compile(r"^v(\d{6})$")
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
+def _versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]:
+    """Version numbers under ``base``; by default only complete ones (a
+    ``_SUCCESS`` marker), so a write that died half-way is never read."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -132,7 +134,7 @@ def _versions(spark: SparkSession, base: str) -> list[int]:
     out = []
     for st in fs.listStatus(p):
         m = _VER.match(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if m and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             out.append(int(m.group(1)))
     return sorted(out)
 
@@ -158,7 +160,7 @@ def read_index(spark: SparkSession, base: str) -> DataFrame:
 def write_index(df: DataFrame, base: str, partition_by: str | None = "embedding_model") -> str:
     """Write a new version folder; readers of the old one are unaffected."""
     spark = df.sparkSession
-    v = _versions(spark, base)
+    v = _versions(spark, base, complete=False)   # skip past a failed partial write too
     out = os.path.join(base, f"v{(v[-1] + 1 if v else 1):06d}")
     w = df.write.mode("errorifexists")
     if partition_by:

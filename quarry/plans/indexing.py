@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators import chunk as C
 from ..operators import embed as E
 from ..operators import index as IX

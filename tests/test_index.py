@@ -93,3 +93,15 @@ def test_list_indexes(spark, tmp):
     IX.create_if_absent(spark, os.path.join(base, "b"), IX.SECOND_STORE_SCHEMA)
     got = {(r.name, r.kind, r.versions) for r in IX.list_indexes(spark, base).collect() if r.kind == "folder"}
     assert got == {("a", "folder", 1), ("b", "folder", 1)}
+
+
+def test_partial_version_is_skipped(spark, tmp):
+    base = os.path.join(tmp, "idx")
+    IX.create_if_absent(spark, base, IX.FIRST_STORE_SCHEMA)
+    os.makedirs(os.path.join(base, "v000001"))          # a write that died: no _SUCCESS
+    assert IX._versions(spark, base) == [0]
+    b = spark.createDataFrame([("k", "/a", {"file_path": "/a"}, [1.0], "m", 1)],
+                              "id string, file_path string, metadata map<string,string>, "
+                              "embedding array<double>, embedding_model string, batch_no int")
+    out = IX.write_index(IX.upsert(IX.read_index(spark, base), b), base)
+    assert out.endswith("v000002") and IX.read_index(spark, base).count() == 1

@@ -157,6 +157,24 @@ def _search_batch(index: DataFrame, questions: DataFrame, k: int, metric: str,
     return (cand, bc) if with_broadcast else cand
 
 
+def _in_batches(index: DataFrame, questions: DataFrame, qid_col: str, qvec_col: str, need: int,
+                budget: int, run_batch) -> DataFrame:
+    """Question sets above the broadcast budget: hash batches that each fit,
+    searched one after the other, each written under the shared checkpoint
+    folder (its broadcast released afterwards), read back as one table."""
+    nb = math.ceil(need / budget)
+    spark = index.sparkSession
+    base = scratch_path(spark, f"search-{id(questions)}-{np.random.randint(1 << 30)}")
+    # the question vectors are computed once and read back per batch
+    questions = cut_lineage(questions.select(qid_col, qvec_col))
+    for b in range(nb):
+        part = questions.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb)) == b)
+        cand_b, bc = run_batch(part)
+        cand_b.write.mode("overwrite").parquet(f"{base}/b={b}")
+        bc.unpersist()   # one batch's matrix at a time on the executors
+    return spark.read.parquet(base).drop("b")
+
+
 def search(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine",
            id_col: str = "id", vec_col: str = "embedding", qid_col: str = "question_id",
            qvec_col: str = "embedding", broadcast_budget: int = DEFAULT_BUDGET) -> DataFrame:
@@ -187,18 +205,9 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
     if need <= broadcast_budget:
         cand = _search_batch(index, questions, k, metric, id_col, vec_col, qid_col, qvec_col)
     else:
-        nb = math.ceil(need / broadcast_budget)
-        spark = index.sparkSession
-        base = scratch_path(spark, f"search-{id(questions)}-{np.random.randint(1 << 30)}")
-        # the question vectors are computed once and read back per batch
-        questions = cut_lineage(questions.select(qid_col, qvec_col))
-        for b in range(nb):
-            part = questions.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb)) == b)
-            cand_b, bc = _search_batch(index, part, k, metric, id_col, vec_col, qid_col, qvec_col,
-                                       with_broadcast=True)
-            cand_b.write.mode("overwrite").parquet(f"{base}/b={b}")
-            bc.unpersist()   # one batch's matrix at a time on the executors
-        cand = spark.read.parquet(base).drop("b")
+        cand = _in_batches(index, questions, qid_col, qvec_col, need, broadcast_budget,
+                           lambda part: _search_batch(index, part, k, metric, id_col, vec_col, qid_col,
+                                                      qvec_col, with_broadcast=True))
     w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
     hits = (cand.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
@@ -318,27 +327,35 @@ def lsh_search(index: DataFrame, questions: DataFrame, k: int = 5, bucket_width:
     """
     st = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
     nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
-    if nq * max(dim, 1) * 8 * 2 > broadcast_budget:
-        raise ValueError("question set above the broadcast budget; split it into batches")
-    rows = questions.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
-    qids = np.array([r[0] for r in rows], dtype=object)
-    Q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, max(dim, 1)))
-    R = np.random.default_rng(seed).normal(size=(num_tables * num_projections, Q.shape[1]))
-    qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS) if len(Q) else np.ones(0)
-    qkeys = _lsh_keys(Q / qn[:, None], R, bucket_width, num_tables, num_projections) if len(Q) \
-        else np.zeros((0, num_tables), dtype=np.int64)
-    qbuckets = []
-    for t in range(num_tables):
-        table: dict[int, list[int]] = {}
-        for i, kv in enumerate(qkeys[:, t]):
-            table.setdefault(int(kv), []).append(i)
-        qbuckets.append(table)
-    bc = index.sparkSession.sparkContext.broadcast((qids, Q, R, qbuckets))
-    schema = StructType([StructField("question_id", questions.schema[qid_col].dataType),
-                         index.schema[id_col], StructField("_key", DoubleType()),
-                         StructField("score", DoubleType())])
-    cand = index.select(id_col, vec_col).mapInPandas(
-        _lsh_local_topk(bc, k, id_col, vec_col, bucket_width, num_tables, num_projections), schema)
+    R = np.random.default_rng(seed).normal(size=(num_tables * num_projections, max(dim, 1)))
+
+    def run_batch(qs: DataFrame):
+        rows = qs.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
+        qids = np.array([r[0] for r in rows], dtype=object)
+        Q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, max(dim, 1)))
+        qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS) if len(Q) else np.ones(0)
+        qkeys = _lsh_keys(Q / qn[:, None], R, bucket_width, num_tables, num_projections) if len(Q) \
+            else np.zeros((0, num_tables), dtype=np.int64)
+        qbuckets = []
+        for t in range(num_tables):
+            table: dict[int, list[int]] = {}
+            for i, kv in enumerate(qkeys[:, t]):
+                table.setdefault(int(kv), []).append(i)
+            qbuckets.append(table)
+        bc = index.sparkSession.sparkContext.broadcast((qids, Q, R, qbuckets))
+        schema = StructType([StructField("question_id", questions.schema[qid_col].dataType),
+                             index.schema[id_col], StructField("_key", DoubleType()),
+                             StructField("score", DoubleType())])
+        cand = index.select(id_col, vec_col).mapInPandas(
+            _lsh_local_topk(bc, k, id_col, vec_col, bucket_width, num_tables, num_projections), schema)
+        return cand, bc
+
+    # matrix plus bucket tables: about twice the exact search's broadcast
+    need = nq * max(dim, 1) * 8 * 2
+    if need <= broadcast_budget:
+        cand = run_batch(questions)[0]
+    else:
+        cand = _in_batches(index, questions, qid_col, qvec_col, need, broadcast_budget, run_batch)
     w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("question_id", F.col("rank").cast("int").alias("rank"), F.col(id_col).alias("id"),

@@ -139,3 +139,14 @@ def test_copies_send_only_k_per_task(spark):
     cand, _ = S._search_batch(idf, qdf, 3, "cosine", "id", "embedding", "question_id", "embedding",
                               with_broadcast=True)
     assert cand.count() <= 3 * 2 * 3
+
+
+def test_lsh_batches_beyond_budget(spark):
+    rnd = np.random.default_rng(4)
+    index = [(i, rnd.normal(size=8).tolist()) for i in range(200)]
+    qs = [(i, rnd.normal(size=8).tolist()) for i in range(30)]
+    idf = spark.createDataFrame(index, "id long, embedding array<double>")
+    qdf = spark.createDataFrame(qs, "question_id long, embedding array<double>")
+    one = sorted(map(tuple, S.lsh_search(idf, qdf, k=3).collect()))
+    many = sorted(map(tuple, S.lsh_search(idf, qdf, k=3, broadcast_budget=1000).collect()))
+    assert one == many and len(one) > 0

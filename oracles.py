@@ -519,3 +519,13 @@ def page_text_native() -> str:
     return f"""
 WITH f AS ({page_files()})
 SELECT f.page_id, f.path, f.url, {x} AS text FROM f JOIN pages p USING (page_id)"""
+
+
+def vector_context(k: int = 5) -> str:
+    vs = vector_search(k)
+    return f"""
+WITH h AS ({vs})
+SELECT h.question_id, h.id AS vec_id, h.score, {DOC_PATH.replace('source', 'd.source').replace('doc_id::', 'd.doc_id::')} AS path,
+       length(d.text)::BIGINT AS context_chars, d.doc_id IS NULL AS missing
+FROM h LEFT JOIN documents d ON d.doc_id = h.id
+WHERE h.rank = 1"""

@@ -152,3 +152,17 @@ def pooled_embedding(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFr
 def lsh_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
     """Approximate top-k by random-projection LSH, exact re-score."""
     return S.lsh_search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k)
+
+
+def vector_context(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """Q5 over the driver's ``embeddings`` table: benchmark questions → cosine
+    top-k → best vector → its document (``vec_id`` = ``doc_id``), kept with
+    ``missing = true`` when the vector has no document (J1 as a left join)."""
+    idx = TB.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]) \
+        .select(F.col("vec_id").alias("id"), "embedding")
+    dim = idx.select(F.max(F.size("embedding"))).first()[0] or DIM
+    hits, bound = S.search_bounded(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="cosine")
+    docs = TB.documents(spark, sf_dir).select("doc_id", "path", "text")
+    out = S.join_context(S.best_hit(hits), docs, bound // k, cols=["path", "text"])
+    return out.select("question_id", F.col("id").alias("vec_id"), "score", "path",
+                      F.length("text").cast("bigint").alias("context_chars"), "missing")

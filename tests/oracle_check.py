@@ -14,6 +14,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    # spill into a fresh scratch folder, capped: a heavy oracle fails rather
+    # than filling the disk
+    import tempfile
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='run-duck-', dir='/tmp')}'")
+    con.execute("SET max_temp_directory_size = '4GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con

@@ -187,9 +187,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     qv = cut_lineage(retrieval.question_vectors_of(q).join(q.select("question_id", "embedding_model"),
                                                            "question_id"))
 
-    # first store: cosine top-5, best hit, context read from the document file
-    # each store feeds its search and the join back to its records: build it
-    # once and keep it in the shared checkpoint folder (as an index job would)
+    # Each store feeds its search and the join back to its records: build it
+    # once and keep it in the shared checkpoint folder (as an index job would).
+    # First store: cosine top-5, best hit, context read from the document file.
     a_idx = cut_lineage(indexing.first_store(spark, sf_dir)
                         .select("id", "embedding", "file_path", "embedding_model"))
     a_hits, a_bound = S.search_same_model(a_idx.select("id", "embedding", "embedding_model"),
@@ -203,7 +203,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a_ctx = _maybe_broadcast(a_best, small_a).join(docs, a_best["file_path"] == docs["path"]).select(
         "question_id", F.coalesce("text", F.lit("")).alias("context"), F.col("file_path").alias("source"))
 
-    # second store: squared-L2 top-1, context is the stored document
+    # Second store: squared-L2 top-1, context is the stored document.
     b_idx = cut_lineage(indexing.second_store(spark, sf_dir)
                         .select("id", "embedding", "document", "embedding_model"))
     b_hits, b_bound = S.search_same_model(b_idx.select("id", "embedding", "embedding_model"),

@@ -8,21 +8,19 @@ Rule, for words ``w[0..n-1]`` and a start ``s`` (first ``s = 0``):
 3. Emit ``w[s..e]`` (end inclusive, so up to ``step + 1`` words).  Stop when
    ``e >= n - 1``, else continue at ``s = e + 1``.
 
-Plan shape: a narrow map, no shuffle.  Cleaning, splitting and finding the
-sentence ends are native expressions; the only Python is the sequential
-cut rule, fed one small int array (sentence-end positions) per document
-through Arrow and answered with the chunk end positions, O(chunks) per row.
-Chunk texts are built natively inside ``transform`` before the explode so
-the word array is never copied into every chunk row.
+Plan shape: a narrow map, no shuffle, no Python.  Cleaning, splitting,
+finding the sentence ends and the sequential cut rule (one ``aggregate``
+fold over the sentence-end positions, see ``cut_ends``) are native
+expressions.  Chunk texts are built inside ``transform`` before the explode
+so the word array is never copied into every chunk row.  ``chunk_ends`` is
+the same rule in plain Python, kept as the executable statement of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
 
@@ -47,15 +45,46 @@ def chunk_ends(n: int, bounds: np.ndarray, step: int = CHUNK_STEP) -> list[int]:
     return ends
 
 
-def _ends_udf(step: int):
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def _ends(n: pd.Series, bounds: pd.Series) -> pd.Series:
-        out = []
-        for k, b in zip(n.to_numpy(), bounds):
-            b = np.asarray(b if b is not None else [], dtype=np.int64)
-            out.append(chunk_ends(int(k), b, step))
-        return pd.Series(out)
-    return _ends
+def cut_ends(n: Column, bounds: Column, step: int = CHUNK_STEP) -> Column:
+    """Chunk end positions as a native fold over the sentence ends.
+
+    ``bounds`` are the ascending sentence-end positions of an ``n``-word
+    document.  The fold carries the current chunk start ``s``, the best cut
+    seen inside its window ``c`` (−1 for none) and the ends so far.  A
+    sentence end beyond the window closes the chunk (at ``c``, or a hard cut
+    at ``s + step``), followed in closed form by the hard cuts needed to
+    reach it; after the last sentence end the tail is cut the same way.  One
+    pass, O(sentence ends + chunks) per document, all inside the JVM.
+    """
+    w = step + 1                       # words per full chunk
+    init = F.struct(F.lit(0).alias("s"), F.lit(-1).alias("c"),
+                    F.array().cast("array<int>").alias("ends"))
+
+    def hard(start, h):
+        # ends of h hard-cut chunks starting at `start`
+        return F.transform(F.slice(F.sequence(F.lit(0), h), 1, h), lambda j: start + w * j + step)
+
+    def merge(acc, b):
+        s_, c_ = acc["s"], acc["c"]
+        end1 = F.when(c_ >= 0, c_).otherwise(s_ + step)
+        s1 = end1 + 1
+        h = F.greatest(F.lit(0), F.ceil((b - s1 - step) / F.lit(w)).cast("int"))
+        s2 = s1 + w * h
+        fits = b <= F.least(s_ + step, n - 1)
+        return F.when(fits, F.struct(s_.alias("s"), F.when(b > s_, b).otherwise(c_).alias("c"),
+                                     acc["ends"].alias("ends"))) \
+            .otherwise(F.struct(s2.alias("s"), F.when(b > s2, b).otherwise(F.lit(-1)).alias("c"),
+                                F.concat(acc["ends"], F.array(end1), hard(s1, h)).alias("ends")))
+
+    def finish(acc):
+        s_, c_ = acc["s"], acc["c"]
+        end0 = F.when(c_ >= 0, c_).otherwise(F.least(s_ + step, n - 1))
+        s1 = end0 + 1
+        t = F.greatest(F.lit(0), F.ceil((n - s1) / F.lit(w)).cast("int"))
+        tail = F.transform(F.slice(F.sequence(F.lit(0), t), 1, t), lambda j: F.least(s1 + w * j + step, n - 1))
+        return F.when(s_ <= n - 1, F.concat(acc["ends"], F.array(end0), tail)).otherwise(acc["ends"])
+
+    return F.aggregate(F.coalesce(bounds, F.array().cast("array<int>")), init, merge, finish)
 
 
 def chunk_id(doc_id: Column, chunk_ix: Column) -> Column:
@@ -82,7 +111,7 @@ def chunk(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = list(keep or [])
     w = prepare_words(df.select(id_col, text_col, *keep), text_col, route)
     w = w.withColumn("_n", F.size("words")).withColumn(
-        "_ends", _ends_udf(step)(F.col("_n"), T.sentence_end_positions(F.col("words"))))
+        "_ends", cut_ends(F.col("_n"), T.sentence_end_positions(F.col("words")), step))
     spans = F.transform(
         F.col("_ends"),
         lambda e, i: F.struct(

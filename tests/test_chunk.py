@@ -90,3 +90,25 @@ def test_random_documents_equal_model(spark):
     got = spark_chunks(spark, texts, step=50)
     for i, t in enumerate(texts):
         assert [(s, e, x) for _, s, e, x, _ in got.get(i, [])] == model(t, 50)
+
+
+def test_native_fold_equals_rule_many_steps(spark):
+    """cut_ends (the JVM fold) against the plain rule, many random documents
+    and steps, in one Spark job."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from quarry.operators.chunk import cut_ends
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        n = rnd.randint(0, 400)
+        p = rnd.choice([0.0, 0.01, 0.05, 0.3, 0.9])
+        bounds = [j for j in range(n) if rnd.random() < p]
+        rows.append((i, n, bounds, rnd.choice([1, 2, 3, 7, 25, 50, 500])))
+    df = spark.createDataFrame(rows, "i int, n int, b array<int>, step int")
+    for step in sorted({r[3] for r in rows}):
+        got = {r.i: r.e for r in df.filter(F.col("step") == step)
+               .select("i", cut_ends(F.col("n"), F.col("b"), step).alias("e")).collect()}
+        for i, n, b, st in rows:
+            if st == step:
+                assert got[i] == chunk_ends(n, np.array(b, dtype=np.int64), step), (i, n, step)

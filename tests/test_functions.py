@@ -163,3 +163,18 @@ def test_last_token_python_whitespace_and_source_note(spark):
     s = "answer Positive negative　"
     assert one(spark, T.last_token(F.col("a")), s) == s.split()[-1]
     assert one(spark, P.with_source_note(F.col("a")), "X") == "X\n\n For additional info see source information below"
+
+
+def test_plugin_embedder_equals_native(spark):
+    import numpy as np
+    from quarry.operators import embed as EM
+    df = spark.createDataFrame([(1, "Hello World hello"), (2, "Ünïcode text, with PUNCT!"), (3, "")],
+                               "id long, text string")
+    native = {r.id: r.embedding for r in EM.hash_embed(df, "text", 16).collect()}
+    plug = {r.id: r.embedding for r in
+            EM.embed_with(df, "text", lambda: EM.hash_encoder(16), 16, "hash16-test").collect()}
+    for k in native:
+        assert np.allclose(native[k], plug[k])
+    import pytest
+    with pytest.raises(Exception, match="expected"):
+        EM.embed_with(df, "text", lambda: (lambda texts: np.zeros((len(texts), 3))), 16, "bad-dim").collect()

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -82,7 +82,8 @@ def embed_with(df: DataFrame, text_col: str, loader: Callable[[], Callable[[list
 
     ``loader()`` returns ``encode(list[str]) -> ndarray (n, dim)``.
     """
-    out_schema = df.schema.add(out_col, ArrayType(DoubleType()))
+    # a new schema object: StructType.add would change df.schema in place
+    out_schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
 
     def run(batches):
         enc = _MODEL_CACHE.get(name)

@@ -64,7 +64,3 @@ def attention_mask(a, n: int) -> Column:
     size = F.size(_c(a))
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(n), size) - 1),
                        lambda i: F.when(i < size, 1).otherwise(0))
-
-
-def round_all(a, places: int = 6) -> Column:
-    return F.transform(_c(a), lambda x: F.round(x, places))

@@ -76,8 +76,3 @@ def page_references(spark: SparkSession, sf_dir: str, base: str = TB.DATA_ROOT)
     path = U.path_from_url(U.strip_html_suffix("url"), base)
     return u.select("page_id", "url", U.tld("url").alias("tld"), path.alias("path"),
                     U.url_from_source(path, base).alias("reference"))
-
-
-def write_text_files(docs: DataFrame, out: str) -> None:
-    """K1: overwrite the text set; one row per path."""
-    docs.write.mode("overwrite").parquet(out)

@@ -48,3 +48,14 @@ def test_pdf_batch(spark, tmp):
 def test_link_lines(spark, tmp):
     _w(f"{tmp}/links.txt", "https://a.com/x.html\n\n  https://b.com/y  \n\t\n")
     assert [r.url for r in link_lines(spark, f"{tmp}/links.txt").collect()] == ["https://a.com/x.html", "https://b.com/y"]
+
+
+def test_overwrite_and_append(spark, tmp):
+    a = spark.createDataFrame([(1, "x")], "id int, t string")
+    b = spark.createDataFrame([(2, "y")], "id int, t string")
+    files.write_overwrite(a, f"{tmp}/o")
+    files.write_overwrite(b, f"{tmp}/o")
+    assert [r.id for r in spark.read.parquet(f"{tmp}/o").collect()] == [2]      # K1: replaced
+    files.write_append(a, f"{tmp}/c")
+    files.write_append(b, f"{tmp}/c")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp}/c").collect()) == [1, 2]  # K2: kept

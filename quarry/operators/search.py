@@ -36,7 +36,10 @@ from ..functions import vectors as V
 from ..session import cut_lineage, scratch_path
 
 METRICS = ("cosine", "dot", "l2")
-DEFAULT_BUDGET = 256 << 20     # bytes of question matrix per broadcast
+# Bytes of question matrix per broadcast.  PySpark loads a broadcast into
+# every Python worker, i.e. once per executor core: 64 MiB × 8 cores stays
+# around half a GiB per executor.  Larger question sets run in batches.
+DEFAULT_BUDGET = 64 << 20
 RANK_PLACES = 9                # scores are ranked after rounding to this
 SCORE_PLACES = 6               # and reported rounded to this
 # Score entries per NumPy block (questions × index rows), bounds task memory.

@@ -105,3 +105,32 @@ def test_partial_version_is_skipped(spark, tmp):
                               "embedding array<double>, embedding_model string, batch_no int")
     out = IX.write_index(IX.upsert(IX.read_index(spark, base), b), base)
     assert out.endswith("v000002") and IX.read_index(spark, base).count() == 1
+
+
+def test_partitioned_merge_rewrites_only_touched_buckets(spark, tmp):
+    import uuid
+    name = "pidx_" + uuid.uuid4().hex[:8]
+    old_rows = [(f"k{i}", f"/p{i}", [1.0], "m", 0) for i in range(40)]
+    old = spark.createDataFrame(old_rows, SCHEMA)
+    IX.merge_partitioned(spark, name, old, 8)
+    loc = spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first().data_type
+    root = loc.replace("file:", "")
+
+    def stamps():
+        out = {}
+        for d in os.listdir(root):
+            if d.startswith("bucket="):
+                out[d] = sorted(os.path.getmtime(os.path.join(root, d, f)) for f in os.listdir(os.path.join(root, d)))
+        return out
+    before = stamps()
+    new = spark.createDataFrame([("k1", "/z", [2.0], "m", 1), ("new", "/n", [1.0], "m", 1)], SCHEMA)
+    IX.merge_partitioned(spark, name, new, 8)
+    after = stamps()
+    touched = {f"bucket={r.b}" for r in new.select(IX.bucket_of(F.col("id"), 8).alias("b")).collect()}
+    assert all(before[d] == after[d] for d in before if d not in touched)     # untouched files kept
+    assert _rows(spark.table(name)) == _rows(IX.upsert(old, new))
+    # insert rule: existing k1 is kept
+    name2 = "pins_" + uuid.uuid4().hex[:8]
+    IX.merge_partitioned(spark, name2, old, 8, rule="insert")
+    IX.merge_partitioned(spark, name2, new, 8, rule="insert")
+    assert _rows(spark.table(name2)) == _rows(IX.insert_if_absent(old, new, order=("batch_no", "file_path")))

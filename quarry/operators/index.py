@@ -297,6 +297,7 @@ def merge_partitioned(spark: SparkSession, table: str, batch: DataFrame, buckets
         first = _pick(b, key, list(order), latest=(rule == "upsert"))
         first.write.partitionBy("bucket").mode("errorifexists").saveAsTable(table)
         return
+    spark.catalog.refreshTable(table)          # see the files of the latest merge
     cur = spark.table(table)
     b = b.select(*cur.columns)
     touched = [r[0] for r in b.select("bucket").distinct().collect()]     # at most `buckets` values
@@ -319,3 +320,4 @@ def merge_partitioned(spark: SparkSession, table: str, batch: DataFrame, buckets
         merged.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(key_conf, prev)
+    spark.catalog.refreshTable(table)

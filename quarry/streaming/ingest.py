@@ -165,6 +165,42 @@ def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: s
         vec.unpersist()
 
 
+def index_batch_tables(batch: DataFrame, batch_id: int, first_table: str, second_table: str,
+                       buckets: int = 1024, dim: int = E.DEFAULT_DIM, route: str = "txt") -> None:
+    """One micro-batch into both stores kept as bucket-partitioned catalog
+    tables: each batch rewrites only the buckets its ids fall in, so its cost
+    follows the batch, not the index.  Both rules are idempotent, so a
+    replayed batch changes nothing."""
+    chunks = chunk_files(batch, route)
+    vec = E.hash_embed(chunks, "text", dim).select("chunk_id", "text", "embedding").persist()
+    try:
+        model = f"hash-{dim}"
+        a = vec.select(IX.first_store_key(F.col("text")).alias("id"), F.col("chunk_id").alias("file_path"),
+                       F.create_map(F.lit("file_path"), F.col("chunk_id")).alias("metadata"), "embedding",
+                       F.lit(model).alias("embedding_model"), F.lit(int(batch_id)).cast("int").alias("batch_no"))
+        IX.merge_partitioned(batch.sparkSession, first_table, a, buckets, rule="upsert")
+        b = vec.select(IX.second_store_key(F.lit(None).cast("string"), F.col("text")).alias("id"),
+                       F.col("text").alias("document"), F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
+                       F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
+                       "embedding", F.lit(model).alias("embedding_model"),
+                       F.lit(int(batch_id)).cast("int").alias("batch_no"))
+        IX.merge_partitioned(batch.sparkSession, second_table, b, buckets, rule="insert",
+                             order=("batch_no", "id"))
+    finally:
+        vec.unpersist()
+
+
+def start_index_ingest_tables(files: DataFrame, first_table: str, second_table: str, checkpoint: str,
+                              buckets: int = 1024, dim: int = E.DEFAULT_DIM,
+                              available_now: bool = True) -> StreamingQuery:
+    """X2 with partition-local merges (the form to use for large indexes)."""
+    w = files.writeStream.option("checkpointLocation", checkpoint) \
+        .foreachBatch(lambda df, bid: index_batch_tables(df, bid, first_table, second_table, buckets, dim))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def start_index_ingest(files: DataFrame, first_base: str, second_base: str, checkpoint: str,
                        dim: int = E.DEFAULT_DIM, available_now: bool = True) -> StreamingQuery:
     w = files.writeStream.option("checkpointLocation", checkpoint) \

@@ -101,3 +101,26 @@ def test_index_ingest_second_run_adds_only_new(spark, tmp):
     assert IX._versions(spark, b) == v_b + [v_b[-1] + 1]      # exactly one new version
     assert ib.count() > n_b and IX.read_index(spark, a).count() > n_a
     assert sorted(set(r.batch_no for r in ib.collect())) == [0, 1]  # x from batch 0, z from batch 1
+
+
+def test_index_ingest_into_partitioned_tables(spark, tmp):
+    import uuid
+    staged, ck = os.path.join(tmp, "staged"), os.path.join(tmp, "ck")
+    os.makedirs(staged)
+    ta, tb = "ta_" + uuid.uuid4().hex[:6], "tb_" + uuid.uuid4().hex[:6]
+    _write(staged, "x.txt", "Alpha beta gamma. " * 40)
+    ingest.start_index_ingest_tables(ingest.staged_text(spark, staged), ta, tb, ck, buckets=16).awaitTermination(120)
+    n_a, n_b = spark.table(ta).count(), spark.table(tb).count()
+    _write(staged, "z.txt", "Delta epsilon zeta! " * 40)
+    ingest.start_index_ingest_tables(ingest.staged_text(spark, staged), ta, tb, ck, buckets=16).awaitTermination(120)
+    # the stream merged from its own session: refresh this session's listing
+    spark.catalog.refreshTable(ta)
+    spark.catalog.refreshTable(tb)
+    a, b = spark.table(ta), spark.table(tb)
+    assert a.count() > n_a and b.count() > n_b
+    assert a.count() == a.select("id").distinct().count() and b.count() == b.select("id").distinct().count()
+    # replaying a batch changes nothing
+    before = sorted(r.id for r in b.collect())
+    ingest.index_batch_tables(spark.createDataFrame([("/s/z.txt", "Delta epsilon zeta! " * 40)],
+                                                    "path string, text string"), 1, ta, tb, 16)
+    assert sorted(r.id for r in spark.table(tb).collect()) == before

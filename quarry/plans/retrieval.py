@@ -166,3 +166,9 @@ def vector_context(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     out = S.join_context(S.best_hit(hits), docs, bound // k, cols=["path", "text"])
     return out.select("question_id", F.col("id").alias("vec_id"), "score", "path",
                       F.length("text").cast("bigint").alias("context_chars"), "missing")
+
+
+def ivf_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
+    """J6, inverted-file form: k-means cells, each question probes 8 of 64."""
+    return S.ivf_search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k,
+                        nlist=64, nprobe=8)

@@ -150,3 +150,22 @@ def test_lsh_batches_beyond_budget(spark):
     one = sorted(map(tuple, S.lsh_search(idf, qdf, k=3).collect()))
     many = sorted(map(tuple, S.lsh_search(idf, qdf, k=3, broadcast_budget=1000).collect()))
     assert one == many and len(one) > 0
+
+
+def test_ivf_recall_and_exact_scores(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(20, 12))
+    base = np.repeat(centres, 15, axis=0) + rnd.normal(scale=0.1, size=(300, 12))
+    index = [(i, v.tolist()) for i, v in enumerate(base)]
+    qs = [(f"q{i}", (centres[i] + rnd.normal(scale=0.1, size=12)).tolist()) for i in range(20)]
+    idf = spark.createDataFrame(index, "id long, embedding array<double>").repartition(3)
+    qdf = spark.createDataFrame(qs, "question_id string, embedding array<double>")
+    exact = {(r.question_id, r.id): r.score for r in S.search(idf, qdf, k=5).collect()}
+    approx = S.ivf_search(idf, qdf, k=5, nlist=10, nprobe=2).collect()
+    got = {(r.question_id, r.id) for r in approx}
+    assert len(set(exact) & got) / len(exact) >= 0.9
+    allsc = {(r.question_id, r.id): r.score for r in S.search(idf, qdf, k=300).collect()}
+    assert all(abs(allsc[(r.question_id, r.id)] - r.score) < 1e-6 for r in approx)
+    # all probes = exact search
+    full = {(r.question_id, r.id) for r in S.ivf_search(idf, qdf, k=5, nlist=10, nprobe=10).collect()}
+    assert full == set(exact)

@@ -59,3 +59,20 @@ def test_overwrite_and_append(spark, tmp):
     files.write_append(a, f"{tmp}/c")
     files.write_append(b, f"{tmp}/c")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp}/c").collect()) == [1, 2]  # K2: kept
+
+
+def test_page_file_rules(spark, tmp):
+    """First visit per URL (F2); when two URLs map to one file (N5 drops
+    '.html') the later first visit wins (K1)."""
+    from quarry.plans import pages as PG
+    rows = [(1, "https://h.com/a/doc.html", "<p>one</p>"),
+            (2, "https://h.com/a/doc", "<p>two</p>"),
+            (3, "https://h.com/a/doc.html", "<p>three</p>"),     # repeat: first visit is page 1
+            (4, "HTTP://h.com/x", "<p>bad scheme</p>"),
+            (5, "  https://h.com/b  ", "<p>five</p>")]
+    d = f"{tmp}/sf"
+    os.makedirs(d)
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    got = {r.path: (r.url, r.page_id, r.text) for r in PG.page_text(spark, d).collect()}
+    assert got == {"/data/https:/h.com/a/doc.txt": ("https://h.com/a/doc", 2, "two"),
+                   "/data/https:/h.com/b.txt": ("https://h.com/b", 5, "five")}

@@ -71,7 +71,10 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    try:
+        sc.addPyFile(out)
+    except Exception:  # noqa: BLE001 - already registered by an earlier import of this module
+        pass
     _SHIPPED.add(key)
 
 

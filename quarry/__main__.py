@@ -4,6 +4,7 @@
     python -m quarry chunk   --staged staged/ --out chunks/ --checkpoint ck/ [--pdf] [--archive done/]  (Q4)
     python -m quarry index   --docs data/ --store first|second --index idx/           (Q2 / Q3)
     python -m quarry ask     --index idx/ --store first|second --questions q.txt --out hits/ [--k 5]   (Q5)
+    python -m quarry ingest  --staged staged/ --checkpoint ck/ --first-table t1 --second-table t2 [--buckets 1024]  (X2)
 
 Every command runs on the session ``spark-submit`` provides (or a local one
 when started directly); inputs and outputs are ordinary Parquet / text paths.
@@ -81,6 +82,13 @@ def _ask(spark, a):
         .write.mode("overwrite").parquet(a.out)
 
 
+def _ingest(spark, a):
+    src = ingest.staged_text(spark, a.staged)
+    q = ingest.start_index_ingest_tables(src, a.first_table, a.second_table, a.checkpoint,
+                                         buckets=a.buckets, dim=a.dim)
+    q.awaitTermination()
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="quarry")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -108,9 +116,16 @@ def main(argv: list[str] | None = None) -> None:
     k.add_argument("--out", required=True)
     k.add_argument("--k", type=int, default=5)
     k.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
+    g = sub.add_parser("ingest")
+    g.add_argument("--staged", required=True)
+    g.add_argument("--checkpoint", required=True)
+    g.add_argument("--first-table", required=True)
+    g.add_argument("--second-table", required=True)
+    g.add_argument("--buckets", type=int, default=1024)
+    g.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
     a = ap.parse_args(argv)
     spark = get_spark(app=f"quarry-{a.cmd}")
-    {"pages": _pages, "chunk": _chunk, "index": _index, "ask": _ask}[a.cmd](spark, a)
+    {"pages": _pages, "chunk": _chunk, "index": _index, "ask": _ask, "ingest": _ingest}[a.cmd](spark, a)
 
 
 if __name__ == "__main__":

@@ -36,3 +36,13 @@ def test_cli_end_to_end(spark, tmp):
           "--out", f"{tmp}/hits", "--k", "1"])
     hits = {r.question: os.path.basename(r.id) for r in spark.read.parquet(f"{tmp}/hits").collect()}
     assert hits == {"What is Apache Iceberg?": "a.txt", "What are ML runtimes?": "b.txt"}
+
+
+def test_cli_ingest_tables(spark, tmp):
+    import uuid
+    _w(f"{tmp}/staged/a.txt", "Alpha beta gamma. " * 30)
+    t1, t2 = "c1_" + uuid.uuid4().hex[:6], "c2_" + uuid.uuid4().hex[:6]
+    main(["ingest", "--staged", f"{tmp}/staged", "--checkpoint", f"{tmp}/ck", "--first-table", t1,
+          "--second-table", t2, "--buckets", "8"])
+    spark.catalog.refreshTable(t1)
+    assert spark.table(t1).count() > 0 and spark.table(t2).count() > 0

@@ -112,3 +112,22 @@ def test_native_fold_equals_rule_many_steps(spark):
         for i, n, b, st in rows:
             if st == step:
                 assert got[i] == chunk_ends(n, np.array(b, dtype=np.int64), step), (i, n, step)
+
+
+def test_null_and_empty_texts(spark):
+    from quarry.operators import embed as EM
+    from quarry.operators import search as SR
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "   "), (4, "One. Two!")], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in chunk(df).collect()]
+    assert got == [(4, "One. Two!")]
+    vec = EM.hash_embed(df, "text", 8).select(F_col("doc_id").alias("id"), "embedding")
+    emb = {r.id: r.embedding for r in vec.collect()}
+    assert emb[1] is None and emb[2] == [0.0] * 8 and sum(emb[4]) > 0
+    q = spark.createDataFrame([("q", [1.0] * 8)], "question_id string, embedding array<double>")
+    hits = SR.search(vec, q, k=5).collect()
+    assert {r.id for r in hits} == {2, 3, 4}          # the null vector is skipped, zero vectors score 0
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+    return F.col(name)

@@ -529,3 +529,17 @@ SELECT h.question_id, h.id AS vec_id, h.score, {DOC_PATH.replace('source', 'd.so
        length(d.text)::BIGINT AS context_chars, d.doc_id IS NULL AS missing
 FROM h LEFT JOIN documents d ON d.doc_id = h.id
 WHERE h.rank = 1"""
+
+
+def pages_first_store() -> str:
+    pt = page_text_native()
+    return f"""
+WITH pt AS ({pt}),
+{hash_embed_ctes('pv', 'pt', 'path')},
+es AS (SELECT id, sum(w) AS s FROM pv GROUP BY id),
+w AS (SELECT * FROM (SELECT substr(text, 1, 512) AS id, path AS file_path,
+                            row_number() OVER (PARTITION BY substr(text, 1, 512) ORDER BY path DESC) AS rn
+                     FROM pt) WHERE rn = 1)
+SELECT w.id, w.file_path, 0 AS batch_no, 'hash-64' AS embedding_model, 64 AS n_dims,
+       round(coalesce(es.s, 0), 6) AS emb_sum
+FROM w LEFT JOIN es ON es.id = w.file_path"""

@@ -96,3 +96,16 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = IX.stats(first_store(spark, sf_dir)).withColumn("store", F.lit("first"))
     b = IX.stats(second_store(spark, sf_dir)).withColumn("store", F.lit("second"))
     return a.unionByName(b)
+
+
+def pages_first_store(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """E1 end to end: page table → text files (Q1, native tag-strip form) →
+    first store (Q2): one record per 512-character prefix of a page text,
+    last writer (greatest path) wins."""
+    from .pages import page_text_native
+    texts = page_text_native(spark, sf_dir)
+    rows = E.hash_embed(texts, "text", dim).select(
+        IX.first_store_key(F.col("text")).alias("id"), F.col("path").alias("file_path"),
+        F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"), "embedding",
+        F.lit(f"hash-{dim}").alias("embedding_model"), F.lit(0).alias("batch_no"))
+    return _summary(IX.upsert(None, IX.check_dimension(rows, dim)), "id", "file_path", "batch_no")

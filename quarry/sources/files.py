@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def file_path(c="_metadata.file_path"):
+    """Absolute path of a scanned file: a local ``file:`` URI becomes a plain
+    path (the id the text jobs use); other schemes stay URIs."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, "^file:(//)?", "")
+
+
 def text_corpus(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """S3 (recursive, ``**/*.txt``) / S5 (flat): one row per whole file,
     ``(path, text)``; the absolute path is the document id."""
     r = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt")
          .option("recursiveFileLookup", recursive))
-    return r.load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return r.load(root).select(file_path().alias("path"), F.col("value").alias("text"))
 
 
 def staged_text_batch(spark: SparkSession, staged_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def pdf_batch(spark: SparkSession, staged_dir: str, extractor: Callable[[bytes],
     """``binaryFile`` scan of ``*.pdf`` (exact, case-sensitive suffix) with a
     plug-in extractor; per-file failures become ``error`` rows (X5)."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf")
-           .load(staged_dir).select("path", "content"))
+           .load(staged_dir).select(file_path("path").alias("path"), "content"))
 
     def run(batches):
         for pdf in batches:

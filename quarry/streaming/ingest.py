@@ -31,6 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators import chunk as C
 from ..operators import embed as E
 from ..operators import index as IX
+from ..sources import files
 
 
 def staged_text(spark: SparkSession, staged_dir: str, clean_source: str | None = None,
@@ -45,7 +46,7 @@ def staged_text(spark: SparkSession, staged_dir: str, clean_source: str | None =
         if clean_source == "archive":
             r = r.option("sourceArchiveDir", archive_dir)
     df = r.load(staged_dir)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return df.select(files.file_path().alias("path"), F.col("value").alias("text"))
 
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -69,7 +70,7 @@ def staged_pdfs(spark: SparkSession, staged_dir: str,
         r = r.option("cleanSource", clean_source)
         if clean_source == "archive":
             r = r.option("sourceArchiveDir", archive_dir)
-    raw = r.load(staged_dir).select("path", "content")
+    raw = r.load(staged_dir).select(files.file_path("path").alias("path"), "content")
 
     def run(batches):
         for pdf in batches:

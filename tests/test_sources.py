@@ -16,8 +16,9 @@ def test_text_corpus_recursive_and_flat(spark, tmp):
     _w(f"{tmp}/a/x.txt", "one\ntwo")
     _w(f"{tmp}/a/b/y.txt", "three")
     _w(f"{tmp}/a/z.md", "skip")
-    rec = {os.path.relpath(r.path.replace("file:", ""), tmp): r.text
-           for r in files.text_corpus(spark, f"{tmp}/a").collect()}
+    rows = files.text_corpus(spark, f"{tmp}/a").collect()
+    assert all(r.path.startswith("/") for r in rows)          # absolute path, not a file: URI
+    rec = {os.path.relpath(r.path, tmp): r.text for r in rows}
     assert rec == {"a/x.txt": "one\ntwo", "a/b/y.txt": "three"}
     flat = [r.path for r in files.text_corpus(spark, f"{tmp}/a", recursive=False).collect()]
     assert [os.path.basename(p) for p in flat] == ["x.txt"]

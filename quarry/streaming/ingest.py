@@ -112,6 +112,12 @@ def start_chunk_ingest(files: DataFrame, out_dir: str, checkpoint: str, route: s
     return q
 
 
+def chunk_file(chunk_id) -> "F.Column":
+    """Path of a chunk's text file in the data folder: ``<root>/doc_<id>.txt``."""
+    from ..sources.tables import DATA_ROOT
+    return F.concat(F.lit(DATA_ROOT + "/doc_"), chunk_id, F.lit(".txt"))
+
+
 def _written(spark: SparkSession, base: str, batch_id: int) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(os.path.join(base, "_batches", str(batch_id)))
@@ -148,8 +154,8 @@ def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: s
     try:
         model = f"hash-{dim}"
         a = vec.select(IX.first_store_key(F.col("text")).alias("id"),
-                       F.col("chunk_id").alias("file_path"),
-                       F.create_map(F.lit("file_path"), F.col("chunk_id")).alias("metadata"),
+                       chunk_file(F.col("chunk_id")).alias("file_path"),
+                       F.create_map(F.lit("file_path"), chunk_file(F.col("chunk_id"))).alias("metadata"),
                        "embedding", F.lit(model).alias("embedding_model"),
                        F.lit(int(batch_id)).cast("int").alias("batch_no"))
         old_a = IX.read_index(spark, first_base) if IX.index_exists(spark, first_base) else None
@@ -176,8 +182,8 @@ def index_batch_tables(batch: DataFrame, batch_id: int, first_table: str, second
     vec = E.hash_embed(chunks, "text", dim).select("chunk_id", "text", "embedding").persist()
     try:
         model = f"hash-{dim}"
-        a = vec.select(IX.first_store_key(F.col("text")).alias("id"), F.col("chunk_id").alias("file_path"),
-                       F.create_map(F.lit("file_path"), F.col("chunk_id")).alias("metadata"), "embedding",
+        a = vec.select(IX.first_store_key(F.col("text")).alias("id"), chunk_file(F.col("chunk_id")).alias("file_path"),
+                       F.create_map(F.lit("file_path"), chunk_file(F.col("chunk_id"))).alias("metadata"), "embedding",
                        F.lit(model).alias("embedding_model"), F.lit(int(batch_id)).cast("int").alias("batch_no"))
         IX.merge_partitioned(batch.sparkSession, first_table, a, buckets, rule="upsert")
         b = vec.select(IX.second_store_key(F.lit(None).cast("string"), F.col("text")).alias("id"),

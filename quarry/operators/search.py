@@ -245,6 +245,26 @@ def search_same_model(index: DataFrame, questions: DataFrame, k: int = 5, metric
     return out, bound
 
 
+def where(index: DataFrame, equals: dict[str, str] | None = None, contains: str | None = None,
+          document_col: str = "document", metadata_col: str = "metadata") -> DataFrame:
+    """The stores' ``where={field: value}`` and
+    ``where_document={"$contains": s}`` as filters on the index, applied
+    before the top-k.  A field that is a top-level column is filtered there
+    (so it reaches the Parquet scan); otherwise the metadata map is read."""
+    for field, value in (equals or {}).items():
+        col = F.col(field) if field in index.columns else F.element_at(F.col(metadata_col), F.lit(field))
+        index = index.filter(col == F.lit(value))
+    if contains is not None:
+        index = index.filter(F.col(document_col).contains(contains))
+    return index
+
+
+def retrieve(index: DataFrame, questions: DataFrame, k: int = 4, metric: str = "cosine",
+             equals: dict[str, str] | None = None, contains: str | None = None, **kw) -> DataFrame:
+    """The retriever the QA chain calls – filters (F6, F7), then top-k."""
+    return search(where(index, equals, contains), questions, k=k, metric=metric, **kw)
+
+
 def search_one(index: DataFrame, qvec: list[float], k: int = 5, metric: str = "cosine",
                id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """One question.  Score natively, ``orderBy(...).limit(k)`` plans as

@@ -169,3 +169,18 @@ def test_ivf_recall_and_exact_scores(spark):
     # all probes = exact search
     full = {(r.question_id, r.id) for r in S.ivf_search(idf, qdf, k=5, nlist=10, nprobe=10).collect()}
     assert full == set(exact)
+
+
+def test_where_filters_before_topk(spark):
+    idf = spark.createDataFrame(
+        [("a", [1.0, 0.0], "public", {"classification": "public", "lang": "en"}, "apache iceberg table"),
+         ("b", [1.0, 0.05], "restricted", {"classification": "restricted", "lang": "en"}, "iceberg"),
+         ("c", [0.0, 1.0], "public", {"classification": "public", "lang": "de"}, "other text")],
+        "id string, embedding array<double>, classification string, metadata map<string,string>, document string")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, embedding array<double>")
+    ids = lambda df: [r.id for r in sorted(df.collect(), key=lambda r: r.rank)]
+    assert ids(S.retrieve(idf, q, k=3)) == ["a", "b", "c"]
+    assert ids(S.retrieve(idf, q, k=3, equals={"classification": "public"})) == ["a", "c"]
+    assert ids(S.retrieve(idf, q, k=3, equals={"lang": "en"}, contains="iceberg")) == ["a", "b"]
+    plan = S.where(idf, {"classification": "public"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "classification" in plan

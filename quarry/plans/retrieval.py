@@ -89,8 +89,7 @@ def filtered_search(spark: SparkSession, sf_dir: str, k: int = 2, classification
     """Q8: metadata equality (F6) and document-contains (F7) filters before a
     squared-L2 top-k (T3); listing with rank, id, classification, snippet and
     the full document read back by path (F10, J1)."""
-    idx = classified_docs(spark, sf_dir).filter(
-        (F.col("classification") == classification) & F.col("document").contains(contains))
+    idx = S.where(classified_docs(spark, sf_dir), {"classification": classification}, contains)
     idx = E.hash_embed(idx, "document", dim).select("id", "embedding")
     hits, bound = S.search_bounded(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="l2")
     docs = TB.documents(spark, sf_dir).select("path", "text")

@@ -124,3 +124,23 @@ def test_index_ingest_into_partitioned_tables(spark, tmp):
     ingest.index_batch_tables(spark.createDataFrame([("/s/z.txt", "Delta epsilon zeta! " * 40)],
                                                     "path string, text string"), 1, ta, tb, 16)
     assert sorted(r.id for r in spark.table(tb).collect()) == before
+
+
+def test_failure_stops_the_chain_and_restart_completes(spark, tmp):
+    staged, b, ck = (os.path.join(tmp, x) for x in ("staged", "b", "ck"))
+    os.makedirs(staged)
+    _write(staged, "x.txt", "Alpha beta gamma. " * 40)
+    blocked = os.path.join(tmp, "blocked")
+    _write(tmp, "blocked", "a file where the first store's folder should be")
+    q = ingest.start_index_ingest(ingest.staged_text(spark, staged), blocked, b, ck)
+    try:
+        q.awaitTermination(120)
+    except Exception:  # noqa: BLE001 - the batch error surfaces here
+        pass
+    assert q.exception() is not None                      # X3: the failure stopped the query
+    assert not IX.index_exists(spark, b)                  # nothing of the failed batch is visible
+    # restart on the same checkpoint with a usable folder: the batch is redone
+    a = os.path.join(tmp, "a")
+    ingest.start_index_ingest(ingest.staged_text(spark, staged), a, b, ck).awaitTermination(120)
+    ia, ib = IX.read_index(spark, a), IX.read_index(spark, b)
+    assert ia.count() > 0 and ib.count() == ib.select("id").distinct().count() > 0

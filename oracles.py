@@ -26,30 +26,6 @@ def hash_embed_ctes(name: str, src: str, id_expr: str, text_expr: str = "text",
   SELECT id, b, c / greatest(sqrt(sum(c * c) OVER (PARTITION BY id)), 1e-12) AS w FROM {name}_cnt)"""
 
 
-def cosine_topk_ctes(name: str, q: str, q_ids: str, d: str, d_ids: str, k: int) -> str:
-    """CTE ``<name>`` (question_id, rank, id, score) over sparse vectors.
-
-    ``q_ids`` / ``d_ids`` list every id (also those with an empty vector).
-    """
-    return f"""
-{name}_dot AS (
-  SELECT q.id AS qid, d.id AS did, sum(q.w * d.w) AS dot FROM {q} q JOIN {d} d USING (b) GROUP BY 1, 2),
-{name}_qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM {q} GROUP BY id),
-{name}_dn AS (SELECT id, sqrt(sum(w * w)) AS n FROM {d} GROUP BY id),
-{name}_all AS (
-  SELECT qi.id AS qid, di.id AS did,
-         coalesce(x.dot, 0) / greatest(coalesce(qn.n, 0), 1e-12) / greatest(coalesce(dn.n, 0), 1e-12) AS score
-  FROM {q_ids} qi CROSS JOIN {d_ids} di
-  LEFT JOIN {name}_dot x ON x.qid = qi.id AND x.did = di.id
-  LEFT JOIN {name}_qn qn ON qn.id = qi.id
-  LEFT JOIN {name}_dn dn ON dn.id = di.id),
-{name} AS (
-  SELECT * FROM (
-    SELECT qid AS question_id, did AS id, score,
-           row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, did) AS rank
-    FROM {name}_all) WHERE rank <= {k})"""
-
-
 USER_Q = """(SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS question_id, text
             FROM conversations WHERE role = 'user')"""
 DOC_PATH = "'/data/' || source || '/' || doc_id::VARCHAR || '.txt'"
@@ -61,7 +37,7 @@ WITH {hash_embed_ctes('qv', USER_Q, 'question_id')},
 {hash_embed_ctes('dv', 'documents', 'doc_id')},
 qi AS (SELECT question_id AS id FROM {USER_Q}),
 di AS (SELECT doc_id AS id FROM documents),
-{cosine_topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k)}
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'cosine')}
 SELECT h.question_id, h.id AS doc_id, {DOC_PATH} AS path, round(h.score, 6) AS score,
        d.text AS context, d.doc_id IS NULL AS missing
 FROM hits h LEFT JOIN documents d ON d.doc_id = h.id
@@ -295,26 +271,30 @@ SELECT question_id, temperature, token_count::INTEGER AS max_tokens, store,
 
 
 # ---- search variants -----------------------------------------------------------
-def topk_ctes(name: str, q: str, q_ids: str, d: str, d_ids: str, k: int, metric: str) -> str:
-    """CTE ``<name>`` (question_id, rank, id, score) for cosine or squared L2."""
+def topk_ctes(name: str, q: str, q_ids: str, d: str, d_ids: str, k: int, metric: str,
+              dim: int = DIM) -> str:
+    """CTE ``<name>`` (question_id, rank, id, score) for cosine or squared L2.
+
+    Sparse vectors ``(id, b, w)`` are densified to ``dim``-element lists
+    (ids without weights become zero vectors) and every question × record
+    pair is scored with ``list_dot_product``.
+    """
+    def dense(src: str, ids: str) -> str:
+        return (f"SELECT i.id, list(coalesce(x.w, 0.0) ORDER BY r.b) AS v "
+                f"FROM {ids} i CROSS JOIN range({dim}) r(b) LEFT JOIN {src} x ON x.id = i.id AND x.b = r.b "
+                f"GROUP BY i.id")
     if metric == "cosine":
-        score = ("coalesce(x.dot, 0) / greatest(sqrt(coalesce(qn.n2, 0)), 1e-12) "
-                 "/ greatest(sqrt(coalesce(dn.n2, 0)), 1e-12)")
+        score = ("list_dot_product(q.v, d.v) / greatest(sqrt(list_dot_product(q.v, q.v)), 1e-12) "
+                 "/ greatest(sqrt(list_dot_product(d.v, d.v)), 1e-12)")
         order = "round(score, 9) DESC"
     else:
-        score = "greatest(coalesce(qn.n2, 0) + coalesce(dn.n2, 0) - 2 * coalesce(x.dot, 0), 0)"
+        score = ("greatest(list_dot_product(q.v, q.v) + list_dot_product(d.v, d.v) "
+                 "- 2 * list_dot_product(q.v, d.v), 0)")
         order = "round(score, 9) ASC"
     return f"""
-{name}_dot AS (
-  SELECT q.id AS qid, d.id AS did, sum(q.w * d.w) AS dot FROM {q} q JOIN {d} d USING (b) GROUP BY 1, 2),
-{name}_qn AS (SELECT id, sum(w * w) AS n2 FROM {q} GROUP BY id),
-{name}_dn AS (SELECT id, sum(w * w) AS n2 FROM {d} GROUP BY id),
-{name}_all AS (
-  SELECT qi.id AS qid, di.id AS did, {score} AS score
-  FROM {q_ids} qi CROSS JOIN {d_ids} di
-  LEFT JOIN {name}_dot x ON x.qid = qi.id AND x.did = di.id
-  LEFT JOIN {name}_qn qn ON qn.id = qi.id
-  LEFT JOIN {name}_dn dn ON dn.id = di.id),
+{name}_qv AS ({dense(q, q_ids)}),
+{name}_dv AS ({dense(d, d_ids)}),
+{name}_all AS (SELECT q.id AS qid, d.id AS did, {score} AS score FROM {name}_qv q CROSS JOIN {name}_dv d),
 {name} AS (
   SELECT * FROM (
     SELECT qid AS question_id, did AS id, score,

@@ -9,19 +9,17 @@ import re
 
 
 def model(text, step=500):
-    """Straight transcription of the documented rule, for comparison."""
-    text = text.encode("ascii", errors="ignore").decode("ascii")
-    text = re.sub(r"[^A-Za-z0-9 .,?!]+", "", text)
-    wl = text.split()
-    s, out = 0, []
-    while s < len(wl):
-        e = min(s + step, len(wl) - 1)
-        for i in range(e, s, -1):
-            if wl[i][-1] in ".!?":
-                e = i
-                break
-        out.append((s, e, " ".join(wl[s:e + 1])))
-        s = e + 1
+    """The cut rule as SURVEY states it: the window of a chunk starting at s
+    ends at min(s + step, n - 1); the chunk ends at the last sentence-ending
+    word inside (s, window end], or at the window end when there is none."""
+    words = re.sub(r"[^A-Za-z0-9 .,?!]", "", text).split()
+    n, start, out = len(words), 0, []
+    while start < n:
+        window_end = min(start + step, n - 1)
+        closers = [i for i in range(start + 1, window_end + 1) if words[i][-1] in ".!?"]
+        end = closers[-1] if closers else window_end
+        out.append((start, end, " ".join(words[start:end + 1])))
+        start = end + 1
     return out
 
 

@@ -156,7 +156,7 @@ def test_fast_cleaning_equals_class_rule(spark):
              "\x00a\x7fb\u0085c d", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.x for r in df.select(T.clean_for_chunking("t").alias("x")).collect()]
-    assert got == [re.sub(r"[^A-Za-z0-9 .,?!]+", "", t.encode("ascii", "ignore").decode()) for t in texts]
+    assert got == [re.sub(r"[^A-Za-z0-9 .,?!]", "", t) for t in texts]
 
 
 def test_last_token_python_whitespace_and_source_note(spark):

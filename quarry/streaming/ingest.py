@@ -140,8 +140,9 @@ def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: s
     if _written(spark, second_base, batch_id):
         return
     if reject_out and "error" in batch.columns:
-        batch.filter(F.col("error").isNotNull()) \
-            .withColumn("batch_id", F.lit(int(batch_id))).write.mode("append").parquet(reject_out)
+        # per batch id and overwritten, so a replayed batch does not add twice
+        batch.filter(F.col("error").isNotNull()).write.mode("overwrite") \
+            .parquet(os.path.join(reject_out, f"batch_id={int(batch_id)}"))
     chunks = chunk_files(batch, route)
     if chunk_out:
         # one cut of lineage: the chunk set is written once and both stores

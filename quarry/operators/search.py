@@ -439,8 +439,13 @@ def ivf_search(index: DataFrame, questions: DataFrame, k: int = 5, nlist: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    feats = index.select(id_col, vec_col).filter(F.col(vec_col).isNotNull()) \
-        .withColumn("_features", array_to_vector(V.l2_normalise(F.col(vec_col))))
+    st = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
+    nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
+    # null vectors train as zero vectors instead of being filtered: a filter
+    # on the embedding would let Catalyst evaluate the embedder twice
+    zero = F.array_repeat(F.lit(0.0), max(dim, 1))
+    feats = index.select(id_col, vec_col) \
+        .withColumn("_features", array_to_vector(V.l2_normalise(F.coalesce(F.col(vec_col), zero))))
     train = feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed)
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_cluster").fit(train)
@@ -448,9 +453,6 @@ def ivf_search(index: DataFrame, questions: DataFrame, k: int = 5, nlist: int =
     C = C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), V.NORM_EPS)
     assigned = model.transform(feats).select(id_col, vec_col, "_cluster")
 
-    st = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
-    nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
-
     def run_batch(qs: DataFrame):
         rows = qs.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
         qids = np.array([r[0] for r in rows], dtype=object)

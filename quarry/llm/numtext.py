@@ -148,3 +148,16 @@ def words(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE) ->
     first = np.searchsorted(start, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     return Words(buf, offs, start, end, doc, first)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and for U+00C0 to U+00DE (other letters stay)."""
+    low = _LOWER[buf]
+    if len(buf):
+        upper = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        low[1:][upper] += 0x20
+    return low

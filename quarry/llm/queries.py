@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality, simhash, toxicity
+from quarry.llm import chat, decontam, packing, pii, quality, sharding, simhash, tagpath, toxicity, warc
 from quarry.llm.common import table
 from quarry.session import checkpoint_dir, ship_package
 
@@ -22,12 +22,38 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.resolved_archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpath.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.repetition_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                        "dup_line_chars", *[f"dup_{n}_chars" for n in quality.MAX_COVERAGE])
 
 
+def op6_balanced_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_values"))
+
+
 def op8_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -53,7 +79,8 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
-_ALL = [op5_repetition_coverage, op8_bit_sliced_simhash, op9_ftrl_toxicity, op10_binary_packing]
+_ALL = [op1_latent_decontamination, op2_perspective_rotation, op3_revisit_resolution, op4_tag_path_ratios, op5_repetition_coverage,
+        op6_balanced_propagation, op7_feistel_pseudonyms, op8_bit_sliced_simhash, op9_ftrl_toxicity, op10_binary_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repetition_coverage": quality.oracle_sql()}
+    return {"op2_perspective_rotation": chat.oracle_sql(), "op3_revisit_resolution": warc.oracle_sql(),
+            "op5_repetition_coverage": quality.oracle_sql()}

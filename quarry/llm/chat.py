@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import running_sum, text_column
+from quarry.llm.common import exact, running_sum, text_column
 
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
@@ -35,6 +35,7 @@ def _plain(c: Column) -> Column:
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, perspective, turn, speaker, role, rendered, start, end, mask_start, mask_end."""
+    turns = exact(turns, conv_col, turn_col, role_col, text_col)
     said = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("speaker"),
                         text_column(turns, text_col).alias("text"))

@@ -29,6 +29,16 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names (of equal names the first), and no others.
+
+    Other columns may have any names, also these in other case.
+    """
+    places = [df.columns.index(n) for n in names]
+    plain = df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+    return plain.select(*[F.col(f"_{k}").alias(n) for k, n in zip(places, names)])
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import numtext as nt
-from quarry.llm.common import stored, text_column
+from quarry.llm.common import exact, stored, text_column
 
 WINDOW, STRIDE = 64, 32
 RANK = 128
@@ -214,6 +214,7 @@ def judge(item: Item, around: np.ndarray) -> tuple[int, int, bool]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = exact(docs, id_col, text_col)
     return docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
 
 
@@ -362,8 +363,9 @@ def candidates(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
     """One row per (document, item) whose passages are close, with the checks' outcome."""
     spark: SparkSession = docs.sparkSession
+    benchmark = exact(benchmark, item_col, item_text_col)
     texts = _texts(docs, id_col, text_col)
-    id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    id_type, item_type = texts.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     # the benchmark is the query set: it is read by the driver and broadcast in blocks of bounded size
     rows = benchmark.select(F.col(item_col), text_column(benchmark, item_text_col).alias("t")).dropDuplicates().orderBy(item_col, "t").toLocalIterator()
     items = read_items([(r[0], r[1]) for r in rows])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import numtext as nt
-from quarry.llm.common import text_column
+from quarry.llm.common import exact, text_column
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -169,6 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     if most & (most - 1):
         raise ValueError("the longest piece must be a power of two")
+    docs = exact(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset", "batch_id"]
 

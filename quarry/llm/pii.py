@@ -322,27 +322,27 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
 
     A column of the latter name is replaced.  ``reverse`` restores the values.
     """
-    docs = docs.drop("pii_spans")
-    kept = [c for c in docs.columns if c != text_col]
+    names = docs.columns
+    at = names.index(text_col)
+    kept = [k for k, c in enumerate(names) if k != at and c != "pii_spans"]
+    # by position: columns may have any names, equal ones in other case too
+    plain = docs.toDF(*[f"_{k}" for k in range(len(names))])
+    narrow = plain.select(F.col(f"_{at}").cast("string").alias("_t"), *[f"_{k}" for k in kept])
     spans = "array<struct<start:int,end:int,kind:string>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    schema = docs.select(F.col(text_col).cast("string").alias("_t"), F.lit(None).cast(spans).alias("_s")).schema
+    schema = narrow.select("_t", F.lit(None).cast(spans).alias("_s"), *narrow.columns[1:]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Pseudonyms(key)
+        pseudonyms = Pseudonyms(key)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                got = [(None, []) if t is None else names.text(t, reverse) for t in part.column(0).to_pylist()]
+                got = [(None, []) if t is None else pseudonyms.text(t, reverse) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([t for t, _ in got], pa.string()),
                      pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in got], kind), *part.columns[1:]],
-                    ["_t", "_s", *[f"_{k}" for k in range(len(kept))]])
+                    ["_t", "_s", *[f"_{k}" for k in kept]])
 
-    # by position: columns may have any names, equal ones in other case too
-    narrow = docs.select(F.col(text_col).cast("string"), *[F.col(c) for c in kept]).toDF("_t", *[f"_{k}" for k in range(len(kept))])
-    for k, c in enumerate(kept):
-        schema = schema.add(f"_{k}", docs.schema[c].dataType, True)
     done = narrow.mapInArrow(run, schema)
-    back = {c: f"_{k}" for k, c in enumerate(kept)}
-    return done.select(*[F.col(back.get(c, "_t")).alias(c) for c in docs.columns], F.col("_s").alias("pii_spans"))
+    return done.select(*[F.col("_t" if k == at else f"_{k}").alias(c) for k, c in enumerate(names) if k == at or k in kept],
+                       F.col("_s").alias("pii_spans"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import numtext as nt
-from quarry.llm.common import text_column
+from quarry.llm.common import exact, text_column
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -105,6 +105,7 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 def coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and the counts of ``COUNTS``."""
+    docs = exact(docs, id_col, text_col)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
 
     def run(batches):
@@ -136,12 +137,11 @@ def oracle_sql() -> str:
     """DuckDB SQL for the query's rows, from the words' strings."""
     spaces = r"[^\x20\x09-\x0D]+"
     grams = "\n".join(
-        f"""      , g{n} AS (SELECT r, i FROM (SELECT r, unnest(range(1, n_words - {n - 2})) AS i,
-                unnest(list_transform(range(1, n_words - {n - 2}), lambda i: array_to_string(list_slice(ws, i, i + {n - 1}), ' '))) AS gram
-              FROM n WHERE n_words >= {n}) QUALIFY count(*) OVER (PARTITION BY r, gram) > 1)
-        , c{n} AS (SELECT r, count(*) AS words, sum(chars) AS chars FROM pos
+        f"""      , g{n} AS (SELECT r, i FROM gr WHERE g{n} IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g{n}) > 1)
+        , c{n} AS (SELECT r, count(*) AS words, sum(chars) AS chars FROM gr
               JOIN (SELECT DISTINCT r, unnest(range(i, i + {n})) AS i FROM g{n}) USING (r, i) GROUP BY r)"""
         for n in MAX_COVERAGE)
+    windows = ", ".join("w" + "".join(f" || ' ' || lead(w, {k}) OVER o" for k in range(1, n)) + f" AS g{n}" for n in MAX_COVERAGE)
     cols = ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_{n}_chars" for n in MAX_COVERAGE)
     joins = " ".join(f"LEFT JOIN c{n} USING (r)" for n in MAX_COVERAGE)
     bad = " OR ".join([f"dup_{n}_chars * 100 > word_chars * {m}" for n, m in MAX_COVERAGE.items()]
@@ -151,7 +151,8 @@ def oracle_sql() -> str:
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)
       , w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{spaces}') AS ws FROM d)
       , n AS (SELECT *, len(ws) AS n_words FROM w)
-      , pos AS (SELECT r, unnest(range(1, n_words + 1)) AS i, unnest(list_transform(ws, lambda w: len(w))) AS chars FROM n)
+      , pos AS (SELECT r, unnest(ws) AS w, unnest(range(1, n_words + 1)) AS i FROM n)
+      , gr AS (SELECT r, i, len(w) AS chars, {windows} FROM pos WINDOW o AS (PARTITION BY r ORDER BY i))
       , ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
       , lw AS (SELECT r, line, len(array_to_string(regexp_extract_all(line, '{spaces}'), '')) AS chars FROM ln)
       , lc AS (SELECT r, line, chars, count(*) AS c FROM lw WHERE chars > 0 GROUP BY ALL)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_column
+from quarry.llm.common import exact, stored, text_column
 
 SHARDS = 24
 ROUNDS = 8
@@ -81,6 +81,7 @@ def propagate(cells: DataFrame, shards: list[int], quota: int, rounds: int = ROU
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null)."""
+    docs = exact(docs, id_col, text_col)
     text = text_column(docs, text_col)
     slim = stored(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
                               F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")), "shard-docs")

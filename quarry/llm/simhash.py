@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import numtext as nt
-from quarry.llm.common import stored, text_column
+from quarry.llm.common import exact, stored, text_column
 from quarry.session import checkpoint_dir
 
 SHINGLE = 3
@@ -83,6 +83,7 @@ def slice_fingerprints(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long) of every row; fp holds the 64 bits as a signed number."""
+    docs = exact(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import exact
+
 SIGMA = 1.0
 CUT = 0.5
 #: share of the content text that the article's element holds at least
@@ -282,5 +284,6 @@ def extract(html_column: Column) -> Column:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
+    pages = exact(pages, id_col, url_col, html_col)
     texts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extract(F.col(html_col).cast("string")).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

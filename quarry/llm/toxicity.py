@@ -6,37 +6,40 @@ FTRL-proximal with per-coordinate rates and L1 sparsity on a sample of at
 most about ``SAMPLE`` labelled rows: the labelled ids are drawn by a hash
 threshold, so the bound holds at any size and the draw doesn't depend on
 partitions.  The sample is dealt to ``SHARDS`` tasks; after each round
-their states (z and n of each slot) are averaged.  The non-zero weights, at
-most 2**BITS numbers, are broadcast, and every document is scored whole.
+their states (z and n of each slot) are averaged.  Slots of fewer than
+``MIN_TEXTS`` sampled texts don't take part.  The non-zero weights (some
+hundreds) are broadcast, and every document is scored whole.
 
 Nulls and empty texts have no features: their score is that of the bias.
 Repeated documents get one row each; of repeated ids one text is learned
 (the smallest), and of contradicting labels the greater.  Labels without a
 text and null labels are not learned.  With no labelled row at all the
-score is 0.5 for every document.
+score is that of the prior rate, 0.05, for every document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import numtext as nt
-from quarry.llm.common import stored, text_column
+from quarry.llm.common import exact, stored, text_column
 
-BITS = 18
-SAMPLE = 40_000
+BITS = 22
+SAMPLE = 20_000
 SHARDS = 4
 ROUNDS = 5
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
-#: the slot of the bias, behind the hashed ones
-BIAS = 1 << BITS
+#: slots of fewer sampled texts are left out: their weight couldn't exceed the L1 bound
+MIN_TEXTS = 4
 _U = np.uint64
 
 
@@ -75,17 +78,20 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def train(rows: Iterator[tuple[int, np.ndarray]], z: np.ndarray, n: np.ndarray) -> None:
-    """One pass, in place; the bias isn't shrunk."""
-    bias_rate = lambda: (BETA + np.sqrt(n[BIAS])) / ALPHA
+    """One pass, in place; the last coordinate is the bias, which isn't shrunk."""
     for y, s in rows:
         zs, ns = z[s], n[s]
         w = weights(zs, ns)
-        b = -z[BIAS] / bias_rate()
+        b = bias(z, n)
         g = 1 / (1 + np.exp(-min(35.0, max(-35.0, w.sum() + b)))) - y
         z[s] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) * w / ALPHA
         n[s] = ns + g * g
-        z[BIAS] += g - (np.sqrt(n[BIAS] + g * g) - np.sqrt(n[BIAS])) * b / ALPHA
-        n[BIAS] += g * g
+        z[-1] += g - (np.sqrt(n[-1] + g * g) - np.sqrt(n[-1])) * b / ALPHA
+        n[-1] += g * g
+
+
+def bias(z: np.ndarray, n: np.ndarray) -> float:
+    return float(-z[-1] * ALPHA / (BETA + np.sqrt(n[-1])))
 
 
 def sampled_labels(labels: DataFrame, sample: int) -> DataFrame:
@@ -97,58 +103,102 @@ def sampled_labels(labels: DataFrame, sample: int) -> DataFrame:
     return known.filter(F.pmod(F.xxhash64(F.lit("ftrl"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
 
 
+@dataclass
+class Model:
+    """Sparse weights by hash slot, and the bias."""
+    slots: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+
+def _slot_counts(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        count = np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                count[np.frombuffer(data, "<i4")] += 1
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used])], ["slot", "n"])
+
+    return rows.select("slots").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _numbered(rows: DataFrame, kept: Broadcast) -> DataFrame:
+    """Slots as numbers of the kept ones, the others left out."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for data in b.column(2).to_pylist():
+                s = np.frombuffer(data, "<i4")
+                k = np.searchsorted(kept.value, s)
+                k[k == len(kept.value)] = 0
+                out.append(k[kept.value[k] == s].astype("<i4").tobytes() if len(kept.value) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "slots"])
+
+    return rows.select("doc_id", "toxic", "slots").mapInArrow(run, rows.select("doc_id", "toxic", "slots").schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
-        rounds: int = ROUNDS) -> np.ndarray:
-    """The weights (float64 of size 2**BITS + 1) from (doc_id, toxic) labels."""
+        rounds: int = ROUNDS) -> Model:
+    """The model from (doc_id, toxic) labels."""
     spark = docs.sparkSession
-    drawn = F.broadcast(sampled_labels(labels.select("doc_id", "toxic"), sample))   # bounded by ``sample``
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_column(docs, text_col)).alias("text")).join(drawn, "doc_id")
-    once = feature_rows(texts).groupBy("doc_id").agg(F.min(F.struct("toxic", "slots")).alias("r")).select("doc_id", "r.*")
-    rows = stored(once.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int")), "ftrl-rows")
-    z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
-    for turn in range(rounds):
+    drawn = F.broadcast(sampled_labels(exact(labels, "doc_id", "toxic"), sample))   # bounded by ``sample``
+    texts = exact(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.lower(text_column(docs, text_col)).alias("text")).join(drawn, "doc_id")
+    rows = stored(feature_rows(texts).groupBy("doc_id").agg(F.min(F.struct("toxic", "slots")).alias("r")).select("doc_id", "r.*"), "ftrl-rows")
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+    common = _slot_counts(rows).filter(F.col("n") >= MIN_TEXTS).select("slot").toPandas()       # at most 2**BITS numbers
+    kept = spark.sparkContext.broadcast(np.sort(common["slot"].to_numpy(np.int32)))
+    size = len(kept.value)
+
+    order = F.xxhash64(F.lit("shard"), "doc_id")
+    sharded = stored(_numbered(rows, kept).withColumn("shard", F.pmod(order, F.lit(SHARDS)).cast("int")).withColumn("place", order), "ftrl-shards")
+    shards = max(1, sharded.select("shard").distinct().count())
+
+    rate = (seen.pos + 1) / (seen.n + 20)
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    z[-1] = -np.log(rate / (1 - rate)) * BETA / ALPHA       # the bias begins at the labels' rate
+    for _ in range(rounds if seen.n else 0):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
 
-        def shard(pdf: pd.DataFrame) -> pd.DataFrame:   # used within this round only
+        def shard(pdf: pd.DataFrame) -> pd.DataFrame:     # used within this round only
             z, n = (x.astype(np.float64) for x in state.value)
-            pdf = pdf.sort_values("doc_id", kind="stable")
-            order = np.random.default_rng(turn).permutation(len(pdf))
-            y, s = pdf["toxic"].to_numpy()[order], pdf["slots"].to_numpy()[order]
-            train(((int(a), np.frombuffer(b, "<i4")) for a, b in zip(y, s)), z, n)
+            pdf = pdf.sort_values(["place", "doc_id"], kind="stable")
+            train(((int(y), np.frombuffer(x, "<i4")) for y, x in zip(pdf["toxic"], pdf["slots"])), z, n)
             used = np.flatnonzero(n)
-            return pd.DataFrame({"slot": used.astype(np.int32), "z": z[used], "n": n[used]})
+            return pd.DataFrame({"slot": used, "z": z[used], "n": n[used]})
 
-        got = rows.groupBy("shard").applyInPandas(shard, "slot int, z double, n double") \
-            .groupBy("slot").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()   # at most 2**BITS + 1 rows
-        z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+        got = sharded.groupBy("shard").applyInPandas(shard, "slot long, z double, n double").groupBy("slot") \
+            .agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()     # one row for each kept slot at most
+        z, n = np.zeros(size + 1), np.zeros(size + 1)
         z[got["slot"]], n[got["slot"]] = got["z"], got["n"]
         state.unpersist()
-    w = weights(z, n)
-    w[BIAS] = -z[BIAS] / ((BETA + np.sqrt(n[BIAS])) / ALPHA)
-    return w
+    w = weights(z, n)[:-1]
+    used = np.flatnonzero(w)
+    return Model(kept.value[used], w[used], bias(z, n))
 
 
-def score(docs: DataFrame, w: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs``, with ``score`` and ``predicted`` (replaced if there)."""
-    spark = docs.sparkSession
-    used = np.flatnonzero(w)
-    sparse = spark.sparkContext.broadcast((used.astype(np.int32), w[used].astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)        # the non-zero weights
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dense = np.zeros(BIAS + 1)
-        dense[sparse.value[0]] = sparse.value[1]
+        dense = np.zeros(1 << BITS, np.float32)
+        dense[shared.value.slots] = shared.value.weights
         for text in batches:
             out = []
             for i, j, buf, offs in nt.slices(pa.array(text, pa.large_string())):
                 d, s = features(buf, offs)
-                total = np.bincount(d, dense[s], j - i) + dense[BIAS]
+                total = np.bincount(d, dense[s], j - i) + shared.value.bias
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
+    names = docs.columns
+    plain = docs.toDF(*[f"_{k}" for k in range(len(names))])
     # six decimals: the sums' last bits may differ with the slices
-    scored = docs.withColumn("score", F.round(probability(F.lower(text_column(docs, text_col))), 6))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = plain.withColumn("score", F.round(probability(F.lower(text_column(plain, f"_{names.index(text_col)}"))), 6))
+    return scored.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(names) if c not in ("score", "predicted")],
+                         "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, stored, text_column
+from quarry.llm.common import exact, scratch, stored, text_column
 
 CRLF = "\r\n"
 DATE = "2025-01-01T00:00:00Z"
@@ -75,6 +75,7 @@ def write_archive(records: DataFrame, path: str) -> None:
 
 def write_responses(pages: DataFrame, path: str) -> None:
     """One response record for every row of (page_id, url, html)."""
+    pages = exact(pages, "page_id", "url", "html")
     html = text_column(pages, "html")
     write_archive(pages.select(record(F.lit("response"), F.col("page_id"), F.col("url"), html, F.octet_length(html)).alias("value")), path)
 
@@ -110,11 +111,11 @@ class _Stream:
         """The next record's header lines; None at the end."""
         n = 1024
         while (end := self.out.find(b"\r\n\r\n")) < 0:
-            if not self.fill(n):
+            if not self.fill(n) and self.out.find(b"\r\n\r\n") < 0:
                 if self.out.strip():
                     raise ValueError("the archive ends within a header")
                 return None
-            n += 1024
+            n = max(n, len(self.out)) + 1024
         lines = self.take(end + 4).decode().strip().split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError("no WARC record")

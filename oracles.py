@@ -38,10 +38,10 @@ WITH {hash_embed_ctes('qv', USER_Q, 'question_id')},
 qi AS (SELECT question_id AS id FROM {USER_Q}),
 di AS (SELECT doc_id AS id FROM documents),
 {topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'cosine')}
-SELECT h.question_id, h.id AS doc_id, {DOC_PATH} AS path, round(h.score, 6) AS score,
+SELECT u.question_id, h.id AS doc_id, {DOC_PATH} AS path, round(h.score, 6) AS score,
        d.text AS context, d.doc_id IS NULL AS missing
-FROM hits h LEFT JOIN documents d ON d.doc_id = h.id
-WHERE h.rank = 1"""
+FROM {USER_Q} u LEFT JOIN hits h ON h.question_id = u.question_id AND h.rank = 1
+LEFT JOIN documents d ON d.doc_id = h.id"""
 
 
 # ---- pages / URLs ------------------------------------------------------------
@@ -164,8 +164,8 @@ WITH ch AS ({ch.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)}),
 rows AS (
   SELECT doc_id, -1 AS chunk_ix, {DOC_PATH} AS path, text, 0 AS batch_no FROM documents
   UNION ALL
-  SELECT doc_id, chunk_ix, NULL AS path, text, 1 AS batch_no FROM ch),
-keyed AS (SELECT row_number() OVER () AS rid, coalesce(path, substr(text, 1, 50)) AS id, * FROM rows),
+  SELECT doc_id, chunk_ix, '/data/doc_' || chunk_id || '.txt' AS path, text, 1 AS batch_no FROM ch),
+keyed AS (SELECT row_number() OVER () AS rid, path AS id, * FROM rows),
 {hash_embed_ctes('ev', 'keyed', 'rid')},
 es AS (SELECT id, sum(w) AS s FROM ev GROUP BY id),
 cls AS (SELECT DISTINCT doc_id, 'restricted' AS c FROM labels WHERE toxic = 1),
@@ -176,6 +176,50 @@ SELECT w.id, coalesce(cls.c, 'public') AS classification, w.batch_no, w.doc_id,
 FROM w LEFT JOIN es ON es.id = w.rid LEFT JOIN cls ON cls.doc_id = w.doc_id"""
 
 
+def pathless_store() -> str:
+    return f"""
+WITH k AS (SELECT substr(text, 1, 50) AS id, text AS document, conv_id, turn FROM conversations),
+w AS (SELECT row_number() OVER () AS rid, * FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY conv_id, turn, document) AS rn FROM k) WHERE rn = 1),
+{hash_embed_ctes('ev', 'w', 'rid', 'document')},
+es AS (SELECT id, sum(w) AS s FROM ev GROUP BY id)
+SELECT w.id, 'public' AS classification, conv_id, turn, 'hash-64' AS embedding_model, 64 AS n_dims,
+       round(coalesce(es.s, 0), 6) AS emb_sum
+FROM w LEFT JOIN es ON es.id = w.rid"""
+
+
+def first_store_reload() -> str:
+    """Later load first: its rows win wherever the 512-character key is equal."""
+    return f"""
+WITH d AS (SELECT doc_id, {DOC_PATH} AS path, text, CAST(substr(source, 4) AS INTEGER) AS b FROM documents),
+r AS (SELECT doc_id, path, text, b AS batch_no, 1 AS load FROM d WHERE b % 2 = 0
+      UNION ALL SELECT doc_id, path, text, -1, 2 FROM d WHERE b % 2 <> 0
+      UNION ALL SELECT doc_id, '/a' || path, substr(text, 1, 512) || ' changed', -1, 2 FROM d WHERE b % 2 = 0 AND doc_id % 10 = 0),
+w AS (SELECT row_number() OVER () AS rid, * FROM (
+  SELECT substr(text, 1, 512) AS id, *,
+         row_number() OVER (PARTITION BY substr(text, 1, 512) ORDER BY load DESC, batch_no DESC, path DESC) AS rn FROM r) WHERE rn = 1),
+{hash_embed_ctes('ev', 'w', 'rid')},
+es AS (SELECT id, sum(w) AS s FROM ev GROUP BY id)
+SELECT w.id, path AS file_path, batch_no, 'hash-64' AS embedding_model, 64 AS n_dims, round(coalesce(es.s, 0), 6) AS emb_sum
+FROM w LEFT JOIN es ON es.id = w.rid"""
+
+
+def second_store_reload() -> str:
+    """A path keeps its first load's text; only unknown paths are added."""
+    return f"""
+WITH d AS (SELECT doc_id, {DOC_PATH} AS path, text, CAST(substr(source, 4) AS INTEGER) AS b FROM documents),
+r AS (SELECT path, text, b AS batch_no, 1 AS load FROM d WHERE b % 2 = 0
+      UNION ALL SELECT path, text, b, 2 FROM d WHERE b % 2 <> 0
+      UNION ALL SELECT path, text || ' changed', b, 2 FROM d WHERE b % 2 = 0 AND doc_id % 10 = 0),
+w AS (SELECT row_number() OVER () AS rid, * FROM (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY load, batch_no, text) AS rn FROM r) WHERE rn = 1),
+{hash_embed_ctes('ev', 'w', 'rid')},
+es AS (SELECT id, sum(w) AS s FROM ev GROUP BY id)
+SELECT path AS id, 'public' AS classification, md5(text) AS document_md5, batch_no, 'hash-64' AS embedding_model,
+       64 AS n_dims, round(coalesce(es.s, 0), 6) AS emb_sum
+FROM w LEFT JOIN es ON es.id = w.rid"""
+
+
 def index_stats() -> str:
     return f"""
 SELECT 'hash-64' AS embedding_model, count(DISTINCT substr(text, 1, 512)) AS total_vector_count,
@@ -183,7 +227,7 @@ SELECT 'hash-64' AS embedding_model, count(DISTINCT substr(text, 1, 512)) AS tot
 UNION ALL
 SELECT 'hash-64', count(DISTINCT id), 64, 64, 'second' FROM (
   SELECT {DOC_PATH} AS id FROM documents
-  UNION ALL SELECT substr(text, 1, 50) FROM ({chunks()}))"""
+  UNION ALL SELECT '/data/doc_' || chunk_id || '.txt' FROM ({chunks()}))"""
 
 
 # ---- prompts, models, evaluation ----------------------------------------------
@@ -233,9 +277,8 @@ SELECT prompt AS best_prompt, round(acc, 6) AS best_accuracy FROM a ORDER BY acc
 
 def chat_history() -> str:
     return """
-SELECT conv_id, (turn // 1000)::BIGINT AS block, string_agg(text, '; ' ORDER BY turn) AS history,
-       count(*)::INTEGER AS n_turns
-FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, block"""
+SELECT conv_id, string_agg(text, '; ' ORDER BY turn) AS history, count(*)::INTEGER AS n_turns
+FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"""
 
 
 def upload_manifest() -> str:
@@ -288,8 +331,7 @@ def topk_ctes(name: str, q: str, q_ids: str, d: str, d_ids: str, k: int, metric:
                  "/ greatest(sqrt(list_dot_product(d.v, d.v)), 1e-12)")
         order = "round(score, 9) DESC"
     else:
-        score = ("greatest(list_dot_product(q.v, q.v) + list_dot_product(d.v, d.v) "
-                 "- 2 * list_dot_product(q.v, d.v), 0)")
+        score = "pow(list_distance(q.v, d.v), 2)"
         order = "round(score, 9) ASC"
     return f"""
 {name}_qv AS ({dense(q, q_ids)}),
@@ -365,7 +407,7 @@ def qa_context(k: int = 4) -> str:
     from quarry.functions.prompts import QA_CHAIN
     pre, rest = QA_CHAIN.split("{context}")
     mid, post = rest.split("{question}")
-    prompt = f"{_lit(pre)} || c.context || {_lit(mid)} || q.text || {_lit(post)}"
+    prompt = f"{_lit(pre)} || coalesce(c.context, '') || {_lit(mid)} || q.text || {_lit(post)}"
     return f"""
 WITH {hash_embed_ctes('qv', USER_Q, 'question_id')},
 {hash_embed_ctes('dv', 'documents', 'doc_id')},
@@ -375,8 +417,8 @@ di AS (SELECT doc_id AS id FROM documents),
 c AS (SELECT h.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY h.rank) AS context,
              count(*) AS n_docs
       FROM hits h JOIN documents d ON d.doc_id = h.id GROUP BY h.question_id),
-p AS (SELECT q.question_id, c.n_docs, length(c.context)::BIGINT AS context_chars, {prompt} AS prompt
-      FROM {USER_Q} q JOIN c USING (question_id))
+p AS (SELECT q.question_id, coalesce(c.n_docs, 0) AS n_docs, length(coalesce(c.context, ''))::BIGINT AS context_chars, {prompt} AS prompt
+      FROM {USER_Q} q LEFT JOIN c USING (question_id))
 SELECT question_id, n_docs, context_chars, prompt, ' Echo: ' || right(prompt, 40) AS answer FROM p"""
 
 
@@ -419,11 +461,11 @@ fai AS (SELECT id FROM fw),
 a_ctx AS (SELECT ah.question_id, d.text AS context, fw.file_path AS source
           FROM ah JOIN fw ON fw.id = ah.id JOIN documents d ON {DOC_PATH.replace('source', 'd.source').replace('doc_id::', 'd.doc_id::')} = fw.file_path
           WHERE ah.rank = 1),
--- second store: documents by path then chunks by first 50 characters, first writer wins
+-- second store: documents, then chunk files, each by its path; the first writer wins
 ch AS ({ch}),
 rows AS (SELECT doc_id, -1 AS chunk_ix, {DOC_PATH} AS path, text, 0 AS batch_no FROM documents
-         UNION ALL SELECT doc_id, chunk_ix, NULL, text, 1 FROM ch),
-keyed AS (SELECT row_number() OVER () AS rid, coalesce(path, substr(text, 1, 50)) AS id, * FROM rows),
+         UNION ALL SELECT doc_id, chunk_ix, '/data/doc_' || chunk_id || '.txt', text, 1 FROM ch),
+keyed AS (SELECT row_number() OVER () AS rid, path AS id, * FROM rows),
 sw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no, doc_id, chunk_ix) AS rn
                       FROM keyed) WHERE rn = 1),
 {hash_embed_ctes('ev', 'sw', 'rid')},

@@ -66,7 +66,7 @@ def _index(spark, a):
             F.lit(model).alias("embedding_model"), F.lit(a.batch).cast("int").alias("batch_no"))
         if old is not None:
             rows = rows.select(*[c for c in old.columns if c != "embedding"])
-        merged = IX.insert_if_absent(old, rows, order=("batch_no", "id"),
+        merged = IX.insert_if_absent(old, rows, order=("batch_no", "document"),
                                      enrich=lambda df: E.hash_embed(df, "document", a.dim))
         IX.write_index(merged, a.index)
 

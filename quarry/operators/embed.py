@@ -17,10 +17,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -85,10 +87,13 @@ def embed_with(df: DataFrame, text_col: str, loader: Callable[[], Callable[[list
     # a new schema object: StructType.add would change df.schema in place
     out_schema = StructType(list(df.schema.fields) + [StructField(out_col, ArrayType(DoubleType()))])
 
+    # two loaders of one name are two models
+    key = f"{name}:{hashlib.sha1(cloudpickle.dumps(loader)).hexdigest()}"
+
     def run(batches):
-        enc = _MODEL_CACHE.get(name)
+        enc = _MODEL_CACHE.get(key)
         if enc is None:
-            enc = _MODEL_CACHE[name] = loader()
+            enc = _MODEL_CACHE[key] = loader()
         for pdf in batches:
             texts = pdf[text_col].fillna("").tolist()
             m = np.asarray(enc(texts), dtype=np.float64) if texts else np.zeros((0, dim))

@@ -21,11 +21,13 @@ offline and can be checked by SQL:
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField
 
@@ -69,17 +71,26 @@ def call_model(df: DataFrame, request_col: str, loader: Callable[[], Callable[[l
     fields = list(df.schema.fields) + [StructField(out_col, StringType()), StructField(error_col, StringType())]
     schema = type(df.schema)(fields)
 
+    # two loaders of one name are two models
+    key = f"{name}:{hashlib.sha1(cloudpickle.dumps(loader)).hexdigest()}"
+
     def model():
-        m = _MODELS.get(name)
+        m = _MODELS.get(key)
         if m is None:
-            m = _MODELS[name] = loader()
+            m = _MODELS[key] = loader()
         return m
 
+    def replies(m, bodies):
+        got = list(m(bodies)) if bodies else []
+        if len(got) != len(bodies):
+            raise ValueError(f"the model gave {len(got)} replies to {len(bodies)} requests")
+        return got
+
     def one(m, body):
         last = None
         for _ in range(max_tries):
             try:
-                return m([body])[0], None
+                return replies(m, [body])[0], None
             except Exception as e:  # noqa: BLE001 - errors become data
                 last = e
                 if pause_s:
@@ -96,8 +107,7 @@ def call_model(df: DataFrame, request_col: str, loader: Callable[[], Callable[[l
             done = False
             for _ in range(max_tries):
                 try:
-                    got = m([bodies[i] for i in live]) if live else []
-                    for i, r in zip(live, got):
+                    for i, r in zip(live, replies(m, [bodies[i] for i in live])):
                         resp[i] = r
                     done = True
                     break

@@ -3,19 +3,18 @@
 An index is a Parquet table ``(id, ..., embedding, embedding_model)``.  Two
 write rules exist:
 
-* ``upsert`` (K4) – last writer wins per id.  "Last" is the greatest
-  ``(batch_no, path)``: the order inside one load is undefined in the
-  reference, so it is pinned to the greatest path.
+* ``upsert`` (K4) – last writer wins per id.  A later load
+  beats the stored record; inside one load, whose order is not defined
+  originally, the greatest ``(batch_no, path)`` wins.
 * ``insert_if_absent`` (K5) – an id already present keeps its record; inside
   one batch the first writer (smallest ``(batch_no, path)``) wins.
 
 Plans.  Winner selection is a ``groupBy(id)`` with ``max_by`` / ``min_by``:
 a hash aggregate with partial aggregation, so a key shared by a third of all
-rows is pre-reduced map-side instead of landing whole in one task.  When the
-incoming batch's key set is small (its size is checked) the existing index is
-never shuffled: untouched rows pass through an anti join against the
-broadcast new keys and only touched ids are re-aggregated.  Persistent
-indexes are written as numbered versions (a new folder per write), so a
+rows is pre-reduced map-side instead of landing whole in one task.  The
+stored index meets the batch in an anti join on the key alone; adaptive
+execution broadcasts the batch's keys if their measured size allows it, and
+the index is then not shuffled.  Persistent indexes are written as numbered versions (a new folder per write), so a
 write never overwrites the table it reads.
 """
 
@@ -36,10 +35,6 @@ FIRST_STORE_KEY_CHARS = 512      # first store: id = first 512 characters of the
 SECOND_STORE_KEY_CHARS = 50      # second store without a path: first 50 characters
 DEFAULT_CLASSIFICATION = "public"
 
-# New-batch key sets up to this many rows are broadcast into the merge
-# (first-store keys are up to 512 characters: about 100 MB at the bound).
-BROADCAST_KEYS = 200_000
-
 FIRST_STORE_SCHEMA = StructType([
     StructField("id", StringType()), StructField("file_path", StringType()),
     StructField("metadata", MapType(StringType(), StringType())),
@@ -72,24 +67,18 @@ def _pick(df: DataFrame, key: str, order: list[str], latest: bool) -> DataFrame:
     return df.groupBy(key).agg(agg.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def _small(df: DataFrame, limit: int) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def upsert(existing: DataFrame | None, batch: DataFrame, key: str = "id",
            order: tuple[str, ...] = ("batch_no", "file_path")) -> DataFrame:
-    """K4 + U2: merged index, one row per key, last writer wins."""
-    order = list(order)
+    """K4 + U2: merged index, one row per key, last writer wins.
+
+    A later load always beats the stored record, whatever its batch number;
+    ``order`` only decides inside the batch.
+    """
+    new = _pick(batch, key, list(order), latest=True)
     if existing is None:
-        return _pick(batch, key, order, latest=True)
-    batch = batch.select(*existing.columns)
-    new_keys = batch.select(key).distinct()
-    if not _small(new_keys, BROADCAST_KEYS):
-        return _pick(existing.unionByName(batch), key, order, latest=True)
-    nk = F.broadcast(new_keys)
-    untouched = existing.join(nk, key, "left_anti")
-    touched = existing.join(nk, key, "left_semi").unionByName(batch)
-    return untouched.unionByName(_pick(touched, key, order, latest=True))
+        return new
+    new = new.select(*existing.columns)
+    return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def insert_if_absent(existing: DataFrame | None, batch: DataFrame, key: str = "id",
@@ -98,21 +87,19 @@ def insert_if_absent(existing: DataFrame | None, batch: DataFrame, key: str = "i
     """K5 + J3: rows of ``batch`` whose key is not yet present (first writer
     inside the batch wins) appended to ``existing``.
 
-    ``enrich`` (e.g. the embedder) runs only on the surviving new rows: skip
-    existing and duplicate records *before* the expensive step, and never
-    carry its output through the de-duplication shuffle.
+    ``order`` should end with a column that tells the batch's rows of one key
+    apart.  ``enrich`` (e.g. the embedder) runs only on the surviving new
+    rows: skip existing and duplicate records *before* the expensive step,
+    and never carry its output through the de-duplication shuffle.
     """
     new = _pick(batch, key, list(order), latest=False)
     if existing is None:
         return enrich(new) if enrich else new
     if not enrich:
         new = new.select(*existing.columns)
-    new_keys = new.select(key)
-    if _small(new_keys, BROADCAST_KEYS):
-        present = existing.select(key).join(F.broadcast(new_keys), key, "left_semi")
-        fresh = new.join(F.broadcast(present), key, "left_anti")
-    else:
-        fresh = new.join(existing.select(key), key, "left_anti")
+    # only stored keys that the batch has too go into the anti join
+    present = existing.select(key).join(new.select(key), key, "left_semi")
+    fresh = new.join(present, key, "left_anti")
     if enrich:
         fresh = enrich(fresh).select(*existing.columns)
     return existing.unionByName(fresh)
@@ -245,8 +232,9 @@ def merge_bucketed(spark: SparkSession, name: str, batch: DataFrame, buckets: in
     The batch is de-duplicated with partial aggregation before its shuffle
     (a hot key is pre-reduced in every task), then hash-partitioned into the
     table's bucket layout; the merge is one full outer sort-merge join in
-    which the bucketed index side has no exchange.  Only the batch moves.  ``rule``: ``upsert`` (K4, greatest ``order`` wins) or
-    ``insert`` (K5, an existing record is kept; inside the batch the
+    which the bucketed index side has no exchange.  Only the batch moves.
+    ``rule``: ``upsert`` (K4, the batch wins; inside it the greatest ``order``)
+    or ``insert`` (K5, an existing record is kept; inside the batch the
     smallest ``order`` wins).
     """
     if rule not in ("upsert", "insert"):
@@ -258,12 +246,9 @@ def merge_bucketed(spark: SparkSession, name: str, batch: DataFrame, buckets: in
         return write_bucketed(new, name, buckets, key)
     old = spark.table(cur)
     new = new.select(*old.columns)
-    j = old.alias("o").join(new.alias("n"), old[key] == new[key], "full_outer") \
-
-    n_ord = F.struct(*[F.col(f"n.{c}") for c in order])
-    o_ord = F.struct(*[F.col(f"o.{c}") for c in order])
+    j = old.alias("o").join(new.alias("n"), old[key] == new[key], "full_outer")
     if latest:
-        take_new = F.col(f"o.{key}").isNull() | (F.col(f"n.{key}").isNotNull() & (n_ord >= o_ord))
+        take_new = F.col(f"n.{key}").isNotNull()
     else:
         take_new = F.col(f"o.{key}").isNull()
     cols = [F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key)] + [F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
@@ -285,8 +270,8 @@ def merge_partitioned(spark: SparkSession, table: str, batch: DataFrame, buckets
     Only the touched buckets of the table are read (partition pruning); the
     merged rows are cut from their lineage into the shared checkpoint folder,
     then written back with dynamic partition overwrite, which replaces exactly
-    those partitions.  A micro-batch therefore costs the size of the buckets
-    it touches, not the size of the index.  ``rule``: ``upsert`` (K4) or
+    those partitions.  A micro-batch costs the buckets it touches, written
+    twice; a batch of more ids than there are buckets touches nearly all.  ``rule``: ``upsert`` (K4) or
     ``insert`` (K5, existing records are kept).
     """
     if rule not in ("upsert", "insert"):
@@ -303,7 +288,8 @@ def merge_partitioned(spark: SparkSession, table: str, batch: DataFrame, buckets
     touched = [r[0] for r in b.select("bucket").distinct().collect()]     # at most `buckets` values
     old = cur.filter(F.col("bucket").isin(touched))
     if rule == "upsert":
-        merged = _pick(old.unionByName(b), key, list(order), latest=True)
+        new = _pick(b, key, list(order), latest=True)
+        merged = old.join(new.select(key), key, "left_anti").unionByName(new.select(*cur.columns))
     else:
         new = _pick(b, key, list(order), latest=False)
         merged = old.unionByName(new.join(old.select(key), key, "left_anti"))

@@ -61,6 +61,13 @@ def _scores(D: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"metric must be one of {METRICS}")
 
 
+def _l2_error(D: np.ndarray, Q: np.ndarray) -> np.ndarray:
+    """Bound of the error of |d|² + |q|² − 2dq for each question."""
+    d2 = np.einsum("ij,ij->i", D, D).max(initial=0.0)
+    q2 = np.einsum("ij,ij->i", Q, Q)
+    return 8.0 * D.shape[1] * np.finfo(np.float64).eps * (d2 + q2)
+
+
 def _exact_l2(D: np.ndarray, Q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     diff = D[rows] - Q[cols]
     return np.einsum("ij,ij->i", diff, diff)
@@ -126,6 +133,8 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
                 n = key.shape[0]
                 if n > k:
                     thr = np.partition(key, n - k, axis=0)[n - k]  # k-th best per question
+                    if metric == "l2":                             # within the products' rounding error of it
+                        thr = thr - 2 * _l2_error(D, Qb) - 2 * 10.0 ** -RANK_PLACES
                     r, c = np.nonzero(key >= thr[None, :])
                 else:
                     r, c = np.nonzero(np.ones_like(key, dtype=bool))

@@ -76,11 +76,6 @@ def fewshot_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.best_variant(acc).select("best_prompt", F.round("best_accuracy", 6).alias("best_accuracy"))
 
 
-# Turns per history block: no group collects more than this many rows, even
-# for a conversation holding a large share of the table.
-HISTORY_BLOCK = 1000
-
-
 def fewshot_preview(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     """``head()`` of the last evaluation run (prompt 3), in id order.
     The limit is the feature here; it plans as a per-partition top-n."""
@@ -88,16 +83,22 @@ def fewshot_preview(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     return p.orderBy("doc_id").limit(n)
 
 
-def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chat_history(spark: SparkSession, sf_dir: str, block_turns: int | None = None) -> DataFrame:
     """Each conversation's user/assistant turns joined by ``; `` in turn
-    order, in blocks of ``HISTORY_BLOCK`` turns (``block`` 0, 1, ...);
-    concatenating a conversation's blocks in order with ``; `` gives the
-    whole history."""
+    order, one string a conversation.
+
+    The string is one value, so one task builds it: its memory follows the
+    longest conversation.  With ``block_turns`` the history comes in blocks
+    of so many turns (``block`` 0, 1, ...) whose concatenation with ``; `` is
+    the whole, and no task holds more than a block."""
     c = TB.read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    c = c.filter(F.col("role").isin("user", "assistant")) \
-        .withColumn("block", F.floor(F.col("turn") / HISTORY_BLOCK).cast("bigint"))
-    h = c.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return h.select("conv_id", "block", F.array_join(F.transform("t", lambda x: x["text"]), "; ").alias("history"),
+    c = c.filter(F.col("role").isin("user", "assistant"))
+    keys = ["conv_id"]
+    if block_turns:
+        c = c.withColumn("block", F.floor(F.col("turn") / block_turns).cast("bigint"))
+        keys.append("block")
+    h = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return h.select(*keys, F.array_join(F.transform("t", lambda x: x["text"]), "; ").alias("history"),
                     F.size("t").alias("n_turns"))
 
 
@@ -226,7 +227,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = G.call_model(rq.withColumn("body", body), "body", chat_model, "chat-echo")
     reply = F.when(F.col("model") == "completion", P.parse_completion("response")) \
         .otherwise(P.strip_echo(P.parse_hosted("response"), F.col("prompt")))
-    answer = F.when(F.col("store") == "none", reply) \
+    answer = F.when((F.col("store") == "none") | F.col("source").isNull(), reply) \
         .otherwise(P.with_reference(reply, U.url_from_source(F.col("source"))))
     return out.select("question_id", "model", "store", "source",
                       F.length("prompt").cast("bigint").alias("prompt_chars"),

@@ -1,19 +1,23 @@
 """Index loads (Q2 first store, Q3 second store) over the document corpus.
 
 Documents arrive in batches by crawl ``source`` (``src<N>`` → batch ``N``),
-as repeated runs of the reference's load jobs would bring them.  Chunk
-files of the staged-text job land in the same folder without a path of
-their own, so the second store keys them by their first 50 characters.
+as repeated runs of the original load jobs would bring them.  Chunk files
+of the staged-text job land in the same folder and are keyed by their path;
+only texts without a file (questions of a chat, say) are keyed by their
+first 50 characters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk as C
 from ..operators import embed as E
 from ..operators import index as IX
+from ..session import scratch_path
 from ..sources import tables as TB
 
 DIM = E.DEFAULT_DIM
@@ -40,7 +44,7 @@ def first_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IX.upsert(None, first_store_batch(spark, sf_dir))
 
 
-def _summary(index: DataFrame, *cols: str) -> DataFrame:
+def _summary(index: DataFrame, *cols: str | Column) -> DataFrame:
     return index.select(*cols, "embedding_model", F.size("embedding").cast("int").alias("n_dims"),
                         F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("emb_sum"))
 
@@ -57,14 +61,14 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def second_store_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (batch 0, keyed by path) and their chunks (batch 1, no path),
-    not yet embedded."""
+    """Documents (batch 0) and their chunk files (batch 1), each keyed by its
+    path, not yet embedded."""
     base = TB.read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
     cls = classification(spark, sf_dir)
     d = base.select("doc_id", F.lit(-1).alias("chunk_ix"), TB.doc_path(F.col("source"), F.col("doc_id")).alias("path"),
                     "text", F.lit(0).alias("batch_no"))
     ch = C.chunk(base).select(
-        "doc_id", "chunk_ix", F.lit(None).cast("string").alias("path"), "text", F.lit(1).alias("batch_no"))
+        "doc_id", "chunk_ix", TB.chunk_file(F.col("chunk_id")).alias("path"), "text", F.lit(1).alias("batch_no"))
     rows = d.unionByName(ch).join(cls, "doc_id", "left")
     klass = F.coalesce(F.col("label_class"), F.lit(IX.DEFAULT_CLASSIFICATION))
     return rows.select(
@@ -87,6 +91,65 @@ def second_store(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
                                order=("batch_no", "doc_id", "chunk_ix"), enrich=_embed_documents(dim))
 
 
+def pathless_store(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """K6: conversation turns as texts without a file, keyed by their first
+    50 characters; the first turn of a key keeps it."""
+    c = TB.read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    rows = c.select(IX.second_store_key(F.lit(None).cast("string"), F.col("text")).alias("id"), F.col("text").alias("document"),
+                    F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"), F.lit(f"hash-{dim}").alias("embedding_model"), "conv_id", "turn")
+    s = IX.insert_if_absent(None, rows, order=("conv_id", "turn", "document"), enrich=_embed_documents(dim))
+    return _summary(s, "id", "classification", "conv_id", "turn")
+
+
+def _reloaded(rows: DataFrame, changed) -> tuple[DataFrame, DataFrame]:
+    """A first and a second load: documents of even sources, then those of odd
+    ones plus a changed version of every tenth document of the first."""
+    even = F.col("batch_no") % 2 == 0
+    again = rows.filter(even & (F.col("doc_id") % 10 == 0))
+    return rows.filter(even), rows.filter(~even).unionByName(changed(again))
+
+
+def first_store_reload(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """Two loads through the written index.  A second load wins for
+    every key it brings, though its batch number is lower here (-1) and its
+    path may sort before the stored one."""
+    docs = TB.documents(spark, sf_dir).withColumn("batch_no", _batch_no())
+    old, new = _reloaded(docs, lambda d: d.withColumn("path", F.concat(F.lit("/a"), "path")).withColumn(
+        "text", F.concat(F.substring("text", 1, IX.FIRST_STORE_KEY_CHARS), F.lit(" changed"))))
+    new = new.withColumn("batch_no", F.lit(-1))
+
+    def rows(d: DataFrame) -> DataFrame:
+        return E.hash_embed(d, "text", dim).select(
+            IX.first_store_key(F.col("text")).alias("id"), F.col("path").alias("file_path"),
+            F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"), "embedding",
+            F.lit(f"hash-{dim}").alias("embedding_model"), "batch_no")
+
+    base = scratch_path(spark, f"first-store-{uuid.uuid4().hex}")
+    IX.write_index(IX.upsert(None, rows(old)), base)
+    IX.write_index(IX.upsert(IX.read_index(spark, base), rows(new)), base)
+    return _summary(IX.read_index(spark, base), "id", F.element_at("metadata", "file_path").alias("file_path"), "batch_no")
+
+
+def second_store_reload(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """The same two loads into the second store, where a path that is
+    there keeps its first text."""
+    docs = TB.documents(spark, sf_dir).withColumn("batch_no", _batch_no())
+    old, new = _reloaded(docs, lambda d: d.withColumn("text", F.concat("text", F.lit(" changed"))))
+
+    def rows(d: DataFrame) -> DataFrame:
+        return d.select(IX.second_store_key(F.col("path"), F.col("text")).alias("id"), F.col("text").alias("document"),
+                        F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
+                        F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
+                        F.lit(f"hash-{dim}").alias("embedding_model"), "batch_no")
+
+    base = scratch_path(spark, f"second-store-{uuid.uuid4().hex}")
+    order = ("batch_no", "document")
+    IX.write_index(IX.insert_if_absent(None, rows(old), order=order, enrich=_embed_documents(dim)), base)
+    IX.write_index(IX.insert_if_absent(IX.read_index(spark, base), rows(new), order=order, enrich=_embed_documents(dim)), base)
+    return _summary(IX.read_index(spark, base), "id", F.element_at("metadata", "classification").alias("classification"),
+                    F.md5("document").alias("document_md5"), "batch_no")
+
+
 def second_store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(second_store(spark, sf_dir), "id", "classification", "batch_no", "doc_id", "chunk_ix")
 

@@ -37,8 +37,11 @@ def best_context(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -
     best = S.best_hit(hits)
     docs = TB.documents(spark, sf_dir)
     out = S.join_context(best, docs, bound // k, cols=["path", "text"])
-    return out.select("question_id", F.col("id").alias("doc_id"), "path", "score",
-                      F.col("text").alias("context"), "missing")
+    # a question without any hit keeps its row
+    asked = TB.user_questions(spark, sf_dir).select("question_id")
+    return asked.join(out, "question_id", "left").select(
+        "question_id", F.col("id").alias("doc_id"), "path", "score", F.col("text").alias("context"),
+        F.coalesce("missing", F.lit(True)).alias("missing"))
 
 
 def search_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
@@ -119,7 +122,10 @@ def qa_context(spark: SparkSession, sf_dir: str, k: int = 4, dim: int = DIM) ->
                      "\n\n").alias("context"),
         F.count(F.lit(1)).alias("n_docs"))
     q = TB.user_questions(spark, sf_dir)
-    rq = q.join(ctx, "question_id").withColumn("prompt", P.qa_chain_prompt("text", "context"))
+    # a question without any hit is asked without context
+    rq = q.join(ctx, "question_id", "left").withColumn("context", F.coalesce("context", F.lit(""))) \
+        .withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("bigint"))) \
+        .withColumn("prompt", P.qa_chain_prompt("text", "context"))
     rq = rq.withColumn("body", F.to_json(P.request_completion(F.col("prompt"), F.lit(250), F.lit(0.5))))
     out = G.call_model(rq, "body", G.completion_echo, "completion-echo")
     return out.select("question_id", "n_docs", F.length("context").cast("bigint").alias("context_chars"),

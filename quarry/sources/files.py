@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def file_path(c="_metadata.file_path"):
+def file_path(c=None):
     """Absolute path of a scanned file: a local ``file:`` URI becomes a plain
-    path (the id the text jobs use); other schemes stay URIs."""
+    path (the id the text jobs use); other schemes stay URIs.
+
+    The hidden ``_metadata.file_path`` is percent-encoded and decoded here
+    (``+`` stands for itself in it); a ``path`` column as the binary-file
+    source gives it is not encoded.
+    """
+    if c is None:
+        c = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, "^file:(//)?", "")
 
 

@@ -49,6 +49,11 @@ def doc_path(source: Column, doc_id: Column, root: str = DATA_ROOT) -> Column:
     return F.concat(F.lit(root + "/"), source, F.lit("/"), doc_id.cast("string"), F.lit(".txt"))
 
 
+def chunk_file(chunk_id: Column, root: str = DATA_ROOT) -> Column:
+    """Path of a chunk's text file in the data folder: ``<root>/doc_<id>.txt``."""
+    return F.concat(F.lit(root + "/doc_"), chunk_id, F.lit(".txt"))
+
+
 def documents(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """Documents as the text-file corpus ``docs(doc_id, path, source, lang, text)``."""
     cols = ["doc_id", "source", "lang"] + (["text"] if with_text else [])

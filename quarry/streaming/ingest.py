@@ -3,15 +3,17 @@
 * ``staged_text`` – file stream over ``*.txt`` (one row per whole file, path
   from the ``_metadata`` column).  Each file is read once across runs: the
   checkpoint remembers what was consumed.  ``clean_source`` archives or
-  deletes consumed files (K8).
+  deletes consumed files (K8); the file source does so one batch late, so
+  the files of a job's last batch go with the next run.
 * ``staged_pdfs`` – ``binaryFile`` stream over ``*.pdf`` with a plug-in
   extractor; a file that fails to extract becomes a reject row (X5).
 * ``start_chunk_ingest`` – X1/K2: chunks appended to a Parquet folder.
 * ``start_index_ingest`` – X2/X3/U3: each micro-batch is chunked once,
   embedded once, and written to both stores (first store by upsert, second
-  by insert-if-absent) as new index versions.  A batch id already written
-  is skipped, so a restarted batch does not apply twice; an exception stops
-  the query (the chain stops on failure).
+  by insert-if-absent) as new index versions.  A batch that the same stream
+  has written already is skipped, so a restarted batch does not apply twice;
+  another stream's batches of equal number are not.  An exception stops the
+  query (the chain stops on failure).
 
 Run with ``trigger(availableNow=True)`` for job-style runs: everything new is
 processed, then the query stops.
@@ -20,6 +22,7 @@ processed, then the query stops.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -32,6 +35,7 @@ from ..operators import chunk as C
 from ..operators import embed as E
 from ..operators import index as IX
 from ..sources import files
+from ..sources.tables import chunk_file
 
 
 def staged_text(spark: SparkSession, staged_dir: str, clean_source: str | None = None,
@@ -96,58 +100,78 @@ def chunk_files(files: DataFrame, route: str = "txt") -> DataFrame:
 
 def start_chunk_ingest(files: DataFrame, out_dir: str, checkpoint: str, route: str = "txt",
                        reject_dir: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """X1 + K2 (+ X5 rejects): append chunks of new files to ``out_dir``."""
-    chunks = chunk_files(files, route)
-    w = chunks.writeStream.format("parquet").option("path", out_dir) \
-        .option("checkpointLocation", checkpoint).outputMode("append")
-    if available_now:
-        w = w.trigger(availableNow=True)
-    q = w.start()
+    """X1 + K2 (+ X5 rejects): append chunks of new files to ``out_dir``.
+
+    With ``reject_dir`` both outputs come from one query: every micro-batch is
+    extracted once and written to folders of its stream and batch, so a
+    replayed batch replaces its own output.
+    """
     if reject_dir and "error" in files.columns:
-        rw = files.filter(F.col("error").isNotNull()).writeStream.format("parquet") \
-            .option("path", reject_dir).option("checkpointLocation", checkpoint + "-rejects")
-        if available_now:
-            rw = rw.trigger(availableNow=True)
-        rw.start()
-    return q
+        stream = stream_id(files.sparkSession, checkpoint)
+
+        def both(batch: DataFrame, batch_id: int) -> None:
+            part = f"batch_id={stream}-{int(batch_id)}"
+            batch = batch.persist()
+            try:
+                batch.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(os.path.join(reject_dir, part))
+                chunk_files(batch, route).write.mode("overwrite").parquet(os.path.join(out_dir, part))
+            finally:
+                batch.unpersist()
+
+        w = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(both)
+    else:
+        w = chunk_files(files, route).writeStream.format("parquet").option("path", out_dir) \
+            .option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's own name, kept beside its checkpoint: batch numbers begin
+    at 0 in every checkpoint, so they say nothing without it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(checkpoint.rstrip("/") + "-stream-id")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        out = fs.create(p, False)
+        out.write(bytearray(uuid.uuid4().hex.encode()))
+        out.close()
+    return spark.read.text(p.toString()).first()[0]
 
 
-def chunk_file(chunk_id) -> "F.Column":
-    """Path of a chunk's text file in the data folder: ``<root>/doc_<id>.txt``."""
-    from ..sources.tables import DATA_ROOT
-    return F.concat(F.lit(DATA_ROOT + "/doc_"), chunk_id, F.lit(".txt"))
+def _mark_path(spark: SparkSession, base: str, name: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(base, "_batches", name))
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _written(spark: SparkSession, base: str, batch_id: int) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(base, "_batches", str(batch_id)))
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _written(spark: SparkSession, base: str, name: str) -> bool:
+    p, fs = _mark_path(spark, base, name)
+    return fs.exists(p)
 
 
-def _mark(spark: SparkSession, base: str, batch_id: int) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(base, "_batches", str(batch_id)))
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _mark(spark: SparkSession, base: str, name: str) -> None:
+    p, fs = _mark_path(spark, base, name)
     fs.create(p, True).close()
 
 
 def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: str,
                 dim: int = E.DEFAULT_DIM, route: str = "txt", chunk_out: str | None = None,
-                reject_out: str | None = None) -> None:
+                reject_out: str | None = None, stream: str = "stream") -> None:
     """One micro-batch into both stores (X2, X3, U3); optionally also append
-    its chunks (K2) and its failed files (X5)."""
+    its chunks (K2) and its failed files (X5).  ``stream`` names the stream:
+    a batch is skipped only if the same stream has written it already."""
     spark = batch.sparkSession
-    if _written(spark, second_base, batch_id):
+    name = f"{stream}-{int(batch_id)}"
+    if _written(spark, second_base, name):
         return
     if reject_out and "error" in batch.columns:
         # per batch id and overwritten, so a replayed batch does not add twice
         batch.filter(F.col("error").isNotNull()).write.mode("overwrite") \
-            .parquet(os.path.join(reject_out, f"batch_id={int(batch_id)}"))
+            .parquet(os.path.join(reject_out, f"batch_id={name}"))
     chunks = chunk_files(batch, route)
     if chunk_out:
         # one cut of lineage: the chunk set is written once and both stores
         # read it back (the same chunks in both stores, U3)
-        out = os.path.join(chunk_out, f"batch_id={int(batch_id)}")
+        out = os.path.join(chunk_out, f"batch_id={name}")
         chunks.write.mode("overwrite").parquet(out)
         chunks = spark.read.parquet(out)
     vec = E.hash_embed(chunks, "text", dim).select("doc_id", "chunk_ix", "chunk_id", "text", "embedding")
@@ -161,14 +185,14 @@ def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: s
                        F.lit(int(batch_id)).cast("int").alias("batch_no"))
         old_a = IX.read_index(spark, first_base) if IX.index_exists(spark, first_base) else None
         IX.write_index(IX.upsert(old_a, a), first_base)
-        b = vec.select(IX.second_store_key(F.lit(None).cast("string"), F.col("text")).alias("id"),
+        b = vec.select(IX.second_store_key(chunk_file(F.col("chunk_id")), F.col("text")).alias("id"),
                        F.col("text").alias("document"), F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
                        F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
                        "embedding", F.lit(model).alias("embedding_model"),
                        F.lit(int(batch_id)).cast("int").alias("batch_no"))
         old_b = IX.read_index(spark, second_base) if IX.index_exists(spark, second_base) else None
-        IX.write_index(IX.insert_if_absent(old_b, b), second_base)
-        _mark(spark, second_base, batch_id)
+        IX.write_index(IX.insert_if_absent(old_b, b, order=("batch_no", "document")), second_base)
+        _mark(spark, second_base, name)
     finally:
         vec.unpersist()
 
@@ -187,13 +211,13 @@ def index_batch_tables(batch: DataFrame, batch_id: int, first_table: str, second
                        F.create_map(F.lit("file_path"), chunk_file(F.col("chunk_id"))).alias("metadata"), "embedding",
                        F.lit(model).alias("embedding_model"), F.lit(int(batch_id)).cast("int").alias("batch_no"))
         IX.merge_partitioned(batch.sparkSession, first_table, a, buckets, rule="upsert")
-        b = vec.select(IX.second_store_key(F.lit(None).cast("string"), F.col("text")).alias("id"),
+        b = vec.select(IX.second_store_key(chunk_file(F.col("chunk_id")), F.col("text")).alias("id"),
                        F.col("text").alias("document"), F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
                        F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
                        "embedding", F.lit(model).alias("embedding_model"),
                        F.lit(int(batch_id)).cast("int").alias("batch_no"))
         IX.merge_partitioned(batch.sparkSession, second_table, b, buckets, rule="insert",
-                             order=("batch_no", "id"))
+                             order=("batch_no", "document"))
     finally:
         vec.unpersist()
 
@@ -211,8 +235,9 @@ def start_index_ingest_tables(files: DataFrame, first_table: str, second_table:
 
 def start_index_ingest(files: DataFrame, first_base: str, second_base: str, checkpoint: str,
                        dim: int = E.DEFAULT_DIM, available_now: bool = True) -> StreamingQuery:
+    stream = stream_id(files.sparkSession, checkpoint)
     w = files.writeStream.option("checkpointLocation", checkpoint) \
-        .foreachBatch(lambda df, bid: index_batch(df, bid, first_base, second_base, dim))
+        .foreachBatch(lambda df, bid: index_batch(df, bid, first_base, second_base, dim, stream=stream))
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
@@ -227,9 +252,10 @@ def start_upload_chain(spark: SparkSession, staged_dir: str, archive_dir: str, c
     any step stops the query (X3) and the batch is retried on restart; a
     batch already written is skipped."""
     files = staged_pdfs(spark, staged_dir, extractor, "archive", archive_dir)
+    stream = stream_id(spark, checkpoint)
     w = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda df, bid: index_batch(df, bid, first_base, second_base, dim, route="pdf",
-                                    chunk_out=chunk_out, reject_out=reject_out))
+                                    chunk_out=chunk_out, reject_out=reject_out, stream=stream))
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()

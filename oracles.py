@@ -553,6 +553,82 @@ FROM h LEFT JOIN documents d ON d.doc_id = h.id
 WHERE h.rank = 1"""
 
 
+def pooled_embedding_256() -> str:
+    cut = """(SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')[1:256], ' ') AS text
+              FROM documents)"""
+    return f"""
+WITH {hash_embed_ctes('dv', cut, 'doc_id')}
+SELECT id AS doc_id, b::INTEGER AS dim_ix, round(w, 6) AS weight FROM dv"""
+
+
+def same_model_hits(k: int = 3) -> str:
+    def one(n: str, dim: int, r: int) -> str:
+        q = f"(SELECT item_id, text FROM benchmark WHERE item_id % 2 = {r})"
+        d = f"(SELECT doc_id, text FROM documents WHERE doc_id % 2 = {r})"
+        return f"""{hash_embed_ctes(n + 'q', q, 'item_id', dim=dim)},
+{hash_embed_ctes(n + 'd', d, 'doc_id', dim=dim)},
+{n}qi AS (SELECT item_id AS id FROM {q}), {n}di AS (SELECT doc_id AS id FROM {d}),
+{topk_ctes(n + 'h', n + 'q', n + 'qi', n + 'd', n + 'di', k, 'cosine', dim)}"""
+    return f"""
+WITH {one('a', 64, 0)}, {one('b', 32, 1)}
+SELECT question_id, rank, id, round(score, 6) AS score FROM ah
+UNION ALL SELECT question_id, rank, id, round(score, 6) FROM bh"""
+
+
+def single_question(k: int = 5) -> str:
+    q = "(SELECT 'q' AS question_id, text FROM conversations WHERE role = 'user' ORDER BY conv_id, turn, text LIMIT 1)"
+    return f"""
+WITH {hash_embed_ctes('qv', q, 'question_id')},
+{hash_embed_ctes('dv', 'documents', 'doc_id')},
+qi AS (SELECT question_id AS id FROM {q}),
+di AS (SELECT doc_id AS id FROM documents),
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'cosine')}
+SELECT id, round(score, 6) AS score FROM hits"""
+
+
+def retriever_hits(k: int = 4) -> str:
+    return f"""
+WITH f AS (SELECT * FROM {CLASSIFIED} WHERE classification = 'public' AND contains(document, ' the ')),
+{hash_embed_ctes('qv', BENCH_Q, 'question_id')},
+{hash_embed_ctes('dv', 'f', 'id', 'document')},
+qi AS (SELECT item_id AS id FROM benchmark),
+di AS (SELECT id FROM f),
+{topk_ctes('hits', 'qv', 'qi', 'dv', 'di', k, 'cosine')}
+SELECT question_id, rank, id, id AS file_path, round(score, 6) AS score FROM hits"""
+
+
+def settings_rejects() -> str:
+    return f"""
+WITH s AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS question_id,
+    CASE conv_id % 7 WHEN 0 THEN 'warm' WHEN 1 THEN '1.5' WHEN 2 THEN '0.005' ELSE '0.5' END AS temperature,
+    CASE WHEN conv_id % 5 = 3 THEN '300' ELSE ['50', '100', '250', '500', '1000'][conv_id % 5 + 1] END AS token_count,
+    CASE WHEN turn % 4 = 2 THEN 'other' ELSE ['none', 'first', 'second'][turn % 3 + 1] END AS store
+  FROM conversations WHERE role = 'user'),
+p AS (SELECT *, list_filter([
+    CASE WHEN temperature = 'warm' THEN 'temperature is not a number' END,
+    CASE WHEN temperature IN ('1.5', '0.005') THEN 'temperature out of range' END,
+    CASE WHEN temperature = '0.005' THEN 'temperature not in steps of 0.01' END,
+    CASE WHEN token_count = '300' THEN 'token count not offered' END,
+    CASE WHEN store = 'other' THEN 'unknown vector store' END], lambda x: x IS NOT NULL) AS probs FROM s)
+SELECT question_id, temperature, token_count, store, array_to_string(probs, '; ') AS problems FROM p WHERE len(probs) > 0"""
+
+
+def upload_answers() -> str:
+    from quarry.functions import prompts as P
+    sys_u = _lit(P.UPLOAD_SYS)
+    return f"""
+WITH best AS ({best_context()}),
+q AS (SELECT u.question_id, u.text, coalesce(b.context, '') AS context
+      FROM {USER_Q} u LEFT JOIN best b USING (question_id)),
+p AS (SELECT q.question_id, q.context,
+        CASE WHEN q.context = '' THEN {_fill(P.UPLOAD_NO_CONTEXT, sys=sys_u, question='q.text')}
+             ELSE {_fill(P.UPLOAD_WITH_CONTEXT, sys=sys_u, question='q.text', context='q.context')} END AS prompt FROM q)
+SELECT question_id, substr(context, 1, 10) AS preview_10, substr(context, 1, 4) AS preview_4,
+       substring(prompt || ' Echo: ' || right(prompt, 40), length(prompt) - 5)
+         || chr(10) || chr(10) || ' For additional info see source information below' AS answer
+FROM p"""
+
+
 def pages_first_store() -> str:
     pt = page_text_native()
     return f"""

@@ -156,20 +156,16 @@ def token_matrix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mean_pool(tokens: DataFrame, id_col: str = "doc_id", out_col: str = "embedding",
-              normalise: bool = True) -> DataFrame:
+              normalise: bool = True, dim: int = DEFAULT_DIM) -> DataFrame:
     """A1: ``Σ(vec·mask) / max(Σmask, 1e-9)`` per dimension, then M1.
 
-    Aggregates on (doc, dim) first – partial aggregation pre-reduces each
-    document's tokens map-side, and a hot document spreads over ``dim`` keys –
-    then collects at most ``dim`` values per document.
+    One hash aggregate with a sum for each of the ``dim`` dimensions: partial
+    sums pre-reduce each document's tokens map-side, one row a document and
+    task is shuffled, and no token row is multiplied.
     """
-    per_dim = (tokens.select(F.col(id_col), F.col("mask"), F.posexplode("vec").alias("d", "v"))
-               .groupBy(id_col, "d")
-               .agg(F.sum(F.col("v") * F.col("mask")).alias("s"), F.sum("mask").alias("m")))
-    per_dim = per_dim.withColumn("x", F.col("s") / F.greatest(F.col("m").cast("double"), F.lit(V.MASK_EPS)))
-    vec = (per_dim.groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("_p"))
-           .select(F.col(id_col), F.transform("_p", lambda p: p["x"]).alias(out_col)))
+    sums = [F.sum(F.col("vec")[d] * F.col("mask")).alias(f"_{d}") for d in range(dim)]
+    total = tokens.groupBy(id_col).agg(F.greatest(F.sum("mask").cast("double"), F.lit(V.MASK_EPS)).alias("_mask"), *sums)
+    vec = total.select(F.col(id_col), F.array(*[F.col(f"_{d}") / F.col("_mask") for d in range(dim)]).alias(out_col))
     if normalise:
         vec = vec.withColumn(out_col, V.l2_normalise(F.col(out_col)))
     return vec

@@ -25,6 +25,7 @@ results are deterministic and equal to a SQL evaluation of the same rule.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path, written
 
 METRICS = ("cosine", "dot", "l2")
 # Bytes of question matrix per broadcast.  PySpark loads a broadcast into
@@ -112,13 +113,22 @@ class _TopK:
         return df["q"].to_numpy(), df["key"].to_numpy(), df["score"].to_numpy(), df["id"].to_numpy()
 
 
-def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
+def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str, model_col: str | None = None):
+    def parts(pdf, groups):
+        """(rows, question numbers, question matrix) of each model"""
+        if model_col is None:
+            yield pdf, *groups[None]
+            return
+        for model, rows in pdf.groupby(model_col, dropna=False):
+            key = None if pd.isna(model) else model
+            if key in groups:
+                yield rows, *groups[key]
+
     def run(batches):
-        qids, Q = bc.value
-        nq, dim = Q.shape
-        acc = _TopK(k, nq)
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
+        qids, groups = bc.value
+        acc = _TopK(k, len(qids))
+        for pdf, number, Q in ((p, n, q) for b in batches for p, n, q in parts(b[b[vec_col].notna()], groups)):
+            nq, dim = Q.shape
             if pdf.empty or nq == 0:
                 continue
             D = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64, copy=False)
@@ -143,7 +153,7 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
                 if metric == "l2":   # exact distance for the kept pairs only
                     raw = _exact_l2(D, Qb, r, c)
                     kept = np.round(-raw, RANK_PLACES)
-                acc.add(q0 + c, kept, raw, ids[r])
+                acc.add(number[q0 + c], kept, raw, ids[r])
         res = acc.result()
         if res is not None:
             qi, key, score, ids = res
@@ -152,33 +162,39 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str):
 
 
 def _search_batch(index: DataFrame, questions: DataFrame, k: int, metric: str,
-                  id_col: str, vec_col: str, qid_col: str, qvec_col: str, with_broadcast: bool = False):
+                  id_col: str, vec_col: str, qid_col: str, qvec_col: str, with_broadcast: bool = False,
+                  model_col: str | None = None):
     spark = index.sparkSession
-    rows = questions.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
+    more = [model_col] if model_col else []
+    rows = questions.select(qid_col, qvec_col, *more).filter(F.col(qvec_col).isNotNull()).collect()
     qids = np.array([r[0] for r in rows], dtype=object)
-    Q = (np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-         if rows else np.zeros((0, 1)))
-    bc = spark.sparkContext.broadcast((qids, Q))
+    members: dict = {} if more else {None: list(range(len(rows)))}
+    for i, r in enumerate(rows if more else []):
+        members.setdefault(r[2], []).append(i)
+    groups = {m: (np.array(ix, dtype=np.int64),
+                  np.array([np.asarray(rows[i][1], dtype=np.float64) for i in ix]) if ix else np.zeros((0, 1)))
+              for m, ix in members.items()}
+    bc = spark.sparkContext.broadcast((qids, groups))
     qtype = questions.schema[qid_col].dataType
     schema = StructType([StructField("question_id", qtype),
                          index.schema[id_col],
                          StructField("_key", DoubleType()),
                          StructField("score", DoubleType())])
-    cand = index.select(id_col, vec_col).mapInPandas(
-        _local_topk(bc, k, metric, id_col, vec_col), schema)
+    cand = index.select(id_col, vec_col, *more).mapInPandas(
+        _local_topk(bc, k, metric, id_col, vec_col, model_col), schema)
     return (cand, bc) if with_broadcast else cand
 
 
 def _in_batches(index: DataFrame, questions: DataFrame, qid_col: str, qvec_col: str, need: int,
-                budget: int, run_batch) -> DataFrame:
+                budget: int, run_batch, more: list[str] | None = None) -> DataFrame:
     """Question sets above the broadcast budget: hash batches that each fit,
     searched one after the other, each written under the shared checkpoint
     folder (its broadcast released afterwards), read back as one table."""
     nb = math.ceil(need / budget)
     spark = index.sparkSession
-    base = scratch_path(spark, f"search-{id(questions)}-{np.random.randint(1 << 30)}")
+    base = scratch_path(spark, f"search-{uuid.uuid4().hex}")
     # the question vectors are computed once and read back per batch
-    questions = cut_lineage(questions.select(qid_col, qvec_col))
+    questions = written(questions.select(qid_col, qvec_col, *(more or [])), "search-questions")
     for b in range(nb):
         part = questions.filter(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb)) == b)
         cand_b, bc = run_batch(part)
@@ -197,10 +213,9 @@ def search(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "co
 
 def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine",
                    id_col: str = "id", vec_col: str = "embedding", qid_col: str = "question_id",
-                   qvec_col: str = "embedding",
-                   broadcast_budget: int = DEFAULT_BUDGET) -> tuple[DataFrame, int]:
-    """Exact top-k plus a proven upper bound on its row count (questions × k),
-    which later joins use to decide whether the hits may be broadcast.
+                   qvec_col: str = "embedding", broadcast_budget: int = DEFAULT_BUDGET,
+                   model_col: str | None = None) -> tuple[DataFrame, int]:
+    """Exact top-k plus a proven upper bound on its row count (questions × k).
 
     ``cosine`` and ``dot`` rank descending, ``l2`` (squared distance)
     ascending.  Filters (metadata equality F6, document contains F7, model
@@ -215,11 +230,14 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
     nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
     need = nq * max(dim, 1) * 8
     if need <= broadcast_budget:
-        cand = _search_batch(index, questions, k, metric, id_col, vec_col, qid_col, qvec_col)
+        cand = _search_batch(index, questions, k, metric, id_col, vec_col, qid_col, qvec_col, model_col=model_col)
     else:
+        # several passes: the index vectors are computed once, too
+        more = [model_col] if model_col else []
+        index = written(index.select(id_col, vec_col, *more), "search-index")
         cand = _in_batches(index, questions, qid_col, qvec_col, need, broadcast_budget,
                            lambda part: _search_batch(index, part, k, metric, id_col, vec_col, qid_col,
-                                                      qvec_col, with_broadcast=True))
+                                                      qvec_col, with_broadcast=True, model_col=model_col), more)
     w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
     hits = (cand.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
@@ -232,26 +250,10 @@ def search_same_model(index: DataFrame, questions: DataFrame, k: int = 5, metric
                       model_col: str = "embedding_model", **kw) -> tuple[DataFrame, int]:
     """F8: questions only meet index rows embedded by the same model.
 
-    The set of models among the questions is tiny (it is checked); each
-    model's questions are searched against the index filtered to that model,
-    a filter on the partition column of a stored index, so other models'
-    files are never read.  Results are one union.
+    The model is a key inside one search: each task scores its rows of a
+    model against that model's questions alone, whatever their number.
     """
-    models = [r[0] for r in questions.select(model_col).distinct().limit(101).collect()]
-    if len(models) > 100:
-        raise ValueError("more than 100 embedding models among the questions")
-    parts, bound = [], 0
-    for m in models:
-        cond = F.col(model_col).isNull() if m is None else F.col(model_col) == m
-        h, b = search_bounded(index.filter(cond), questions.filter(cond), k=k, metric=metric, **kw)
-        parts.append(h)
-        bound += b
-    if not parts:
-        return search_bounded(index.limit(0), questions, k=k, metric=metric, **kw)
-    out = parts[0]
-    for h in parts[1:]:
-        out = out.unionByName(h)
-    return out, bound
+    return search_bounded(index, questions, k=k, metric=metric, model_col=model_col, **kw)
 
 
 def where(index: DataFrame, equals: dict[str, str] | None = None, contains: str | None = None,
@@ -490,30 +492,20 @@ def ivf_search(index: DataFrame, questions: DataFrame, k: int = 5, nlist: int =
                     F.round("score", SCORE_PLACES).alias("score")))
 
 
-# Rows of hits we allow to broadcast into a join with the document table.
-HITS_BROADCAST_ROWS = 2_000_000
-
-
-def join_context(hits: DataFrame, docs: DataFrame, bound_rows: int, doc_key: str = "doc_id",
+def join_context(hits: DataFrame, docs: DataFrame, doc_key: str = "doc_id",
                  cols: list[str] | None = None) -> DataFrame:
     """Hits → their documents, keeping hits whose document is gone
     (``missing = true``, document columns null).
 
-    When the hits' proven bound is small they are broadcast and the document
-    table streams through an inner hash join (no shuffle of the big side).  A
-    left outer join cannot build on its left side, so the missing hits come
-    from an anti join against the (equally bounded) found keys.
+    The hits are written once; by their measured size the planner broadcasts
+    them, and the document table then streams through an inner hash join
+    without a shuffle, or joins the sorted sides.  A left outer join could
+    not build on its left side, so the missing hits come from an anti join
+    against the found keys.
     """
-    cols = list(cols or [])
-    d = docs.select(F.col(doc_key).alias("id"), *cols)
-    if bound_rows > HITS_BROADCAST_ROWS:
-        found = d.withColumn("_found", F.lit(True))
-        return (hits.join(found, "id", "left")
-                .withColumn("missing", F.col("_found").isNull()).drop("_found"))
-    # the bounded hits feed two joins: write them once to the shared
-    # checkpoint folder instead of re-running the search for each
-    hits = cut_lineage(hits)
-    found = F.broadcast(hits).join(d, "id", "inner")
-    gone = hits.join(F.broadcast(found.select("question_id", "id")), ["question_id", "id"], "left_anti")
+    d = docs.select(F.col(doc_key).alias("id"), *list(cols or []))
+    hits = written(hits, "search-hits")
+    found = hits.join(d, "id", "inner")
+    gone = hits.join(found.select("question_id", "id"), ["question_id", "id"], "left_anti")
     return (found.withColumn("missing", F.lit(False))
             .unionByName(gone.withColumn("missing", F.lit(True)), allowMissingColumns=True))

@@ -15,7 +15,7 @@ from ..functions import urls as U
 from ..operators import evaluate as EV
 from ..operators import generate as G
 from ..operators import search as S
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources import tables as TB
 from . import indexing, retrieval
 
@@ -138,6 +138,33 @@ def question_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(probs, "; ").alias("problems"), (F.size(probs) == 0).alias("accepted"))
 
 
+def settings_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the reject table of settings as users might send them: words for
+    numbers, values out of range or off the steps, choices not offered."""
+    q = questions(spark, sf_dir)
+    conv, turn = (F.element_at(F.split("question_id", ":"), i).cast("bigint") for i in (1, 2))
+    sent = q.withColumn("temperature", F.when(conv % 7 == 0, "warm").when(conv % 7 == 1, "1.5").when(conv % 7 == 2, "0.005")
+                        .otherwise("0.5")) \
+        .withColumn("token_count", F.when(conv % 5 == 3, "300").otherwise(F.col("token_count"))) \
+        .withColumn("store", F.when(turn % 4 == 2, "other").otherwise(F.col("store")))
+    probs = P.settings_problems(F.col("temperature"), F.col("token_count"), F.col("store"), STORES)
+    return sent.withColumn("_p", probs).filter(F.size("_p") > 0).select(
+        "question_id", "temperature", "token_count", "store", F.array_join("_p", "; ").alias("problems"))
+
+
+def upload_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N22 (second form), N23: the upload app's answers with its fixed source
+    note, and the previews of the context it shows."""
+    best = retrieval.best_context(spark, sf_dir).select("question_id", "context")
+    q = TB.user_questions(spark, sf_dir).join(best, "question_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    rq = q.withColumn("prompt", P.hosted_prompt("text", "context", form="upload"))
+    rq = rq.withColumn("body", F.to_json(P.request_hosted(F.col("prompt"), F.lit(0.5), F.lit(250))))
+    out = G.call_model(rq, "body", G.hosted_echo, "hosted-echo")
+    reply = P.strip_echo(P.parse_hosted("response"), F.col("prompt"))
+    return out.select("question_id", F.substring("context", 1, 10).alias("preview_10"), F.substring("context", 1, 4).alias("preview_4"),
+                      P.with_source_note(reply).alias("answer"))
+
+
 # Second hosted request form (no retrieval): fixed settings of the notebook.
 PLAIN_TEMPERATURE, PLAIN_MAX_NEW_TOKENS, PLAIN_REPETITION_PENALTY = 0.0, 50, 0.5
 
@@ -166,10 +193,6 @@ def prompt_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
                     req["repetition_penalty"].alias("repetition_penalty"))
 
 
-def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 def chat_model():
     """Default model for the routed job: dispatches on the body shape."""
     comp, host = G.completion_echo(), G.hosted_echo()
@@ -191,27 +214,25 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each store feeds its search and the join back to its records: build it
     # once and keep it in the shared checkpoint folder (as an index job would).
     # First store: cosine top-5, best hit, context read from the document file.
-    a_idx = cut_lineage(indexing.first_store(spark, sf_dir)
-                        .select("id", "embedding", "file_path", "embedding_model"))
-    a_hits, a_bound = S.search_same_model(a_idx.select("id", "embedding", "embedding_model"),
+    a_idx = written(indexing.first_store(spark, sf_dir)
+                    .select("id", "embedding", "file_path", "embedding_model"), "answer-first")
+    a_hits, _ = S.search_same_model(a_idx.select("id", "embedding", "embedding_model"),
                                           qv.join(q.filter(F.col("store") == "first").select("question_id"),
                                                   "question_id", "left_semi"), k=5, metric="cosine")
-    # hits are bounded by the question count: when that bound is small they
-    # are broadcast and the index / document tables stream through the join
-    small_a = a_bound // 5 <= S.HITS_BROADCAST_ROWS
-    a_best = _maybe_broadcast(S.best_hit(a_hits), small_a).join(a_idx.select("id", "file_path"), "id")
+    # the hits have a measured size; small ones are broadcast and the index
+    # and document tables stream through the joins
+    a_best = written(S.best_hit(a_hits), "answer-hits").join(a_idx.select("id", "file_path"), "id")
     docs = TB.documents(spark, sf_dir).select("path", "text")
-    a_ctx = _maybe_broadcast(a_best, small_a).join(docs, a_best["file_path"] == docs["path"]).select(
+    a_ctx = written(a_best.select("question_id", "file_path"), "answer-paths").join(docs, F.col("file_path") == F.col("path"), "left").select(
         "question_id", F.coalesce("text", F.lit("")).alias("context"), F.col("file_path").alias("source"))
 
     # Second store: squared-L2 top-1, context is the stored document.
-    b_idx = cut_lineage(indexing.second_store(spark, sf_dir)
-                        .select("id", "embedding", "document", "embedding_model"))
-    b_hits, b_bound = S.search_same_model(b_idx.select("id", "embedding", "embedding_model"),
+    b_idx = written(indexing.second_store(spark, sf_dir)
+                    .select("id", "embedding", "document", "embedding_model"), "answer-second")
+    b_hits, _ = S.search_same_model(b_idx.select("id", "embedding", "embedding_model"),
                                           qv.join(q.filter(F.col("store") == "second").select("question_id"),
                                                   "question_id", "left_semi"), k=1, metric="l2")
-    b_ctx = _maybe_broadcast(S.best_hit(b_hits), b_bound <= S.HITS_BROADCAST_ROWS) \
-        .join(b_idx.select("id", "document"), "id").select(
+    b_ctx = written(S.best_hit(b_hits), "answer-hits").join(b_idx.select("id", "document"), "id").select(
         "question_id", F.col("document").alias("context"), F.col("id").alias("source"))
 
     none = q.filter(F.col("store") == "none").select("question_id", F.lit("").alias("context"),

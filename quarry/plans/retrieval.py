@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embed as E
 from ..operators import search as S
-from ..session import cut_lineage
+from ..session import written
 from ..sources import tables as TB
 
 DIM = E.DEFAULT_DIM
@@ -32,11 +32,10 @@ def question_vectors_of(questions: DataFrame, dim: int = DIM) -> DataFrame:
 def best_context(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
     """Q5: each user question → its best document (of top-k cosine) with path,
     score and the full document text as context (T1, T6, J1, F9)."""
-    hits, bound = S.search_bounded(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim),
-                                   k=k, metric="cosine")
+    hits = S.search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k, metric="cosine")
     best = S.best_hit(hits)
     docs = TB.documents(spark, sf_dir)
-    out = S.join_context(best, docs, bound // k, cols=["path", "text"])
+    out = S.join_context(best, docs, cols=["path", "text"])
     # a question without any hit keeps its row
     asked = TB.user_questions(spark, sf_dir).select("question_id")
     return asked.join(out, "question_id", "left").select(
@@ -94,14 +93,11 @@ def filtered_search(spark: SparkSession, sf_dir: str, k: int = 2, classification
     the full document read back by path (F10, J1)."""
     idx = S.where(classified_docs(spark, sf_dir), {"classification": classification}, contains)
     idx = E.hash_embed(idx, "document", dim).select("id", "embedding")
-    hits, bound = S.search_bounded(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="l2")
+    hits = S.search(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="l2")
     docs = TB.documents(spark, sf_dir).select("path", "text")
-    meta = classified_docs(spark, sf_dir).select("id", "classification")
-    listed = S.join_context(hits, docs.withColumnRenamed("path", "doc_key"), bound,
-                            doc_key="doc_key", cols=["text"])
-    listed = F.broadcast(listed).join(meta, "id", "left") if bound <= S.HITS_BROADCAST_ROWS \
-        else listed.join(meta, "id", "left")
-    return listed.select("question_id", "rank", "id", "classification", "score",
+    # every hit passed the filter on the classification, so that is known
+    listed = S.join_context(hits, docs, doc_key="path", cols=["text"])
+    return listed.select("question_id", "rank", "id", F.lit(classification).alias("classification"), "score",
                          F.substring("text", 1, 100).alias("snippet"),
                          F.col("text").alias("full_document"), "missing")
 
@@ -111,12 +107,9 @@ def qa_context(spark: SparkSession, sf_dir: str, k: int = 4, dim: int = DIM) ->
     blank line (A7), QA-chain prompt (N17), completion model (Y2, G1, G3)."""
     from ..functions import prompts as P
     from ..operators import generate as G
-    hits, bound = S.search_bounded(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim),
-                                   k=k, metric="cosine")
-    hits = cut_lineage(hits)
+    hits = S.search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k, metric="cosine")
     docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    with_text = F.broadcast(hits).join(docs.withColumnRenamed("doc_id", "id"), "id") \
-        if bound <= S.HITS_BROADCAST_ROWS else hits.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    with_text = written(hits, "qa-hits").join(docs.withColumnRenamed("doc_id", "id"), "id")
     ctx = with_text.groupBy("question_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]),
                      "\n\n").alias("context"),
@@ -148,12 +141,55 @@ def pooled_embedding(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFr
     whole-text hash embedding, as each token vector is one-hot."""
     docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     toks = E.token_matrix(docs, "doc_id", "text", dim, max_length=None)
-    v = E.mean_pool(toks, "doc_id")
+    v = E.mean_pool(toks, "doc_id", dim=dim)
     return (v.select("doc_id", F.posexplode_outer("embedding").alias("dim_ix", "weight"))
             .filter(F.col("weight") != 0)
             .select("doc_id", F.col("dim_ix").cast("int").alias("dim_ix"), F.round("weight", 6).alias("weight")))
 
 
+def pooled_embedding_256(spark: SparkSession, sf_dir: str, dim: int = DIM, max_length: int = 256) -> DataFrame:
+    """A1 + M5 + M6: the first 256 tokens of every document, padded to 256
+    with mask 0, pooled by masked mean and normalised."""
+    docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    v = E.mean_pool(E.token_matrix(docs, "doc_id", "text", dim, max_length=max_length), "doc_id", dim=dim)
+    return (v.select("doc_id", F.posexplode_outer("embedding").alias("dim_ix", "weight"))
+            .filter(F.col("weight") != 0)
+            .select("doc_id", F.col("dim_ix").cast("int").alias("dim_ix"), F.round("weight", 6).alias("weight")))
+
+
+def same_model_hits(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """F8: an index of two embedding models (even documents in 64, odd ones in
+    32 dimensions) and questions of either; each meets its own model only."""
+    docs = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = TB.read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+
+    def both(df: DataFrame, key: str, name: str) -> DataFrame:
+        parts = [E.hash_embed(df.filter(F.col(key) % 2 == r), "text", d).select(
+            F.col(key).alias(name), "embedding", F.lit(f"hash-{d}").alias("embedding_model")) for r, d in ((0, 64), (1, 32))]
+        return parts[0].unionByName(parts[1])
+
+    return S.search_same_model(both(docs, "doc_id", "id"), both(items, "item_id", "question_id"), k=k)[0]
+
+
+def single_question(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
+    """The first question of the first conversation against all documents."""
+    first = TB.read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]) \
+        .filter(F.col("role") == "user").orderBy("conv_id", "turn", "text").limit(1)
+    vec = E.hash_embed(first, "text", dim).select("embedding").first()
+    return S.search_one(doc_vectors(spark, sf_dir, dim), vec[0] if vec else [0.0] * dim, k=k)
+
+
+def retriever_hits(spark: SparkSession, sf_dir: str, k: int = 4, dim: int = DIM) -> DataFrame:
+    """Y3 + G5: the retriever with its filter read through the metadata map."""
+    docs = classified_docs(spark, sf_dir)
+    idx = E.hash_embed(docs, "document", dim).select(
+        "id", "document", F.create_map(F.lit("classification"), F.col("classification"), F.lit("file_path"), F.col("id")).alias("metadata"),
+        "embedding")
+    hits = S.retrieve(idx, benchmark_vectors(spark, sf_dir, dim), k=k, equals={"classification": "public"}, contains=" the ")
+    paths = idx.select("id", F.element_at("metadata", "file_path").alias("file_path"))
+    return written(hits, "retriever-hits").join(paths, "id").select("question_id", "rank", "id", "file_path", "score")
+
+
 def lsh_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
     """Approximate top-k by random-projection LSH, exact re-score."""
     return S.lsh_search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k)
@@ -166,9 +202,11 @@ def vector_context(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     idx = TB.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]) \
         .select(F.col("vec_id").alias("id"), "embedding")
     dim = idx.select(F.max(F.size("embedding"))).first()[0] or DIM
-    hits, bound = S.search_bounded(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="cosine")
+    hits = S.search(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="cosine")
     docs = TB.documents(spark, sf_dir).select("doc_id", "path", "text")
-    out = S.join_context(S.best_hit(hits), docs, bound // k, cols=["path", "text"])
+    out = S.join_context(S.best_hit(hits), docs, cols=["path", "text"])
+    asked = TB.read_table(spark, sf_dir, "benchmark", ["item_id"]).withColumnRenamed("item_id", "question_id")
+    out = asked.join(out, "question_id", "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
     return out.select("question_id", F.col("id").alias("vec_id"), "score", "path",
                       F.length("text").cast("bigint").alias("context_chars"), "missing")
 

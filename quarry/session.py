@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,11 +90,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage and intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` as the cluster sets it.
-    Only when it is unset (local tests) do we make a private folder.
+    Only when it is unset, on a local master, do we make a private folder:
+    on a cluster each machine would write to its own disk.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -110,6 +114,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read again:
+    its measured size is then known to the planner, which decides by it
+    whether the table may be broadcast."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)

@@ -21,14 +21,19 @@ DATA_ROOT = "/data"
 HEAVY = {"documents", "pages", "conversations", "embeddings"}
 
 
+SPREAD_SCANS = "quarry.spreadScans"
+
+
 def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
+    """With the session setting ``quarry.spreadScans = true``, spreads a scan
+    that yields fewer splits than the cluster has cores.
 
-    A single large row group is read by one task, and every per-row step
-    after it (parsing, chunking, embedding, scoring) would run on one core.
-    At scale the scan already has far more splits than cores and this is a
-    no-op; only then-small inputs pay one round-robin exchange.
+    Off by default, as it shuffles the whole rows.  Meant for small tables of
+    one row group, which one task would read and then parse, chunk and embed
+    alone.
     """
+    if df.sparkSession.conf.get(SPREAD_SCANS, "false") != "true":
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

@@ -73,7 +73,7 @@ def test_dimension_mismatch_raises(spark):
 def test_join_context_keeps_missing(spark):
     hits = spark.createDataFrame([("q", 1, 7, 0.9), ("q", 2, 8, 0.5)], "question_id string, rank int, id long, score double")
     docs = spark.createDataFrame([(7, "seven")], "doc_id long, text string")
-    rows = {r.id: (r.text, r.missing) for r in S.join_context(hits, docs, 2, cols=["text"]).collect()}
+    rows = {r.id: (r.text, r.missing) for r in S.join_context(hits, docs, cols=["text"]).collect()}
     assert rows == {7: ("seven", False), 8: (None, True)}
 
 

@@ -536,7 +536,7 @@ def page_text_native() -> str:
         x = f"regexp_replace({x}, '(?is)<{el}\\b[^>]*>.*?</{el}\\s*>', '', 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for ent, ch in ENTITIES:
-        x = f"replace({x}, {_lit(ent)}, {_lit(ch)})"
+        x = f"regexp_replace({x}, {_lit(ent)}, {_lit(ch)}, 'g')"
     x = f"regexp_replace(replace({x}, chr(10), ' '), '[^\\x00-\\x7F]+', '', 'g')"
     return f"""
 WITH f AS ({page_files()})

@@ -131,8 +131,9 @@ def word_count(c) -> Column:
 # Tag-strip rule of the native page-text variant (own definition; the exact
 # parser-based extraction is ``operators.html``).
 RAW_TEXT_ELEMENTS = ("script", "style", "template")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+# patterns: the older names also count without their semicolon
+ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&apos;", "'"),
+            ("&nbsp;?", "\u00a0"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&amp;?", "&"))
 
 
 def strip_tags(c) -> Column:
@@ -145,5 +146,5 @@ def strip_tags(c) -> Column:
         x = F.regexp_replace(x, f"(?is)<{el}\\b[^>]*>.*?</{el}\\s*>", "")
     x = F.regexp_replace(x, "<[^>]*>", "")
     for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
+        x = F.regexp_replace(x, ent, ch)
     return x

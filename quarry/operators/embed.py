@@ -156,13 +156,15 @@ def token_matrix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mean_pool(tokens: DataFrame, id_col: str = "doc_id", out_col: str = "embedding",
-              normalise: bool = True, dim: int = DEFAULT_DIM) -> DataFrame:
+              normalise: bool = True, dim: int | None = None) -> DataFrame:
     """A1: ``Σ(vec·mask) / max(Σmask, 1e-9)`` per dimension, then M1.
 
     One hash aggregate with a sum for each of the ``dim`` dimensions: partial
     sums pre-reduce each document's tokens map-side, one row a document and
     task is shuffled, and no token row is multiplied.
     """
+    if dim is None:     # read from the data
+        dim = tokens.agg(F.max(F.size("vec"))).first()[0] or 0
     sums = [F.sum(F.col("vec")[d] * F.col("mask")).alias(f"_{d}") for d in range(dim)]
     total = tokens.groupBy(id_col).agg(F.greatest(F.sum("mask").cast("double"), F.lit(V.MASK_EPS)).alias("_mask"), *sums)
     vec = total.select(F.col(id_col), F.array(*[F.col(f"_{d}") / F.col("_mask") for d in range(dim)]).alias(out_col))

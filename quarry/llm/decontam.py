@@ -149,22 +149,33 @@ def tf_idf(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) ->
     return p, t, (v / norm[p]).astype(np.float32)
 
 
+def dense_parts(p: np.ndarray, t: np.ndarray, v: np.ndarray, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passages, words, small dense matrix) of runs of passages, for fast products in cache."""
+    if not len(p):
+        return
+    which, first = np.unique(p, return_index=True)
+    first = np.append(first, len(p))
+    for k in range(0, len(which), rows):
+        part = which[k:k + rows]
+        span = slice(first[k], first[k + len(part)])
+        words, column = np.unique(t[span], return_inverse=True)
+        a = np.zeros((len(part), len(words)), np.float32)
+        a[np.searchsorted(part, p[span]), column] = v[span]
+        yield part, words, a
+
+
 def times(p: np.ndarray, t: np.ndarray, v: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the sparse matrix times ``matrix``: (passages that aren't empty, their rows)."""
-    if not len(p):
+    parts = [(part, a @ matrix[words]) for part, words, a in dense_parts(p, t, v)]
+    if not parts:
         return np.zeros(0, np.int64), np.zeros((0, matrix.shape[1]), np.float32)
-    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    return p[cut], np.add.reduceat(matrix[t] * v[:, None], cut, axis=0)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
 
 
-def add_transposed(total: np.ndarray, p_rows: np.ndarray, rows: np.ndarray, p: np.ndarray, t: np.ndarray, v: np.ndarray) -> None:
-    """total += A' rows."""
-    if not len(p):
-        return
-    order = np.argsort(t, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
-    at = np.searchsorted(p_rows, p[order])
-    total[t[order][cut]] += np.add.reduceat(rows[at] * v[order, None], cut, axis=0)
+def add_gram(total: np.ndarray, p: np.ndarray, t: np.ndarray, v: np.ndarray, matrix: np.ndarray) -> None:
+    """total += A'A matrix."""
+    for _, words, a in dense_parts(p, t, v):
+        total[words] += a.T @ (a @ matrix[words])
 
 
 def random_matrix(n: int, rank: int) -> np.ndarray:
@@ -284,8 +295,7 @@ def latent_basis(texts: DataFrame, b: Block, rank: int) -> np.ndarray:
                 at, term = blk.lookup(h)
                 index, passage, texts_, _ = passages_of(w, at)
                 p, t, v = tf_idf(passage, term[index], blk.weight, len(texts_))
-                rows = times(p, t, v, omega)
-                add_transposed(total, *rows, p, t, v)
+                add_gram(total, p, t, v, omega)
         for k in range(0, n, _TERMS):
             if total[k:k + _TERMS].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // _TERMS], pa.int32()),
@@ -305,7 +315,7 @@ def latent_basis(texts: DataFrame, b: Block, rank: int) -> np.ndarray:
     omega = random_matrix(n, rank)
     p, t, v = benchmark_rows(b)
     own = np.zeros_like(total)
-    add_transposed(own, *times(p, t, v, omega), p, t, v)
+    add_gram(own, p, t, v, omega)
     # the benchmark's rows weigh as much as the corpus altogether
     scale = BENCHMARK_WEIGHT * max(1.0, float(np.linalg.norm(total)) / max(1e-9, float(np.linalg.norm(own))))
     return nystroem(total + np.float32(scale) * own, omega)

@@ -6,8 +6,8 @@ FTRL-proximal with per-coordinate rates and L1 sparsity on a sample of at
 most about ``SAMPLE`` labelled rows: the labelled ids are drawn by a hash
 threshold, so the bound holds at any size and the draw doesn't depend on
 partitions.  The sample is dealt to ``SHARDS`` tasks; after each round
-their states (z and n of each slot) are averaged.  Slots of fewer than
-``MIN_TEXTS`` sampled texts don't take part.  The non-zero weights (some
+their states (z and n of each slot) are averaged.  Slots that
+few sampled texts fall into don't take part (``slot_bound``).  The non-zero weights (some
 hundreds) are broadcast, and every document is scored whole.
 
 Nulls and empty texts have no features: their score is that of the bias.
@@ -38,7 +38,8 @@ SHARDS = 4
 ROUNDS = 5
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
-#: slots of fewer sampled texts are left out: their weight couldn't exceed the L1 bound
+#: slots of fewer sampled texts are left out: their weight couldn't exceed the L1 bound;
+#: so are those that no more texts fall into than chance explains (``slot_bound``)
 MIN_TEXTS = 4
 _U = np.uint64
 
@@ -111,14 +112,20 @@ class Model:
     bias: float
 
 
+def slot_bound(entries: int) -> float:
+    """Texts a slot must have: more than the mean load and four deviations."""
+    load = entries / (1 << BITS)
+    return max(MIN_TEXTS, load + 4 * load ** 0.5)
+
+
 def _slot_counts(rows: DataFrame) -> DataFrame:
     def run(batches):
-        count = np.zeros(1 << BITS, np.int64)
+        count = np.zeros(1 << BITS, np.int32)
         for b in batches:
             for data in b.column(0).to_pylist():
                 count[np.frombuffer(data, "<i4")] += 1
         used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used].astype(np.int64))], ["slot", "n"])
 
     return rows.select("slots").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
@@ -145,8 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = F.broadcast(sampled_labels(exact(labels, "doc_id", "toxic"), sample))   # bounded by ``sample``
     texts = exact(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.lower(text_column(docs, text_col)).alias("text")).join(drawn, "doc_id")
     rows = stored(feature_rows(texts).groupBy("doc_id").agg(F.min(F.struct("toxic", "slots")).alias("r")).select("doc_id", "r.*"), "ftrl-rows")
-    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
-    common = _slot_counts(rows).filter(F.col("n") >= MIN_TEXTS).select("slot").toPandas()       # at most 2**BITS numbers
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"),
+                    F.coalesce(F.sum(F.octet_length("slots") / 4), F.lit(0.0)).alias("entries")).first()
+    # slots above the mean load: well below 2**BITS numbers
+    common = _slot_counts(rows).filter(F.col("n") >= slot_bound(seen.entries)).select("slot").toPandas()
     kept = spark.sparkContext.broadcast(np.sort(common["slot"].to_numpy(np.int32)))
     size = len(kept.value)
 

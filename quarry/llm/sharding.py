@@ -31,7 +31,7 @@ SHARDS = 24
 ROUNDS = 8
 #: bytes that a document takes besides its text
 OVERHEAD = 8
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 256
 MAX_BLOCKS = 1 << 16
 
 

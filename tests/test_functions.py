@@ -178,3 +178,19 @@ def test_plugin_embedder_equals_native(spark):
     import pytest
     with pytest.raises(Exception, match="expected"):
         EM.embed_with(df, "text", lambda: (lambda texts: np.zeros((len(texts), 3))), 16, "bad-dim").collect()
+
+
+def test_short_replies_are_errors(spark):
+    from quarry.operators import generate as G
+
+    def short():
+        return lambda bodies: bodies[:-1]
+
+    def whole():
+        return lambda bodies: [b.upper() for b in bodies]
+
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(4)], "id long, body string").coalesce(1)
+    rows = G.call_model(df, "body", short, "m").collect()
+    assert all(r.response is None and "0 replies to 1 requests" in r.error for r in rows)
+    # another loader of the same name is another model
+    assert [r.response for r in G.call_model(df, "body", whole, "m").orderBy("id").collect()] == ["R0", "R1", "R2", "R3"]

@@ -19,12 +19,9 @@ def test_upsert_last_writer_wins(spark):
     assert _rows(got) == [("k1", "/c", 1), ("k2", "/b", 0), ("k3", "/e", 1)]
     # idempotent: applying the same batch again changes nothing
     assert _rows(IX.upsert(got, new)) == _rows(got)
-    # the full-shuffle path (batch above the broadcast bound) agrees
-    IX.BROADCAST_KEYS, keep = 0, IX.BROADCAST_KEYS
-    try:
-        assert _rows(IX.upsert(old, new)) == _rows(got)
-    finally:
-        IX.BROADCAST_KEYS = keep
+    # a later load wins even with a lower batch number and a smaller path
+    late = spark.createDataFrame([("k1", "/0", [3.0], "m", -5)], SCHEMA)
+    assert _rows(IX.upsert(got, late)) == [("k1", "/0", -5), ("k2", "/b", 0), ("k3", "/e", 1)]
 
 
 def test_insert_if_absent_keeps_existing(spark):
@@ -134,3 +131,14 @@ def test_partitioned_merge_rewrites_only_touched_buckets(spark, tmp):
     IX.merge_partitioned(spark, name2, old, 8, rule="insert")
     IX.merge_partitioned(spark, name2, new, 8, rule="insert")
     assert _rows(spark.table(name2)) == _rows(IX.insert_if_absent(old, new, order=("batch_no", "file_path")))
+
+
+def test_merges_let_the_batch_win(spark, tmp):
+    old = spark.createDataFrame([("k1", "/z", [1.0], "m", 3), ("k2", "/b", [1.0], "m", 0)], SCHEMA)
+    new = spark.createDataFrame([("k1", "/a", [2.0], "m", 0), ("k3", "/d", [1.0], "m", 0)], SCHEMA)
+    want = [("k1", "/a", 0), ("k2", "/b", 0), ("k3", "/d", 0)]
+    IX.write_bucketed(old, "win_b", 4)
+    assert _rows(spark.table(IX.merge_bucketed(spark, "win_b", new, 4))) == want
+    IX.merge_partitioned(spark, "win_p", old, 4)
+    IX.merge_partitioned(spark, "win_p", new, 4)
+    assert _rows(spark.table("win_p")) == want

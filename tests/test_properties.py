@@ -49,12 +49,10 @@ def test_upsert_and_insert_are_idempotent(spark, old_rows, new_rows):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     up = IX.upsert(old, new)
     assert key(IX.upsert(up, new)) == key(up)
-    # last writer wins: every key carries the greatest (batch_no, file_path) seen
-    allrows = old_rows + new_rows
+    # last writer wins: the later load, and in it the greatest (batch_no, file_path)
     exp = {}
-    for i, p, b in allrows:
-        if i not in exp or (b, p) > (exp[i][1], exp[i][0]):
-            exp[i] = (p, b)
+    for rows in (old_rows, new_rows):
+        exp.update({i: max(((b, p) for j, p, b in rows if j == i))[::-1] for i, _, _ in rows})
     assert key(up) == sorted((i, p, b) for i, (p, b) in exp.items())
     ins = IX.insert_if_absent(old, new, order=("batch_no", "file_path"))
     assert key(IX.insert_if_absent(ins, new, order=("batch_no", "file_path"))) == key(ins)

@@ -184,3 +184,27 @@ def test_where_filters_before_topk(spark):
     assert ids(S.retrieve(idf, q, k=3, equals={"lang": "en"}, contains="iceberg")) == ["a", "b"]
     plan = S.where(idf, {"classification": "public"})._jdf.queryExecution().optimizedPlan().toString()
     assert "classification" in plan
+
+
+def test_l2_of_large_vectors_is_exact(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64) * 1e5
+    index = [(i, [float(x) for x in base + rng.normal(size=64) * 1e-4]) for i in range(400)]
+    q = base + rng.normal(size=64) * 1e-4
+    idf = spark.createDataFrame(index, "id long, embedding array<double>").repartition(3)
+    qdf = spark.createDataFrame([("q", [float(x) for x in q])], "question_id string, embedding array<double>")
+    got = [r.id for r in sorted(S.search(idf, qdf, k=5, metric="l2").collect(), key=lambda r: r.rank)]
+    d = sorted((round(sum((a - b) ** 2 for a, b in zip(v, q)), 9), i) for i, v in index)
+    assert got == [i for _, i in d[:5]]
+
+
+def test_many_models_in_one_search(spark):
+    idf = spark.createDataFrame([(i, [1.0, float(i % 7)], f"m{i % 150}") for i in range(600)],
+                                "id long, embedding array<double>, embedding_model string")
+    qdf = spark.createDataFrame([(i, [1.0, 3.0], f"m{i}") for i in range(150)] + [(999, [1.0, 1.0], "none")],
+                                "question_id long, embedding array<double>, embedding_model string")
+    hits, _ = S.search_same_model(idf, qdf, k=2)
+    rows = hits.collect()
+    assert len(rows) == 300 and all(r.id % 150 == r.question_id for r in rows)
+    small, _ = S.search_same_model(idf, qdf, k=2, broadcast_budget=256)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, rows))

@@ -77,3 +77,17 @@ def test_page_file_rules(spark, tmp):
     got = {r.path: (r.url, r.page_id, r.text) for r in PG.page_text(spark, d).collect()}
     assert got == {"/data/https:/h.com/a/doc.txt": ("https://h.com/a/doc", 2, "two"),
                    "/data/https:/h.com/b.txt": ("https://h.com/b", 5, "five")}
+
+
+def test_paths_with_odd_names(spark, tmp):
+    import os
+    names = ["a b.txt", "50%.txt", "c+d.txt", "ü%20.txt"]
+    for n in names:
+        with open(os.path.join(tmp, n), "w") as f:
+            f.write(n)
+    got = {r.path: r.text for r in files.text_corpus(spark, tmp).collect()}
+    assert got == {os.path.join(tmp, n): n for n in names}
+    got = {r.path: r.text for r in files.staged_text_batch(spark, tmp).collect()}
+    assert got == {os.path.join(tmp, n): n for n in names}
+    os.rename(os.path.join(tmp, names[0]), os.path.join(tmp, "a +ü%.pdf"))
+    assert [r.path for r in files.pdf_batch(spark, tmp, lambda b: b.decode()).collect()] == [os.path.join(tmp, "a +ü%.pdf")]

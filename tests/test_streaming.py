@@ -63,7 +63,7 @@ def test_index_ingest_both_stores(spark, tmp):
     before = sorted(r.id for r in ib.collect())
     # replaying the same batch id is skipped (idempotent)
     df = spark.createDataFrame([("/p/x.txt", "Alpha beta gamma. " * 40)], "path string, text string")
-    ingest.index_batch(df, 0, a, b)
+    ingest.index_batch(df, 0, a, b, stream=ingest.stream_id(spark, ck))
     assert sorted(r.id for r in IX.read_index(spark, b).collect()) == before
 
 
@@ -121,7 +121,7 @@ def test_index_ingest_into_partitioned_tables(spark, tmp):
     assert a.count() == a.select("id").distinct().count() and b.count() == b.select("id").distinct().count()
     # replaying a batch changes nothing
     before = sorted(r.id for r in b.collect())
-    ingest.index_batch_tables(spark.createDataFrame([("/s/z.txt", "Delta epsilon zeta! " * 40)],
+    ingest.index_batch_tables(spark.createDataFrame([(os.path.join(staged, "z.txt"), "Delta epsilon zeta! " * 40)],
                                                     "path string, text string"), 1, ta, tb, 16)
     assert sorted(r.id for r in spark.table(tb).collect()) == before
 
@@ -144,3 +144,30 @@ def test_failure_stops_the_chain_and_restart_completes(spark, tmp):
     ingest.start_index_ingest(ingest.staged_text(spark, staged), a, b, ck).awaitTermination(120)
     ia, ib = IX.read_index(spark, a), IX.read_index(spark, b)
     assert ia.count() > 0 and ib.count() == ib.select("id").distinct().count() > 0
+
+
+def test_a_second_stream_adds_to_the_same_stores(spark, tmp):
+    import os
+    from quarry.operators import index as IX
+    from quarry.streaming import ingest
+    for k in ("one", "two"):
+        os.makedirs(f"{tmp}/{k}")
+        for i in range(2):
+            with open(f"{tmp}/{k}/{i}.txt", "w") as f:
+                f.write(f"A common heading that every staged file of this lab begins with, number {k} {i}.")
+        src = ingest.staged_text(spark, f"{tmp}/{k}")
+        ingest.start_index_ingest(src, f"{tmp}/first", f"{tmp}/second", f"{tmp}/ck-{k}").awaitTermination()
+    assert IX.read_index(spark, f"{tmp}/first").count() == 4
+    assert IX.read_index(spark, f"{tmp}/second").count() == 4       # not one for each 50-character heading
+
+
+def test_chunks_and_rejects_come_from_one_query(spark, tmp):
+    import os
+    from quarry.streaming import ingest
+    os.makedirs(f"{tmp}/in")
+    for i in range(3):
+        with open(f"{tmp}/in/{i}.pdf", "wb") as f:
+            f.write(b"\xff\xfe" if i == 1 else f"text {i}.".encode())
+    ingest.start_chunk_ingest(ingest.staged_pdfs(spark, f"{tmp}/in"), f"{tmp}/out", f"{tmp}/ck", "pdf", f"{tmp}/rej").awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp}/out").collect()) == ["text 0.", "text 2."]
+    assert [os.path.basename(r.path) for r in spark.read.parquet(f"{tmp}/rej").collect()] == ["1.pdf"]

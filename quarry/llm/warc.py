@@ -21,6 +21,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,15 +135,24 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         yield h, block[cut:], length
 
 
-def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def _inflated(column: str) -> Column:
+    @F.pandas_udf("string")
+    def run(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda b: zlib.decompress(b).decode())
+    return run(column)
+
+
+def read_archive(spark: SparkSession, path: str, with_payload: bool = False, packed: bool = False) -> DataFrame:
     """One row per record: page_id, record_type, uri, payload_bytes, payload_digest, refers_to[, payload].
 
     Digest and length are those of the payload read; a revisit's are taken
-    from its header.
+    from its header.  ``packed``: the payload as a deflated binary, for
+    shuffles.
     """
     schema = "page_id long, record_type string, uri string, payload_bytes long, payload_digest string, refers_to long"
     names = ["page_id", "record_type", "uri", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.string()] * with_payload
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] \
+        + [pa.binary() if packed else pa.string()] * with_payload
 
     def run(batches):
         for b in batches:
@@ -154,7 +164,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                     if h["WARC-Type"] == "revisit":
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     row = (number("X-Page-Id"), h["WARC-Type"], h.get("WARC-Target-URI"), length, digest, number("X-Refers-To-Page"))
-                    rows.append(row + (payload.decode(),) if with_payload else row)
+                    rows.append(row + (zlib.compress(payload, 1) if packed else payload.decode(),) if with_payload else row)
                     size += len(payload) * with_payload + 200
                     if size > _BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -164,7 +174,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
 
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary") \
         .format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, schema + ", payload string" * with_payload)
+    return files.select("content").mapInArrow(run, schema + (", payload binary" if packed else ", payload string") * with_payload)
 
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -189,10 +199,11 @@ def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int =
     kept = decided.filter("record_type = 'response'").groupBy("page_id", "payload_digest").agg(
         F.first("uri", ignorenulls=True).alias("uri"), F.max("payload_bytes").alias("payload_bytes"), F.first("record_type").alias("record_type"),
         F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("original_uri"))
-    bodies = read_archive(spark, source, with_payload=True).select(
+    bodies = read_archive(spark, source, with_payload=True, packed=True).select(
         col("page_id").alias("_id"), col("payload_digest").alias("_digest"), "payload")
     responses = bodies.join(kept, col("_id").eqNullSafe(col("page_id")) & (col("_digest") == col("payload_digest")))
     revisits = decided.filter("record_type = 'revisit'").select(fresh(F.lit("")))
+    responses = responses.withColumn("payload", _inflated("payload"))
     write_archive(responses.select(fresh(col("payload"))).unionByName(revisits), target)
 
 

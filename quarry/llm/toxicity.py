@@ -118,16 +118,32 @@ def slot_bound(entries: int) -> float:
     return max(MIN_TEXTS, load + 4 * load ** 0.5)
 
 
-def _slot_counts(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        count = np.zeros(1 << BITS, np.int32)
+def _frequent(rows: DataFrame, bound: float) -> DataFrame:
+    """The slots that at least ``bound`` texts fall into.
+
+    Each of a few tasks counts into one dense array and sends it on in
+    blocks; the blocks are added up side by side.
+    """
+    width = 1 << 16
+
+    def count(batches):
+        n = np.zeros(1 << BITS, np.int32)
         for b in batches:
             for data in b.column(0).to_pylist():
-                count[np.frombuffer(data, "<i4")] += 1
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used].astype(np.int64))], ["slot", "n"])
+                n[np.frombuffer(data, "<i4")] += 1
+        for k in range(0, 1 << BITS, width):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n[k:k + width].tobytes()], pa.binary())], ["start", "data"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(data, np.int32)
+        for k, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array((k + np.flatnonzero(n >= bound)).astype(np.int32))], ["slot"])
 
-    return rows.select("slots").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return rows.select("slots").coalesce(SHARDS).mapInArrow(count, "start int, data binary") \
+        .repartition(2 * SHARDS, "start").mapInArrow(add, "slot int")
 
 
 def _numbered(rows: DataFrame, kept: Broadcast) -> DataFrame:
@@ -155,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"),
                     F.coalesce(F.sum(F.octet_length("slots") / 4), F.lit(0.0)).alias("entries")).first()
     # slots above the mean load: well below 2**BITS numbers
-    common = _slot_counts(rows).filter(F.col("n") >= slot_bound(seen.entries)).select("slot").toPandas()
+    common = _frequent(rows, slot_bound(seen.entries)).toPandas()
     kept = spark.sparkContext.broadcast(np.sort(common["slot"].to_numpy(np.int32)))
     size = len(kept.value)
 

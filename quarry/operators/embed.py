@@ -50,13 +50,16 @@ def hash_buckets(text: Column, dim: int, max_tokens: int | None = None) -> Colum
 def _bincount_udf(dim: int):
     @F.pandas_udf(ArrayType(DoubleType()))
     def _vec(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None:
-                out.append(None)
-                continue
-            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            out.append(v / max(float(np.sqrt(v @ v)), V.NORM_EPS))
+        # one count over (row, bucket) for the whole batch
+        known = buckets.notna().to_numpy()
+        lists = [np.asarray(b, dtype=np.int64) for b in buckets[known]]
+        row = np.repeat(np.arange(len(lists)), [len(b) for b in lists])
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        m = np.bincount(row * dim + flat, minlength=len(lists) * dim).astype(np.float64).reshape(-1, dim)
+        m /= np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)), V.NORM_EPS)[:, None]
+        out = np.full(len(buckets), None, dtype=object)
+        for i, v in zip(np.flatnonzero(known), m):
+            out[i] = v
         return pd.Series(out)
     return _vec
 

@@ -1,7 +1,7 @@
 """Model calls as a plug-in (Y2), and the deterministic default models.
 
 ``call_model`` sends a JSON request column through ``model(list[str]) ->
-list[str]`` in Arrow batches (``mapInPandas``).  The model is built once per
+list[str]`` in Arrow batches; no other column goes to Python.  The model is built once per
 Python worker.  A failing batch is retried a bounded number of times, then
 row by row; a row that still fails gets ``response = null`` and the error
 text in ``error`` (the reference handed the exception object back as the
@@ -24,12 +24,13 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructField
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 ECHO_TAIL = 40
 _MODELS: dict[str, Callable[[list[str]], list[str]]] = {}
@@ -68,9 +69,6 @@ def call_model(df: DataFrame, request_col: str, loader: Callable[[], Callable[[l
                name: str, out_col: str = "response", error_col: str = "error",
                max_tries: int = 3, pause_s: float = 0.0) -> DataFrame:
     """Y2: add ``out_col`` (model reply) and ``error_col`` for every row."""
-    fields = list(df.schema.fields) + [StructField(out_col, StringType()), StructField(error_col, StringType())]
-    schema = type(df.schema)(fields)
-
     # two loaders of one name are two models
     key = f"{name}:{hashlib.sha1(cloudpickle.dumps(loader)).hexdigest()}"
 
@@ -97,10 +95,12 @@ def call_model(df: DataFrame, request_col: str, loader: Callable[[], Callable[[l
                     time.sleep(pause_s)
         return None, f"{type(last).__name__}: {last}"
 
-    def run(batches):
+    # not deterministic for the planner: the model is called once for each row
+    @F.pandas_udf(StructType([StructField("response", StringType()), StructField("error", StringType())]))
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = model()
-        for pdf in batches:
-            bodies = pdf[request_col].tolist()
+        for column in batches:
+            bodies = column.tolist()
             live = [i for i, b in enumerate(bodies) if b is not None]
             resp: list = [None] * len(bodies)
             err: list = [None] * len(bodies)
@@ -117,8 +117,9 @@ def call_model(df: DataFrame, request_col: str, loader: Callable[[], Callable[[l
             if not done:
                 for i in live:
                     resp[i], err[i] = one(m, bodies[i])
-            pdf[out_col] = pd.Series(resp, index=pdf.index, dtype=object)
-            pdf[error_col] = pd.Series(err, index=pdf.index, dtype=object)
-            yield pdf
+            yield pd.DataFrame({"response": pd.Series(resp, dtype=object), "error": pd.Series(err, dtype=object)})
 
-    return df.mapInPandas(run, schema)
+    reply = "_reply"
+    called = df.withColumn(reply, call.asNondeterministic()(F.col(request_col)))
+    return called.select(*[F.col(c) for c in df.columns if c not in (out_col, error_col)],
+                         F.col(f"{reply}.response").alias(out_col), F.col(f"{reply}.error").alias(error_col))

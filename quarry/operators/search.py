@@ -88,6 +88,7 @@ class _TopK:
 
     def __init__(self, k: int, nq: int):
         self.k, self.nq = k, nq
+        self.floor = np.full(nq, -np.inf)      # the k-th key so far, once there are k
         self.parts: list[pd.DataFrame] = []
         self.size = 0
 
@@ -103,6 +104,10 @@ class _TopK:
         df = pd.concat(self.parts, ignore_index=True)
         df = df.sort_values(["q", "key", "id"], ascending=[True, False, True], kind="mergesort")
         df = df.groupby("q", sort=False).head(self.k)
+        q, key = df["q"].to_numpy(), df["key"].to_numpy()
+        ends = np.flatnonzero(np.append(q[1:] != q[:-1], True))
+        full = np.diff(np.append(-1, ends)) == self.k
+        self.floor[q[ends[full]]] = key[ends[full]]
         self.parts, self.size = [df], len(df)
 
     def result(self):
@@ -141,13 +146,15 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str, model_col: s
                 S = _scores(D, Qb, metric)                         # n × qb
                 key = np.round(-S if metric == "l2" else S, RANK_PLACES)
                 n = key.shape[0]
+                floor = acc.floor[number[q0:q0 + qb]]                  # rows below it can't be among the k
+                if metric == "l2":
+                    floor = floor - _l2_error(D, Qb) - 10.0 ** -RANK_PLACES
                 if n > k:
                     thr = np.partition(key, n - k, axis=0)[n - k]  # k-th best per question
                     if metric == "l2":                             # within the products' rounding error of it
                         thr = thr - 2 * _l2_error(D, Qb) - 2 * 10.0 ** -RANK_PLACES
-                    r, c = np.nonzero(key >= thr[None, :])
-                else:
-                    r, c = np.nonzero(np.ones_like(key, dtype=bool))
+                    floor = np.maximum(thr, floor)
+                r, c = np.nonzero(key >= floor[None, :])
                 raw = S[r, c]
                 kept = key[r, c]
                 if metric == "l2":   # exact distance for the kept pairs only

@@ -31,11 +31,9 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q11: summary prompt for every whole document → body 1 → model → text."""
     d = TB.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     req = d.select("doc_id", P.summary_prompt("text").alias("prompt"))
-    req = req.withColumn("body", F.to_json(P.request_completion(
-        F.col("prompt"), F.lit(SUMMARY_MAX_TOKENS), F.lit(SUMMARY_TEMPERATURE))))
+    body = P.request_completion(F.col("prompt"), F.lit(SUMMARY_MAX_TOKENS), F.lit(SUMMARY_TEMPERATURE))
+    req = req.withColumn("body", F.to_json(body))
     out = G.call_model(req, "body", G.completion_echo, "completion-echo")
-    body = F.from_json("body", "prompt string, max_tokens_to_sample int, temperature double, "
-                               "top_k int, top_p double, stop_sequences array<string>")
     return out.select("doc_id", F.length("prompt").cast("bigint").alias("prompt_chars"),
                       T.word_count(F.col("prompt")).alias("prompt_words"),
                       P.fits_window(F.col("prompt")).alias("fits_window"),
@@ -53,18 +51,21 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            F.col("quality").alias("label"))
 
 
-def fewshot_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q9: every example under the three prompt variants (J5 as an explode,
-    no join), model continuation, last token, label map."""
-    ex = examples(spark, sf_dir)
-    variants = F.array(*[F.struct(F.lit(n).alias("prompt"), P.few_shot_prompt(n, F.col("sentence")).alias("text"))
-                         for n in P.FEW_SHOT])
+def _predicted(ex: DataFrame, prompts: list[str]) -> DataFrame:
+    """Examples under prompt variants (J5 as an explode, no join), model
+    continuation, last token, label map."""
+    variants = F.array(*[F.struct(F.lit(n).alias("prompt"), P.few_shot_prompt(n, F.col("sentence")).alias("text")) for n in prompts])
     runs = ex.select("doc_id", "label", F.explode(variants).alias("v")) \
         .select("doc_id", "label", F.col("v.prompt").alias("prompt"), F.col("v.text").alias("prompt_text"))
     gen = G.call_model(runs, "prompt_text", G.sentiment_stub, "sentiment-stub", out_col="generated")
     return EV.predictions(gen, "generated").select("doc_id", "prompt", "label", "prediction", "prediction_int")
 
 
+def fewshot_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: every example under the three prompt variants."""
+    return _predicted(examples(spark, sf_dir), list(P.FEW_SHOT))
+
+
 def fewshot_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 / A3: accuracy per prompt variant."""
     return EV.accuracy_by(fewshot_predictions(spark, sf_dir)) \
@@ -78,9 +79,8 @@ def fewshot_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fewshot_preview(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     """``head()`` of the last evaluation run (prompt 3), in id order.
-    The limit is the feature here; it plans as a per-partition top-n."""
-    p = fewshot_predictions(spark, sf_dir).filter(F.col("prompt") == "prompt_3")
-    return p.orderBy("doc_id").limit(n)
+    The limit is the feature here; it is taken before the model is called."""
+    return _predicted(examples(spark, sf_dir).orderBy("doc_id").limit(n), ["prompt_3"])
 
 
 def chat_history(spark: SparkSession, sf_dir: str, block_turns: int | None = None) -> DataFrame:

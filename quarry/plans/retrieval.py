@@ -60,6 +60,12 @@ def search_l2(spark: SparkSession, sf_dir: str, k: int = 10, dim: int = DIM) ->
     return S.search(doc_vectors(spark, sf_dir, dim), benchmark_vectors(spark, sf_dir, dim), k=k, metric="l2")
 
 
+def _dimension(index: DataFrame) -> int:
+    """From one row; the search checks every other one."""
+    row = index.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    return row[0] if row else DIM
+
+
 def vector_search(spark: SparkSession, sf_dir: str, k: int = 5, label: int | None = None) -> DataFrame:
     """J2 over the driver's ``embeddings`` table; ``label`` is the F6
     metadata filter, applied to the index before the top-k (pushed to the
@@ -68,7 +74,7 @@ def vector_search(spark: SparkSession, sf_dir: str, k: int = 5, label: int | Non
     if label is not None:
         idx = idx.filter(F.col("label") == label)
     idx = idx.select(F.col("vec_id").alias("id"), "embedding")
-    dim = idx.select(F.max(F.size("embedding"))).first()[0] or DIM
+    dim = _dimension(idx)
     return S.search(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="cosine")
 
 
@@ -201,7 +207,7 @@ def vector_context(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     ``missing = true`` when the vector has no document (J1 as a left join)."""
     idx = TB.read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]) \
         .select(F.col("vec_id").alias("id"), "embedding")
-    dim = idx.select(F.max(F.size("embedding"))).first()[0] or DIM
+    dim = _dimension(idx)
     hits = S.search(idx, benchmark_vectors(spark, sf_dir, dim), k=k, metric="cosine")
     docs = TB.documents(spark, sf_dir).select("doc_id", "path", "text")
     out = S.join_context(S.best_hit(hits), docs, cols=["path", "text"])

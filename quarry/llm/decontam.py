@@ -8,9 +8,11 @@
    are summed in two steps, and a single-pass Nystroem factorisation gives
    the right singular vectors.  The benchmark's own passages are rows of A
    too, weighted so that the latent space holds them.
-3. Every passage of every document is projected and compared with the
-   benchmark's passages by cosine; those at or above ``MIN_COSINE`` are
-   candidates.
+3. Every passage of every document is compared with the benchmark's
+   passages by two cosines, the projected one and that of the whole TF-IDF
+   rows; those at or above ``MIN_COSINE`` in either are candidates.  The
+   basis holds a full block only in part, so the projected cosine alone
+   would lose copies; by the whole rows none is lost to the rank.
 4. A candidate is checked on the words themselves: the longest common
    subsequence of the item and the text around the passage.  From
    ``LCS_ALONE`` of the item's words on it is contaminated; from
@@ -18,7 +20,8 @@
    last third) is there in order as well.
 
 The benchmark is taken in blocks of ``BLOCK`` passages; what a block
-broadcasts is bounded by its words times the rank.  The corpus is read
+broadcasts is bounded by its words times the rank, and a task holds its
+words times the rank and the block's passages.  The corpus is read
 three times for each block, and nothing of it is shuffled but the partial
 sums and the pairs found.
 
@@ -333,6 +336,12 @@ def search(texts: DataFrame, b: Block, basis: np.ndarray, id_type: str, item_typ
 
     def run(batches):
         blk, base, q = shared.value
+        rank = base.shape[1]
+        # side by side: the basis, and the benchmark's whole rows
+        wide = np.zeros((len(blk.vocabulary), rank + len(blk.passages)), np.float32)
+        wide[:, :rank] = base
+        p, t, v = benchmark_rows(blk)
+        wide[t, rank + p] = v
         for batch in batches:
             ids = batch.column(0)
             for i, j, buf, offs in nt.slices(batch.column(1)):
@@ -341,9 +350,9 @@ def search(texts: DataFrame, b: Block, basis: np.ndarray, id_type: str, item_typ
                 index, passage, texts_, first = passages_of(w, at)
                 p, t, v = tf_idf(passage, term[index], blk.weight, len(texts_))
                 found: dict[tuple[int, int], tuple] = {}
-                which, z = times(p, t, v, base)
+                which, z = times(p, t, v, wide)
                 for k in range(0, len(which), 8192):
-                    cosine = z[k:k + 8192] @ q.T
+                    cosine = np.maximum(z[k:k + 8192, :rank] @ q.T, z[k:k + 8192, rank:])
                     for r, c in zip(*np.nonzero(cosine >= min_cosine)):
                         win = which[k + r]
                         doc, item = int(texts_[win]), int(blk.owner[c])

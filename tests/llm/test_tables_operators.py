@@ -78,6 +78,42 @@ def test_candidates_reach_the_exact_cosines(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_full_block_loses_nothing_to_the_rank(spark):
+    """512 passages, four times the rank: each verbatim and paraphrased at a random place of a host text."""
+    rng = np.random.default_rng(5)
+    vocab = np.array(sorted(set(words(7, 9000))))
+    draw = lambda n: list(vocab[np.minimum(len(vocab) - 1, (rng.pareto(0.7, n) * 40).astype(int))])
+    rows, bench = [], []
+    for i in range(decontam.BLOCK):
+        item = draw(60)
+        bench.append((i, " ".join(item[:40]) + ". " + " ".join(item[40:]) + "."))
+        half = [w if rng.random() < 0.7 else d for w, d in zip(item[:40], draw(40))]
+        for k, text in ((i, item), (1000 + i, half + item[40:])):
+            rows.append((k, " ".join(draw(rng.integers(20, 120)) + text + draw(100))))
+    docs, items = documents(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    block, = decontam.blocks(decontam.read_items(bench))
+    assert len(block.passages) == decontam.BLOCK > decontam.RANK
+    texts = decontam._texts(docs, "doc_id", "text")
+    df, n = decontam.document_frequencies(texts, block.vocabulary)
+    block.set_vocabulary(decontam.word_weights(block, df, n))
+    import pyarrow as pa
+    from quarry.llm import numtext as nt
+    size = len(block.vocabulary)
+    matrix = lambda p, t, v, n: np.bincount(p * size + t, v, n * size).reshape(n, -1)
+    q = matrix(*decontam.benchmark_rows(block), len(block.passages))
+    exact = set()
+    for i, j, buf, offs in nt.slices(pa.array([t for _, t in rows])):
+        w, h = decontam.text_words(buf, offs)
+        at, term = block.lookup(h)
+        index, passage, of, _ = decontam.passages_of(w, at)
+        cosine = matrix(*decontam.tf_idf(passage, term[index], block.weight, len(of)), len(of)) @ q.T
+        exact |= {(rows[i + of[a]][0], int(block.owner[b])) for a, b in zip(*np.nonzero(cosine >= decontam.MIN_COSINE + 1e-5))}
+    got = {(r.doc_id, r.item_id): r.contaminated for r in decontam.candidates(docs, items).collect()}
+    assert len(exact) >= 800 and exact <= set(got)
+    assert all(got.get((i, i)) for i in range(decontam.BLOCK))
+    assert sum(got.get((1000 + i, i), False) for i in range(decontam.BLOCK)) >= 0.9 * decontam.BLOCK
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_lcs(a, b):

@@ -6,10 +6,11 @@ path the text length and the punctuation are added up; their ratios to the
 number of blocks say how much that path looks like prose (menus and forms:
 many short texts without punctuation).  The two ratios are smoothed along
 the page with a Gaussian kernel, fused by multiplication, and paths whose
-mean reaches ``CUT`` standard deviations are content.  The smallest element
-that holds (nearly) all content text is the article; what lies in it and in
-no element of another role is the text, so that short paragraphs, headings
-and list items of the article stay.
+mean reaches ``CUT`` standard deviations are content.  The article and main
+elements, or if content lies outside them the smallest element that holds all
+content, are the article; what lies in it and in no element of another role
+is the text, so that short paragraphs, headings, list items and links of the
+article stay.
 
 Elements of another role weigh nothing: navigation, page headers, footers,
 asides, forms, scripts, styles, hidden elements, and elements whose class,
@@ -36,9 +37,7 @@ from quarry.llm.common import exact
 
 SIGMA = 1.0
 CUT = 0.5
-#: share of the content text that the article's element holds at least
-HELD = 0.8
-#: share of a block's text inside links from which it counts as a list of links
+#: share of a block's text inside links from which it doesn't help to find the article
 LINKS = 0.6
 
 # fixed values: element names of the HTML standard
@@ -243,7 +242,7 @@ def main_text(page: str) -> str:
     limit = CUT * float(np.std([score[b.element.path] for b in blocks]))
     content = [b for b in blocks if score[b.element.path] >= limit and b.links < LINKS * len(b.text)] or blocks
 
-    # the innermost element with nearly all content text; an article or main element first
+    # the article and main elements if all content is in them, else the innermost element with all content
     weight: dict[int, int] = {}
     element: dict[int, _Element] = {}
     total = 0
@@ -256,10 +255,10 @@ def main_text(page: str) -> str:
             e = e.parent
     marked = {k for k, e in element.items() if e.tag in ("article", "main") and not (e.parent is not None and e.parent.article)}
     inside = sum(weight[k] for k in marked)
-    if inside >= (1 - HELD) * total and inside:
+    if inside == total:
         homes = marked
     else:
-        homes = {max((k for k, w in weight.items() if w >= HELD * total), key=lambda k: (element[k].path.count("/"), k))}
+        homes = {max((k for k, w in weight.items() if w == total), key=lambda k: (element[k].path.count("/"), k))}
         top = element[next(iter(homes))]
         if len(content) == 1 or top.tag in CLOSES_P - {"div", "section", "article", "main", "center", "details"}:
             homes = {(top.parent or top).number}      # a single paragraph: its neighbours belong to it
@@ -271,7 +270,7 @@ def main_text(page: str) -> str:
             e = e.parent
         return False
 
-    return "\n".join(b.text for b in blocks if within(b.element) and b.links < LINKS * len(b.text))
+    return "\n".join(b.text for b in blocks if within(b.element))
 
 
 def extract(html_column: Column) -> Column:

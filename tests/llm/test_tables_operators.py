@@ -254,6 +254,23 @@ def test_markup_details():
     assert tagpath.main_text("<p>open <b>bold<p>next</p>") == "open bold\nnext"
 
 
+def test_nothing_of_the_article_is_dropped():
+    long = "".join(f"<p>{p} {p} {p}</p>" for p in PROSE[:2]) * 6
+    text = "\n".join(f"{p} {p} {p}" for p in PROSE[:2])
+    whole = "\n".join([text] * 6)
+    # linked headings, references and paragraphs
+    linked = f"<h2><a href=#x>Section</a></h2>{long}<p><a href=y>One link, whole.</a></p><ol><li><a href=z>Reference, 2020.</a></li></ol>"
+    assert tagpath.main_text(f"<body>{JUNK['nav']}<article>{linked}</article></body>") == f"Section\n{whole}\nOne link, whole.\nReference, 2020."
+    # two parts of unequal length, without and with an article element round one of them
+    small = f"<div><p>{PROSE[0]} {PROSE[1]}</p></div>"
+    for part in ("<div>{}</div>", "<article>{}</article>"):
+        for first in (True, False):
+            a, b = (part.format(long), small) if first else (small, part.format(long))
+            expected = [whole, f"{PROSE[0]} {PROSE[1]}"]
+            page = f"<body>{JUNK['menu']}<div>{a}{b}</div>{JUNK['footer']}</body>"
+            assert tagpath.main_text(page) == "\n".join(expected if first else expected[::-1])
+
+
 def test_pages_table(spark):
     got = tagpath.extract_pages(pages(spark)).collect()
     assert len(got) == len(PAGES) and got[0].text == "x" and got[2].text == "" and all(r.n_chars == len(r.text) for r in got)

@@ -14,6 +14,13 @@ with - / . between), US social security numbers, payment cards (Luhn, 13-19
 digits), telephone numbers (+ and 8-15 digits, or North American groups).
 Numbers that fail their check are left alone.
 
+A card or IBAN may stand next to other digits or capitals that look like more
+of it.  If the longest reading fails its check, the shorter ones that end at a
+separator are tried (for cards, those in groups of three digits or more), then
+the search goes on behind the first group.  Of a value found so, the cycle is
+walked on until the new value is found in the same place, so that it can be
+reversed; only there can equal values get different pseudonyms.
+
 Null texts stay null; other columns pass through.  Values are found left to
 right, so they never overlap.
 """
@@ -37,13 +44,15 @@ KINDS = re.compile(r"""
   (?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))
 | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
 | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
-| (?P<date>(?<![\w./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!\w|[./-][0-9]))
+| (?P<date>(?<![\w./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt][0-9]{2}(?![A-Za-z_]))
+    |(?<![\w./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?!\w|[./-][0-9]))
 | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
 | (?P<phone>(?<![\w+])\+[0-9]{1,3}(?:[ ().-]{0,2}[0-9]){7,12}(?![0-9])
     |(?<![\w+])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w|[.-][0-9]))
 | (?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-[0-9]))
 """, re.X)
 _POSSIBLE = re.compile("[0-9@]")
+_FIRST_GROUP = re.compile("[^A-Za-z0-9]*[A-Za-z0-9]+")
 
 
 class Feistel:
@@ -282,10 +291,19 @@ TWEAK = {"card": lambda f: f[0], "phone": lambda f: f.split("|")[0], "date": lam
          "iban": lambda f: f.rpartition("|")[0], "email": lambda f: f.partition("@")[0]}
 
 
+def shorter(kind: str, value: str) -> list[str]:
+    """Readings of a failed value that end at a separator, longest first."""
+    if kind not in ("card", "iban"):
+        return []
+    out = [value[:m.start()] for m in re.finditer("[ -]", value)][::-1]
+    return out if kind == "iban" else [v for v in out if min(map(len, re.split("[ -]", v))) >= 3]
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.key = key
         self.replace = lru_cache(1 << 14)(self._replace)
+        self.valid = lru_cache(1 << 14)(lambda kind, value: PARSE[kind](value) is not None)
         self.network = lru_cache(1 << 12)(lambda tweak, n: Feistel(key, tweak, n))
 
     def _replace(self, kind: str, value: str, back: bool = False) -> str | None:
@@ -300,20 +318,36 @@ class Pseudonyms:
             if new is not None:
                 return new
 
+    def find(self, text: str, at: int) -> tuple[int, int, str, bool] | None:
+        """(start, end, kind, a longer or earlier reading failed) of the next value."""
+        failed = False
+        while m := KINDS.search(text, at):
+            kind = m.lastgroup
+            if self.valid(kind, m[0]):
+                return m.start(), m.end(), kind, failed
+            failed = True
+            for v in shorter(kind, m[0]):
+                if self.valid(kind, v):
+                    return m.start(), m.start() + len(v), kind, True
+            at = m.start() + _FIRST_GROUP.match(m[0]).end()
+        return None
+
     def text(self, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
         """The new text, and (start, end, kind) of each value in it (same places in the old text's order)."""
         if not _POSSIBLE.search(text):
             return text, []
         out, spans, at, size = [], [], 0, 0
-        for m in KINDS.finditer(text):
-            new = self.replace(m.lastgroup, m[0], back)
-            if new is None:
-                continue
-            out += [text[at:m.start()], new]
-            size += m.start() - at
-            spans.append((size, size + len(new), m.lastgroup))
+        while found := self.find(text, at):
+            start, end, kind, failed = found
+            new = self.replace(kind, text[start:end], back)
+            # beside its neighbours the new value must be read as the old one was
+            while failed and self.find(text[:start] + new + text[end:], at) != (start, start + len(new), kind, True):
+                new = self.replace(kind, new, back)
+            out += [text[at:start], new]
+            size += start - at
+            spans.append((size, size + len(new), kind))
             size += len(new)
-            at = m.end()
+            at = end
         return ("".join(out) + text[at:], spans) if spans else (text, [])
 
 

@@ -341,6 +341,31 @@ def test_values_are_replaced_in_their_format():
     assert pii.Pseudonyms(b"other").text(VALUES[0])[0] != p.text(VALUES[0])[0]
 
 
+CARD, IBAN = "4111111111111111", "DE89370400440532013000"
+BESIDE = [("pay ", CARD, " 12 times"), ("on 12 ", CARD, " paid"), ("12 ", "4539 5787 6362 1486", " 07 and"), ("", "4111-1111-1111-1111", "-12"),
+          ("sum ", IBAN, " EUR"), ("sum ", "AT611904300234573201", " EUR"), ("sum ", IBAN, " EURO 5"), ("AB12 ", "DE89 3704 0044 0532 0130 00", " EUR"),
+          ("at ", "2024-01-05", "T10:00"), ("at ", "2024-01-05", "T10:00:00Z"), ("at ", "2024-01-05", "t100000")]
+
+
+@pytest.mark.parametrize("before,value,after", BESIDE)
+def test_values_beside_other_characters(before, value, after):
+    for k in range(40):
+        p = pii.Pseudonyms(b"key %d" % k)
+        new, spans = p.text(before + value + after)
+        assert len(spans) == 1 and new.startswith(before) and new.endswith(after)
+        got = new[spans[0][0]:spans[0][1]]
+        assert len(got) == len(value) and got != value and new == before + got + after and pii.PARSE[spans[0][2]](got) is not None
+        assert p.text(new, back=True)[0] == before + value + after
+
+
+def test_all_values_behind_a_failed_one():
+    p = pii.Pseudonyms(b"k")
+    text = f"no 1234567890123456 {CARD} 12, then {IBAN} USD and {CARD} 9 on 2024-02-30T10:00 or 2024-02-29T10:00"
+    new, spans = p.text(text)
+    assert [k for _, _, k in spans] == ["card", "iban", "card", "date"] and "1234567890123456" in new and "2024-02-30T" in new
+    assert CARD not in new and IBAN not in new and p.text(new, back=True)[0] == text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 3000), st.binary(min_size=1, max_size=8))
 def test_permutation(n, key):

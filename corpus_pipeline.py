@@ -69,7 +69,7 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of binary lengths, with their ids as little-endian unsigned 32-bit numbers."""
     _ready(spark)
-    return packing.pack(exact(docs, *COLUMNS), tokenizer_path())
+    return packing.pack(exact(docs, *COLUMNS), tokenizer_path(), added=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -14,6 +14,10 @@ through the tokenizer.  The map
 is narrow: nothing is shuffled, and a lost task is simply run again with
 the same result (sequence numbers follow partition and row).
 
+Marks of the tokenizer's added tokens (``<|endoftext|>``) give those tokens'
+ids with ``added``, as the library's plain call does, else the ids of their
+letters and signs.
+
 Nulls and empty texts give the end id alone: one piece of length one.
 Repeated rows are packed once each.
 """
@@ -61,14 +65,16 @@ class TextTokens:
     letters further into runs of letters, single digits and runs of
     punctuation, as the tokenizer's own splitter does.  Each different part
     goes through the library once and its ids are then copied by numpy.
-    Any other word is one part for the whole tokenizer.
+    Any other word is one part for the whole tokenizer, and with ``added``
+    also words that hold the mark of an added token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # Spark has a task on each core already
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
+        self.marks = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.whole.no_padding()
         self.whole.no_truncation()
         self.model = Tokenizer(self.whole.model)     # for parts: lower case and cut already
@@ -82,7 +88,7 @@ class TextTokens:
         self.ids = np.zeros(0, np.uint32)
 
     @staticmethod
-    def parts(buf: np.ndarray, offs: np.ndarray):
+    def parts(buf: np.ndarray, offs: np.ndarray, marks: list[bytes] = []):
         """(lower-case bytes, starts, ends, is a word for the whole tokenizer)"""
         low = _LOWER[buf]
         after = np.zeros(len(buf), bool)             # follows the lead byte of U+00C0 to U+00FF
@@ -96,6 +102,14 @@ class TextTokens:
         begin &= kind != _SPACE
         n_odd = nt.count_below(odd)
         strange = n_odd[w.end] > n_odd[w.start]
+        data = low.tobytes() if marks else b""
+        for mark in marks:
+            at = data.find(mark)
+            while at >= 0:
+                k = np.searchsorted(w.start, at, "right") - 1
+                low[w.start[k]:w.end[k]] = buf[w.start[k]:w.end[k]]     # the mark counts in its own case only
+                strange[k] = True
+                at = data.find(mark, at + 1)
         if strange.any():
             step = np.zeros(len(buf) + 1, np.int32)
             step[w.start[strange]] += 1
@@ -123,7 +137,7 @@ class TextTokens:
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)"""
-        low, start, end, whole = self.parts(buf, offs)
+        low, start, end, whole = self.parts(buf, offs, self.marks)
         h = nt.span_hash(nt.byte_hash(low), start, end, nt.BYTE_BASE)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE:
@@ -144,14 +158,14 @@ class TextTokens:
         return ids, np.diff(ends)
 
 
-_workers: dict[str, TextTokens] = {}
+_workers: dict[tuple[str, bool], TextTokens] = {}
 
 
-def text_tokens(path: str) -> TextTokens:
+def text_tokens(path: str, added: bool = False) -> TextTokens:
     """One for each Python worker, which Spark uses for many tasks."""
-    if path not in _workers:
-        _workers[path] = TextTokens(path)
-    return _workers[path]
+    if (path, added) not in _workers:
+        _workers[path, added] = TextTokens(path, added)
+    return _workers[path, added]
 
 
 def lengths(n: int, most: int = MAX_TOKENS) -> list[int]:
@@ -161,8 +175,8 @@ def lengths(n: int, most: int = MAX_TOKENS) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         most: int = MAX_TOKENS, end_id: int = END_ID, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """One row per piece.
+         most: int = MAX_TOKENS, end_id: int = END_ID, batch_tokens: int = BATCH_TOKENS, added: bool = False) -> DataFrame:
+    """One row per piece.  ``added``: marks of added tokens give their ids.
 
     doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit),
     sequence_id, offset (always 0), batch_id (sequences of one length).
@@ -174,7 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     names = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset", "batch_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = text_tokens(tokenizer_path)
+        tokens = text_tokens(tokenizer_path, added)
         base = TaskContext.get().partitionId() << 33
         done = 0
         in_bucket = dict.fromkeys((1 << b for b in range(most.bit_length())), 0)

@@ -66,7 +66,7 @@ def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "batch_id")
 
 

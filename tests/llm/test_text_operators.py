@@ -187,3 +187,30 @@ def test_tokens_equal_the_library(texts):
         ends = np.cumsum(n)
         for k, text in enumerate(texts):
             assert ids[ends[k] - n[k]:ends[k]].tolist() == t.whole.encode(text, add_special_tokens=False).ids
+
+
+MARKED = ["<|endoftext|>", "a <|endoftext|> and <|startoftext|>x", "x<|startoftext|><|endoftext|>y's", "<|ENDOFTEXT|> it's<|EndOfText|>", "<|endoftext|>é 日<|endoftext|>本",
+          "<|ENDOFTEXT|><|endoftext|>B", "no mark <|endof text|>", "", "A\x85<|endoftext|>\u00a0B"]
+
+
+def test_marks_of_added_tokens_equal_the_plain_library(tmp_path, spark):
+    from tokenizers import Tokenizer
+    from quarry.llm.queries import op10_binary_packing
+    tok = Tokenizer.from_file(tokenizer_path())
+    plain = [tok.encode(t, add_special_tokens=False).ids for t in MARKED]
+    assert 49407 in plain[0] and 49406 in plain[1]
+    t = packing.text_tokens(tokenizer_path(), added=True)
+    for _ in range(2):      # learned, then remembered
+        for i, _, buf, offs in nt.slices(pa.array(MARKED, pa.string())):
+            ids, n = t(buf, offs)
+            ends = np.cumsum(n)
+            assert [ids[e - k:e].tolist() for e, k in zip(ends, n)] == plain
+    spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.start): r.ids_crc32 for r in op10_binary_packing(spark, str(tmp_path)).collect()}
+    expected = {}
+    for k, ids in enumerate(plain):
+        ids, at = [*ids, 2], 0
+        for size in packing.lengths(len(ids)):
+            expected[k, at] = zlib.crc32(np.array(ids[at:at + size], "<u4").tobytes())
+            at += size
+    assert got == expected

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, packing, pii, quality, sharding, simhash, tagpath, toxicity, warc
+from quarry.llm import chat, collocate, decontam, packing, pii, quality, sharding, simhash, tagpath, tokencount, toxicity, warc
 from quarry.llm.common import table
 from quarry.session import checkpoint_dir, ship_package
 
@@ -70,6 +70,14 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "batch_id")
 
 
+def op12_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_prefix_free_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocate.collocations(table(spark, sf_dir, "documents"))
+
+
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         checkpoint_dir(spark)
@@ -80,7 +88,8 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 _ALL = [op1_latent_decontamination, op2_perspective_rotation, op3_revisit_resolution, op4_tag_path_ratios, op5_repetition_coverage,
-        op6_balanced_propagation, op7_feistel_pseudonyms, op8_bit_sliced_simhash, op9_ftrl_toxicity, op10_binary_packing]
+        op6_balanced_propagation, op7_feistel_pseudonyms, op8_bit_sliced_simhash, op9_ftrl_toxicity, op10_binary_packing,
+        op12_whole_token_counts, op13_prefix_free_collocations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -89,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_perspective_rotation": chat.oracle_sql(), "op3_revisit_resolution": warc.oracle_sql(),
-            "op5_repetition_coverage": quality.oracle_sql()}
+            "op5_repetition_coverage": quality.oracle_sql(), "op13_prefix_free_collocations": collocate.oracle_sql()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, collocate, decontam, packing, pii, quality, sharding, simhash, tagpath, tokencount, toxicity, warc
+from quarry.llm import chat, collocate, convrepair, decontam, packing, pii, quality, sharding, simhash, tagpath, tokencount, toxicity, warc
 from quarry.llm.common import table
 from quarry.session import checkpoint_dir, ship_package
 
@@ -70,6 +70,11 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "batch_id")
 
 
+def op11_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return convrepair.repair_report(conversations, convrepair.damaged(conversations))
+
+
 def op12_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -89,7 +94,7 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 _ALL = [op1_latent_decontamination, op2_perspective_rotation, op3_revisit_resolution, op4_tag_path_ratios, op5_repetition_coverage,
         op6_balanced_propagation, op7_feistel_pseudonyms, op8_bit_sliced_simhash, op9_ftrl_toxicity, op10_binary_packing,
-        op12_whole_token_counts, op13_prefix_free_collocations]
+        op11_glr_repair, op12_whole_token_counts, op13_prefix_free_collocations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -48,7 +48,9 @@ WINDOW = LONGEST - 1
 EVERY = 32
 MOST = 512
 FILTER_BITS = 1 << 26
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 8 << 20   # chunks handed on at a time
+COUNT_BYTES = 2 << 20   # chunks counted at a time
+OUT_ROWS = 1 << 16      # counts handed on at a time
 UNKNOWN = "und"
 
 _PIECE = np.zeros(256, bool)
@@ -157,7 +159,7 @@ class _Batch:
         self.pair = np.zeros(len(starts), np.uint64)           # that ends at the word
         self.pair[1:] = pair_hash(h[self.id[:-1]], h[self.id[1:]], lang_hash[self.lang[1:]])
 
-    def count(self, n: int, ends: np.ndarray) -> pa.RecordBatch:
+    def count(self, n: int, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Weighted counts of the phrases of ``n`` words that end at the words ``ends``."""
         key = self.lang[ends]
         for k in range(n - 1, -1, -1):
@@ -168,7 +170,11 @@ class _Batch:
         new = np.ones(len(key), bool)
         new[1:] = key[order][1:] != key[order][:-1]
         total = np.add.reduceat(self.freq[ends][order], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
-        one = ends[order[new]]
+        found = ends[order[new]]
+        for i in range(0, len(found), OUT_ROWS):
+            yield self._rows(n, found[i:i + OUT_ROWS], total[i:i + OUT_ROWS])
+
+    def _rows(self, n: int, one: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
         words = [self.words.take(pa.array(self.id[one - k])) for k in range(n - 1, -1, -1)]
         phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
         return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[one])), phrase, pa.array(np.full(len(one), n), pa.int32()),
@@ -195,7 +201,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         if b.num_rows:
             held.append(b)
             size += b.nbytes
-        if size >= BATCH_BYTES:
+        if size >= COUNT_BYTES:
             yield _Batch(pa.Table.from_batches(held))
             held, size = [], 0
     if held:
@@ -213,8 +219,8 @@ def _short(words: DataFrame, least: int) -> DataFrame:
     """Frequent words and pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
-            yield b.count(1, np.flatnonzero(b.fresh))
-            yield b.count(2, np.flatnonzero(b.fresh & (b.run >= 1)))
+            yield from b.count(1, np.flatnonzero(b.fresh))
+            yield from b.count(2, np.flatnonzero(b.fresh & (b.run >= 1)))
     return _counted(words.mapInArrow(run, _COUNTS), least)
 
 
@@ -246,7 +252,7 @@ def _long(words: DataFrame, passes: np.ndarray, least: int) -> DataFrame:
             for n in range(3, LONGEST + 1):
                 whole[n - 2:] &= ok[:len(ok) - (n - 2)]
                 whole[:n - 2] = False
-                yield b.count(n, np.flatnonzero(whole & b.fresh & (b.run >= n - 1)))
+                yield from b.count(n, np.flatnonzero(whole & b.fresh & (b.run >= n - 1)))
     return _counted(words.mapInArrow(run, _COUNTS), least)
 
 

@@ -49,7 +49,8 @@ EVERY = 32
 MOST = 512
 FILTER_BITS = 1 << 26
 BATCH_BYTES = 8 << 20   # chunks handed on at a time
-COUNT_BYTES = 2 << 20   # chunks counted at a time
+SLICE_BYTES = 1 << 19   # texts parsed at a time
+COUNT_BYTES = 1 << 19   # chunks counted at a time
 OUT_ROWS = 1 << 16      # counts handed on at a time
 UNKNOWN = "und"
 
@@ -116,7 +117,7 @@ def dictionary(docs: DataFrame, every: int = EVERY, most: int = MOST) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, _, buf, offs in nt.slices(b.column(1)):
+            for i, _, buf, offs in nt.slices(b.column(1), SLICE_BYTES):
                 for doc, chunk, fresh, words in chunks(buf, offs, every, most):
                     yield pa.RecordBatch.from_arrays([pc.take(b.column(0), pa.array(doc + i)), chunk, pa.array(fresh, pa.int32()),
                                                       pa.array(words, pa.int32())], names)
@@ -204,6 +205,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         if size >= COUNT_BYTES:
             yield _Batch(pa.Table.from_batches(held))
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield _Batch(pa.Table.from_batches(held))
 

@@ -194,7 +194,7 @@ def first_store_reload() -> str:
 WITH d AS (SELECT doc_id, {DOC_PATH} AS path, text, CAST(substr(source, 4) AS INTEGER) AS b FROM documents),
 r AS (SELECT doc_id, path, text, b AS batch_no, 1 AS load FROM d WHERE b % 2 = 0
       UNION ALL SELECT doc_id, path, text, -1, 2 FROM d WHERE b % 2 <> 0
-      UNION ALL SELECT doc_id, '/a' || path, substr(text, 1, 512) || ' changed', -1, 2 FROM d WHERE b % 2 = 0 AND doc_id % 10 = 0),
+      UNION ALL SELECT doc_id, '/a' || path, substr(text, 1, 512) || ' changed', -1, 3 FROM d WHERE b % 2 = 0 AND doc_id % 10 = 0),
 w AS (SELECT row_number() OVER () AS rid, * FROM (
   SELECT substr(text, 1, 512) AS id, *,
          row_number() OVER (PARTITION BY substr(text, 1, 512) ORDER BY load DESC, batch_no DESC, path DESC) AS rn FROM r) WHERE rn = 1),
@@ -210,7 +210,7 @@ def second_store_reload() -> str:
 WITH d AS (SELECT doc_id, {DOC_PATH} AS path, text, CAST(substr(source, 4) AS INTEGER) AS b FROM documents),
 r AS (SELECT path, text, b AS batch_no, 1 AS load FROM d WHERE b % 2 = 0
       UNION ALL SELECT path, text, b, 2 FROM d WHERE b % 2 <> 0
-      UNION ALL SELECT path, text || ' changed', b, 2 FROM d WHERE b % 2 = 0 AND doc_id % 10 = 0),
+      UNION ALL SELECT path, text || ' changed', b, 3 FROM d WHERE b % 2 = 0 AND doc_id % 10 = 0),
 w AS (SELECT row_number() OVER () AS rid, * FROM (
   SELECT *, row_number() OVER (PARTITION BY path ORDER BY load, batch_no, text) AS rn FROM r) WHERE rn = 1),
 {hash_embed_ctes('ev', 'w', 'rid')},

@@ -3,7 +3,9 @@
     python -m quarry pages   --pages pages.parquet --out text/           (Q1)
     python -m quarry chunk   --staged staged/ --out chunks/ --checkpoint ck/ [--pdf] [--archive done/]  (Q4)
     python -m quarry index   --docs data/ --store first|second --index idx/           (Q2 / Q3)
-    python -m quarry ask     --index idx/ --store first|second --questions q.txt --out hits/ [--k 5]   (Q5)
+    python -m quarry ask     --index idx/ --questions q.txt --out hits/ [--k 5]        (Q5; metric and model from the index)
+    python -m quarry compact --index idx/ [--vacuum-days 7]                            (deltas into a new base)
+    python -m quarry describe --root indexes/                                          (S9)
     python -m quarry ingest  --staged staged/ --checkpoint ck/ --first-table t1 --second-table t2 [--buckets 1024]  (X2)
 
 Every command runs on the session ``spark-submit`` provides (or a local one
@@ -21,7 +23,7 @@ from .functions import text as T
 from .operators import embed as E
 from .operators import html as H
 from .operators import index as IX
-from .operators import search as S
+from .operators import store as ST
 from .session import get_spark
 from .sources import files
 from .streaming import ingest
@@ -50,38 +52,43 @@ def _chunk(spark, a):
 
 def _index(spark, a):
     docs = files.text_corpus(spark, a.docs)
-    model = f"hash-{a.dim}"
-    old = IX.read_index(spark, a.index) if IX.index_exists(spark, a.index) else None
+    model = F.lit(f"hash-{a.dim}")
+    batch_no = F.lit(a.batch).cast("int")
     if a.store == "first":
         rows = E.hash_embed(docs, "text", a.dim).select(
             IX.first_store_key(F.col("text")).alias("id"), F.col("path").alias("file_path"),
             F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"), "embedding",
-            F.lit(model).alias("embedding_model"), F.lit(a.batch).cast("int").alias("batch_no"))
-        IX.write_index(IX.upsert(old, rows), a.index)
+            model.alias("embedding_model"), batch_no.alias("batch_no"))
+        ST.load(spark, ST.open_first(spark, a.index, a.dim), rows)
     else:
         rows = docs.select(
             IX.second_store_key(F.col("path"), F.col("text")).alias("id"), F.col("text").alias("document"),
             F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
             F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
-            F.lit(model).alias("embedding_model"), F.lit(a.batch).cast("int").alias("batch_no"))
-        if old is not None:
-            rows = rows.select(*[c for c in old.columns if c != "embedding"])
-        merged = IX.insert_if_absent(old, rows, order=("batch_no", "document"),
-                                     enrich=lambda df: E.hash_embed(df, "document", a.dim))
-        IX.write_index(merged, a.index)
+            model.alias("embedding_model"), batch_no.alias("batch_no"))
+        ST.load(spark, ST.open_second(spark, a.index, a.dim), rows, enrich=lambda df: E.hash_embed(df, "document", a.dim))
 
 
 def _ask(spark, a):
-    q = spark.read.text(a.questions).select(F.col("value").alias("text")).filter(F.trim("text") != "")
-    q = q.withColumn("question_id", F.monotonically_increasing_id())
-    qv = E.hash_embed(q, "text", a.dim).select("question_id", "embedding")
-    idx = IX.read_index(spark, a.index)
-    metric = "cosine" if a.store == "first" else "l2"
-    hits = S.search(idx.select("id", "embedding"), qv, k=a.k, metric=metric)
+    """A question's number is a hash of its text: equal lines are one question."""
+    q = spark.read.text(a.questions).select(F.col("value").alias("text")).filter(F.trim("text") != "").distinct()
+    q = q.select(F.md5("text").alias("question_id"), "text")
+    qv = E.hash_embed(q, "text", a.dim).select("question_id", "embedding", F.lit(f"hash-{a.dim}").alias("embedding_model"))
+    hits = ST.search(spark, a.index, qv, k=a.k)
     hits.join(q.select("question_id", F.col("text").alias("question")), "question_id") \
         .write.mode("overwrite").parquet(a.out)
 
 
+def _compact(spark, a):
+    ST.compact(spark, a.index)
+    if a.vacuum_days is not None:
+        ST.vacuum(spark, a.index, older_than=a.vacuum_days * 86400)
+
+
+def _describe(spark, a):
+    ST.list_stores(spark, a.root).orderBy("name").show(truncate=False)
+
+
 def _ingest(spark, a):
     src = ingest.staged_text(spark, a.staged)
     q = ingest.start_index_ingest_tables(src, a.first_table, a.second_table, a.checkpoint,
@@ -111,11 +118,16 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
     k = sub.add_parser("ask")
     k.add_argument("--index", required=True)
-    k.add_argument("--store", choices=["first", "second"], required=True)
     k.add_argument("--questions", required=True)
     k.add_argument("--out", required=True)
     k.add_argument("--k", type=int, default=5)
     k.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
+    k.add_argument("--store", choices=["first", "second"], help="not needed: the index knows its metric")
+    o = sub.add_parser("compact")
+    o.add_argument("--index", required=True)
+    o.add_argument("--vacuum-days", type=float)
+    e = sub.add_parser("describe")
+    e.add_argument("--root", required=True)
     g = sub.add_parser("ingest")
     g.add_argument("--staged", required=True)
     g.add_argument("--checkpoint", required=True)
@@ -125,7 +137,7 @@ def main(argv: list[str] | None = None) -> None:
     g.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
     a = ap.parse_args(argv)
     spark = get_spark(app=f"quarry-{a.cmd}")
-    {"pages": _pages, "chunk": _chunk, "index": _index, "ask": _ask, "ingest": _ingest}[a.cmd](spark, a)
+    {"pages": _pages, "chunk": _chunk, "index": _index, "ask": _ask, "compact": _compact, "describe": _describe, "ingest": _ingest}[a.cmd](spark, a)
 
 
 if __name__ == "__main__":

@@ -110,8 +110,12 @@ _VER = re.compile(r"^v(\d{6})$")
 
 
 def _versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]:
-    """Version numbers under ``base``; by default only complete ones (a
-    ``_SUCCESS`` marker), so a write that died half-way is never read."""
+    """Version numbers under ``base``: a store's commits, or folders; by
+    default only complete ones (a ``_SUCCESS`` marker), so a write that died
+    half-way is never read."""
+    from . import store
+    if commits := store.versions(spark, base):
+        return commits
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -138,6 +142,10 @@ def create_if_absent(spark: SparkSession, base: str, schema: StructType) -> Data
 
 
 def read_index(spark: SparkSession, base: str) -> DataFrame:
+    """The newest version of a store (``store.py``) or of a folder of whole versions."""
+    from . import store
+    if store.exists(spark, base):
+        return store.read(spark, base)
     v = _versions(spark, base)
     if not v:
         raise FileNotFoundError(f"no index at {base}")

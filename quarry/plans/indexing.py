@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import chunk as C
 from ..operators import embed as E
 from ..operators import index as IX
+from ..operators import store as ST
 from ..session import scratch_path
 from ..sources import tables as TB
 
@@ -101,22 +102,22 @@ def pathless_store(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFram
     return _summary(s, "id", "classification", "conv_id", "turn")
 
 
-def _reloaded(rows: DataFrame, changed) -> tuple[DataFrame, DataFrame]:
-    """A first and a second load: documents of even sources, then those of odd
-    ones plus a changed version of every tenth document of the first."""
+def _loads(rows: DataFrame, changed) -> list[DataFrame]:
+    """A base load and two later ones: documents of even sources, those of odd
+    ones, and a changed version of every tenth document of the first."""
     even = F.col("batch_no") % 2 == 0
-    again = rows.filter(even & (F.col("doc_id") % 10 == 0))
-    return rows.filter(even), rows.filter(~even).unionByName(changed(again))
+    return [rows.filter(even), rows.filter(~even), changed(rows.filter(even & (F.col("doc_id") % 10 == 0)))]
 
 
 def first_store_reload(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
-    """Two loads through the written index.  A second load wins for
-    every key it brings, though its batch number is lower here (-1) and its
-    path may sort before the stored one."""
+    """A base, two delta loads and a compaction of the stored index.
+
+    A later load wins for every key it brings, though its batch number is
+    lower here (-1) and its path may sort before the stored one.
+    """
     docs = TB.documents(spark, sf_dir).withColumn("batch_no", _batch_no())
-    old, new = _reloaded(docs, lambda d: d.withColumn("path", F.concat(F.lit("/a"), "path")).withColumn(
+    first, *later = _loads(docs, lambda d: d.withColumn("path", F.concat(F.lit("/a"), "path")).withColumn(
         "text", F.concat(F.substring("text", 1, IX.FIRST_STORE_KEY_CHARS), F.lit(" changed"))))
-    new = new.withColumn("batch_no", F.lit(-1))
 
     def rows(d: DataFrame) -> DataFrame:
         return E.hash_embed(d, "text", dim).select(
@@ -124,17 +125,17 @@ def first_store_reload(spark: SparkSession, sf_dir: str, dim: int = DIM) -> Data
             F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"), "embedding",
             F.lit(f"hash-{dim}").alias("embedding_model"), "batch_no")
 
-    base = scratch_path(spark, f"first-store-{uuid.uuid4().hex}")
-    IX.write_index(IX.upsert(None, rows(old)), base)
-    IX.write_index(IX.upsert(IX.read_index(spark, base), rows(new)), base)
-    return _summary(IX.read_index(spark, base), "id", F.element_at("metadata", "file_path").alias("file_path"), "batch_no")
+    base = ST.open_first(spark, scratch_path(spark, f"first-store-{uuid.uuid4().hex}"), dim)
+    for load in (first, *[d.withColumn("batch_no", F.lit(-1)) for d in later]):
+        ST.load(spark, base, rows(load))
+    ST.compact(spark, base)
+    return _summary(ST.read(spark, base), "id", F.element_at("metadata", "file_path").alias("file_path"), "batch_no")
 
 
 def second_store_reload(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
-    """The same two loads into the second store, where a path that is
-    there keeps its first text."""
+    """The same loads and compaction in the second store, where a path
+    that is there keeps its first text; only new rows are embedded."""
     docs = TB.documents(spark, sf_dir).withColumn("batch_no", _batch_no())
-    old, new = _reloaded(docs, lambda d: d.withColumn("text", F.concat("text", F.lit(" changed"))))
 
     def rows(d: DataFrame) -> DataFrame:
         return d.select(IX.second_store_key(F.col("path"), F.col("text")).alias("id"), F.col("text").alias("document"),
@@ -142,11 +143,11 @@ def second_store_reload(spark: SparkSession, sf_dir: str, dim: int = DIM) -> Dat
                         F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
                         F.lit(f"hash-{dim}").alias("embedding_model"), "batch_no")
 
-    base = scratch_path(spark, f"second-store-{uuid.uuid4().hex}")
-    order = ("batch_no", "document")
-    IX.write_index(IX.insert_if_absent(None, rows(old), order=order, enrich=_embed_documents(dim)), base)
-    IX.write_index(IX.insert_if_absent(IX.read_index(spark, base), rows(new), order=order, enrich=_embed_documents(dim)), base)
-    return _summary(IX.read_index(spark, base), "id", F.element_at("metadata", "classification").alias("classification"),
+    base = ST.open_second(spark, scratch_path(spark, f"second-store-{uuid.uuid4().hex}"), dim)
+    for load in _loads(docs, lambda d: d.withColumn("text", F.concat("text", F.lit(" changed")))):
+        ST.load(spark, base, rows(load), enrich=lambda df: E.hash_embed(df, "document", dim))
+    ST.compact(spark, base)
+    return _summary(ST.read(spark, base), "id", F.element_at("metadata", "classification").alias("classification"),
                     F.md5("document").alias("document_md5"), "batch_no")
 
 
@@ -154,11 +155,28 @@ def second_store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(second_store(spark, sf_dir), "id", "classification", "batch_no", "doc_id", "chunk_ix")
 
 
+def stored_first(spark: SparkSession, sf_dir: str, dim: int = DIM) -> str:
+    """Q2 as a job: the first store of these documents, loaded once for a state of the table."""
+    base = TB.derived_path(spark, sf_dir, ["documents"], f"first-store-{dim}")
+    ST.open_first(spark, base, dim)
+    ST.load(spark, base, first_store_batch(spark, sf_dir, dim), name="documents")
+    return base
+
+
+def stored_second(spark: SparkSession, sf_dir: str, dim: int = DIM) -> str:
+    """Q3 as a job: the second store of these documents and their chunks, loaded once for a state of the tables."""
+    base = TB.derived_path(spark, sf_dir, ["documents", "labels"], f"second-store-{dim}")
+    ST.create(spark, base, IX.SECOND_STORE_SCHEMA, dim, "l2", f"hash-{dim}", "insert", order=("batch_no", "doc_id", "chunk_ix"))
+    ST.load(spark, base, second_store_batch(spark, sf_dir), enrich=lambda df: E.hash_embed(df, "document", dim), name="documents")
+    return base
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S8/S9/A4 over both stores."""
-    a = IX.stats(first_store(spark, sf_dir)).withColumn("store", F.lit("first"))
-    b = IX.stats(second_store(spark, sf_dir)).withColumn("store", F.lit("second"))
-    return a.unionByName(b)
+    """S8/S9/A4 over both stored indexes, from their manifests: no row is read
+    or counted, and every load has checked the dimension."""
+    facts = ST.describe(spark, {"first": stored_first(spark, sf_dir), "second": stored_second(spark, sf_dir)})
+    return facts.select("embedding_model", "total_vector_count", F.col("dimension").alias("min_dim"), F.col("dimension").alias("max_dim"),
+                        F.col("name").alias("store"))
 
 
 def pages_first_store(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:

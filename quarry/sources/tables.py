@@ -6,9 +6,13 @@ Every read goes through ``spark.read.parquet`` followed by an explicit
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
@@ -49,6 +53,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return balanced(df) if name in HEAVY else df
 
 
+def derived_path(spark: SparkSession, sf_dir: str, tables: list[str], name: str) -> str:
+    """A place under the shared folder for what is derived from these tables,
+    named by the place, size and time of each of their files: a changed table
+    gives another place."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for t in sorted(tables):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return scratch_path(spark, f"{name}-{hashlib.sha256('\n'.join(sorted(seen)).encode()).hexdigest()[:24]}")
+
+
 def doc_path(source: Column, doc_id: Column, root: str = DATA_ROOT) -> Column:
     """Text-file path of a driver document: ``<root>/<source>/<doc_id>.txt``."""
     return F.concat(F.lit(root + "/"), source, F.lit("/"), doc_id.cast("string"), F.lit(".txt"))

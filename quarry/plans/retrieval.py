@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ann as A
 from ..operators import embed as E
 from ..operators import search as S
+from ..operators import store as ST
 from ..session import written
 from ..sources import tables as TB
 
@@ -221,3 +223,31 @@ def ivf_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> Da
     """J6, inverted-file form: k-means cells, each question probes 8 of 64."""
     return S.ivf_search(doc_vectors(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k,
                         nlist=64, nprobe=8)
+
+
+def stored_ann(spark: SparkSession, sf_dir: str, dim: int = DIM) -> str:
+    """J6 as a job: the approximate index of these documents, trained and written once for a state of the table."""
+    base = TB.derived_path(spark, sf_dir, ["documents"], f"ann-{dim}")
+    if not ST.exists(spark, base):
+        A.build(doc_vectors(spark, sf_dir, dim), base, model_name=f"hash-{dim}")
+    return base
+
+
+def ann_hits(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
+    """Approximate top-k of every user question from the stored index: cells, codes, exact re-rank."""
+    return A.search(spark, stored_ann(spark, sf_dir, dim), question_vectors(spark, sf_dir, dim), k=k)
+
+
+def ann_check(spark: SparkSession, sf_dir: str, k: int = 5, dim: int = DIM) -> DataFrame:
+    """J6 judged: all user questions by the stored index and by the exact search.
+
+    ``recall_ok``: at least 0.9 of the exact hits are found.  ``scores_ok``:
+    the found ones carry the exact score.  ``rows_indexed``: from the manifest.
+    """
+    base = stored_ann(spark, sf_dir, dim)
+    questions = written(question_vectors(spark, sf_dir, dim), "ann-check-questions")
+    exact = written(S.search(doc_vectors(spark, sf_dir, dim), questions, k=k, metric="cosine"), "ann-check-exact")
+    got = written(A.search(spark, base, questions, k=k), "ann-check-hits")
+    found = A.recall(got, exact)
+    return found.select("questions", F.lit(ST.manifest(spark, base)["rows"]).cast("long").alias("rows_indexed"), "hits",
+                        (F.col("recall") >= 0.9).alias("recall_ok"), (F.col("score_error") <= 1e-6).alias("scores_ok"))

@@ -45,6 +45,7 @@ LONGEST = 4             # words of a phrase
 TOP = 2000              # rows of a language
 COVERED = 80            # per cent of a phrase inside one longer candidate
 WINDOW = LONGEST - 1
+PARTS = 32              # of a language, ranked side by side
 EVERY = 32
 MOST = 512
 FILTER_BITS = 1 << 26
@@ -296,8 +297,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: i
     longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     kept = best.join(longer, ["lang", "phrase"], "left").filter(
         F.col("_longer").isNull() | (F.col("_longer").cast(big) * 100 < F.col("a").cast(big) * covered))
-    order = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best_first = F.desc("b.score"), F.desc("a"), F.asc("phrase")
+    # a language's best are among the best of its parts: one task ranks PARTS * top phrases at most
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    near = kept.withColumn("_n", F.row_number().over(Window.partitionBy("lang", part).orderBy(*best_first))).filter(F.col("_n") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", "b.score")
 
 

@@ -1,8 +1,9 @@
 """Words of many texts at once in numpy, straight from Arrow's string buffers.
 
 A slice of a batch is one byte array; words are found with a 256-entry
-class table and hashed with a polynomial prefix sum modulo 2**64, so no
-Python code runs per word.
+class table and hashed with a polynomial prefix sum modulo the prime
+2**61 - 1, so no Python code runs per word.  (Modulo a power of two some
+long words of two letters would hash alike whatever the base.)
 """
 
 from __future__ import annotations
@@ -33,35 +34,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_P))
+#: the modulus of the polynomial hashes
+PRIME = (1 << 61) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 31 and 30 bits."""
+    low = _U((1 << 31) - 1)
+    ah, al, bh, bl = a >> _U(31), a & low, b >> _U(31), b & low
+    middle = al * bh + ah * bl
+    return _reduced(_reduced(ah * bh * _U(2) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31))) + _reduced(al * bl))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Running sums modulo the prime, from 0: those of the upper and of the lower 31 bits can't overflow."""
+    c = np.zeros(len(x) + 1, np.uint64)
+    low = _U((1 << 31) - 1)
+    c[1:] = _reduced(_times(_reduced(np.cumsum(x >> _U(31), dtype=np.uint64)), np.full(1, 1 << 31, np.uint64)) + _reduced(np.cumsum(x & low, dtype=np.uint64)))
+    return c
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse for i < n, modulo 2**64."""
+    """base**i and its inverse for i < n, modulo the prime."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(n - 1, (1 << 16) - 1).bit_length()
         both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
+        for b in (base % PRIME, pow(base, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, _times(p, np.full(1, pow(b, len(p), PRIME), np.uint64))])
+            both.append(p)
         if size > 4 * SLICE_BYTES:      # one very long text: not kept
-            return both[0], both[1]
+            return both[0][:n], both[1][:n]
         _powers[base] = have = (both[0], both[1])
     return have[0][:n], have[1][:n]
 
 
 def prefix_hash(values: np.ndarray, base: int) -> np.ndarray:
     """c with hash(i, j) = (c[j] - c[i]) * base**-i."""
-    c = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0], out=c[1:])
-    return c
+    return _sums(_times(_reduced(values), powers(base, len(values))[0]))
 
 
-def span_hash(c: np.ndarray, i: np.ndarray, j: np.ndarray, base: int) -> np.ndarray:
-    return mix((c[j] - c[i]) * powers(base, len(c))[1][i])
+def span_hash(c: np.ndarray | tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the spans i to j; ``c`` is a ``prefix_hash`` or a ``byte_hash``."""
+    if isinstance(c, tuple):
+        up, down = c
+        gap = _reduced(_times(_reduced(up[j] - up[i]), np.full(1, 1 << 31, np.uint64)) + _reduced(down[j] - down[i]))
+        n = len(up)
+    else:
+        gap, n = _reduced(c[j] + _U(PRIME) - c[i]), len(c)
+    return mix(_times(gap, powers(base, n)[1][i]))
 
 
 def count_below(flags: np.ndarray) -> np.ndarray:
@@ -71,11 +101,23 @@ def count_below(flags: np.ndarray) -> np.ndarray:
 
 
 #: base of ``byte_hash`` for ``span_hash``
-BYTE_BASE = _P
+BYTE_BASE = _P % PRIME
+
 
+#: up to so many bytes the sums of byte times half a power stay below 2**64
+_HALVES = 1 << 24
 
-def byte_hash(buf: np.ndarray) -> np.ndarray:
-    return prefix_hash(_BYTE[buf], _P)
+
+def byte_hash(buf: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """For ``span_hash``: running sums of each byte times the upper and the lower bits of its power, reduced only at the spans."""
+    if len(buf) > _HALVES:
+        return prefix_hash(buf.astype(np.uint64) + _U(1), BYTE_BASE)
+    p = powers(BYTE_BASE, len(buf))[0]
+    value = buf.astype(np.uint64) + _U(1)
+    up, down = np.zeros(len(buf) + 1, np.uint64), np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(value * (p >> _U(31)), out=up[1:])
+    np.cumsum(value * (p & _U((1 << 31) - 1)), out=down[1:])
+    return up, down
 
 
 @dataclass
@@ -92,11 +134,11 @@ class Words:
     def n(self) -> int:
         return len(self.offs) - 1
 
-    def byte_prefix(self) -> np.ndarray:
+    def byte_prefix(self) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
         return byte_hash(self.buf)
 
-    def hashes(self, c: np.ndarray | None = None) -> np.ndarray:
-        return span_hash(self.byte_prefix() if c is None else c, self.start, self.end, _P)
+    def hashes(self, c: np.ndarray | tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        return span_hash(self.byte_prefix() if c is None else c, self.start, self.end, BYTE_BASE)
 
     def chars(self) -> np.ndarray:
         """Code points of each word."""
@@ -104,11 +146,16 @@ class Words:
         return c[self.end] - c[self.start]
 
 
-def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+def ngram_prefix(h: np.ndarray) -> np.ndarray:
+    """For ``ngram_hashes`` of several lengths."""
+    return prefix_hash(h, _Q)
+
+
+def ngram_hashes(h: np.ndarray, n: int, c: np.ndarray | None = None) -> np.ndarray:
     """Rolling hash of every window of n words (also those across texts)."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    c = prefix_hash(h, _Q)
+    c = prefix_hash(h, _Q) if c is None else c
     i = np.arange(len(h) - n + 1)
     return span_hash(c, i, i + n, _Q)
 

@@ -50,7 +50,7 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
-def covered(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+def covered(h: np.ndarray, doc: np.ndarray, n: int, c: np.ndarray | None = None) -> np.ndarray:
     """Words that lie in a window of n words found twice or more in their text."""
     out = np.zeros(len(h), bool)
     if len(h) < n:
@@ -58,7 +58,7 @@ def covered(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     whole = np.flatnonzero(doc[n - 1:] == doc[:len(doc) - n + 1])
     if not len(whole):
         return out
-    keys = nt.ngram_hashes(h, n)[whole] + nt.mix(doc[whole].astype(np.uint64))
+    keys = nt.ngram_hashes(h, n, c)[whole] + nt.mix(doc[whole].astype(np.uint64))
     at = whole[repeated(keys)[0]]
     step = np.zeros(len(h) + 1, np.int64)
     np.add.at(step, at, 1)
@@ -97,9 +97,10 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     some = np.bincount(w.doc, five, n) > 0
     part = some[w.doc]
     hp, dp, cp = h[part], w.doc[part], chars[part]
+    sums = nt.ngram_prefix(hp)
     for k in MAX_COVERAGE:
         if k > 5:
-            out[f"dup_{k}_chars"] = np.bincount(dp, covered(hp, dp, k) * cp, n).astype(np.int64)
+            out[f"dup_{k}_chars"] = np.bincount(dp, covered(hp, dp, k, sums) * cp, n).astype(np.int64)
     return out
 
 

@@ -18,6 +18,48 @@ from tests.llm.helpers import documents, same
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def mirrored_words(doublings=10):
+    """Two words of two letters that hash alike modulo a power of two, whatever the base."""
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_mirrored_words_are_two_lines_and_two_parts():
+    one, two = mirrored_words()
+    lines = f"{one} x\n{two} x\n" * 2
+    for _, _, buf, offs in nt.slices(pa.array([lines])):
+        assert quality.measures(buf, offs)["n_dup_lines"][0] == 2
+    tokens = packing.TextTokens(tokenizer_path())
+    texts = [f"{one} {two}", two]
+    for _, _, buf, offs in nt.slices(pa.array(texts)):
+        ids, n = tokens(buf, offs)
+    want = [tokens.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == want[0] + want[1] and n.tolist() == list(map(len, want))
+
+
+def test_hash_arithmetic_equals_whole_numbers():
+    rnd = random.Random(3)
+    p = nt.PRIME
+    a = [0, 1, p - 1, p - 1, *(rnd.randrange(p) for _ in range(3000))]
+    b = [5, p - 1, p - 1, 1, *(rnd.randrange(p) for _ in range(3000))]
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert nt._times(x, y).tolist() == [i * j % p for i, j in zip(a, b)]
+    total = [0]
+    for i in a:
+        total.append((total[-1] + i) % p)
+    assert nt._sums(x).tolist() == total
+    up, down = nt.powers(nt.BYTE_BASE, 70_000)
+    assert int(up[-1]) == pow(nt.BYTE_BASE, 69_999, p) and int(up[-1]) * int(down[-1]) % p == 1
+    data = np.frombuffer(bytes(rnd.randrange(256) for _ in range(500)) * 2, np.uint8)
+    i = np.arange(0, 400, 7)
+    halves, plain = nt.byte_hash(data), nt.prefix_hash(data.astype(np.uint64) + np.uint64(1), nt.BYTE_BASE)
+    h = nt.span_hash(halves, i, i + 90, nt.BYTE_BASE)
+    assert (h == nt.span_hash(plain, i, i + 90, nt.BYTE_BASE)).all() and (h == nt.span_hash(halves, i + 500, i + 590, nt.BYTE_BASE)).all()
+
+
 # -- quality ---------------------------------------------------------------
 
 def test_rules_equal_sql(spark):

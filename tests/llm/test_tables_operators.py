@@ -4,6 +4,7 @@ import datetime
 import gzip
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -271,6 +272,62 @@ def test_nothing_of_the_article_is_dropped():
             assert tagpath.main_text(page) == "\n".join(expected if first else expected[::-1])
 
 
+LONG_PROSE = "".join(f"<p>{p} {p}</p>" for p in PROSE[:2]) * 3
+
+
+@pytest.mark.parametrize("part", [
+    '<h2 id="rail-network">Kept</h2>', '<h2 id="legal">Kept</h2>', '<h2 id="search">Kept</h2>', '<h3 id="related-work">Kept</h3>',
+    '<section id="discussion"><p>Kept, as it is a part of the article.</p></section>', '<p id="alert-levels">Kept</p>',
+    '<div class="share-price">Kept</div>', '<p class="notice">Kept</p>', '<ul class="menu"><li>Kept eggs<li>flour</ul>'])
+def test_names_drop_nothing_of_the_article(part):
+    page = f"<body>{JUNK['nav']}<article><h1>T</h1>{LONG_PROSE}{part}{LONG_PROSE}</article>{JUNK['footer']}</body>"
+    plain = f"<body>{JUNK['nav']}<article><h1>T</h1>{LONG_PROSE}{re.sub(' (id|class)=.[^>]*', '', part)}{LONG_PROSE}</article>{JUNK['footer']}</body>"
+    assert tagpath.main_text(page) == tagpath.main_text(plain) and "Kept" in tagpath.main_text(page)
+
+
+#: without roles and names: only the paths tell
+ENTRIES = ["".join(f"<a href=x>Entry {i}</a> " for i in range(8)), "".join(f"<div><a href=x>Entry {i}</a></div>" for i in range(8)),
+           "".join(f"<div>Entry {i}</div>" for i in range(8)), "<ul>" + "".join(f"<li>Entry {i}" for i in range(8)) + "</ul>"]
+BODIES = [f"<div><h1>T</h1>{LONG_PROSE}</div>", f"<div><p>{PROSE[0]} {PROSE[1]}</p></div>", f"<div>{PROSE[0] * 3}<br>{PROSE[1] * 3}</div>"]
+
+
+@pytest.mark.parametrize("body", BODIES)
+@pytest.mark.parametrize("menu", ENTRIES)
+def test_unmarked_menus_go_by_their_paths(monkeypatch, menu, body):
+    page = f"<body><div>{menu}</div>{body}</body>"
+    text = tagpath.main_text(page)
+    assert "Entry" not in text and PROSE[0] in text
+    if "<a" not in menu:                     # links don't tell: without the scores the menu is text
+        monkeypatch.setattr(tagpath, "ratios", lambda blocks: dict.fromkeys((b.element.path for b in blocks), 1.0))
+        assert "Entry" in tagpath.main_text(page)
+
+
+def test_teasers_and_headings():
+    teasers = "".join(f"<article><h3><a href=x>Story {i}</a></h3><p>Teaser text {i}, short.</p></article>" for i in range(5))
+    whole = tagpath.main_text(f"<article><h1>T</h1>{LONG_PROSE}</article>")
+    assert whole.startswith("T\n")
+    assert tagpath.main_text(f"<body><article><h1>T</h1>{LONG_PROSE}</article>{teasers}</body>") == whole
+    assert tagpath.main_text(f"<main><article><h1>T</h1>{LONG_PROSE}</article><section>{teasers}</section></main>") == whole
+    assert tagpath.main_text(f"<body><h1>T</h1><div><div>{ENTRIES[1]}</div><div>{LONG_PROSE}</div></div><div>copy</div></body>") == whole
+    two = f"<main><article>{LONG_PROSE}</article><article>{LONG_PROSE}</article></main>"
+    assert tagpath.main_text(two).count(PROSE[0]) == 2 * LONG_PROSE.count(PROSE[0])
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<div>x, y.", "<b>x", "<form>", "<p>a", "<table><td>", "<!", "<", "<![CDATA[", "<ul><li>x", "<script>", "<p =' ", '<a x="',
+                                 "<a x='\">", "</x>", "<p title=\" "])
+def test_broken_and_deep_markup_takes_linear_time(bad):
+    """1 MB of it; the bound is far above what is needed and far below what a quadratic scan takes."""
+    start = time.process_time()
+    tagpath.main_text(bad * (1_000_000 // len(bad)) + ">")
+    assert time.process_time() - start < 20
+
+
+def test_values_and_lone_quotes():
+    assert tagpath.main_text("<p title=it's>don't <b class='a>b'>x</b> y</p>") == "don't x y"
+    assert tagpath.main_text('<p title="a > b">x</p><p title = "c>d" id=e>y') == "x\ny"
+    assert tagpath.main_text("a < b and c > d <3") == "a < b and c > d <3"
+
+
 def test_pages_table(spark):
     got = tagpath.extract_pages(pages(spark)).collect()
     assert len(got) == len(PAGES) and got[0].text == "x" and got[2].text == "" and all(r.n_chars == len(r.text) for r in got)

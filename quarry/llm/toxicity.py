@@ -5,10 +5,14 @@ with one word left out between, hashed into 2**BITS slots.  Training is
 FTRL-proximal with per-coordinate rates and L1 sparsity on a sample of at
 most about ``SAMPLE`` labelled rows: the labelled ids are drawn by a hash
 threshold, so the bound holds at any size and the draw doesn't depend on
-partitions.  The sample is dealt to ``SHARDS`` tasks; after each round
-their states (z and n of each slot) are averaged.  Slots that
-few sampled texts fall into don't take part (``slot_bound``).  The non-zero weights (some
-hundreds) are broadcast, and every document is scored whole.
+partitions.  FTRL is a sequence of small steps, and shards whose states are
+averaged or added up learn rare words worse; so the features are made and
+counted in parallel, and one task takes the bounded sample through the
+``ROUNDS``.  A slot takes part if enough toxic sampled texts fall into it that
+its weight could rise above zero (``least_toxic``, from L1 and the rounds
+alone).  The non-zero weights (some hundreds) are broadcast, and every
+document is scored whole: its slots are looked up, and only those with a
+weight are sorted.
 
 Nulls and empty texts have no features: their score is that of the bias.
 Repeated documents get one row each; of repeated ids one text is learned
@@ -34,18 +38,16 @@ from quarry.llm.common import exact, stored, text_column
 
 BITS = 22
 SAMPLE = 20_000
-SHARDS = 4
 ROUNDS = 5
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
-#: slots of fewer sampled texts are left out: their weight couldn't exceed the L1 bound;
-#: so are those that no more texts fall into than chance explains (``slot_bound``)
-MIN_TEXTS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.0
+#: tasks that count slots into dense arrays
+COUNTERS = 4
 _U = np.uint64
 
 
-def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, slot) of every feature of every text, each once, sorted by text."""
+def features(buf: np.ndarray, offs: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) of every feature of every text, each once, sorted by text; ``only``: a flag for each slot that counts."""
     w = nt.words(buf, offs, nt.NON_ALNUM)
     h, doc = w.hashes(), w.doc
     parts = [(doc, h)]
@@ -53,8 +55,14 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if len(h) > gap:
             i = np.flatnonzero(doc[:-gap] == doc[gap:])
             parts.append((doc[i], nt.mix(h[i] * _U(3) + h[i + gap] + _U(salt))))
-    d, f = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    both = np.unique(d.astype(np.uint64) << _U(32) | f >> _U(64 - BITS))
+    found = []
+    for d, f in parts:
+        f = f >> _U(64 - BITS)
+        if only is not None:
+            hit = np.flatnonzero(only[f])
+            d, f = d[hit], f[hit]
+        found.append(d.astype(np.uint64) << _U(32) | f)
+    both = np.unique(np.concatenate(found))
     return (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -112,14 +120,13 @@ class Model:
     bias: float
 
 
-def slot_bound(entries: int) -> float:
-    """Texts a slot must have: more than the mean load and four deviations."""
-    load = entries / (1 << BITS)
-    return max(MIN_TEXTS, load + 4 * load ** 0.5)
+def least_toxic(rounds: int) -> int:
+    """A toxic text moves z by less than one in a round, and a weight is positive only where z is below -L1."""
+    return int(L1 // max(1, rounds)) + 1
 
 
-def _frequent(rows: DataFrame, bound: float) -> DataFrame:
-    """The slots that at least ``bound`` texts fall into.
+def _frequent(rows: DataFrame, least: int) -> DataFrame:
+    """The slots that at least ``least`` toxic texts fall into.
 
     Each of a few tasks counts into one dense array and sends it on in
     blocks; the blocks are added up side by side.
@@ -132,7 +139,8 @@ def _frequent(rows: DataFrame, bound: float) -> DataFrame:
             for data in b.column(0).to_pylist():
                 n[np.frombuffer(data, "<i4")] += 1
         for k in range(0, 1 << BITS, width):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n[k:k + width].tobytes()], pa.binary())], ["start", "data"])
+            if n[k:k + width].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n[k:k + width].tobytes()], pa.binary())], ["start", "data"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -140,10 +148,10 @@ def _frequent(rows: DataFrame, bound: float) -> DataFrame:
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sums[k] = sums.get(k, 0) + np.frombuffer(data, np.int32)
         for k, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array((k + np.flatnonzero(n >= bound)).astype(np.int32))], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array((k + np.flatnonzero(n >= least)).astype(np.int32))], ["slot"])
 
-    return rows.select("slots").coalesce(SHARDS).mapInArrow(count, "start int, data binary") \
-        .repartition(2 * SHARDS, "start").mapInArrow(add, "slot int")
+    return rows.filter("toxic = 1").select("slots").coalesce(COUNTERS).mapInArrow(count, "start int, data binary") \
+        .repartition(2 * COUNTERS, "start").mapInArrow(add, "slot int")
 
 
 def _numbered(rows: DataFrame, kept: Broadcast) -> DataFrame:
@@ -168,38 +176,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = F.broadcast(sampled_labels(exact(labels, "doc_id", "toxic"), sample))   # bounded by ``sample``
     texts = exact(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.lower(text_column(docs, text_col)).alias("text")).join(drawn, "doc_id")
     rows = stored(feature_rows(texts).groupBy("doc_id").agg(F.min(F.struct("toxic", "slots")).alias("r")).select("doc_id", "r.*"), "ftrl-rows")
-    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"),
-                    F.coalesce(F.sum(F.octet_length("slots") / 4), F.lit(0.0)).alias("entries")).first()
-    # slots above the mean load: well below 2**BITS numbers
-    common = _frequent(rows, slot_bound(seen.entries)).toPandas()
-    kept = spark.sparkContext.broadcast(np.sort(common["slot"].to_numpy(np.int32)))
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+    kept = spark.sparkContext.broadcast(np.sort(_frequent(rows, least_toxic(rounds)).toPandas()["slot"].to_numpy(np.int32)))   # 2**BITS at most
     size = len(kept.value)
-
-    order = F.xxhash64(F.lit("shard"), "doc_id")
-    sharded = stored(_numbered(rows, kept).withColumn("shard", F.pmod(order, F.lit(SHARDS)).cast("int")).withColumn("place", order), "ftrl-shards")
-    shards = max(1, sharded.select("shard").distinct().count())
-
     rate = (seen.pos + 1) / (seen.n + 20)
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    z[-1] = -np.log(rate / (1 - rate)) * BETA / ALPHA       # the bias begins at the labels' rate
-    for _ in range(rounds if seen.n else 0):
-        state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
-
-        def shard(pdf: pd.DataFrame) -> pd.DataFrame:     # used within this round only
-            z, n = (x.astype(np.float64) for x in state.value)
-            pdf = pdf.sort_values(["place", "doc_id"], kind="stable")
-            train(((int(y), np.frombuffer(x, "<i4")) for y, x in zip(pdf["toxic"], pdf["slots"])), z, n)
-            used = np.flatnonzero(n)
-            return pd.DataFrame({"slot": used, "z": z[used], "n": n[used]})
-
-        got = sharded.groupBy("shard").applyInPandas(shard, "slot long, z double, n double").groupBy("slot") \
-            .agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()     # one row for each kept slot at most
+    start = -np.log(rate / (1 - rate)) * BETA / ALPHA       # the bias begins at the labels' rate
+    if not seen.n:
+        return Model(np.zeros(0, np.int32), np.zeros(0), -start * ALPHA / BETA)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(batches).sort_values(["place", "doc_id"], kind="stable")
+        texts = [(int(y), np.frombuffer(x, "<i4")) for y, x in zip(pdf["toxic"], pdf["slots"])]
         z, n = np.zeros(size + 1), np.zeros(size + 1)
-        z[got["slot"]], n[got["slot"]] = got["z"], got["n"]
-        state.unpersist()
-    w = weights(z, n)[:-1]
-    used = np.flatnonzero(w)
-    return Model(kept.value[used], w[used], bias(z, n))
+        z[-1] = start
+        for _ in range(rounds):
+            train(texts, z, n)
+        w = weights(z, n)[:-1]
+        used = np.flatnonzero(w)
+        yield pd.DataFrame({"slot": np.append(used, -1), "weight": np.append(w[used], bias(z, n))})
+
+    ready = _numbered(rows, kept).withColumn("place", F.xxhash64(F.lit("shard"), "doc_id"))
+    got = ready.repartition(1).mapInPandas(learn, "slot long, weight double").toPandas().sort_values("slot")
+    slots, w = got["slot"].to_numpy(), got["weight"].to_numpy()
+    return Model(kept.value[slots[1:]], w[1:], float(w[0]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -210,10 +209,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         dense = np.zeros(1 << BITS, np.float32)
         dense[shared.value.slots] = shared.value.weights
+        used = dense != 0
         for text in batches:
             out = []
             for i, j, buf, offs in nt.slices(pa.array(text, pa.large_string())):
-                d, s = features(buf, offs)
+                d, s = features(buf, offs, used)
                 total = np.bincount(d, dense[s], j - i) + shared.value.bias
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))

@@ -481,6 +481,42 @@ def test_held_out_accuracy(spark):
     assert by[3000].score == by[3001].score and 0 < by[3000].score < 0.3
 
 
+def test_weights_equal_a_plain_loop(spark):
+    """Every step of FTRL-proximal by whole Python floats over dictionaries, in the same order."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join([*rng.choice([f"w{k}" for k in range(60)], 12), *(["scum"] if i % 5 == 0 else [])])) for i in range(400)]
+    labels = [(i, int(i % 5 == 0)) for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    order = [r[0] for r in docs.select("doc_id", F.xxhash64(F.lit("shard"), "doc_id").alias("p")).orderBy("p", "doc_id").collect()]
+    slots = {}
+    for i, text in rows:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        slots[i] = toxicity.features(buf, np.array([0, len(buf)]))[1].tolist()
+    toxic_texts = Counter(s for i, y in labels if y for s in slots[i])
+    kept = {s for s, n in toxic_texts.items() if n >= toxicity.least_toxic(toxicity.ROUNDS)}
+    rate = (80 + 1) / (400 + 20)
+    z, n = Counter(), Counter()
+    z[-1] = -np.log(rate / (1 - rate)) * toxicity.BETA / toxicity.ALPHA
+
+    def weight(s):
+        shrunk = z[s] if s == -1 else 0.0 if abs(z[s]) <= toxicity.L1 else z[s] - np.sign(z[s]) * toxicity.L1
+        return -shrunk / ((toxicity.BETA + n[s] ** 0.5) / toxicity.ALPHA)
+
+    for _ in range(toxicity.ROUNDS):
+        for i in order:
+            at = [s for s in slots[i] if s in kept] + [-1]
+            w = {s: weight(s) for s in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - (i % 5 == 0)
+            for s in at:
+                z[s] += g - ((n[s] + g * g) ** 0.5 - n[s] ** 0.5) / toxicity.ALPHA * w[s]
+                n[s] += g * g
+    want = {s: weight(s) for s in kept if weight(s)}
+    got = dict(zip(model.slots.tolist(), model.weights.tolist()))
+    assert got.keys() == want.keys() and len(got) > 0
+    assert all(abs(got[s] - want[s]) < 1e-9 for s in want) and abs(model.bias - weight(-1)) < 1e-9
+
+
 def test_no_labels(spark):
     docs = documents(spark)
     w = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

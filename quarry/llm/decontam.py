@@ -2,17 +2,17 @@
 
 1. Passages are windows of ``WINDOW`` words at every half window.  Document
    frequencies of the benchmark's words are counted over all passages.
-2. Randomised SVD of the TF-IDF matrix of all passages over the benchmark's
-   words (other words can't add to a cosine with a benchmark text): every
-   task adds up its part of A'(A R) for a seeded random matrix R, the parts
-   are summed in two steps, and a single-pass Nystroem factorisation gives
-   the right singular vectors.  The benchmark's own passages are rows of A
-   too, weighted so that the latent space holds them.
-3. Every passage of every document is compared with the benchmark's
-   passages by two cosines, the projected one and that of the whole TF-IDF
-   rows; those at or above ``MIN_COSINE`` in either are candidates.  The
-   basis holds a full block only in part, so the projected cosine alone
-   would lose copies; by the whole rows none is lost to the rank.
+2. Randomised SVD of the TF-IDF matrix of the documents' texts, cut into
+   passages side by side, over the benchmark's words (other words can't add
+   to a cosine with a benchmark text): every task adds up its part of A'(A R)
+   for a seeded random matrix R, the parts are summed in two steps, and a
+   single-pass Nystroem factorisation gives the right singular vectors.  The
+   benchmark's own passages are rows of A too, weighted so that the latent
+   space, of ``OVERSAMPLE`` dimensions more than the block has passages, holds
+   them all.
+3. Every passage of every document is projected and compared with the
+   benchmark's projected passages; those with a cosine of ``MIN_COSINE`` or
+   more are candidates.  Nothing else chooses them.
 4. A candidate is checked on the words themselves: the longest common
    subsequence of the item and the text around the passage.  From
    ``LCS_ALONE`` of the item's words on it is contaminated; from
@@ -43,12 +43,13 @@ from quarry.llm import numtext as nt
 from quarry.llm.common import exact, stored, text_column
 
 WINDOW, STRIDE = 64, 32
-RANK = 128
 BLOCK = 512
+#: dimensions of the latent space beyond the passages of a block
+OVERSAMPLE = 24
 MAX_DF = 0.1
 #: the rarest words of an item that count however frequent they are
 RAREST = 8
-BENCHMARK_WEIGHT = 1.0
+BENCHMARK_WEIGHT = 8.0
 MIN_COSINE = 0.4
 LCS_ALONE, LCS_PARAPHRASE, ANSWER = 0.8, 0.5, 0.75
 SEED = 20240229
@@ -143,6 +144,13 @@ def passages_of(w: nt.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return index, passage, texts, first
 
 
+def side_by_side(w: nt.Words, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """Passage of the words at the places ``at`` where each word lies in one passage only, and the passages' number."""
+    n = -(-np.diff(w.first) // WINDOW)
+    doc = w.doc[at]
+    return (np.cumsum(n) - n)[doc] + (at - w.first[doc]) // WINDOW, int(n.sum())
+
+
 def tf_idf(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, term, value) with each passage's values of length one, sorted."""
     key, count = np.unique(passage.astype(np.int64) << 32 | term, return_counts=True)
@@ -281,11 +289,11 @@ def _add_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["part", "data"])
 
 
-def latent_basis(texts: DataFrame, b: Block, rank: int) -> np.ndarray:
-    """(words, rank): right singular vectors of the weighted passages."""
+def latent_basis(texts: DataFrame, b: Block, rank: int | None = None) -> np.ndarray:
+    """(words, rank): right singular vectors of the weighted passages; by default as many as the block needs."""
     spark = texts.sparkSession
     n = len(b.vocabulary)
-    rank = min(rank, n)
+    rank = min(rank or len(b.passages) + OVERSAMPLE, n)
     shared = spark.sparkContext.broadcast(b)
 
     def run(batches):
@@ -296,8 +304,8 @@ def latent_basis(texts: DataFrame, b: Block, rank: int) -> np.ndarray:
             for _, _, buf, offs in nt.slices(batch.column(0)):
                 w, h = text_words(buf, offs)
                 at, term = blk.lookup(h)
-                index, passage, texts_, _ = passages_of(w, at)
-                p, t, v = tf_idf(passage, term[index], blk.weight, len(texts_))
+                passage, count = side_by_side(w, at)
+                p, t, v = tf_idf(passage, term, blk.weight, count)
                 add_gram(total, p, t, v, omega)
         for k in range(0, n, _TERMS):
             if total[k:k + _TERMS].any():
@@ -336,12 +344,6 @@ def search(texts: DataFrame, b: Block, basis: np.ndarray, id_type: str, item_typ
 
     def run(batches):
         blk, base, q = shared.value
-        rank = base.shape[1]
-        # side by side: the basis, and the benchmark's whole rows
-        wide = np.zeros((len(blk.vocabulary), rank + len(blk.passages)), np.float32)
-        wide[:, :rank] = base
-        p, t, v = benchmark_rows(blk)
-        wide[t, rank + p] = v
         for batch in batches:
             ids = batch.column(0)
             for i, j, buf, offs in nt.slices(batch.column(1)):
@@ -350,9 +352,9 @@ def search(texts: DataFrame, b: Block, basis: np.ndarray, id_type: str, item_typ
                 index, passage, texts_, first = passages_of(w, at)
                 p, t, v = tf_idf(passage, term[index], blk.weight, len(texts_))
                 found: dict[tuple[int, int], tuple] = {}
-                which, z = times(p, t, v, wide)
+                which, z = times(p, t, v, base)
                 for k in range(0, len(which), 8192):
-                    cosine = np.maximum(z[k:k + 8192, :rank] @ q.T, z[k:k + 8192, rank:])
+                    cosine = z[k:k + 8192] @ q.T
                     for r, c in zip(*np.nonzero(cosine >= min_cosine)):
                         win = which[k + r]
                         doc, item = int(texts_[win]), int(blk.owner[c])
@@ -379,7 +381,7 @@ def search(texts: DataFrame, b: Block, basis: np.ndarray, id_type: str, item_typ
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-               item_text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
+               item_text_col: str = "text", rank: int | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
     """One row per (document, item) whose passages are close, with the checks' outcome."""
     spark: SparkSession = docs.sparkSession
     benchmark = exact(benchmark, item_col, item_text_col)

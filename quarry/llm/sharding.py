@@ -32,6 +32,8 @@ ROUNDS = 8
 #: bytes that a document takes besides its text
 OVERHEAD = 8
 BLOCK_ROWS = 256
+#: rows of a group that is not cut at a shard's last seat
+SMALL = 64
 MAX_BLOCKS = 1 << 16
 
 
@@ -120,13 +122,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         .withColumn("order_g", _unit("g")).withColumn("order_d", _unit(F.lit("seat"), "doc_id", "text_crc32")) \
         .withColumn("block", F.floor(F.col("order_g") * F.lit(blocks)).cast("int")) \
         .withColumn("sub", F.floor(F.col("order_d") * parts).cast("int")) \
-        .select("doc_id", "size", "text_crc32", "g", "label", "order_g", "order_d", "block", "sub")
+        .select("doc_id", "size", "text_crc32", "g", "label", "order_g", "order_d", "block", "sub", many.alias("many"))
     ordered = stored(ordered, "shard-labels")
-    seated = stored(_ranked(ordered.filter("label IS NOT NULL"), "label", "rank", "shard-linked")
-                    .withColumn("seat", F.col("rank") < _pick(seats, F.col("label"))), "shard-seats")
+    linked_rank = stored(_ranked(ordered.filter("label IS NOT NULL"), "label", "rank", "shard-linked"), "shard-ranks")
+    last = _pick(seats, F.col("label"))
+    # a small group across a shard's last seat leaves it whole; at most two rows for each shard
+    edge: dict[int, list[str]] = {}
+    for r in linked_rank.filter((F.col("rank") == last - 1) | (F.col("rank") == last)).filter(F.col("many") <= SMALL).select("label", "g").collect():
+        edge.setdefault(r.label, []).append(r.g)
+    torn = F.lit(False)
+    for label, gs in edge.items():
+        if len(gs) == 2 and gs[0] == gs[1]:
+            torn = torn | ((F.col("label") == label) & (F.col("g") == gs[0]))
+    seated = stored(linked_rank.withColumn("seat", (F.col("rank") < last) & ~torn), "shard-seats")
     taken = {r.label: r.n for r in seated.filter("seat").groupBy("label").agg(F.count("*").alias("n")).collect()}
     pool = ordered.filter("label IS NULL").unionByName(seated.filter("NOT seat").select(ordered.columns)).withColumn("label", F.lit(shards))
-    pool = pool.withColumn("block", F.floor(F.col("order_d") * F.lit(blocks)).cast("int")).withColumn("sub", F.lit(0))
     pool = _ranked(pool, "label", "rank", "shard-pool")
     starts, total = [], 0
     for s in range(shards):

@@ -380,6 +380,15 @@ def test_odd_tables(spark):
     assert all(len(h) for h in check_shards(sharding.shard(docs, 3).collect(), texts, 3).values())
 
 
+def test_groups_that_fit_stay_whole(spark):
+    """1,200 pairs fit exactly into 24 shards: no more pairs are cut than shards meet."""
+    rows = [(2 * k + j, f"text of pair {k}") for k in range(1200) for j in range(2)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    check_shards(got, dict(rows), 24)
+    home = {r.doc_id: r.shard for r in got}
+    assert sum(home[2 * k] != home[2 * k + 1] for k in range(1200)) <= 24
+
+
 # -- PII -------------------------------------------------------------------
 
 VALUES = ["ann.b+c@mail.example.com", "+1 (743) 555-3824", "743-555-3824", "+49 30 1234567", "192.168.3.44", "4539578763621486", "4539 5787 6362 1486",

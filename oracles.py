@@ -157,6 +157,25 @@ SELECT w.id, w.file_path, w.batch_no, 'hash-64' AS embedding_model, 64 AS n_dims
 FROM w LEFT JOIN es ON es.id = w.doc_id"""
 
 
+def first_store_subwords() -> str:
+    """The first 256 pieces of four characters, mean of the MD5 bytes' vectors, unit length."""
+    return f"""
+WITH b AS (SELECT substr(text, 1, 512) AS id, {DOC_PATH} AS file_path, CAST(substr(source, 4) AS INTEGER) AS batch_no, doc_id, text FROM documents),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no DESC, file_path DESC) AS rn FROM b) WHERE rn = 1),
+words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')[1:256] AS l FROM w),
+toks AS (SELECT doc_id, unnest(flatten(list_transform(l, lambda x: list_transform(range(0, (length(x) + 3) // 4),
+                lambda i: CASE WHEN i > 0 THEN '##' ELSE '' END || substr(x, i * 4 + 1, 4))))[1:256]) AS tok FROM words),
+cnt AS (SELECT doc_id, tok, count(*) AS c FROM toks GROUP BY ALL),
+vec AS (SELECT tok, j, ('0x' || substr(md5((j // 16)::VARCHAR || ':' || tok), 2 * (j % 16) + 1, 2))::INTEGER / 127.5 - 1 AS v
+        FROM (SELECT DISTINCT tok FROM cnt), range(0, {DIM}) AS r(j)),
+pooled AS (SELECT doc_id, j, sum(c * v) / greatest(sum(c), 1e-9) AS x FROM cnt JOIN vec USING (tok) GROUP BY doc_id, j),
+unit AS (SELECT doc_id, j, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12) AS x FROM pooled),
+e AS (SELECT doc_id, sum(x) AS s, max(x) FILTER (j = 0) AS f, max(x) FILTER (j = {DIM} - 1) AS l FROM unit GROUP BY doc_id)
+SELECT w.id, w.file_path, w.batch_no, round(coalesce(f, 0), 6) AS emb_first, round(coalesce(l, 0), 6) AS emb_last,
+       'subword-{DIM}' AS embedding_model, {DIM} AS n_dims, round(coalesce(s, 0), 6) AS emb_sum
+FROM w LEFT JOIN e USING (doc_id)"""
+
+
 def second_store() -> str:
     ch = chunks()
     return f"""

@@ -2,7 +2,7 @@
 
     python -m quarry pages   --pages pages.parquet --out text/           (Q1)
     python -m quarry chunk   --staged staged/ --out chunks/ --checkpoint ck/ [--pdf] [--archive done/]  (Q4)
-    python -m quarry index   --docs data/ --store first|second --index idx/           (Q2 / Q3)
+    python -m quarry index   --docs data/ --store first|second --index idx/ [--embedder hash|subword]  (Q2 / Q3)
     python -m quarry ask     --index idx/ --questions q.txt --out hits/ [--k 5]        (Q5; metric and model from the index)
     python -m quarry compact --index idx/ [--vacuum-days 7]                            (deltas into a new base)
     python -m quarry describe --root indexes/                                          (S9)
@@ -45,35 +45,38 @@ def _chunk(spark, a):
     src = ingest.staged_pdfs(spark, a.staged, clean_source="archive" if a.archive else None,
                              archive_dir=a.archive) if a.pdf else \
         ingest.staged_text(spark, a.staged, "archive" if a.archive else None, a.archive)
-    q = ingest.start_chunk_ingest(src, a.out, a.checkpoint, route="pdf" if a.pdf else "txt",
-                                  reject_dir=a.rejects)
+    # a file that can't be extracted leaves a row beside the chunks, if no place is named
+    rejects = a.rejects or (a.out.rstrip("/") + "-rejects" if a.pdf else None)
+    q = ingest.start_chunk_ingest(src, a.out, a.checkpoint, route="pdf" if a.pdf else "txt", reject_dir=rejects)
     q.awaitTermination()
 
 
 def _index(spark, a):
     docs = files.text_corpus(spark, a.docs)
-    model = F.lit(f"hash-{a.dim}")
+    name = f"{a.embedder}-{a.dim}"
+    model = F.lit(name)
     batch_no = F.lit(a.batch).cast("int")
     if a.store == "first":
-        rows = E.hash_embed(docs, "text", a.dim).select(
+        rows = docs.select(
             IX.first_store_key(F.col("text")).alias("id"), F.col("path").alias("file_path"),
-            F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"), "embedding",
-            model.alias("embedding_model"), batch_no.alias("batch_no"))
-        ST.load(spark, ST.open_first(spark, a.index, a.dim), rows)
+            F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"),
+            model.alias("embedding_model"), batch_no.alias("batch_no"), "text")
+        ST.load(spark, ST.open_first(spark, a.index, a.dim, name), rows, enrich=lambda df: E.embed_as(df, "text", name))
     else:
         rows = docs.select(
             IX.second_store_key(F.col("path"), F.col("text")).alias("id"), F.col("text").alias("document"),
             F.lit(IX.DEFAULT_CLASSIFICATION).alias("classification"),
             F.create_map(F.lit("classification"), F.lit(IX.DEFAULT_CLASSIFICATION)).alias("metadata"),
             model.alias("embedding_model"), batch_no.alias("batch_no"))
-        ST.load(spark, ST.open_second(spark, a.index, a.dim), rows, enrich=lambda df: E.hash_embed(df, "document", a.dim))
+        ST.load(spark, ST.open_second(spark, a.index, a.dim, name), rows, enrich=lambda df: E.embed_as(df, "document", name))
 
 
 def _ask(spark, a):
-    """A question's number is a hash of its text: equal lines are one question."""
+    """A question's number is a hash of its text: equal lines are one question.  The index names its embedding model (F8)."""
+    model = ST.manifest(spark, a.index)["model"]
     q = spark.read.text(a.questions).select(F.col("value").alias("text")).filter(F.trim("text") != "").distinct()
     q = q.select(F.md5("text").alias("question_id"), "text")
-    qv = E.hash_embed(q, "text", a.dim).select("question_id", "embedding", F.lit(f"hash-{a.dim}").alias("embedding_model"))
+    qv = E.embed_as(q, "text", model).select("question_id", "embedding", F.lit(model).alias("embedding_model"))
     hits = ST.search(spark, a.index, qv, k=a.k)
     hits.join(q.select("question_id", F.col("text").alias("question")), "question_id") \
         .write.mode("overwrite").parquet(a.out)
@@ -116,12 +119,13 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("--index", required=True)
     i.add_argument("--batch", type=int, default=0)
     i.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
+    i.add_argument("--embedder", choices=sorted(E.EMBEDDERS), default="hash")
     k = sub.add_parser("ask")
     k.add_argument("--index", required=True)
     k.add_argument("--questions", required=True)
     k.add_argument("--out", required=True)
     k.add_argument("--k", type=int, default=5)
-    k.add_argument("--dim", type=int, default=E.DEFAULT_DIM)
+    k.add_argument("--dim", type=int, help="not needed: the index knows its embedding model")
     k.add_argument("--store", choices=["first", "second"], help="not needed: the index knows its metric")
     o = sub.add_parser("compact")
     o.add_argument("--index", required=True)

@@ -9,6 +9,12 @@
 * ``embed_with`` – plug-in point for a real model: an iterator
   ``mapInPandas`` that loads the model once per Python worker and encodes
   whole Arrow batches, with a dimension check.
+* ``pooled_embed`` – the first store's recipe on subword tokens: the first 256
+  of a text, padded and masked to that length, real-valued token vectors,
+  masked mean, L2 normalisation.  Narrow; the padded matrix exists for some
+  rows at a time only.  The token vectors are a plug-in too.
+* ``embed_as`` – the embedder that a model name such as ``subword-64`` means;
+  the load and question jobs of the command line use it.
 * ``token_matrix`` / ``mean_pool`` – the reference's pooling path in data
   form: padded token rows with an attention mask, pooled by masked mean
   (A1) with partial aggregation per (doc, dimension) so a very long or hot
@@ -18,7 +24,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,6 +132,88 @@ def hash_encoder(dim: int = DEFAULT_DIM) -> Callable[[list[str]], np.ndarray]:
     return enc
 
 
+# ---- subword tokens: truncated, padded, masked, pooled -----------------------
+SUBWORD_CHARS = 4
+TOKENS_KNOWN = 100_000          # token vectors that a worker keeps
+PADDED_CELLS = 1 << 20          # numbers of the padded matrix held at a time
+
+
+def subwords(words: list[str], max_length: int | None = MODEL_TOKEN_LIMIT, chars: int = SUBWORD_CHARS) -> list[str]:
+    """Pieces of words, a word's first as it is, its later ones marked ``##``; the first ``max_length`` (M5)."""
+    out = [("##" if i else "") + w[i:i + chars] for w in words for i in range(0, len(w), chars)]
+    return out[:max_length]
+
+
+def md5_token_vectors(dim: int) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Loader of the built-in token vectors: number ``j`` is byte ``j % 16`` of ``md5('<j // 16>:<token>')``, from -1 to 1."""
+    def load() -> Callable[[list[str]], np.ndarray]:
+        def encode(tokens: list[str]) -> np.ndarray:
+            raw = [b"".join(hashlib.md5(f"{k}:{t}".encode()).digest() for k in range(-(-dim // 16)))[:dim] for t in tokens]
+            return np.frombuffer(b"".join(raw), np.uint8).reshape(len(tokens), dim) / 127.5 - 1.0
+        return encode
+    return load
+
+
+def masked_mean(ids: list[np.ndarray], table: np.ndarray, length: int) -> np.ndarray:
+    """A1 + M1 + M6: rows of token numbers padded to ``length`` with mask 0, pooled and normalised."""
+    out = np.zeros((len(ids), table.shape[1]))
+    step = max(1, PADDED_CELLS // max(1, length * table.shape[1]))
+    for k in range(0, len(ids), step):
+        part = ids[k:k + step]
+        padded, mask = np.zeros((len(part), length), np.int64), np.zeros((len(part), length))
+        for r, t in enumerate(part):
+            padded[r, :len(t)], mask[r, :len(t)] = t, 1.0
+        total = np.einsum("rl,rld->rd", mask, table[padded])
+        out[k:k + step] = total / np.maximum(mask.sum(axis=1), V.MASK_EPS)[:, None]
+    return out / np.maximum(np.linalg.norm(out, axis=1), V.NORM_EPS)[:, None]
+
+
+def pooled_embed(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM, max_length: int = MODEL_TOKEN_LIMIT,
+                 vectors: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, out_col: str = "embedding") -> DataFrame:
+    """The text's first ``max_length`` subword tokens as one vector; a null or blank text, all masked, gives zeros.
+
+    ``vectors()`` is called once in a worker and returns ``encode(tokens) -> (n, dim)``.
+    """
+    load = vectors or md5_token_vectors(dim)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        number: dict[str, int] = {}
+        table = np.zeros((1, dim))                       # row 0 stands for the padding
+        for words in batches:
+            tokens = [subwords(w, max_length) if w is not None else [] for w in words]
+            new = sorted({t for row in tokens for t in row} - number.keys())
+            if len(number) + len(new) > TOKENS_KNOWN:
+                number, table, new = {}, np.zeros((1, dim)), sorted({t for row in tokens for t in row})
+            if new:
+                got = np.asarray(encode(new), dtype=np.float64)
+                if got.shape != (len(new), dim):
+                    raise ValueError(f"token vectors of shape {got.shape}, expected ({len(new)}, {dim})")
+                number.update((t, len(table) + k) for k, t in enumerate(new))
+                table = np.vstack([table, got])
+            yield pd.Series(list(masked_mean([np.array([number[t] for t in row], np.int64) for row in tokens], table, max_length)), dtype=object)
+
+    # a word has one piece at least, so no more words are needed than tokens
+    return df.withColumn(out_col, run(V.truncate(T.hash_tokens(F.col(text_col)), max_length)))
+
+
+# ---- embedders by model name ---------------------------------------------------
+#: (frame, text column, dimension) -> frame with ``embedding``; a job's own model is added here
+EMBEDDERS: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {
+    "hash": lambda df, text_col, dim: hash_embed(df, text_col, dim),
+    "subword": lambda df, text_col, dim: pooled_embed(df, text_col, dim),
+}
+
+
+def embed_as(df: DataFrame, text_col: str, model: str) -> DataFrame:
+    """``embedding`` of ``text_col`` by the model ``<embedder>-<dimension>``."""
+    name, _, dim = model.rpartition("-")
+    if name not in EMBEDDERS or not dim.isdigit():
+        raise ValueError(f"no embedder for model {model!r}; known: {', '.join(f'{n}-<dimension>' for n in EMBEDDERS)}")
+    return EMBEDDERS[name](df, text_col, int(dim))
+
+
 # ---- token matrix and masked mean pooling (A1) -----------------------------
 def token_matrix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  dim: int = DEFAULT_DIM, max_length: int | None = MODEL_TOKEN_LIMIT,

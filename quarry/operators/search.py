@@ -516,11 +516,12 @@ def join_context(hits: DataFrame, docs: DataFrame, doc_key: str = "doc_id",
     them, and the document table then streams through an inner hash join
     without a shuffle, or joins the sorted sides.  A left outer join could
     not build on its left side, so the missing hits come from an anti join
-    against the found keys.
+    against the found keys.  What is found is written too: it feeds both
+    branches, and the documents are scanned once.
     """
     d = docs.select(F.col(doc_key).alias("id"), *list(cols or []))
     hits = written(hits, "search-hits")
-    found = hits.join(d, "id", "inner")
+    found = written(hits.join(d, "id", "inner"), "search-found")
     gone = hits.join(found.select("question_id", "id"), ["question_id", "id"], "left_anti")
     return (found.withColumn("missing", F.lit(False))
             .unionByName(gone.withColumn("missing", F.lit(True)), allowMissingColumns=True))

@@ -155,6 +155,22 @@ def second_store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(second_store(spark, sf_dir), "id", "classification", "batch_no", "doc_id", "chunk_ix")
 
 
+def first_store_subwords(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+    """Q2 by its own recipe (M5, M6, A1, M1): the first 256 subword tokens of a
+    text, padded, masked and pooled from real-valued token vectors, loaded into
+    a stored first store; only the winners of a key are embedded."""
+    model = f"subword-{dim}"
+    base = ST.open_first(spark, scratch_path(spark, f"first-store-{uuid.uuid4().hex}"), dim, model)
+    rows = TB.documents(spark, sf_dir).select(
+        IX.first_store_key(F.col("text")).alias("id"), F.col("path").alias("file_path"),
+        F.create_map(F.lit("file_path"), F.col("path")).alias("metadata"), F.lit(model).alias("embedding_model"),
+        _batch_no().alias("batch_no"), "text")
+    ST.load(spark, base, rows, enrich=lambda df: E.embed_as(df, "text", model))
+    index = ST.read(spark, base)
+    return _summary(index, "id", "file_path", "batch_no", F.round(F.col("embedding")[0], 6).alias("emb_first"),
+                    F.round(F.col("embedding")[dim - 1], 6).alias("emb_last"))
+
+
 def stored_first(spark: SparkSession, sf_dir: str, dim: int = DIM) -> str:
     """Q2 as a job: the first store of these documents, loaded once for a state of the table."""
     base = TB.derived_path(spark, sf_dir, ["documents"], f"first-store-{dim}")

@@ -38,6 +38,30 @@ def test_cli_end_to_end(spark, tmp):
     assert hits == {"What is Apache Iceberg?": "a.txt", "What are ML runtimes?": "b.txt"}
 
 
+def test_cli_subword_index_compaction_and_rejects(spark, tmp):
+    from quarry.operators import store as ST
+    _w(f"{tmp}/data/a.txt", "Apache Iceberg is an open table format for huge analytic datasets.")
+    _w(f"{tmp}/data/b.txt", "ML runtimes are container images for running models.")
+    for batch in ("0", "1"):
+        main(["index", "--docs", f"{tmp}/data", "--store", "first", "--index", f"{tmp}/idx/one", "--embedder", "subword", "--dim", "32", "--batch", batch])
+    m = ST.manifest(spark, f"{tmp}/idx/one")
+    assert (m["model"], m["rows"], len(m["segments"])) == ("subword-32", 2, 2)
+    main(["compact", "--index", f"{tmp}/idx/one", "--vacuum-days", "7"])
+    assert len(ST.manifest(spark, f"{tmp}/idx/one")["segments"]) == 1
+    main(["describe", "--root", f"{tmp}/idx"])
+    _w(f"{tmp}/q.txt", "What is Apache Iceberg?\nWhat is Apache Iceberg?\n")
+    main(["ask", "--index", f"{tmp}/idx/one", "--questions", f"{tmp}/q.txt", "--out", f"{tmp}/hits", "--k", "1"])
+    assert [r.id[:6] for r in spark.read.parquet(f"{tmp}/hits").collect()] == ["Apache"]
+    # a file that can't be extracted leaves a row, also without --rejects
+    os.makedirs(f"{tmp}/pdf")
+    with open(f"{tmp}/pdf/bad.pdf", "wb") as f:
+        f.write(b"\xff\xfe\xff")
+    _w(f"{tmp}/pdf/good.pdf", "One sentence. Two!")
+    main(["chunk", "--pdf", "--staged", f"{tmp}/pdf", "--out", f"{tmp}/chunks", "--checkpoint", f"{tmp}/ck"])
+    assert [os.path.basename(r.path) for r in spark.read.parquet(f"{tmp}/chunks-rejects").collect()] == ["bad.pdf"]
+    assert spark.read.parquet(f"{tmp}/chunks").count() == 1
+
+
 def test_cli_ingest_tables(spark, tmp):
     import uuid
     _w(f"{tmp}/staged/a.txt", "Alpha beta gamma. " * 30)

@@ -183,3 +183,45 @@ def test_index_functions_read_stores(spark, tmp):
     assert IX.index_exists(spark, base) and IX.read_index(spark, base).count() == 0
     IX.drop_index(spark, base)
     assert not IX.index_exists(spark, base)
+
+
+def test_subword_store_is_loaded_and_searched_with_its_model(spark, tmp):
+    """M5, M6, A1: against plain Python; F8: the store's model embeds, another's questions are refused."""
+    import hashlib
+
+    import numpy as np
+
+    from quarry.operators import embed as E
+
+    texts = [(1, "Hello wonderful World"), (2, ""), (3, None), (4, " \n "), (5, "x" * 3000), (6, " ".join(f"w{i}" for i in range(400))), (7, "日本語テキスト é")]
+    docs = spark.createDataFrame(texts, "n int, text string")
+
+    def plain(text):
+        pieces = [("##" if i else "") + w[i:i + 4] for w in (text or "").lower().split() for i in range(0, len(w), 4)][:256]
+        rows = [np.frombuffer(b"".join(hashlib.md5(f"{k}:{p}".encode()).digest() for k in range(2)), np.uint8)[:20] / 127.5 - 1 for p in pieces]
+        v = np.sum(rows, axis=0) / max(len(rows), 1e-9) if rows else np.zeros(20)
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    got = {r.n: r.embedding for r in E.embed_as(docs, "text", "subword-20").collect()}
+    for n, text in texts:
+        assert np.allclose(got[n], plain(text), atol=1e-12)
+    assert not np.any(got[2]) and not np.any(got[3])
+    base = ST.open_first(spark, os.path.join(tmp, "s"), 20, "subword-20")
+    rows = docs.filter("text IS NOT NULL").select(F.col("text").alias("id"), F.lit("/p").alias("file_path"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"),
+                                                  F.lit("subword-20").alias("embedding_model"), F.lit(0).alias("batch_no"), "text")
+    ST.load(spark, base, rows, enrich=lambda d: E.embed_as(d, "text", "subword-20"))
+    ask = spark.createDataFrame([("q", "hello world wonderful")], "question_id string, text string")
+    q = E.embed_as(ask, "text", "subword-20").withColumn("embedding_model", F.lit("subword-20"))
+    assert ST.search(spark, base, q, k=1).first().id == "Hello wonderful World"
+    with pytest.raises(ValueError, match="embedded with"):
+        ST.search(spark, base, E.embed_as(ask, "text", "hash-20").withColumn("embedding_model", F.lit("hash-20")))
+    with pytest.raises(ValueError, match="no embedder"):
+        E.embed_as(ask, "text", "other-20")
+    with pytest.raises(Exception, match="token vectors of shape"):
+        E.pooled_embed(ask, "text", 20, vectors=lambda: lambda tokens: np.zeros((len(tokens), 3))).collect()
+    # a job's own token vectors and memory that is too small for them
+    old, E.TOKENS_KNOWN = E.TOKENS_KNOWN, 5
+    try:
+        assert np.allclose({r.n: r.embedding for r in E.embed_as(docs, "text", "subword-20").collect()}[6], plain(texts[5][1]))
+    finally:
+        E.TOKENS_KNOWN = old

@@ -43,35 +43,132 @@ METRICS = ("cosine", "dot", "l2")
 DEFAULT_BUDGET = 64 << 20
 RANK_PLACES = 9                # scores are ranked after rounding to this
 SCORE_PLACES = 6               # and reported rounded to this
-# Score entries per NumPy block (questions × index rows), bounds task memory.
-BLOCK_CELLS = 4_000_000
+# Score entries per NumPy block (questions × index rows): bounds task memory
+# and fits a core's cache.
+BLOCK_CELLS = 1 << 20
+# Pairs scored exactly at a time, and rows at least that give a first bound.
+PAIRS, FIRST_ROWS = 1 << 14, 1024
+# Rows handed on at a time.
+OUT_ROWS = 1 << 16
 
 
-def _scores(D: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
-    """(rows of D) × (rows of Q) score matrix; larger is better except l2."""
-    if metric == "dot":
-        return D @ Q.T
-    if metric == "cosine":
-        dn = np.maximum(np.sqrt(np.einsum("ij,ij->i", D, D)), V.NORM_EPS)
-        qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS)
-        return (D @ Q.T) / dn[:, None] / qn[None, :]
-    if metric == "l2":
-        d2 = np.einsum("ij,ij->i", D, D)
-        q2 = np.einsum("ij,ij->i", Q, Q)
-        return np.maximum(d2[:, None] + q2[None, :] - 2.0 * (D @ Q.T), 0.0)
-    raise ValueError(f"metric must be one of {METRICS}")
+def _norms(X: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", X, X))
 
 
-def _l2_error(D: np.ndarray, Q: np.ndarray) -> np.ndarray:
-    """Bound of the error of |d|² + |q|² − 2dq for each question."""
-    d2 = np.einsum("ij,ij->i", D, D).max(initial=0.0)
-    q2 = np.einsum("ij,ij->i", Q, Q)
-    return 8.0 * D.shape[1] * np.finfo(np.float64).eps * (d2 + q2)
+def _look(D: np.ndarray, metric: str):
+    """A first look at a block in single precision: the rows as a float32
+    matrix ``L`` and a function ``ask(Q, floor)`` → ``(M, need, margin)``.
 
+    A row whose rounded score reaches a question's floor has ``M @ L.T`` at or
+    above ``need - margin``.  Rows and questions are scaled to length one at
+    most, so the product's error is bounded by the dimension alone.
+    """
+    error = 8.0 * (D.shape[1] + 8) * 2.0 ** -24
+    slack = 2.0 * 10.0 ** -RANK_PLACES
+    norm = _norms(D)
+    top = max(norm.max(initial=0.0), V.NORM_EPS)
 
-def _exact_l2(D: np.ndarray, Q: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    diff = D[rows] - Q[cols]
-    return np.einsum("ij,ij->i", diff, diff)
+    if metric == "cosine":
+        def ask(Q, floor):
+            return Q / np.maximum(_norms(Q), V.NORM_EPS)[:, None], floor, np.full(len(Q), error + slack)
+        return D / np.maximum(norm, V.NORM_EPS)[:, None], ask
+    if metric == "dot":
+        def ask(Q, floor):
+            scale = np.maximum(_norms(Q), V.NORM_EPS) * top
+            return Q * (top / scale)[:, None], floor / scale, error + slack / scale
+        return D / top, ask
+
+    # -|d - q|² / 2 = dq - |d|²/2 - |q|²/2: the row's part is one more column
+    def ask(Q, floor):
+        q2 = np.einsum("ij,ij->i", Q, Q)
+        scale = np.maximum(np.sqrt(q2), top)
+        unit = 2.0 * top * scale
+        return np.column_stack([Q / scale[:, None], top / (2.0 * scale)]), (floor + q2) / unit, error + (slack + 1e-14 * q2) / unit
+    return np.column_stack([D / top, -(norm / top) ** 2]), ask
+
+
+def _exact(D: np.ndarray, Q: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs in double precision."""
+    out = np.empty(len(rows))
+    for x in range(0, len(rows), PAIRS):                  # the gathered vectors are wide
+        d, q = D[rows[x:x + PAIRS]], Q[cols[x:x + PAIRS]]
+        if metric == "l2":
+            d = d - q
+            q = d
+        s = np.einsum("ij,ij->i", d, q)
+        if metric == "cosine":
+            s = s / np.maximum(_norms(d), V.NORM_EPS) / np.maximum(_norms(q), V.NORM_EPS)
+        out[x:x + PAIRS] = s
+    return out
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids, nulls last."""
+    if ids.dtype.kind in "iuf":
+        return ids
+    codes = pd.factorize(ids, sort=True)[0]
+    return np.where(codes < 0, len(ids), codes)
+
+
+def _few_copies(D: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of a batch's rows without those that ``k`` rows of the same
+    vector precede by id: they have no place among the k.  Nor have rows with
+    a number that is none."""
+    first = np.argsort(_order(ids), kind="stable")
+    first = first[np.isfinite(_norms(D)[first])]
+    rows = np.ascontiguousarray(D[first])
+    if not len(rows):
+        return first
+    group = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1]
+    by = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(group[by]) != 0))
+    nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
+    return np.sort(first[by[nth < k]])
+
+
+def _offer(acc: _TopK, D: np.ndarray, ids: np.ndarray, Q: np.ndarray, number: np.ndarray, metric: str,
+           pick: np.ndarray | None = None, meets: _Meets | None = None) -> None:
+    """Hands the rows that may be among a question's k to ``acc``.
+
+    All pairs are looked at in single precision, and those above the
+    question's bound (its k-th so far, or in its first batch the k-th of some
+    rows) scored exactly.  ``number``: the questions' places in ``acc``;
+    ``pick``: the questions looked at, by default all; ``meets``: the pairs
+    that count, by default all.
+    """
+    pick = np.arange(len(Q)) if pick is None else pick
+    n = len(ids)
+    if not n or not len(pick):
+        return
+    L, ask = _look(D, metric)
+    L = np.ascontiguousarray(L.T, dtype=np.float32)
+    some = slice(None, None, 1 if meets is not None else max(1, n // max(FIRST_ROWS, n // 4, acc.k)))
+    step = max(16, BLOCK_CELLS // n)
+    for q0 in range(0, len(pick), step):
+        cols = pick[q0:q0 + step]
+        M, need, margin = ask(Q[cols], acc.floor[number[cols]])
+        S = M.astype(np.float32) @ L                       # questions × rows
+        new = np.flatnonzero(need == -np.inf)
+        if len(new):
+            if meets is not None:
+                S[new] = np.where(meets.block(cols[new]), S[new], -np.inf)
+            part = S[new, some]
+            if part.shape[1] >= acc.k:
+                part = np.where(np.isnan(part), -np.inf, part)
+                need[new] = np.partition(part, part.shape[1] - acc.k, axis=1)[:, part.shape[1] - acc.k]
+        hit = S >= (need - margin).astype(np.float32)[:, None]
+        if len(new):
+            hit[new] &= S[new] > -np.inf
+        c, r = np.divmod(np.flatnonzero(hit), n)
+        c = cols[c]
+        if meets is not None:
+            met = meets.pairs(r, c)
+            r, c = r[met], c[met]
+        raw = _exact(D, Q, r, c, metric)
+        key = np.round(-raw if metric == "l2" else raw, RANK_PLACES)
+        best = key >= acc.floor[number[c]]
+        acc.add(number[c[best]], key[best], raw[best], ids[r[best]])
 
 
 class _TopK:
@@ -89,11 +186,13 @@ class _TopK:
     def __init__(self, k: int, nq: int):
         self.k, self.nq = k, nq
         self.floor = np.full(nq, -np.inf)      # the k-th key so far, once there are k
-        self.parts: list[pd.DataFrame] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
     def add(self, q, key, score, ids):
-        self.parts.append(pd.DataFrame({"q": q, "key": key, "score": score, "id": ids}))
+        if not len(q):
+            return
+        self.parts.append((q, key, score, ids))
         self.size += len(q)
         if self.size > 4 * self.nq * self.k + 65536:
             self._prune()
@@ -101,21 +200,24 @@ class _TopK:
     def _prune(self):
         if not self.parts:
             return
-        df = pd.concat(self.parts, ignore_index=True)
-        df = df.sort_values(["q", "key", "id"], ascending=[True, False, True], kind="mergesort")
-        df = df.groupby("q", sort=False).head(self.k)
-        q, key = df["q"].to_numpy(), df["key"].to_numpy()
-        ends = np.flatnonzero(np.append(q[1:] != q[:-1], True))
-        full = np.diff(np.append(-1, ends)) == self.k
-        self.floor[q[ends[full]]] = key[ends[full]]
-        self.parts, self.size = [df], len(df)
+        q, key, score, ids = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        at = np.lexsort((_order(ids), -key, q))
+        starts = np.flatnonzero(np.append(True, np.diff(q[at]) != 0))
+        nth = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        at, last = at[nth < self.k], at[nth == self.k - 1]
+        self.floor[q[last]] = key[last]
+        self.parts, self.size = [(q[at], key[at], score[at], ids[at])], len(at)
 
     def result(self):
         self._prune()
-        if not self.parts or self.size == 0:
-            return None
-        df = self.parts[0]
-        return df["q"].to_numpy(), df["key"].to_numpy(), df["score"].to_numpy(), df["id"].to_numpy()
+        return self.parts[0] if self.parts else None
+
+    def frames(self, qids: np.ndarray, id_col: str):
+        res = self.result()
+        for x in range(0, len(res[0]) if res else 0, OUT_ROWS):
+            q, key, score, ids = (a[x:x + OUT_ROWS] for a in res)
+            yield pd.DataFrame({"question_id": qids[q], id_col: ids, "_key": key, "score": score})
 
 
 def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str, model_col: str | None = None):
@@ -140,31 +242,9 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str, model_col: s
             if D.shape[1] != dim:
                 raise ValueError(f"index dimension {D.shape[1]} != question dimension {dim}")
             ids = pdf[id_col].to_numpy()
-            qb = max(1, BLOCK_CELLS // max(len(ids), 1))
-            for q0 in range(0, nq, qb):
-                Qb = Q[q0:q0 + qb]
-                S = _scores(D, Qb, metric)                         # n × qb
-                key = np.round(-S if metric == "l2" else S, RANK_PLACES)
-                n = key.shape[0]
-                floor = acc.floor[number[q0:q0 + qb]]                  # rows below it can't be among the k
-                if metric == "l2":
-                    floor = floor - _l2_error(D, Qb) - 10.0 ** -RANK_PLACES
-                if n > k:
-                    thr = np.partition(key, n - k, axis=0)[n - k]  # k-th best per question
-                    if metric == "l2":                             # within the products' rounding error of it
-                        thr = thr - 2 * _l2_error(D, Qb) - 2 * 10.0 ** -RANK_PLACES
-                    floor = np.maximum(thr, floor)
-                r, c = np.nonzero(key >= floor[None, :])
-                raw = S[r, c]
-                kept = key[r, c]
-                if metric == "l2":   # exact distance for the kept pairs only
-                    raw = _exact_l2(D, Qb, r, c)
-                    kept = np.round(-raw, RANK_PLACES)
-                acc.add(number[q0 + c], kept, raw, ids[r])
-        res = acc.result()
-        if res is not None:
-            qi, key, score, ids = res
-            yield pd.DataFrame({"question_id": qids[qi], id_col: ids, "_key": key, "score": score})
+            few = _few_copies(D, ids, k)
+            _offer(acc, D[few], ids[few], Q, number, metric)
+        yield from acc.frames(qids, id_col)
     return run
 
 
@@ -317,12 +397,38 @@ def _lsh_keys(X: np.ndarray, R: np.ndarray, width: float, tables: int, m: int) -
 
 # Colliding pairs formed at a time, bounds task memory whatever the buckets hold.
 LSH_PAIRS = 1 << 20
+# Above one colliding pair (counted in each table) of so many, all are looked at.
+LSH_DENSE = 16
+
+
+class _Meets:
+    """Which rows of a batch share a bucket with which questions: numbers of
+    the buckets by table, -1 for a row's that no question has."""
+
+    def __init__(self, rows: np.ndarray, questions: np.ndarray):
+        self.rows, self.questions = rows, questions
+
+    def pairs(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.empty(len(r), bool)
+        for x in range(0, len(r), LSH_PAIRS):
+            y = slice(x, x + LSH_PAIRS)
+            out[y] = (self.rows[r[y]] == self.questions[c[y]]).any(axis=1)
+        return out
+
+    def block(self, cols: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(cols), len(self.rows)), bool)
+        for t in range(self.rows.shape[1]):
+            out |= self.questions[cols, t][:, None] == self.rows[:, t][None, :]
+        return out
 
 
 def _lsh_local_topk(bc, k: int, id_col: str, vec_col: str, width: float, tables: int, m: int):
     def run(batches):
         qids, Q, R, qkeys, qorder = bc.value        # of each table: sorted keys, and the questions in that order
-        qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS)
+        number = np.arange(len(qids))
+        buckets = np.empty((len(qids), tables), np.int32)
+        for t in range(tables):
+            buckets[qorder[t], t] = np.searchsorted(qkeys[t], qkeys[t], "left")
         acc = _TopK(k, len(qids))
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
@@ -330,11 +436,17 @@ def _lsh_local_topk(bc, k: int, id_col: str, vec_col: str, width: float, tables:
                 continue
             D = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64, copy=False)
             ids = pdf[id_col].to_numpy()
-            dn = np.maximum(np.sqrt(np.einsum("ij,ij->i", D, D)), V.NORM_EPS)
+            few = _few_copies(D, ids, k)
+            D, ids = D[few], ids[few]
+            dn = np.maximum(_norms(D), V.NORM_EPS)
             keys = _lsh_keys(D / dn[:, None], R, width, tables, m)
             first = np.stack([np.searchsorted(qkeys[t], keys[:, t], "left") for t in range(tables)], axis=1)
             count = np.stack([np.searchsorted(qkeys[t], keys[:, t], "right") for t in range(tables)], axis=1) - first
             total = np.cumsum(count.sum(axis=1))
+            if len(ids) and total[-1] * LSH_DENSE > len(ids) * len(qids):
+                # most pairs collide: a look at all is cheaper than a list of them
+                _offer(acc, D, ids, Q, number, "cosine", meets=_Meets(np.where(count > 0, first, -1).astype(np.int32), buckets))
+                continue
             i = 0
             while i < len(ids):                      # runs of rows with a bounded number of pairs, one row at least
                 j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + LSH_PAIRS, "right")))
@@ -346,18 +458,12 @@ def _lsh_local_topk(bc, k: int, id_col: str, vec_col: str, width: float, tables:
                     pairs.append(np.repeat(np.arange(i, j), n) * len(qids) + qorder[t][at])
                 pair = np.unique(np.concatenate(pairs))
                 r, c = pair // len(qids), pair % len(qids)
-                score = np.empty(len(pair))
-                for x in range(0, len(pair), 1 << 16):        # the gathered vectors are wide
-                    y = slice(x, x + (1 << 16))
-                    score[y] = np.einsum("ij,ij->i", D[r[y]], Q[c[y]]) / dn[r[y]] / qn[c[y]]
+                score = _exact(D, Q, r, c, "cosine")
                 key = np.round(score, RANK_PLACES)
                 best = key >= acc.floor[c]                    # rows below a question's k-th so far can't be among the k
                 acc.add(c[best], key[best], score[best], ids[r[best]])
                 i = j
-        res = acc.result()
-        if res is not None:
-            qi, key, score, ids = res
-            yield pd.DataFrame({"question_id": qids[qi], id_col: ids, "_key": key, "score": score})
+        yield from acc.frames(qids, id_col)
     return run
 
 
@@ -404,6 +510,8 @@ def lsh_search(index: DataFrame, questions: DataFrame, k: int = 5, bucket_width:
     if need <= broadcast_budget:
         cand = run_batch(questions)[0]
     else:
+        # several passes: the index vectors are computed once
+        index = written(index.select(id_col, vec_col), "search-index")
         cand = _in_batches(index, questions, qid_col, qvec_col, need, broadcast_budget, run_batch)
     w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -414,30 +522,22 @@ def lsh_search(index: DataFrame, questions: DataFrame, k: int = 5, bucket_width:
 def _ivf_local_topk(bc, k: int, id_col: str, vec_col: str):
     def run(batches):
         qids, Q, probes = bc.value            # probes: cluster -> question indices
-        qn = np.maximum(np.sqrt(np.einsum("ij,ij->i", Q, Q)), V.NORM_EPS) if len(Q) else np.ones(0)
+        number = np.arange(len(qids))
         acc = _TopK(k, len(qids))
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty or len(qids) == 0:
                 continue
             D = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64, copy=False)
-            dn = np.maximum(np.sqrt(np.einsum("ij,ij->i", D, D)), V.NORM_EPS)
             ids = pdf[id_col].to_numpy()
-            cl = pdf["_cluster"].to_numpy()
+            few = _few_copies(D, ids, k)
+            D, ids, cl = D[few], ids[few], pdf["_cluster"].to_numpy()[few]
             for c in np.unique(cl):
-                qs = probes.get(int(c))
-                if not qs:
-                    continue
-                rows = np.flatnonzero(cl == c)
-                qi = np.asarray(qs, dtype=np.int64)
-                S = (D[rows] @ Q[qi].T) / dn[rows][:, None] / qn[qi][None, :]   # rows × probing questions
-                r, j = np.nonzero(np.ones_like(S, dtype=bool)) if S.shape[0] <= k else \
-                    np.nonzero(S >= np.partition(S, S.shape[0] - k, axis=0)[S.shape[0] - k][None, :])
-                acc.add(qi[j], np.round(S[r, j], RANK_PLACES), S[r, j], ids[rows[r]])
-        res = acc.result()
-        if res is not None:
-            q, key, score, rid = res
-            yield pd.DataFrame({"question_id": qids[q], id_col: rid, "_key": key, "score": score})
+                asked = probes.get(int(c))
+                if asked is not None:
+                    rows = np.flatnonzero(cl == c)
+                    _offer(acc, D[rows], ids[rows], Q, number, "cosine", pick=asked)
+        yield from acc.frames(qids, id_col)
     return run
 
 
@@ -483,13 +583,14 @@ def ivf_search(index: DataFrame, questions: DataFrame, k: int = 5, nlist: int =
         rows = qs.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).collect()
         qids = np.array([r[0] for r in rows], dtype=object)
         Q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, max(dim, 1)))
-        probes: dict[int, list[int]] = {}
+        probes: dict[int, np.ndarray] = {}
         if len(Q):
             Qn = Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), V.NORM_EPS)
             near = np.argsort(-(Qn @ C.T), axis=1)[:, :min(nprobe, len(C))]
-            for i, cells in enumerate(near):
-                for c in cells:
-                    probes.setdefault(int(c), []).append(i)
+            for c in range(len(C)):
+                asked = np.flatnonzero((near == c).any(axis=1))
+                if len(asked):
+                    probes[c] = asked.astype(np.int32)
         bc = index.sparkSession.sparkContext.broadcast((qids, Q, probes))
         schema = StructType([StructField("question_id", questions.schema[qid_col].dataType),
                              index.schema[id_col], StructField("_key", DoubleType()),
@@ -500,6 +601,8 @@ def ivf_search(index: DataFrame, questions: DataFrame, k: int = 5, nlist: int =
     if need <= broadcast_budget:
         cand = run_batch(questions)[0]
     else:
+        # several passes: vectors and cells are computed once
+        assigned = written(assigned, "search-index")
         cand = _in_batches(index, questions, qid_col, qvec_col, need, broadcast_budget, run_batch)
     w = Window.partitionBy("question_id").orderBy(F.desc("_key"), F.asc(id_col))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

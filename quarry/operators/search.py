@@ -10,8 +10,11 @@ paired row-by-row with questions: each index partition is scored in Arrow
 batches by a blocked matrix product (``mapInPandas``) in single precision, and
 a pair that may be among the k, by a bound of that product's error, is scored
 exactly; a running top-k per question is merged across the task's batches in
-the final order (score, then id) and only it – exactly questions × k rows –
-leaves the task, once.  The
+the final order (score, then id) and only it – at most questions × k rows –
+leaves the task, once.  For many questions the index vectors are written
+first, in even parts, and some of the rows, looked at by all questions side by
+side, give each question a score that k rows reach: every task starts from
+this bound and hands on nothing below it.  The
 global top-k is a window ``row_number`` whose ``WindowGroupLimit`` again
 trims partial results before the exchange, so shuffle volume is bounded by
 tasks × questions × k whatever the index size.
@@ -31,6 +34,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -48,10 +53,16 @@ SCORE_PLACES = 6               # and reported rounded to this
 # Score entries per NumPy block (questions × index rows): bounds task memory
 # and fits a core's cache.
 BLOCK_CELLS = 1 << 20
+# Rows of the index in a block of questions that have a bound.
+TILE_ROWS, TILE_QUESTIONS = 1024, 512
 # Pairs scored exactly at a time, and rows at least that give a first bound.
 PAIRS, FIRST_ROWS = 1 << 14, 1024
 # Rows handed on at a time.
 OUT_ROWS = 1 << 16
+# From so many questions on, some rows give every task the first bounds: at most
+# BOUND_ROWS, about where a pair more to look at costs as much as the pairs
+# that a lower bound would leave to score (BOUND_COST of those looked at).
+BOUND_QUESTIONS, BOUND_ROWS, BOUND_COST, BOUND_WIDTH = 1 << 13, 1 << 16, 1000, 1024
 
 
 def _norms(X: np.ndarray) -> np.ndarray:
@@ -60,10 +71,12 @@ def _norms(X: np.ndarray) -> np.ndarray:
 
 def _look(D: np.ndarray, metric: str):
     """A first look at a block in single precision: the rows as a float32
-    matrix ``L`` and a function ``ask(Q, floor)`` → ``(M, need, margin)``.
+    matrix ``L``, a function ``ask(Q, floor)`` → ``(M, need, margin)`` and one
+    ``reached(Q, s)``.
 
     A row whose rounded score reaches a question's floor has ``M @ L.T`` at or
-    above ``need - margin``.  Rows and questions are scaled to length one at
+    above ``need - margin``; one with ``M @ L.T`` at or above ``s`` has a
+    rounded score of ``reached(Q, s)`` at least.  Rows and questions are scaled to length one at
     most, so the product's error is bounded by the dimension alone.
     """
     error = 8.0 * (D.shape[1] + 8) * 2.0 ** -24
@@ -74,12 +87,18 @@ def _look(D: np.ndarray, metric: str):
     if metric == "cosine":
         def ask(Q, floor):
             return Q / np.maximum(_norms(Q), V.NORM_EPS)[:, None], floor, np.full(len(Q), error + slack)
-        return D / np.maximum(norm, V.NORM_EPS)[:, None], ask
+
+        def reached(Q, s):
+            return s - error - slack
+        return D / np.maximum(norm, V.NORM_EPS)[:, None], ask, reached
     if metric == "dot":
         def ask(Q, floor):
             scale = np.maximum(_norms(Q), V.NORM_EPS) * top
             return Q * (top / scale)[:, None], floor / scale, error + slack / scale
-        return D / top, ask
+
+        def reached(Q, s):
+            return (s - error) * np.maximum(_norms(Q), V.NORM_EPS) * top - slack
+        return D / top, ask, reached
 
     # -|d - q|² / 2 = dq - |d|²/2 - |q|²/2: the row's part is one more column
     def ask(Q, floor):
@@ -87,7 +106,11 @@ def _look(D: np.ndarray, metric: str):
         scale = np.maximum(np.sqrt(q2), top)
         unit = 2.0 * top * scale
         return np.column_stack([Q / scale[:, None], top / (2.0 * scale)]), (floor + q2) / unit, error + (slack + 1e-14 * q2) / unit
-    return np.column_stack([D / top, -(norm / top) ** 2]), ask
+
+    def reached(Q, s):
+        q2 = np.einsum("ij,ij->i", Q, Q)
+        return (s - error) * 2.0 * top * np.maximum(np.sqrt(q2), top) - q2 - slack - 1e-14 * q2
+    return np.column_stack([D / top, -(norm / top) ** 2]), ask, reached
 
 
 def _exact(D: np.ndarray, Q: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
@@ -143,8 +166,21 @@ def _offer(acc: _TopK, D: np.ndarray, ids: np.ndarray, Q: np.ndarray, number: np
     n = len(ids)
     if not n or not len(pick):
         return
-    L, ask = _look(D, metric)
+    L, ask, _ = _look(D, metric)
     L = np.ascontiguousarray(L.T, dtype=np.float32)
+
+    def score(r, c):
+        """Exact scores of looked-at pairs; those that reach the bound count."""
+        raw = _exact(D, Q, r, c, metric)
+        key = np.round(-raw if metric == "l2" else raw, RANK_PLACES)
+        best = key >= acc.floor[number[c]]
+        acc.add(number[c[best]], key[best], raw[best], ids[r[best]])
+
+    if meets is None:
+        known = acc.floor[number[pick]] > -np.inf
+        if known.any():
+            _above(L, ask, Q, pick[known], acc, number, score)
+            pick = pick[~known]
     some = slice(None, None, max(1, n // max(FIRST_ROWS, n // 4, acc.k)))
     step = max(16, BLOCK_CELLS // n)
     for q0 in range(0, len(pick), step):
@@ -170,10 +206,29 @@ def _offer(acc: _TopK, D: np.ndarray, ids: np.ndarray, Q: np.ndarray, number: np
         if meets is not None:
             met = meets.pairs(r, c)
             r, c = r[met], c[met]
-        raw = _exact(D, Q, r, c, metric)
-        key = np.round(-raw if metric == "l2" else raw, RANK_PLACES)
-        best = key >= acc.floor[number[c]]
-        acc.add(number[c[best]], key[best], raw[best], ids[r[best]])
+        score(r, c)
+
+
+def _above(L: np.ndarray, ask, Q: np.ndarray, pick: np.ndarray, acc: _TopK, number: np.ndarray, score) -> None:
+    """``_offer`` for questions that have a bound: only those whose best row
+    of a tile reaches it are looked at pair by pair."""
+    tiles = [t for t in np.array_split(np.arange(L.shape[1]), math.ceil(L.shape[1] / TILE_ROWS)) if len(t)]
+    parts = [np.ascontiguousarray(L[:, t[0]:t[-1] + 1]) for t in tiles]
+    block = np.empty(TILE_QUESTIONS * len(tiles[0]), np.float32)
+    for q0 in range(0, len(pick), TILE_QUESTIONS):
+        cols = pick[q0:q0 + TILE_QUESTIONS]
+        M, need, margin = ask(Q[cols], acc.floor[number[cols]])
+        M, bound = M.astype(np.float32), (need - margin).astype(np.float32)
+        rs, cs = [], []
+        for t, part in zip(tiles, parts):
+            S = np.matmul(M, part, out=block[:len(cols) * len(t)].reshape(len(cols), len(t)))
+            some = np.flatnonzero(S.max(axis=1) >= bound)
+            if len(some):
+                c, r = np.divmod(np.flatnonzero(S[some] >= bound[some, None]), len(t))
+                rs.append(r + t[0])
+                cs.append(cols[some[c]])
+        if rs:
+            score(np.concatenate(rs), np.concatenate(cs))
 
 
 class _TopK:
@@ -188,9 +243,10 @@ class _TopK:
     sends only k rows per question out of each task.
     """
 
-    def __init__(self, k: int, nq: int):
+    def __init__(self, k: int, nq: int, floor: np.ndarray | None = None):
         self.k, self.nq = k, nq
-        self.floor = np.full(nq, -np.inf)      # the k-th key so far, once there are k
+        # a key that k rows of the index reach; the k-th so far, once there are k
+        self.floor = np.full(nq, -np.inf) if floor is None else floor.copy()
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -237,8 +293,8 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str, model_col: s
                 yield rows, *groups[key]
 
     def run(batches):
-        qids, groups = bc.value
-        acc = _TopK(k, len(qids))
+        qids, groups, floor = bc.value
+        acc = _TopK(k, len(qids), floor)
         for pdf, number, Q in ((p, n, q) for b in batches for p, n, q in parts(b[b[vec_col].notna()], groups)):
             nq, dim = Q.shape
             if pdf.empty or nq == 0:
@@ -253,20 +309,89 @@ def _local_topk(bc, k: int, metric: str, id_col: str, vec_col: str, model_col: s
     return run
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, none null, as rows."""
+    if len(pc.unique(pc.list_value_length(vectors))) > 1:
+        raise ValueError("vectors of more than one dimension")
+    flat = pc.list_flatten(vectors).to_numpy().astype(np.float64, copy=False)
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+
+
+def _models(rows: pa.Table, model_col: str | None) -> dict:
+    """Numbers of the rows of each model; all under None without one."""
+    if model_col is None:
+        return {None: np.arange(len(rows))}
+    members: dict = {}
+    for i, m in enumerate(rows[model_col].to_pylist()):
+        members.setdefault(m, []).append(i)
+    return {m: np.array(ix, dtype=np.int64) for m, ix in members.items()}
+
+
+def _with_bounds(index: DataFrame, questions: DataFrame, k: int, metric: str, vec_col: str, qvec_col: str,
+                 model_col: str | None = None) -> DataFrame:
+    """``questions`` with ``_floor``: a key that ``k`` rows of their model's
+    index reach, by a first look at some of them; none known: -inf.
+
+    The rows are dealt to ``BOUND_WIDTH`` columns; a column's best is a row,
+    so that the k-th of the columns' bests is reached by k rows.
+    """
+    n = index.count()
+    m = min(BOUND_ROWS, int(math.sqrt(BOUND_COST * k * n)))
+    more = [model_col] if model_col else []
+    some = index.select(vec_col, *more).filter(F.col(vec_col).isNotNull())
+    some = some.sample(fraction=min(1.0, m / max(n, 1)), seed=1).limit(2 * BOUND_ROWS).toArrow()
+    looks = {}
+    for model, at in _models(some, model_col).items():
+        vectors = some[vec_col].take(pa.array(at))
+        if len(pc.unique(pc.list_value_length(vectors))) != 1:
+            continue                                       # none, or the search refuses them
+        D = _matrix(vectors)
+        D = D[np.isfinite(_norms(D))]
+        if len(D) >= k:
+            looks[model] = D
+    bc = index.sparkSession.sparkContext.broadcast(looks)
+
+    def run(batches):
+        cut, block = {}, np.empty(TILE_QUESTIONS * BOUND_WIDTH, np.float32)
+        for model, D in bc.value.items():
+            L, ask, reached = _look(D, metric)
+            L = L.astype(np.float32)
+            cut[model] = (D.shape[1], ask, reached, [np.ascontiguousarray(L[x:x + BOUND_WIDTH].T) for x in range(0, len(L), BOUND_WIDTH)])
+        for pdf in batches:
+            floor = np.full(len(pdf), -np.inf)
+            models = pdf[model_col].to_numpy() if model_col else np.full(len(pdf), None)
+            for model, (dim, ask, reached, tiles) in cut.items():
+                mine = np.flatnonzero(pd.isna(models) if model is None else models == model)
+                mine = mine[[len(v) == dim for v in pdf[qvec_col].iloc[mine]]]
+                for x in range(0, len(mine), TILE_QUESTIONS):
+                    at = mine[x:x + TILE_QUESTIONS]
+                    Q = np.vstack(pdf[qvec_col].iloc[at].to_numpy()).astype(np.float64, copy=False)
+                    M = ask(Q, np.zeros(len(Q)))[0].astype(np.float32)
+                    best = M @ tiles[0]
+                    for t in tiles[1:]:
+                        S = np.matmul(M, t, out=block[:len(at) * t.shape[1]].reshape(len(at), -1))
+                        np.maximum(best[:, :t.shape[1]], S, out=best[:, :t.shape[1]])
+                    if best.shape[1] >= k:
+                        kth = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k].astype(np.float64)
+                        got = reached(Q, kth)
+                        floor[at] = np.where(np.isfinite(got), got, -np.inf)
+            pdf["_floor"] = floor
+            yield pdf
+
+    asked = questions.filter(F.col(qvec_col).isNotNull())
+    return asked.mapInPandas(run, StructType([*asked.schema.fields, StructField("_floor", DoubleType())]))
+
+
 def _search_batch(index: DataFrame, questions: DataFrame, k: int, metric: str,
                   id_col: str, vec_col: str, qid_col: str, qvec_col: str, with_broadcast: bool = False,
                   model_col: str | None = None):
     spark = index.sparkSession
     more = [model_col] if model_col else []
-    rows = questions.select(qid_col, qvec_col, *more).filter(F.col(qvec_col).isNotNull()).collect()
-    qids = np.array([r[0] for r in rows], dtype=object)
-    members: dict = {} if more else {None: list(range(len(rows)))}
-    for i, r in enumerate(rows if more else []):
-        members.setdefault(r[2], []).append(i)
-    groups = {m: (np.array(ix, dtype=np.int64),
-                  np.array([np.asarray(rows[i][1], dtype=np.float64) for i in ix]) if ix else np.zeros((0, 1)))
-              for m, ix in members.items()}
-    bc = spark.sparkContext.broadcast((qids, groups))
+    bounds = ["_floor"] if "_floor" in questions.columns else []
+    rows = questions.select(qid_col, qvec_col, *more, *bounds).filter(F.col(qvec_col).isNotNull()).toArrow()
+    qids = np.array([*rows[qid_col].to_pylist(), None], dtype=object)[:-1]
+    groups = {m: (ix, _matrix(rows[qvec_col].take(pa.array(ix)))) for m, ix in _models(rows, model_col).items()}
+    bc = spark.sparkContext.broadcast((qids, groups, rows["_floor"].to_numpy() if bounds else None))
     qtype = questions.schema[qid_col].dataType
     schema = StructType([StructField("question_id", qtype),
                          index.schema[id_col],
@@ -321,12 +446,16 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
     st = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
     nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
     need = nq * max(dim, 1) * 8
+    more = [model_col] if model_col else []
+    if nq >= BOUND_QUESTIONS or need > broadcast_budget:
+        # the vectors are computed once, and every task gets as many
+        even = 2 * index.sparkSession.sparkContext.defaultParallelism
+        index = written(index.select(id_col, vec_col, *more).repartition(even), "search-index")
+        questions = _with_bounds(index, questions.select(qid_col, qvec_col, *more), k, metric, vec_col, qvec_col, model_col)
+        more.append("_floor")
     if need <= broadcast_budget:
         cand = _search_batch(index, questions, k, metric, id_col, vec_col, qid_col, qvec_col, model_col=model_col)
     else:
-        # several passes: the index vectors are computed once, too
-        more = [model_col] if model_col else []
-        index = written(index.select(id_col, vec_col, *more), "search-index")
         cand = _in_batches(index, questions, qid_col, qvec_col, need, broadcast_budget,
                            lambda part: _search_batch(index, part, k, metric, id_col, vec_col, qid_col,
                                                       qvec_col, with_broadcast=True, model_col=model_col), more)

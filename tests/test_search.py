@@ -253,3 +253,60 @@ def test_lsh_looks_at_all_or_lists_pairs(spark, monkeypatch):
         monkeypatch.setattr(S, "LSH_DENSE", dense)
         hits.append(sorted(map(tuple, S.lsh_search(idf, qdf, k=5, num_tables=2, num_projections=6, bucket_width=0.7).collect())))
     assert hits[0] == hits[1] and 0 < len(hits[0]) < 200
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_bounds_of_many_questions(spark, monkeypatch, metric):
+    """Some rows of the index give every task a score that k rows reach: the
+    hits stay those of all pairs, and tasks hand on little more than them."""
+    rnd = np.random.default_rng(11)
+    index = [(i, (rnd.normal(size=8) * 3).round(2).tolist()) for i in range(2000)]
+    index += [(3000 + i, index[i % 3][1]) for i in range(30)]       # copies → ties
+    index += [(4000, [0.0] * 8), (4001, None), (4002, [float("nan")] * 8)]
+    qs = [(f"q{i}", (rnd.normal(size=8) * 3).round(2).tolist()) for i in range(40)] + [("qz", [0.0] * 8)]
+    qs += [(f"c{i}", index[i][1]) for i in range(3)]
+    idf = spark.createDataFrame(index, "id long, embedding array<double>").repartition(8).cache()
+    qdf = spark.createDataFrame([*qs, ("qn", None)], "question_id string, embedding array<double>")
+    exp = _brute([r for r in index if r[0] < 4001], qs, 5, metric)
+    keys = {q: [s if metric != "l2" else -s for _, s in v] for q, v in exp.items()}
+    bounded = S._with_bounds(idf, qdf, 5, metric, "embedding", "embedding").cache()
+    for r in bounded.collect():
+        assert -np.inf < r._floor <= keys[r.question_id][-1] + 1e-6, r
+    given = S._search_batch(idf, bounded, 5, metric, "id", "embedding", "question_id", "embedding").count()
+    assert given < 0.5 * 8 * 5 * len(qs)
+    monkeypatch.setattr(S, "BOUND_QUESTIONS", 1)
+    for more in ({}, {"broadcast_budget": 700}):
+        by_q = {}
+        for r in sorted(S.search(idf, qdf, k=5, metric=metric, **more).collect(), key=lambda r: (r.question_id, r.rank)):
+            by_q.setdefault(r.question_id, []).append((r.id, r.score))
+        assert by_q == exp
+
+
+def test_bounds_by_model_and_few_rows(spark, monkeypatch):
+    """A model's bound comes from its own rows; fewer than k give none."""
+    monkeypatch.setattr(S, "BOUND_QUESTIONS", 1)
+    idf = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, [1.0, 1.0], None), (4, [1.0, 0.0, 0.0], "b")],
+                                "id long, embedding array<double>, m string")
+    qdf = spark.createDataFrame([("q", [0.0, 1.0], "a"), ("r", [1.0, 0.0], None), ("s", [0.0, 1.0, 0.0], "b"), ("t", [1.0, 0.0], "c")],
+                                "question_id string, embedding array<double>, m string")
+    for k in (1, 2):
+        got = {(r.question_id, r.rank, r.id) for r in S.search_same_model(idf, qdf, k=k, model_col="m")[0].collect()}
+        assert got == {("q", 1, 2), ("r", 1, 3), ("s", 1, 4)} | ({("q", 2, 1)} if k == 2 else set())
+    empty = S.search(idf.filter("id > 9"), qdf.filter("m = 'a'"), k=2)
+    assert empty.count() == 0
+
+
+def test_questions_with_a_bound_look_at_tiles():
+    """Without a row above its bound a question has no pair scored; blocks need not divide rows or questions."""
+    rnd = np.random.default_rng(4)
+    D, Q = rnd.normal(size=(2 * S.TILE_ROWS + 5, 6)), rnd.normal(size=(S.TILE_QUESTIONS + 3, 6))
+    ids, number = np.arange(len(D)), np.arange(len(Q))
+    key = np.round((Q / np.linalg.norm(Q, axis=1)[:, None]) @ (D / np.linalg.norm(D, axis=1)[:, None]).T, 9)
+    floor = np.sort(key, axis=1)[:, -3] - 1e-7
+    floor[7] = 2.0
+    acc = S._TopK(3, len(Q), floor)
+    S._offer(acc, D, ids, Q, number, "cosine")
+    q, _, _, got = acc.result()
+    assert 7 not in q and len(q) == 3 * (len(Q) - 1)
+    for i in np.unique(q):
+        assert set(got[q == i]) == set(np.argsort(-key[i])[:3])

@@ -53,11 +53,16 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(_reduced(ah * bh * _U(2) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31))) + _reduced(al * bl))
 
 
+def _up31(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 modulo the prime, for numbers below it: a rotation of their 61 bits."""
+    return (x >> _U(30)) | ((x & _U((1 << 30) - 1)) << _U(31))
+
+
 def _sums(x: np.ndarray) -> np.ndarray:
     """Running sums modulo the prime, from 0: those of the upper and of the lower 31 bits can't overflow."""
     c = np.zeros(len(x) + 1, np.uint64)
     low = _U((1 << 31) - 1)
-    c[1:] = _reduced(_times(_reduced(np.cumsum(x >> _U(31), dtype=np.uint64)), np.full(1, 1 << 31, np.uint64)) + _reduced(np.cumsum(x & low, dtype=np.uint64)))
+    c[1:] = _reduced(_up31(_reduced(np.cumsum(x >> _U(31), dtype=np.uint64))) + _reduced(np.cumsum(x & low, dtype=np.uint64)))
     return c
 
 
@@ -87,7 +92,7 @@ def span_hash(c: np.ndarray | tuple[np.ndarray, np.ndarray], i: np.ndarray, j: n
     """Hashes of the spans i to j; ``c`` is a ``prefix_hash`` or a ``byte_hash``."""
     if isinstance(c, tuple):
         up, down = c
-        gap = _reduced(_times(_reduced(up[j] - up[i]), np.full(1, 1 << 31, np.uint64)) + _reduced(down[j] - down[i]))
+        gap = _reduced(_up31(_reduced(up[j] - up[i])) + _reduced(down[j] - down[i]))
         n = len(up)
     else:
         gap, n = _reduced(c[j] + _U(PRIME) - c[i]), len(c)
@@ -106,17 +111,29 @@ BYTE_BASE = _P % PRIME
 
 #: up to so many bytes the sums of byte times half a power stay below 2**64
 _HALVES = 1 << 24
+_split: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _halves(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower bits of the powers of ``BYTE_BASE``, kept for a slice's bytes."""
+    have = _split.get(BYTE_BASE)
+    if have is None or len(have[0]) < n:
+        p = powers(BYTE_BASE, 1 << max(n - 1, (1 << 16) - 1).bit_length() if n <= SLICE_BYTES else n)[0]
+        have = p >> _U(31), p & _U((1 << 31) - 1)
+        if n <= SLICE_BYTES:
+            _split[BYTE_BASE] = have
+    return have[0][:n], have[1][:n]
 
 
 def byte_hash(buf: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """For ``span_hash``: running sums of each byte times the upper and the lower bits of its power, reduced only at the spans."""
     if len(buf) > _HALVES:
         return prefix_hash(buf.astype(np.uint64) + _U(1), BYTE_BASE)
-    p = powers(BYTE_BASE, len(buf))[0]
+    high, low = _halves(len(buf))
     value = buf.astype(np.uint64) + _U(1)
     up, down = np.zeros(len(buf) + 1, np.uint64), np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(value * (p >> _U(31)), out=up[1:])
-    np.cumsum(value * (p & _U((1 << 31) - 1)), out=down[1:])
+    np.cumsum(value * high, out=up[1:])
+    np.cumsum(value * low, out=down[1:])
     return up, down
 
 

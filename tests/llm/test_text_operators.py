@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm import numtext as nt
-from quarry.llm import packing, quality, simhash
+from quarry.llm import decontam, packing, quality, simhash
 from quarry.llm.queries import tokenizer_path
 from tests.llm.helpers import documents, same
 
@@ -256,3 +256,24 @@ def test_marks_of_added_tokens_equal_the_plain_library(tmp_path, spark):
             expected[k, at] = zlib.crc32(np.array(ids[at:at + size], "<u4").tobytes())
             at += size
     assert got == expected
+
+
+def test_word_hashes_are_the_polynomial_of_their_bytes():
+    words = [b"a", b"zz", b"\xc3\xb1andu", b"x" * 300]
+    buf = np.frombuffer(b" ".join(words), np.uint8)
+    got = nt.words(buf, np.array([0, len(buf)])).hashes()
+    want = [sum((b + 1) * pow(nt.BYTE_BASE, k, nt.PRIME) for k, b in enumerate(w)) % nt.PRIME for w in words]
+    assert (got == nt.mix(np.array(want, np.uint64))).all()
+    some = [0, 1, (1 << 30) - 1, 1 << 30, nt.PRIME - 1]
+    assert nt._up31(np.array(some, np.uint64)).tolist() == [x * 2**31 % nt.PRIME for x in some]
+
+
+def test_decontamination_reads_texts_in_pieces_that_fit_a_cache():
+    texts = ["w%d and some more words\n" % i * 400 for i in range(200)] + ["", "long " * 200_000]
+    column = pa.array(texts)
+    pieces = list(nt.slices(column, decontam.PIECE_BYTES))
+    assert [i for i, _, _, _ in pieces[1:]] == [j for _, j, _, _ in pieces[:-1]] and pieces[-1][1] == len(texts)
+    assert all(8 * len(buf) <= 1 << 21 or j == i + 1 for i, j, buf, _ in pieces)
+    whole = [decontam.text_words(buf, offs)[1] for _, _, buf, offs in nt.slices(column, 1 << 30)]
+    parts = [decontam.text_words(buf, offs)[1] for _, _, buf, offs in pieces]
+    assert (np.concatenate(whole) == np.concatenate(parts)).all()

@@ -162,7 +162,7 @@ def tf_idf(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) ->
     return p, t, (v / norm[p]).astype(np.float32)
 
 
-def dense_parts(p: np.ndarray, t: np.ndarray, v: np.ndarray, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def dense_parts(p: np.ndarray, t: np.ndarray, v: np.ndarray, rows: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(passages, words, small dense matrix) of runs of passages, for fast products in cache."""
     if not len(p):
         return

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -33,3 +36,39 @@ def test_token_vectors_are_windows_of_one_array(spark):
     plan = toks.select(F.col("vec"))._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" in plan and "sequence(0, 4" not in plan
     assert [r.vec for r in E.token_matrix(df, dim=1, max_length=None).collect()] == [[1.0]] * E.token_matrix(df, dim=1, max_length=None).count()
+
+
+ODD_TEXTS = ["a b", "", None, "  x  x ", "\n\t", "Wörd\tb\r\nÇ", "a b", None, "q" * 50, "tail ", "next word \u0085 é", "A a"]
+
+
+def plain_buckets(text, dim):
+    if text is None:
+        return None
+    return [int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dim for t in re.split("[ \t\n\r]+", text) if t]
+
+
+def test_distinct_tokens_of_some_rows_are_hashed_once(monkeypatch):
+    shapes = [pa.array(["skipped", *ODD_TEXTS, "x"]).slice(1, len(ODD_TEXTS)), pa.array(ODD_TEXTS, pa.large_string()),
+              pa.array([], pa.string()), pa.array([None, None], pa.string()), pa.array(["", ""])]
+    for size in (1, 3, 8, 1 << 20):
+        monkeypatch.setattr(E, "TOKEN_BYTES", size)
+        for texts in shapes:
+            assert E._text_buckets(texts, 7).to_pylist() == [plain_buckets(t, 7) for t in texts.to_pylist()]
+    hashed, md5 = [], hashlib.md5
+    monkeypatch.setattr(E.hashlib, "md5", lambda t: (hashed.append(t), md5(t))[1])
+    E._text_buckets(pa.array(["a b a", "b a", "c"] * 20), 7)
+    assert sorted(hashed) == [b"a", b"b", b"c"]
+
+
+def test_text_vectors_equal_native_buckets(spark):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id long, text string")
+    both = df.select("text", E.hash_embed_col(F.col("text"), 16).alias("v"), E.hash_buckets(F.col("text"), 16).alias("b"))
+    for r in both.collect():
+        if r.text is None:
+            assert r.v is None and r.b is None
+        else:
+            c = np.bincount(r.b, minlength=16) if r.b else np.zeros(16)
+            assert np.allclose(r.v, c / max(np.linalg.norm(c), 1e-12), atol=1e-15)
+    # no lambda runs for each token
+    plan = both.select("v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan

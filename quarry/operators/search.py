@@ -443,15 +443,17 @@ def search_bounded(index: DataFrame, questions: DataFrame, k: int = 5, metric: s
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 1:
         raise ValueError("k must be >= 1")
+    more = [model_col] if model_col else []
+    # counted and shipped: the question vectors are computed once
+    questions = written(questions.select(qid_col, qvec_col, *more), "search-questions")
     st = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
     nq, dim = int(st["n"] or 0), int(st["dim"] or 0)
     need = nq * max(dim, 1) * 8
-    more = [model_col] if model_col else []
     if nq >= BOUND_QUESTIONS or need > broadcast_budget:
         # the vectors are computed once, and every task gets as many
         even = 2 * index.sparkSession.sparkContext.defaultParallelism
         index = written(index.select(id_col, vec_col, *more).repartition(even), "search-index")
-        questions = _with_bounds(index, questions.select(qid_col, qvec_col, *more), k, metric, vec_col, qvec_col, model_col)
+        questions = _with_bounds(index, questions, k, metric, vec_col, qvec_col, model_col)
         more.append("_floor")
     if need <= broadcast_budget:
         cand = _search_batch(index, questions, k, metric, id_col, vec_col, qid_col, qvec_col, model_col=model_col)

@@ -310,3 +310,19 @@ def test_questions_with_a_bound_look_at_tiles():
     assert 7 not in q and len(q) == 3 * (len(Q) - 1)
     for i in np.unique(q):
         assert set(got[q == i]) == set(np.argsort(-key[i])[:3])
+
+
+def test_question_vectors_are_computed_once(spark, monkeypatch):
+    idx = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "id long, embedding array<double>")
+    for least in (1 << 13, 2):                    # as they are, and with first bounds
+        monkeypatch.setattr(S, "BOUND_QUESTIONS", least)
+        calls = spark.sparkContext.accumulator(0)
+
+        def vector(i):
+            calls.add(1)
+            return [float(i), 2.0]
+
+        made = F.udf(vector, "array<double>").asNondeterministic()
+        qs = spark.range(6).select(F.col("id").cast("string").alias("question_id"), made("id").alias("embedding"))
+        assert S.search(idx, qs, k=2).count() == 12
+        assert calls.value == 6

@@ -152,3 +152,16 @@ def test_parts_and_groups_of_any_size_change_nothing(spark, tmp, monkeypatch):
     monkeypatch.setattr(A, "ASKS", 3)
     monkeypatch.setattr(A, "HELD", 100)
     assert hits(A.search(spark, tmp, qs, k=7)) == want
+
+
+def test_a_shortlist_is_known_where_it_is_found(spark, tmp):
+    idx, qs = frames(spark)
+    A.build(idx, tmp)
+    near = A.shortlist(spark, tmp, qs, 16, 100)
+    # questions and blocks of codes are dealt out, not up to 100 rows of each of a question's 16 cells
+    assert 41 <= exchanged(near) < 2001
+    best = sorted((r.question_id, r.far, r.id) for r in near.collect())
+    assert len(best) == 41 * 100 and len({(q, i) for q, _, i in best}) == len(best)
+    small = A.shortlist(spark, tmp, qs, 16, 7).collect()         # the nearest of them, ties by id
+    want = [x for q in sorted({q for q, _, _ in best}) for x in [b for b in best if b[0] == q][:7]]
+    assert sorted((r.question_id, r.far, r.id) for r in small) == want
